@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from . import ngram_join
+from . import chat_format, line_dedup, mixing, ngram_join
 
 
 def queries() -> dict:
-    return {"op7_ngram_jaccard_join": ngram_join.query}
+    return {
+        "op1_mix_sources": mixing.query,
+        "op5_line_dedup": line_dedup.query,
+        "op7_ngram_jaccard_join": ngram_join.query,
+        "op8_chat_format": chat_format.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_mix_sources": mixing.ORACLE_SQL,
+        "op5_line_dedup": line_dedup.ORACLE_SQL,
+        "op8_chat_format": chat_format.ORACLE_SQL,
+    }
