@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat_format, line_dedup, mixing, ngram_join
+from . import chat_format, line_dedup, mixing, ngram_join, packing, token_files
 
 
 def queries() -> dict:
     return {
         "op1_mix_sources": mixing.query,
+        "op2_best_fit_packing": packing.query,
+        "op3_token_files": token_files.query,
         "op5_line_dedup": line_dedup.query,
         "op7_ngram_jaccard_join": ngram_join.query,
         "op8_chat_format": chat_format.query,
