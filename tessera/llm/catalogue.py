@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, line_dedup, mixing, ngram_join, packing, token_files
+from . import chat_format, language_id, line_dedup, mixing, nearest, ngram_join, packing, quality_classifier, quality_rules, token_files
 
 
 def queries() -> dict:
@@ -10,9 +10,13 @@ def queries() -> dict:
         "op1_mix_sources": mixing.query,
         "op2_best_fit_packing": packing.query,
         "op3_token_files": token_files.query,
+        "op4_quality_classifier": quality_classifier.query,
         "op5_line_dedup": line_dedup.query,
+        "op6_quality_rules": quality_rules.query,
         "op7_ngram_jaccard_join": ngram_join.query,
         "op8_chat_format": chat_format.query,
+        "op9_nearest_neighbours": nearest.query,
+        "op10_language_id": language_id.query,
     }
 
 

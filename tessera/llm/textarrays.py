@@ -76,11 +76,38 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word: a polynomial in its bytes, mixed with its length."""
+        return self.span_hashes(self.start, self.end)
+
+    def span_hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of the bytes from each start to its end."""
         up, down = _Powers.to(len(self.data) + 1)
         total = np.zeros(len(self.data) + 1, np.uint64)
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-        h = (total[self.end] - total[self.start]) * down[self.start]
-        return mixed(h ^ ((self.end - self.start).astype(np.uint64) * _ODD))
+        h = (total[end] - total[start]) * down[start]
+        return mixed(h ^ ((end - start).astype(np.uint64) * _ODD))
+
+    def per_text(self, of_bytes: np.ndarray) -> np.ndarray:
+        """The number of bytes of each text for which of_bytes is true."""
+        total = np.zeros(len(self.data) + 1, np.int64)
+        np.cumsum(of_bytes, out=total[1:])
+        return total[self.text_end] - total[self.text_start]
+
+    def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and text of each line (cut at line feeds) that has a word."""
+        end = np.flatnonzero(self.data == 10)
+        start = np.concatenate([[0], end[:-1] + 1])
+        total = np.zeros(len(self.data) + 1, np.int64)
+        np.cumsum(self.word, out=total[1:])
+        some = total[end] > total[start]
+        start, end = start[some], end[some]
+        return start, end, np.searchsorted(self.text_end, start)
+
+    def bytes_of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of the given words one after the other, and which of them each byte is of."""
+        size = self.end[words] - self.start[words]
+        of = np.repeat(np.arange(len(words)), size)
+        at = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.start[words], size)
+        return self.data[at], of
 
     def windows(self, k: int, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Hash and first word of each run of k words within one text."""
@@ -100,6 +127,17 @@ def run_hash(h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def repeated(keys: np.ndarray) -> np.ndarray:
+    """For each key: 0 if it occurs once, 1 if it is the first of several, 2 if a later one."""
+    order = np.argsort(keys, kind="stable")
+    k = keys[order]
+    same = np.zeros(len(k) + 1, bool)
+    same[1:-1] = k[1:] == k[:-1]
+    out = np.zeros(len(k), np.int8)
+    out[order] = np.where(same[:-1], 2, np.where(same[1:], 1, 0))
+    return out
+
+
 def chunks(values: pa.Array | list, most_bytes: int = 4_000_000) -> Iterator[tuple[int, list[str | None]]]:
     """Texts in runs of a bounded number of characters (at least one text each), with the place of the first."""
     texts = values.to_pylist() if isinstance(values, (pa.Array, pa.ChunkedArray)) else values
