@@ -2,10 +2,474 @@
 
 from __future__ import annotations
 
+import tempfile
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import kernels, pixels, ranks, scalars
+from .jobs.run import config_value_counts
+from .operators import bootstrap, folds, nested_cv, registry, scores
+from .plans import nested, oracle
+from .plans.fixtures import LABELLED_DOCUMENTS, ORDER_SAMPLES, VECTOR_PIXELS, colour_pairs, labelled_documents, order_samples, order_scores, table, vector_pairs
+from .sources.annotations import with_ordinal
+from .sources.artifact import load_artifact, save_artifact
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+SEED = 155
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) + 0.0 for c in columns})
+
+
+def sql_rounded(*columns: str) -> str:
+    return ", ".join(f"round({c}, 6) + 0.0::DOUBLE AS {c}" for c in columns)
+
+
+# Sources.
+_SCAN = f"WITH {LABELLED_DOCUMENTS} SELECT row_number() OVER (ORDER BY sample_idx) - 1 AS sample_idx, sample_idx AS key, pname, class3, expert_score FROM a"
+
+
+@query("annotation_scan", _SCAN)
+def annotation_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_ordinal(labelled_documents(spark, sf_dir).withColumnRenamed("sample_idx", "key"), "key").select("sample_idx", "key", "pname", "class3", "expert_score")
+
+
+@query("annotation_counts", f"WITH {LABELLED_DOCUMENTS} SELECT count(*) AS n_rows, count(DISTINCT pname) AS n_groups FROM a")
+def annotation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labelled_documents(spark, sf_dir).agg(F.count("*").alias("n_rows"), F.countDistinct("pname").alias("n_groups"))
+
+
+_PATH = "regexp_replace(url, '^https?://[^/]*', CASE WHEN page_id % 2 = 0 THEN '' ELSE 'base' END)"
+
+
+@query("path_resolve", f"SELECT page_id, CASE WHEN starts_with({_PATH}, '/') THEN {_PATH} ELSE '/data/' || {_PATH} END AS path FROM pages")
+def path_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.regexp_replace("url", F.lit("^https?://[^/]*"), F.when(F.col("page_id") % 2 == 0, "").otherwise("base"))
+    return table(spark, sf_dir, "pages").select("page_id", scalars.resolved_path("/data/", path).alias("path"))
+
+
+@query("extract_number", f"SELECT event_id, coalesce(try_cast(props AS DOUBLE), try_cast(nullif(regexp_extract(props, '{scalars.NUMBER}'), '') AS DOUBLE)) AS number FROM events")
+def extract_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", scalars.extract_number(F.col("props")).alias("number"))
+
+
+# The grid.
+_GRID = """WITH m(metric, modes, pv) AS (VALUES ('ncc', ['gray', 'hed'], ['']), ('psnr', ['gray', 'hed'], ['']), ('mi', ['gray', 'hed'], ['']), ('ssim', ['gray', 'hed'], ['7', '31']),
+  ('ms-ssim', ['gray', 'hed'], ['']), ('fsim', ['gray', 'hed'], ['']), ('fsimc', ['rgb'], ['']), ('lpips_alex', ['gray', 'hed', 'rgb'], ['lin', 'avg']),
+  ('lpips_vgg', ['gray', 'hed', 'rgb'], ['lin', 'avg']), ('lpips_squeeze', ['gray', 'hed', 'rgb'], ['lin', 'avg']), ('dists', ['gray', 'hed', 'rgb'], [''])),
+b(v) AS (VALUES (0), (1)),
+g AS (SELECT metric, n.v AS n, modes[k] AS mode, f.v AS f, h.v AS h, c.v AS c, s.v AS s, pv[p] AS p,
+    ((((((n.v * len(modes) + k - 1) * 2 + f.v) * 2 + h.v) * 2 + c.v) * 2 + s.v) * len(pv) + p - 1)::INT AS cfg_ordinal
+  FROM m, b n, b f, b h, b c, b s, (VALUES (1), (2), (3)) i(k), (VALUES (1), (2)) j(p) WHERE k <= len(modes) AND p <= len(pv))
+"""
+
+
+@query("config_grid", _GRID + "SELECT metric, cfg_ordinal, n = 1 AS normalization, mode AS channel_mode, f = 1 AS flip_intensity, h = 1 AS match_histogram, c = 1 AS clahe, s = 1 AS smoothing, p AS param FROM g")
+def config_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = registry.config_grid(spark, registry.Registry().chosen())
+    return grid.select("metric", "cfg_ordinal", *scalars.FLAGS, F.coalesce(F.get(F.map_values("params"), F.lit(0)), F.lit("")).alias("param"))
+
+
+@query("config_key", _GRID + "SELECT metric, cfg_ordinal, concat_ws(' | ', n, mode, f, h, c, s, nullif(p, '')) AS preproc_cfg FROM g")
+def config_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = registry.config_grid(spark, registry.Registry().chosen())
+    return grid.select("metric", "cfg_ordinal", scalars.config_key(F.col("params")).alias("preproc_cfg"))
+
+
+@query(
+    "identity_groups",
+    "SELECT * FROM (VALUES (0, 'gray,hed', 'ncc,psnr,mi,ms-ssim,fsim'), (3, 'gray,hed', 'ssim'), (6, 'rgb', 'fsimc'), (7, 'gray,hed,rgb', 'lpips_alex,lpips_vgg,lpips_squeeze'), (10, 'gray,hed,rgb', 'dists')) g(group_id, modes, metrics)",
+)
+def identity_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = registry.identity_groups(spark, registry.Registry().chosen())
+    return groups.select("group_id", F.array_join("channel_modes", ",").alias("modes"), F.array_join("metrics", ",").alias("metrics"))
+
+
+@query("metric_kwargs", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'win_size=' || (p_size::INT) ELSE '' END AS kwargs FROM (SELECT p_partkey, p_partkey % 31 AS p_size FROM part)")
+def metric_kwargs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    params = F.create_map(F.lit("win_size"), (F.col("p_partkey") % 31).cast("string"), F.lit("bins"), F.lit("32"))
+    keys = F.when(F.col("p_partkey") % 2 == 0, F.array(F.lit("win_size"))).otherwise(F.array(F.lit("none")))
+    own = F.map_entries(scalars.only_keys(params, keys))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(own, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("kwargs"))
+
+
+# Labels and ranks.
+@query("labels_binarised", f"WITH {LABELLED_DOCUMENTS} SELECT sample_idx, (class3 = 2)::INT AS y_bad, (class3 = 0)::INT AS y_good, round(-score, 6) AS badness FROM a")
+def labels_binarised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flag = lambda c: (F.col("class3") == c).cast("int")
+    return labelled_documents(spark, sf_dir).select("sample_idx", flag(2).alias("y_bad"), flag(0).alias("y_good"), F.round(-F.col("score"), 6).alias("badness"))
+
+
+@query("class_pairs", f"WITH {LABELLED_DOCUMENTS} SELECT lo, hi, count(*) AS n, sum((class3 = hi)::INT)::BIGINT AS n_higher FROM a JOIN (SELECT DISTINCT x.class3 AS lo, y.class3 AS hi FROM a x JOIN a y ON x.class3 < y.class3) p ON class3 IN (lo, hi) GROUP BY lo, hi")
+def class_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = labelled_documents(spark, sf_dir).select("class3")
+    classes = rows.distinct()  # three at most
+    pairs = classes.withColumnRenamed("class3", "lo").join(classes.withColumnRenamed("class3", "hi"), F.col("lo") < F.col("hi"))
+    counts = rows.groupBy("class3").agg(F.count("*").alias("k"))
+    both = pairs.join(counts, F.col("class3").isin(F.col("lo"), F.col("hi")))
+    return both.groupBy("lo", "hi").agg(F.sum("k").alias("n"), F.sum(F.when(F.col("class3") == F.col("hi"), F.col("k")).otherwise(0)).alias("n_higher"))
+
+
+@query("avg_rank", f"WITH {ORDER_SAMPLES} SELECT sample_idx, {oracle.average_rank('expert_score', 'pname')} AS expert_rank, {oracle.average_rank('price', 'pname')} AS price_rank FROM c")
+def avg_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_samples(spark, sf_dir).select("sample_idx", ranks.average_rank("expert_score", ["pname"]).alias("expert_rank"), ranks.average_rank("price", ["pname"]).alias("price_rank"))
+
+
+_BY_SOURCE = f"WITH {LABELLED_DOCUMENTS}, {oracle.statistics('a', 'pname')} SELECT pname, "
+_BY_NATION = f"WITH {ORDER_SAMPLES}, sc AS (SELECT *, price AS score FROM c), {oracle.statistics('sc', 'pname')} SELECT pname, "
+
+
+@query("spearman", _BY_NATION + sql_rounded("spearman_class3", "spearman_raw_1_5") + " FROM st")
+def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(ranks.evaluate(order_samples(spark, sf_dir), ["pname"], "price").select("pname", "spearman_class3", "spearman_raw_1_5"), "spearman_class3", "spearman_raw_1_5")
+
+
+@query("auc_binary", _BY_SOURCE + sql_rounded("auc_bad_vs_rest", "auc_good_vs_rest") + " FROM st")
+def auc_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(ranks.evaluate(labelled_documents(spark, sf_dir), ["pname"]).select("pname", "auc_bad_vs_rest", "auc_good_vs_rest"), "auc_bad_vs_rest", "auc_good_vs_rest")
+
+
+@query("auc_ovo", _BY_SOURCE + sql_rounded("auc_3class_ovo") + " FROM st")
+def auc_ovo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(ranks.evaluate(labelled_documents(spark, sf_dir), ["pname"]).select("pname", "auc_3class_ovo"), "auc_3class_ovo")
+
+
+@query("auc_directed", _BY_NATION + "round(CASE WHEN spearman_class3 > 0 THEN auc_3class_ovo ELSE 1 - auc_3class_ovo END, 6) + 0.0::DOUBLE AS auc FROM st")
+def auc_directed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(ranks.directed_auc(order_samples(spark, sf_dir), ["pname"], "price"), "auc")
+
+
+@query("rank_statistics", _BY_SOURCE + "n, " + sql_rounded(*ranks.STATISTICS) + " FROM st")
+def rank_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(ranks.evaluate(labelled_documents(spark, sf_dir), ["pname"]), *ranks.STATISTICS)
+
+
+# Pixels.
+@query("pixel_scaling", f"WITH {VECTOR_PIXELS} SELECT sample_idx, i::INT AS i, round(x / (1 + 1e-8), 6) AS min_max, round(1 - x, 6) AS flipped, round(least(greatest(x * 2 - 0.5, 0), 1), 6) AS clipped, round(x * 255 / 255, 6) AS scaled FROM px")
+def pixel_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("src")
+    columns = {"min_max": pixels.min_max(x), "flipped": pixels.flipped(x), "clipped": pixels.clipped(F.transform(x, lambda v: v * 2 - 0.5)), "scaled": pixels.scaled(F.transform(x, lambda v: v * 255))}
+    wide = vector_pairs(spark, sf_dir).select("sample_idx", F.arrays_zip(*(c.alias(n) for n, c in columns.items())).alias("z"))
+    return wide.select("sample_idx", F.posexplode("z").alias("i", "p")).select("sample_idx", "i", *(F.round(F.col(f"p.{n}"), 6).alias(n) for n in columns))
+
+
+@query("rgb_gray", f"WITH {VECTOR_PIXELS} SELECT a.sample_idx, a.i::INT AS i, round(0.299 * a.x + 0.587 * a.y + 0.114 * b.y, 6) AS gray FROM px a JOIN px b ON b.i = a.i AND b.sample_idx = (a.sample_idx + 1) % (SELECT count(*) FROM embeddings)")
+def rgb_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gray = pixels.gray(F.col("src_r"), F.col("src_g"), F.col("src_b"))
+    return colour_pairs(spark, sf_dir).select("sample_idx", F.posexplode(gray).alias("i", "gray")).withColumn("gray", F.round("gray", 6))
+
+
+_MOMENTS = """g AS (SELECT sample_idx, count(*) AS n, avg(x) AS mx, avg(y) AS my, stddev_samp(x) + 1e-8 AS dx, stddev_samp(y) + 1e-8 AS dy FROM px {where} GROUP BY sample_idx)"""
+_NCC = "sum((x - mx) * (y - my)) / any_value(dx * dy * (n - 1))"
+
+
+@query("measure_ncc", f"WITH {VECTOR_PIXELS}, {_MOMENTS.format(where='')} SELECT sample_idx, round({_NCC}, 6) + 0.0::DOUBLE AS score FROM px JOIN g USING (sample_idx) GROUP BY sample_idx")
+def measure_ncc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(vector_pairs(spark, sf_dir).select("sample_idx", pixels.ncc(F.col("src"), F.col("trg")).alias("score")), "score")
+
+
+@query("measure_psnr", f"WITH {VECTOR_PIXELS} SELECT sample_idx, round(CASE avg((x - y) ** 2) WHEN 0 THEN 33.0 ELSE -10 * log10(avg((x - y) ** 2)) END, 6) + 0.0::DOUBLE AS score FROM px GROUP BY sample_idx")
+def measure_psnr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(vector_pairs(spark, sf_dir).select("sample_idx", pixels.psnr(F.col("src"), F.col("trg")).alias("score")), "score")
+
+
+_MI = f"""WITH {VECTOR_PIXELS}, b AS (SELECT sample_idx, least(floor(x * 32), 31) AS bx, least(floor(y * 32), 31) AS b2 FROM px),
+j AS (SELECT sample_idx, bx, b2, count(*) / 64.0 AS p FROM b GROUP BY ALL),
+q AS (SELECT *, sum(p) OVER (PARTITION BY sample_idx, bx) AS p1, sum(p) OVER (PARTITION BY sample_idx, b2) AS p2 FROM j)
+SELECT sample_idx, round(sum(p * ln(p / (p1 * p2))), 6) + 0.0::DOUBLE AS score FROM q GROUP BY sample_idx"""
+
+
+@query("measure_mi", _MI)
+def measure_mi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zipped = F.arrays_zip(pixels.bins(F.col("src")).alias("bx"), pixels.bins(F.col("trg")).alias("by"))
+    cells = vector_pairs(spark, sf_dir).select("sample_idx", F.inline(zipped)).groupBy("sample_idx", "bx", "by").agg((F.count("*") / 64.0).alias("p"))
+    side = lambda c: F.sum("p").over(Window.partitionBy("sample_idx", c))
+    joint = cells.withColumns({"px": side("bx"), "py": side("by")}).where("p > 0")
+    return rounded(joint.groupBy("sample_idx").agg(F.sum(F.col("p") * F.log(F.col("p") / (F.col("px") * F.col("py")))).alias("score")), "score")
+
+
+def _kernel_scores(spark: SparkSession, sf_dir: str, name: str, kernel, **params) -> DataFrame:
+    """One measure, without preprocessing, through the score table."""
+    own = registry.Registry(())
+    own.register(name, lambda x, y: kernel(x, y, **params), ("gray",))
+    plain = {f: (False,) for f in registry.SEARCH}
+    return rounded(scores.score_pairs(vector_pairs(spark, sf_dir), own.chosen(), plain).select("sample_idx", "score"), "score")
+
+
+_SSIM = f"""WITH {VECTOR_PIXELS}, o(d) AS (VALUES (-1), (0), (1)),
+m AS (SELECT p.sample_idx, p.i, avg(q.x) AS ux, avg(q.y) AS uy, avg(q.x * q.x) AS xx, avg(q.y * q.y) AS yy, avg(q.x * q.y) AS xy
+  FROM px p, o r, o c, px q WHERE q.sample_idx = p.sample_idx AND q.i = least(greatest(p.i // 8 + r.d, 0), 7) * 8 + least(greatest(p.i % 8 + c.d, 0), 7) GROUP BY ALL)
+SELECT sample_idx, round(avg((2 * ux * uy + 0.0001) * (2 * 9 / 8 * (xy - ux * uy) + 0.0009) / ((ux * ux + uy * uy + 0.0001) * (9 / 8 * (xx - ux * ux + yy - uy * uy) + 0.0009))), 6) + 0.0::DOUBLE AS score
+FROM m GROUP BY sample_idx"""
+
+
+@query("measure_ssim", _SSIM)
+def measure_ssim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kernel_scores(spark, sf_dir, "ssim3", kernels.ssim, win_size=3)
+
+
+_MASKED = f"WITH {VECTOR_PIXELS}, {_MOMENTS.format(where='WHERE (i + sample_idx) % 3 > 0')} SELECT sample_idx, round({_NCC}, 6) + 0.0::DOUBLE AS score FROM px JOIN g USING (sample_idx) WHERE (i + sample_idx) % 3 > 0 GROUP BY sample_idx"
+
+
+@query("measure_masked", _MASKED)
+def measure_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mask = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: ((i + F.col("sample_idx")) % 3 > 0).cast("int"))
+    pairs = vector_pairs(spark, sf_dir).withColumn("mask", mask)
+    return rounded(pairs.select("sample_idx", pixels.ncc(pixels.masked(F.col("src"), F.col("mask")), pixels.masked(F.col("trg"), F.col("mask"))).alias("score")), "score")
+
+
+@query("mask_fill", f"WITH {VECTOR_PIXELS} SELECT sample_idx, round(sum(CASE WHEN (i + sample_idx) % 3 > 0 THEN x ELSE 0.5 END), 6) AS total FROM px GROUP BY sample_idx")
+def mask_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mask = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: ((i + F.col("sample_idx")) % 3 > 0).cast("int"))
+    filled = pixels.mask_filled(F.col("src"), mask, 0.5)
+    return vector_pairs(spark, sf_dir).select("sample_idx", F.round(F.aggregate(filled, F.lit(0.0), lambda t, v: t + v), 6).alias("total"))
+
+
+@query("measure_custom_distance", f"WITH {VECTOR_PIXELS} SELECT sample_idx, round(-avg(abs(x - y)), 6) + 0.0::DOUBLE AS score FROM px GROUP BY sample_idx")
+def measure_custom_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = registry.Registry(())
+    own.register("mean_difference", lambda x, y: np.abs(x - y).mean(axis=(1, 2, 3)), ("gray",), higher_is_better=False)
+    return rounded(scores.score_pairs(vector_pairs(spark, sf_dir), own.chosen(), {f: (False,) for f in registry.SEARCH}).select("sample_idx", "score"), "score")
+
+
+@query("measure_fsim")
+def measure_fsim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kernel_scores(spark, sf_dir, "fsim", kernels.fsim)
+
+
+@query("measure_fsimc")
+def measure_fsimc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kernel_scores(spark, sf_dir, "fsimc", kernels.fsim, chromatic=True)
+
+
+@query("measure_ms_ssim")
+def measure_ms_ssim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the pairs' pixels repeated to 168 x 168."""
+    large = lambda v: np.repeat(np.repeat(v, 21, axis=1), 21, axis=2)
+    return _kernel_scores(spark, sf_dir, "ms-ssim", lambda x, y: np.concatenate([kernels.ms_ssim(large(x[i : i + 16]), large(y[i : i + 16])) for i in range(0, len(x), 16)]))
+
+
+def _kernel_pixels(spark: SparkSession, sf_dir: str, kernel) -> DataFrame:
+    def total(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = kernel(x, y)
+        return (out * np.arange(1, 65).reshape(1, 8, 8, 1)).sum(axis=(1, 2, 3))  # a sum in which every place counts differently
+
+    return _kernel_scores(spark, sf_dir, "total", total)
+
+
+_MEDIAN = f"""WITH {VECTOR_PIXELS}, o(d) AS (VALUES (-2), (-1), (0), (1), (2)),
+m AS (SELECT p.sample_idx, p.i, median(q.x) AS v FROM px p, o r, o c, px q WHERE q.sample_idx = p.sample_idx AND q.i = least(greatest(p.i // 8 + r.d, 0), 7) * 8 + least(greatest(p.i % 8 + c.d, 0), 7) GROUP BY ALL)
+SELECT sample_idx, round(sum(v * (i + 1)), 6) + 0.0::DOUBLE AS score FROM m GROUP BY sample_idx"""
+QUERIES["median5"], SQL["median5"] = lambda s, d: _kernel_pixels(s, d, lambda x, y: kernels.median_smooth(x)), _MEDIAN
+
+_GAUSS = f"""WITH {VECTOR_PIXELS}, o(d) AS (VALUES (-2), (-1), (0), (1), (2)), k AS (SELECT d, exp(-0.5 * (d / 1.1) ** 2) / (SELECT sum(exp(-0.5 * (d / 1.1) ** 2)) FROM o) AS w FROM o),
+m AS (SELECT p.sample_idx, p.i, sum(q.x * r.w * c.w) AS v FROM px p, k r, k c, px q WHERE q.sample_idx = p.sample_idx AND q.i = least(greatest(p.i // 8 + r.d, 0), 7) * 8 + least(greatest(p.i % 8 + c.d, 0), 7) GROUP BY ALL)
+SELECT sample_idx, round(sum(v * (i + 1)), 6) + 0.0::DOUBLE AS score FROM m GROUP BY sample_idx"""
+QUERIES["gaussian5"], SQL["gaussian5"] = lambda s, d: _kernel_pixels(s, d, lambda x, y: kernels.gaussian_smooth(x)), _GAUSS
+
+_WHITE = f"""WITH {VECTOR_PIXELS}, t AS (SELECT sample_idx, quantile_cont(x * 255, 0.8) - 5 AS t FROM px GROUP BY sample_idx)
+SELECT sample_idx, sum(CASE WHEN x * 255 < t THEN i + 1 ELSE 0 END)::DOUBLE AS score FROM px JOIN t USING (sample_idx) GROUP BY sample_idx"""
+QUERIES["nonwhite_mask"], SQL["nonwhite_mask"] = lambda s, d: _kernel_pixels(s, d, lambda x, y: kernels.non_white(x * 255)[..., None]), _WHITE
+
+_MATCH = f"""WITH {VECTOR_PIXELS}, s AS (SELECT sample_idx, x, any_value(cum) AS q FROM (SELECT sample_idx, x, count(*) OVER (PARTITION BY sample_idx ORDER BY x) / 64.0 AS cum FROM px) GROUP BY sample_idx, x),
+t AS (SELECT sample_idx, y, any_value(cum) AS q FROM (SELECT sample_idx, y, count(*) OVER (PARTITION BY sample_idx ORDER BY y) / 64.0 AS cum FROM px) GROUP BY sample_idx, y),
+f AS (SELECT s.sample_idx, s.x, any_value(s.q) AS q, max(t.q) FILTER (WHERE t.q <= s.q) AS q0, min(t.q) FILTER (WHERE t.q >= s.q) AS q1, max(t.y) FILTER (WHERE t.q <= s.q) AS y0, min(t.y) FILTER (WHERE t.q >= s.q) AS y1
+  FROM s JOIN t USING (sample_idx) GROUP BY s.sample_idx, s.x),
+h AS (SELECT sample_idx, x, CASE WHEN y0 IS NULL THEN y1 WHEN q1 = q0 THEN y1 ELSE y0 + (q - q0) / (q1 - q0) * (y1 - y0) END AS v FROM f)
+SELECT sample_idx, round(sum(v * (i + 1)), 6) + 0.0::DOUBLE AS score FROM px JOIN h USING (sample_idx, x) GROUP BY sample_idx"""
+QUERIES["hist_match"], SQL["hist_match"] = lambda s, d: _kernel_pixels(s, d, kernels.match_histogram), _MATCH
+QUERIES["clahe"] = lambda s, d: _kernel_pixels(s, d, lambda x, y: kernels.clahe(x))
+QUERIES["hed_channel"] = lambda s, d: _kernel_pixels(s, d, lambda x, y: kernels.hematoxylin(np.concatenate([x, y, 1 - x], axis=-1)))
+
+
+_CROSS = f"""WITH {VECTOR_PIXELS}, f(flip) AS (VALUES (0), (1)), n(norm) AS (VALUES (0), (1)),
+w AS (SELECT sample_idx, norm, flip, CASE flip WHEN 1 THEN 1 - x / (1 + 1e-8 * norm) ELSE x / (1 + 1e-8 * norm) END AS x, CASE flip WHEN 1 THEN 1 - y / (1 + 1e-8 * norm) ELSE y / (1 + 1e-8 * norm) END AS y FROM px, f, n),
+g AS (SELECT sample_idx, norm, flip, avg(x) AS mx, avg(y) AS my, (stddev_samp(x) + 1e-8) * (stddev_samp(y) + 1e-8) * 63 AS d FROM w GROUP BY ALL)
+SELECT sample_idx, 'ncc' AS metric, (norm * 2 + flip)::INT AS cfg_ordinal, round(sum((x - mx) * (y - my)) / any_value(d), 5) + 0.0::DOUBLE AS score FROM w JOIN g USING (sample_idx, norm, flip) GROUP BY sample_idx, norm, flip
+UNION ALL SELECT sample_idx, 'psnr', (norm * 2 + flip)::INT, round(-10 * log10(avg((x - y) ** 2)), 5) + 0.0::DOUBLE FROM w GROUP BY sample_idx, norm, flip"""
+
+
+@query("score_cross_join", _CROSS)
+def score_cross_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = registry.Registry(())
+    own.register("ncc", kernels.ncc, ("gray",))
+    own.register("psnr", kernels.psnr, ("gray",))
+    search = {f: (False, True) if f in ("normalization", "flip_intensity") else (False,) for f in registry.SEARCH}
+    return scores.score_pairs(vector_pairs(spark, sf_dir), own.chosen(), search).withColumn("score", F.round("score", 5) + 0.0)
+
+
+# Folds and nested cross-validation.
+_OUTER = f"o AS (SELECT DISTINCT pname, {oracle.hashed_fold(str(SEED), 5)} AS fold FROM c)"
+_INNER = f"k AS (SELECT pname, outer_fold, {oracle.hashed_fold(f'({SEED} + outer_fold)', 4)} AS inner_fold FROM o, (VALUES (0), (1), (2), (3), (4)) v(outer_fold) WHERE fold <> outer_fold)"
+_INNER_STATS = f"""WITH {ORDER_SAMPLES}, {_OUTER}, {_INNER},
+x AS (SELECT outer_fold, metric, cfg_ordinal, inner_fold, class3, expert_score, score FROM c JOIN k USING (pname) JOIN s USING (sample_idx)), {oracle.statistics('x', 'outer_fold, metric, cfg_ordinal, inner_fold')},
+r AS (SELECT outer_fold, metric, cfg_ordinal, avg(spearman_class3) AS inner_sp_mean, stddev_samp(spearman_class3) AS inner_sp_std, avg(auc_bad_vs_rest) AS inner_auc_bad_mean, stddev_samp(auc_bad_vs_rest) AS inner_auc_bad_std
+  FROM st GROUP BY ALL),
+b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY outer_fold, metric ORDER BY round(inner_sp_mean, 9) DESC NULLS LAST, round(inner_auc_bad_mean, 9) DESC NULLS LAST, cfg_ordinal) = 1),
+oof AS (SELECT sample_idx, metric, fold, cfg_ordinal, score AS similarity_score FROM c JOIN o USING (pname) JOIN b ON b.outer_fold = fold JOIN s USING (sample_idx, metric, cfg_ordinal))
+"""
+_INNER_COLUMNS = ("inner_sp_mean", "inner_sp_std", "inner_auc_bad_mean", "inner_auc_bad_std")
+
+
+def _hashed_nested(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    outer = folds.hashed_folds(samples, 5, SEED)
+    inner = [folds.hashed_folds(samples, 4, SEED + k).join(outer.where(f"fold <> {k}").select("pname"), "pname").withColumn("outer_fold", F.lit(k)) for k in range(5)]
+    out = inner[0]
+    for more in inner[1:]:
+        out = out.unionByName(more)
+    return outer, out
+
+
+def _order_cv(spark: SparkSession, sf_dir: str):
+    samples = order_samples(spark, sf_dir)
+    outer, inner = _hashed_nested(samples)
+    return samples, order_scores(samples), outer, nested_cv.inner_results(order_scores(samples), samples, inner)
+
+
+def _order_oof(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    samples, found, outer, results = _order_cv(spark, sf_dir)
+    return samples, nested_cv.out_of_fold(found, samples, outer, nested_cv.select_best(results))
+
+
+@query("hashed_folds", f"WITH {ORDER_SAMPLES}, {_OUTER} SELECT pname, fold FROM o")
+def hashed_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds.hashed_folds(order_samples(spark, sf_dir), 5, SEED)
+
+
+@query("outer_folds")
+def outer_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds.nested_folds(order_samples(spark, sf_dir), SEED)[0]
+
+
+@query("inner_folds")
+def inner_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds.nested_folds(order_samples(spark, sf_dir), SEED)[1]
+
+
+@query("fold_report", f"WITH {ORDER_SAMPLES}, {_OUTER} SELECT fold, count(*) AS n_rows, count(DISTINCT pname) AS n_groups FROM c JOIN o USING (pname) GROUP BY fold")
+def fold_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = order_samples(spark, sf_dir)
+    return folds.fold_report(samples, folds.hashed_folds(samples, 5, SEED))
+
+
+@query("inner_cv_summary", _INNER_STATS + f"SELECT outer_fold, metric, cfg_ordinal, {sql_rounded(*_INNER_COLUMNS)} FROM r")
+def inner_cv_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_order_cv(spark, sf_dir)[3], *_INNER_COLUMNS)
+
+
+@query("select_best", _INNER_STATS + f"SELECT outer_fold, metric, cfg_ordinal, {sql_rounded(*_INNER_COLUMNS)} FROM b")
+def select_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(nested_cv.select_best(_order_cv(spark, sf_dir)[3]), *_INNER_COLUMNS)
+
+
+@query("oof_predictions", _INNER_STATS + "SELECT * FROM oof")
+def oof_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _order_oof(spark, sf_dir)[1]
+
+
+@query("oof_rank_norm", _INNER_STATS + f"SELECT sample_idx, metric, fold, cfg_ordinal, round(CASE WHEN count(*) OVER (PARTITION BY metric, fold) > 1 THEN ({oracle.average_rank('similarity_score', 'metric, fold')} - 1) / (count(*) OVER (PARTITION BY metric, fold) - 1) ELSE similarity_score END, 6) + 0.0::DOUBLE AS similarity_score FROM oof")
+def oof_rank_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(ranks.rank_normalised(_order_oof(spark, sf_dir)[1], ["metric", "fold"]), "similarity_score")
+
+
+_OOF_STATS = _INNER_STATS.rstrip() + f", e AS (SELECT metric, class3, expert_score, similarity_score AS score FROM oof JOIN c USING (sample_idx)), {oracle.statistics('e', 'metric', 'ev')}"
+
+
+@query("oof_evaluate", _OOF_STATS + f" SELECT metric, n, {sql_rounded(*ranks.STATISTICS)} FROM ev")
+def oof_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples, oof = _order_oof(spark, sf_dir)
+    return rounded(nested_cv.evaluate_oof(oof, samples), *ranks.STATISTICS)
+
+
+# Bootstrap.
+N_BOOT, BOOT_SEED = 20, 143
+_DRAWS = f"""gr AS (SELECT pname, row_number() OVER (ORDER BY pname) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT pname FROM c)),
+dr AS (SELECT b.boot::INT AS boot, ('0x' || substr(md5('{BOOT_SEED}:' || b.boot || ':' || j.place), 1, 8))::BIGINT % n AS place FROM range({N_BOOT}) b(boot), gr j),
+dw AS (SELECT boot, pname FROM dr JOIN gr USING (place))"""
+
+
+@query("bootstrap_draws", f"WITH {ORDER_SAMPLES}, {_DRAWS} SELECT boot, pname, count(*) AS times FROM dw GROUP BY boot, pname")
+def bootstrap_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bootstrap.group_draws(order_samples(spark, sf_dir), N_BOOT, BOOT_SEED)
+
+
+_FULL = tuple(f"full_{s}" for s in ranks.STATISTICS)
+_BOOT_COLUMNS = ("bs_sp_mean", "bs_sp_std", "bs_auc_bad_mean", "bs_auc_bad_std", "bs_auc_good_mean", "bs_auc_ovo_mean")
+_BOOT_SHORT = (("sp", "spearman_class3"), ("auc_bad", "auc_bad_vs_rest"), ("auc_good", "auc_good_vs_rest"), ("auc_ovo", "auc_3class_ovo"))
+
+
+@query(
+    "bootstrap_ci",
+    f"WITH {ORDER_SAMPLES}, {_DRAWS}, x AS (SELECT metric, boot, class3, expert_score, score FROM c JOIN s USING (sample_idx) JOIN dw USING (pname) WHERE cfg_ordinal = 0), {oracle.statistics('x', 'metric, boot')}, "
+    f"y AS (SELECT metric, class3, expert_score, score FROM c JOIN s USING (sample_idx) WHERE cfg_ordinal = 0), {oracle.statistics('y', 'metric', 'fu')}, "
+    "a AS (SELECT metric, " + ", ".join(f"round(avg({c}), 6) + 0.0::DOUBLE AS bs_{n}_mean, round(quantile_cont({c}, 0.025), 3) + 0.0::DOUBLE AS bs_{n}_lo, round(quantile_cont({c}, 0.975), 3) + 0.0::DOUBLE AS bs_{n}_hi" for n, c in _BOOT_SHORT)
+    + ", " + ", ".join(f"round(stddev_samp({c}), 6) + 0.0::DOUBLE AS bs_{n}_std" for n, c in _BOOT_SHORT[:2]) + " FROM st GROUP BY metric) "
+    + "SELECT a.*, " + ", ".join(f"round({s}, 6) + 0.0::DOUBLE AS full_{s}" for s in ranks.STATISTICS) + f", {N_BOOT}::INT AS n_boot, {BOOT_SEED}::BIGINT AS seed FROM a JOIN fu USING (metric)",
+)
+def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = order_samples(spark, sf_dir)
+    oof = order_scores(samples).where("cfg_ordinal = 0").withColumnRenamed("score", "similarity_score")
+    out = rounded(bootstrap.bootstrap(oof, samples, N_BOOT, BOOT_SEED), *_FULL, *_BOOT_COLUMNS)
+    ends = {f"bs_{n}_{e}": F.col(f"bs_{n}_ci.{e}") + 0.0 for n, _ in _BOOT_SHORT for e in ("lo", "hi")}
+    return out.withColumns(ends).drop(*(f"bs_{n}_ci" for n, _ in _BOOT_SHORT))
+
+
+# Whole runs.
+def _vector_cv(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    pairs = vector_pairs(spark, sf_dir)
+    measures = [registry.Measure("ncc", kernels.ncc, ("gray",)), registry.Measure("psnr", kernels.psnr, ("gray",))]
+    oof, fold_meta = nested.nested_cv(pairs, pairs.drop("src", "trg"), measures, SEED)
+    return oof, fold_meta, pairs.drop("src", "trg")
+
+
+@query("nested_cv_full")
+def nested_cv_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    oof, _, samples = _vector_cv(spark, sf_dir)
+    return rounded(nested_cv.evaluate_oof(oof, samples), *ranks.STATISTICS).orderBy(F.desc_nulls_last("spearman_class3"), "metric")
+
+
+@query("fold_meta")
+def fold_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_vector_cv(spark, sf_dir)[1], *_INNER_COLUMNS).withColumn("params", scalars.parameter_key(F.col("params")))
+
+
+@query("config_value_counts", _INNER_STATS + "SELECT metric, cfg_ordinal, count(*) AS n FROM b GROUP BY metric, cfg_ordinal")
+def chosen_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = nested_cv.select_best(_order_cv(spark, sf_dir)[3])
+    return best.groupBy("metric", "cfg_ordinal").agg(F.count("*").alias("n")).orderBy("metric", F.desc("n"), "cfg_ordinal")
+
+
+@query("config_report")
+def config_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return config_value_counts(_vector_cv(spark, sf_dir)[1])
+
+
+@query("artifact_roundtrip")
+def artifact_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    oof, meta, samples = _vector_cv(spark, sf_dir)
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    path = f"{shared.rstrip('/')}/artifact-{spark.sparkContext.applicationId}" if shared else "file://" + tempfile.mkdtemp(prefix="tessera-artifact-")
+    save_artifact(path, oof, meta, samples, SEED)
+    return load_artifact(spark, path)[0]
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
