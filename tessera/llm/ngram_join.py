@@ -234,8 +234,7 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     classes = rows.where("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("class_id"))
     classes = saved(classes, "classes")
     nodes = pairs.select("node").union(pairs.select("hub")).distinct()
-    chosen = saved(classes.join(nodes, "node"), "chosen")
-    wanted = spark.sparkContext.broadcast(bitmap(chosen, "class_id"))
+    wanted = spark.sparkContext.broadcast(bitmap(classes.join(nodes, "node"), "class_id"))
     step = np.uint64(64 - (fragments - 1).bit_length()) if fragments > 1 else None
 
     def segments(batches):
@@ -250,13 +249,18 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([at, [len(e)]]), pa.int32()), pa.array(e.view(np.int64)))
             if len(who):
                 d = element_doc[at]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[d].astype(np.int64)), _signed(s.hash[d]), pa.array(s.size[d]), pa.array(f[at], pa.int32()), lists], ["class_id", "node", "n", "f", "elements"])
-
-    parts = some.mapInArrow(segments, "class_id long, node long, n long, f int, elements array<long>").join(chosen, ["class_id", "node"])
-    parts = saved(parts.dropDuplicates(["node", "f"]).drop("class_id"), "segments")
-
-    other = parts.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), "f", F.col("elements").alias("hub_elements"))
-    partial = pairs.join(parts, "node").join(other, ["hub", "f"]).select("hub", "node", "n", "hub_n", F.size(F.array_intersect("elements", "hub_elements")).cast("long").alias("both"))
+                yield pa.RecordBatch.from_arrays([_signed(s.hash[d]), pa.array(s.size[d]), pa.array(f[at], pa.int32()), lists], ["node", "n", "f", "elements"])
+
+    parts = saved(some.mapInArrow(segments, "node long, n long, f int, elements array<long>"), "segments")
+
+    # Of texts with the same set one is taken.  Both sides read the one exchange by (node, f).
+    one = parts.dropDuplicates(["node", "f"])
+    in_parts = F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))).alias("f")
+    # The second join has another key than its sides lie by, so both are dealt out, and Spark can split a hub with many candidates.
+    place = F.xxhash64("hub", "f").alias("place")
+    left = pairs.select("hub", "node", in_parts).join(one, ["node", "f"]).select("*", place)
+    right = one.select(F.col("node").alias("hub"), "f", F.col("n").alias("hub_n"), F.col("elements").alias("hub_elements")).join(pairs.select("hub").distinct().select("hub", in_parts), ["hub", "f"], "left_semi").select("*", place)
+    partial = left.join(right, ["place", "hub", "f"]).select("hub", "node", "n", "hub_n", F.size(F.array_intersect("elements", "hub_elements")).cast("long").alias("both"))
     links = partial.groupBy("hub", "node", "n", "hub_n").agg(F.sum("both").alias("both")).where(f"{den} * both >= {num} * (n + hub_n - both)")
     links = saved(links.select(F.col("hub").alias("a"), F.col("node").alias("b")), "links")
 
@@ -266,7 +270,7 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     state = saved(clusters.join(joined, "node", "left").select("cluster", "node", F.coalesce("component", "node").alias("component")), "state")
     undecided = state.groupBy("cluster").agg(F.count("*").alias("members"), F.min("component").alias("x"), F.max("component").alias("y")).where("members > 2 and x < y").select("cluster", "members")
     members = state.join(undecided, "cluster").withColumn("blocks", F.ceil(F.col("members") / block).cast("int")).withColumn("block", F.expr("pmod(xxhash64(node), blocks)").cast("int"))
-    whole = parts.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.flatten(F.collect_list("elements")).alias("elements"))
+    whole = parts.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node", "f"]).groupBy("node").agg(F.flatten(F.collect_list("elements")).alias("elements"))
     dealt = members.withColumn("against", F.explode(F.expr("sequence(0, blocks - 1)"))).select("cluster", "node", "component", "block", F.least("block", "against").alias("i"), F.greatest("block", "against").alias("j"))
     more = dealt.join(whole, "node").groupBy("cluster", "i", "j").applyInArrow(_links_in_block(num, den), "a long, b long")
     reached = connected_components(links.union(more))
