@@ -12,7 +12,7 @@ or passage makes no candidates: the other shingles of each text fall among its s
 Counting.  In each group of equal fragment hashes all members are candidates of the smallest one.  The overlap of such a
 pair is counted in each fragment of the order by itself and summed per pair.  Pairs in a group that this leaves open
 (neither is the smallest, and the links found do not join them) are compared in blocks of bounded size, of which only
-links leave the task.
+links leave the task; each group of equal fragment hashes is compared by itself.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from .scratch import saved
 from .textarrays import Words, chunks, mixed, run_hash
 
 BITMAP_BITS = 26
+#: Bits of the bitmap of a set's part in each fragment.
+BITS = 512
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -189,6 +191,27 @@ def _links_in_block(num: int, den: int):
     return run
 
 
+def _may_link(num: int, den: int):
+    """applyInArrow function: h and node of the members that may link with one of another component, by their bitmaps.
+
+    Two sets differ in at least as many elements as their bitmaps differ in bits, so no link is passed over.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        comp, size, side = table["component"].to_numpy(), table["n"].to_numpy(), table["block"].to_numpy()
+        bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(len(comp), -1)
+        may = np.zeros(len(comp), bool)
+        for i in np.flatnonzero(side == side.min()):
+            apart = np.bitwise_count(bits ^ bits[i]).sum(axis=1, dtype=np.int64)
+            hits = (apart * (den + num) <= (size + size[i]) * (den - num)) & (comp != comp[i])
+            if hits.any():
+                may |= hits
+                may[i] = True
+        return table.select(["h", "node"]).filter(pa.array(may))
+
+    return run
+
+
 def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, fragments: int = 8, block: int = 600) -> DataFrame:
     """One row for each row of df: id, n_shingles, class_id (smallest id of those with the same set), component_id.
 
@@ -227,8 +250,8 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             keep = _has(bits.value, h)
             yield pa.RecordBatch.from_arrays([_signed(h[keep]), _signed(s.hash[doc[keep]])], ["h", "node"])
 
-    pairs = some.mapInArrow(shared_hashes, "h long, node long").join(groups, "h").where("node <> hub").select("hub", "node").distinct()
-    pairs = saved(pairs, "pairs")
+    shares = saved(some.mapInArrow(shared_hashes, "h long, node long").join(groups, "h").where("node <> hub").distinct(), "shares")
+    pairs = saved(shares.select("hub", "node").distinct(), "pairs")
 
     # One text of each set that has a candidate.
     classes = rows.where("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("class_id"))
@@ -249,12 +272,16 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([at, [len(e)]]), pa.int32()), pa.array(e.view(np.int64)))
             if len(who):
                 d = element_doc[at]
-                yield pa.RecordBatch.from_arrays([_signed(s.hash[d]), pa.array(s.size[d]), pa.array(f[at], pa.int32()), lists], ["node", "n", "f", "elements"])
+                row = np.repeat(np.arange(len(at)), np.diff(np.concatenate([at, [len(e)]])))
+                bits = np.zeros((len(at), BITS), bool)
+                bits[row, (mixed(e) >> np.uint64(64 - (BITS - 1).bit_length())).astype(np.int64)] = True
+                packed = np.packbits(bits, axis=1)
+                yield pa.RecordBatch.from_arrays([_signed(s.hash[d]), pa.array(s.size[d]), pa.array(f[at], pa.int32()), lists, pa.array([b.tobytes() for b in packed], pa.binary())], ["node", "n", "f", "elements", "bits"])
 
-    parts = saved(some.mapInArrow(segments, "node long, n long, f int, elements array<long>"), "segments")
+    parts = saved(some.mapInArrow(segments, "node long, n long, f int, elements array<long>, bits binary"), "segments")
 
     # Of texts with the same set one is taken.  Both sides read the one exchange by (node, f).
-    one = parts.dropDuplicates(["node", "f"])
+    one = parts.drop("bits").dropDuplicates(["node", "f"])
     in_parts = F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))).alias("f")
     # The second join has another key than its sides lie by, so both are dealt out, and Spark can split a hub with many candidates.
     place = F.xxhash64("hub", "f").alias("place")
@@ -264,15 +291,33 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     links = partial.groupBy("hub", "node", "n", "hub_n").agg(F.sum("both").alias("both")).where(f"{den} * both >= {num} * (n + hub_n - both)")
     links = saved(links.select(F.col("hub").alias("a"), F.col("node").alias("b")), "links")
 
-    # What the pairs with the smallest leave open.
+    # What the pairs with the smallest leave open: groups whose other members lie in several components.  Of groups of the
+    # same members, as a pair that shares several fragments makes them, one is compared.
     joined = connected_components(links)
-    clusters = connected_components(pairs, "hub", "node").select("node", F.col("component").alias("cluster"))
-    state = saved(clusters.join(joined, "node", "left").select("cluster", "node", F.coalesce("component", "node").alias("component")), "state")
-    undecided = state.groupBy("cluster").agg(F.count("*").alias("members"), F.min("component").alias("x"), F.max("component").alias("y")).where("members > 2 and x < y").select("cluster", "members")
-    members = state.join(undecided, "cluster").withColumn("blocks", F.ceil(F.col("members") / block).cast("int")).withColumn("block", F.expr("pmod(xxhash64(node), blocks)").cast("int"))
-    whole = parts.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node", "f"]).groupBy("node").agg(F.flatten(F.collect_list("elements")).alias("elements"))
-    dealt = members.withColumn("against", F.explode(F.expr("sequence(0, blocks - 1)"))).select("cluster", "node", "component", "block", F.least("block", "against").alias("i"), F.greatest("block", "against").alias("j"))
-    more = dealt.join(whole, "node").groupBy("cluster", "i", "j").applyInArrow(_links_in_block(num, den), "a long, b long")
+    state = saved(shares.select("h", "node").join(joined, "node", "left").select("h", "node", F.coalesce("component", "node").alias("component")), "state")
+
+    def different(rows: DataFrame) -> DataFrame:
+        """h and members of the groups with several components, one of those with the same members."""
+        sizes = rows.groupBy("h").agg(F.count("*").alias("members"), F.min("component").alias("x"), F.max("component").alias("y"), F.min("node").alias("first"), F.bit_xor(F.xxhash64("node")).alias("mark"))
+        return sizes.where("x < y").groupBy("members", "first", "mark").agg(F.min("h").alias("h")).select("h", "members")
+
+    def in_blocks(members: DataFrame, rows: int) -> DataFrame:
+        """Every pair of a group's blocks, (h, i, j), with the members of both."""
+        own = members.withColumn("blocks", F.ceil(F.col("members") / rows).cast("int")).withColumn("block", F.expr("pmod(xxhash64(node), blocks)").cast("int"))
+        return own.withColumn("against", F.explode(F.expr("sequence(0, blocks - 1)"))).select("h", "node", "component", "block", F.least("block", "against").alias("i"), F.greatest("block", "against").alias("j"))
+
+    members = saved(state.join(different(state), "h"), "members")
+    open_parts = parts.join(members.select("node").distinct(), "node", "left_semi")
+    no_bits = F.unhex(F.lit("00" * (BITS // 8)))
+    by_part = F.map_from_entries(F.collect_list(F.struct("f", "bits")))
+    every_part = F.concat(*(F.coalesce(F.try_element_at(by_part, F.lit(f)), no_bits) for f in range(fragments)))
+    bitmaps = open_parts.drop("elements").dropDuplicates(["node", "f"]).groupBy("node", "n").agg(every_part.alias("bits"))
+    may = in_blocks(members, 4 * block).join(bitmaps, "node").groupBy("h", "i", "j").applyInArrow(_may_link(num, den), "h long, node long").distinct()
+    left_over = saved(state.join(may, ["h", "node"]), "left-over")
+    counted = saved(left_over.join(different(left_over), "h"), "counted")
+    whole = open_parts.drop("bits").join(counted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node", "f"])
+    whole = whole.groupBy("node").agg(F.flatten(F.collect_list("elements")).alias("elements"))
+    more = in_blocks(counted, block).join(whole, "node").groupBy("h", "i", "j").applyInArrow(_links_in_block(num, den), "a long, b long")
     reached = connected_components(links.union(more))
 
     least = reached.join(classes, "node").groupBy("component").agg(F.min("class_id").alias("component_id"))
