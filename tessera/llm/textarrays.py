@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -138,15 +139,16 @@ def repeated(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def chunks(values: pa.Array | list, most_bytes: int = 4_000_000) -> Iterator[tuple[int, list[str | None]]]:
-    """Texts in runs of a bounded number of characters (at least one text each), with the place of the first."""
-    texts = values.to_pylist() if isinstance(values, (pa.Array, pa.ChunkedArray)) else values
-    begin, size = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if i > begin and size + n > most_bytes:
-            yield begin, texts[begin:i]
-            begin, size = i, 0
-        size += n
-    if begin < len(texts):
-        yield begin, texts[begin:]
+def chunks(values: pa.Array, most_bytes: int = 2_000_000) -> Iterator[tuple[int, list[str | None]]]:
+    """Texts in runs of a bounded number of bytes (at least one text each), with the place of the first.
+
+    Only the texts of one run are Python strings at a time.
+    """
+    sizes = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
+    total = np.cumsum(sizes, dtype=np.int64)
+    begin = 0
+    while begin < len(sizes):
+        before = total[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(total, before + most_bytes, side="right")))
+        yield begin, values.slice(begin, end - begin).to_pylist()
+        begin = end
