@@ -314,7 +314,11 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     bitmaps = open_parts.drop("elements").dropDuplicates(["node", "f"]).groupBy("node", "n").agg(every_part.alias("bits"))
     may = in_blocks(members, 4 * block).join(bitmaps, "node").groupBy("h", "i", "j").applyInArrow(_may_link(num, den), "h long, node long").distinct()
     left_over = saved(state.join(may, ["h", "node"]), "left-over")
-    counted = saved(left_over.join(different(left_over), "h"), "counted")
+    # What is left is in many groups together; groups that share members are compared as one, so each set is sent once.
+    least_of = left_over.groupBy("h").agg(F.min("node").alias("least"))
+    together = connected_components(left_over.join(least_of, "h").select("least", "node"), "least", "node").select("node", F.col("component").alias("h"))
+    counted = left_over.select("node", "component").distinct().join(together, "node")
+    counted = saved(counted.join(counted.groupBy("h").agg(F.count("*").alias("members")), "h"), "counted")
     whole = open_parts.drop("bits").join(counted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node", "f"])
     whole = whole.groupBy("node").agg(F.flatten(F.collect_list("elements")).alias("elements"))
     more = in_blocks(counted, block).join(whole, "node").groupBy("h", "i", "j").applyInArrow(_links_in_block(num, den), "a long, b long")
