@@ -137,9 +137,9 @@ def bitmap(df: DataFrame, column: str) -> np.ndarray:
     It has a fixed size (8 MB), however many values there are, and only spares work: a set bit is followed by a join.
     """
     word, bit = F.expr(f"({column} & {(1 << BITMAP_BITS) - 1}L) >> 6"), F.expr(f"shiftleft(1L, cast({column} & 63 AS int))")
-    rows = df.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("b")).toPandas()
+    rows = df.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("b")).toArrow()  # no Python object for each word
     out = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
-    out[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64).view(np.uint64)
+    out[rows["w"].to_numpy()] = rows["b"].to_numpy().view(np.uint64)
     return out
 
 

@@ -139,7 +139,7 @@ def repeated(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def chunks(values: pa.Array, most_bytes: int = 2_000_000) -> Iterator[tuple[int, list[str | None]]]:
+def chunks(values: pa.Array, most_bytes: int = 500_000) -> Iterator[tuple[int, list[str | None]]]:
     """Texts in runs of a bounded number of bytes (at least one text each), with the place of the first.
 
     Only the texts of one run are Python strings at a time.
