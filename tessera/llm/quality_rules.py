@@ -1,4 +1,4 @@
-"""Rules that reject documents: base counts, and perplexity outside the band of the document's language."""
+"""Rules that reject documents: base counts, and perplexity outside the limits of the document's language."""
 
 from __future__ import annotations
 
@@ -16,6 +16,8 @@ from .textarrays import Words, chunks, mixed, repeated
 #: Languages with a model of their own; all other rows, and rows without a language, share one.
 LANGUAGES = ("de", "en", "es", "fr")
 WINDOW, LEAST_WORDS, MOST_REPEATED_PERCENT = 5, 10, 20
+#: Tukey's fence, in distances between the quartiles: of normally spread texts it leaves out 0.7 %.
+FENCE = 1.5
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MARKS = np.zeros(256, bool)
 _MARKS[list(b"#*$%&|<>")] = True
@@ -88,13 +90,32 @@ def train(docs: DataFrame, numbers: dict[str, int]) -> HashModel:
     return HashModel(counts)
 
 
-def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", languages: tuple[str, ...] = LANGUAGES, width: float = 14.0, least_width: float = 0.5) -> DataFrame:
+def with_limits(scored: DataFrame, fence: float = FENCE) -> DataFrame:
+    """scored (language, n_words, log_perplexity) with low and high, and inside: whether the log perplexity is between them.
+
+    A mean over n words spreads by 1 / sqrt(n), so distances from the language's median are taken times sqrt(n).  Each
+    side has its own limit: `fence` times twice the distance from that side's quartile to the median, beyond the quartile.
+    All texts with 10 words or more count, equal ones once.
+    """
+    texts = scored.where((F.col("n_words") >= LEAST_WORDS) & F.col("log_perplexity").isNotNull()).select("language", "n_words", "log_perplexity").distinct()
+    middle = texts.groupBy("language").agg(F.percentile(F.round("log_perplexity", 4), 0.5).alias("middle"))  # of few distinct values
+    root = F.sqrt(F.greatest("n_words", F.lit(1)))
+    distance = F.round((F.col("log_perplexity") - F.col("middle")) * root, 3)
+    q = [F.col("q")[i] for i in range(3)]
+    limits = texts.join(F.broadcast(middle), "language").groupBy("language", "middle").agg(F.percentile(distance, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    limits = limits.select("language", "middle", (q[0] - (q[1] - q[0]) * 2 * fence).alias("below"), (q[2] + (q[2] - q[1]) * 2 * fence).alias("above"))
+    # One row for each of the named languages and the rest.
+    out = scored.join(F.broadcast(limits), "language", "left")
+    inside = F.coalesce(distance.between(F.col("below"), F.col("above")), F.lit(False))
+    return out.withColumns({"low": F.col("middle") + F.col("below") / root, "high": F.col("middle") + F.col("above") / root, "inside": inside})
+
+
+def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", languages: tuple[str, ...] = LANGUAGES, fence: float = FENCE) -> DataFrame:
     """One row for each row of df: id, the base counts, log_perplexity (for each character), low, high, base_failed, kept.
 
     Words are runs of characters outside space and U+0009..U+000D.  base_failed: fewer than 10 words, or more than 20 %
     of the words in five-word windows that the text repeats.  A document is kept if it passes and its log perplexity
-    lies in its language's band: the median of the documents with 10 words or more, plus and minus `width` times the
-    distance between the quartiles (`least_width` at least).
+    lies between low and high, the limits for its language and number of words (see `with_limits`).
 
     Null and empty texts have counts of 0 and a null log perplexity, and fail.  A null or unlisted language is one language
     of its own.  Repeated rows and null ids are rows like others.  Other columns are not read.  An empty df gives no rows.
@@ -118,14 +139,8 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays(arrays, ["id", "language", *base, "log_perplexity"])
 
     scored = saved(docs.mapInArrow(run, f"id long, language int, {', '.join(f'{c} long' for c in base)}, log_perplexity double"), "perplexity")
-    quartiles = F.percentile(F.round("log_perplexity", 3), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))  # of few distinct values
-    half = F.greatest(F.lit(least_width), (F.col("q")[2] - F.col("q")[0]) * width)
-    bands = scored.where(F.col("n_words") >= LEAST_WORDS).groupBy("language").agg(quartiles.alias("q"))
-    bands = bands.select("language", (F.col("q")[1] - half).alias("low"), (F.col("q")[1] + half).alias("high"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
-    inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False))
-    # One row for each of the named languages and the rest.
-    out = scored.join(F.broadcast(bands), "language", "left").withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & inside)
+    out = with_limits(scored, fence).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & F.col("inside"))
     return out.select(F.col("id").alias(id_col), *base, "log_perplexity", "low", "high", "base_failed", "kept")
 
 

@@ -128,6 +128,23 @@ def test_quality_rules(spark):
     assert quality_rules.quality_rules(df.limit(0)).count() == 0
 
 
+def test_perplexity_alone_rejects_junk(spark):
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("etaoinshr"), rng.integers(2, 8))) for _ in range(60)]
+    text = lambda n: [words[i] for i in rng.integers(0, 60, n)]
+    clean = [" ".join(text(n)) for n in rng.integers(20, 300, 400)]
+    junk = []
+    for n in rng.integers(60, 300, 12):  # every fourth word is of any letters
+        w = text(n)
+        w[::4] = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in w[::4]]
+        junk.append(" ".join(w))
+    rows = [(i, t, "en") for i, t in enumerate(clean + junk)] + [(-i, clean[0], "en") for i in range(1, 900)]  # copies move no limit
+    out = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not any(out[i]["base_failed"] for i in range(len(clean) + len(junk)))
+    assert not any(out[i]["kept"] for i in range(len(clean), len(clean) + len(junk)))
+    assert sum(out[i]["kept"] for i in range(len(clean))) >= 0.96 * len(clean)
+
+
 def test_model_adds_up_and_finds_what_is_stored():
     from tessera.llm.language_model import ORDER, SYMBOLS, HashModel, smoothed
 
