@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.language_id import NONE, identify_languages, training_rows
+from tessera.llm.language_id import identify_languages, training_rows
 from tessera.llm.line_dedup import dedup_lines
 from tessera.llm.mixing import SHARES, mix_sources
 from tessera.llm.ngram_join import ngram_jaccard_join
@@ -13,14 +13,16 @@ from tessera.llm.packing import pack_documents
 from tessera.llm.scratch import saved
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document whose likeliest language has a smaller share of its words is no text in one of the learned languages.
+#: A document in which no language has this share of the words is left out.
 LEAST_SHARE = 0.4
+#: And one whose trigrams are less likely than this fence of its language's training rows (Tukey's far-out values).
+FENCE = 3.0
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language, and those in which no language has LEAST_SHARE of the words."""
-    out = identify_languages(docs, training_rows(docs), keep=("doc_id", "lang", "source", "n_chars", "text"))
-    return out.where((F.col("lang_pred") != NONE) & (F.col("score") >= LEAST_SHARE)).select(*COLUMNS)
+    """Drops documents without a language, those like no learned language, and those in which none has LEAST_SHARE."""
+    out = identify_languages(docs, training_rows(docs), keep=("doc_id", "lang", "source", "n_chars", "text"), fence=FENCE)
+    return out.where(F.col("known") & (F.col("score") >= LEAST_SHARE)).select(*COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,19 +14,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import saved
 from .textarrays import Words, chunks, mixed
 
 NONE = "und"
 #: Trigrams are counted by a hash of so many bits, so a model has a fixed size for each language.
 BITS = 17
+#: With more trigrams than this, texts differ by more than chance, so more do not sharpen a limit.
+ENOUGH = 1000
+#: Added to every count.
+ALPHA = 0.5
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 
 
-
-
-def word_trigrams(w: Words, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and word of each trigram of bytes of the given words, a space before and after each word included."""
+def _packed(w: Words, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of each trigram of the given words, a space before and after each word included; and its word."""
     data, of = w.bytes_of(words)
     n = np.bincount(of, minlength=len(words))
     size = n + 2
@@ -36,7 +39,24 @@ def word_trigrams(w: Words, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     packed = row[:-2] | row[1:-1] << np.uint64(8) | row[2:] << np.uint64(16) if len(row) > 2 else np.zeros(0, np.uint64)
     word = np.repeat(np.arange(len(words)), size)
     inside = word[:-2] == word[2:] if len(row) > 2 else np.zeros(0, bool)
-    return (mixed(packed[inside]) >> np.uint64(64 - BITS)).astype(np.int64), word[:-2][inside] if len(row) > 2 else word[:0]
+    return packed[inside], word[:-2][inside] if len(row) > 2 else word[:0]
+
+
+def _hashed(packed: np.ndarray) -> np.ndarray:
+    return (mixed(packed) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def word_trigrams(w: Words, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and word of each trigram of bytes of the given words, a space before and after each word included."""
+    packed, word = _packed(w, words)
+    return _hashed(packed), word
+
+
+def _lettered(packed: np.ndarray) -> np.ndarray:
+    """Whether each trigram has no digit and no ASCII mark, so that it shows a language and not the form of a text."""
+    usual = _LETTER.copy()
+    usual[0x80:] = usual[0x20] = True
+    return usual[packed & np.uint64(255)] & usual[packed >> np.uint64(8) & np.uint64(255)] & usual[packed >> np.uint64(16)]
 
 
 def _worded(w: Words) -> np.ndarray:
@@ -46,8 +66,8 @@ def _worded(w: Words) -> np.ndarray:
     return total[w.end] > total[w.start]
 
 
-def learn(docs: DataFrame, alpha: float = 0.5, most_languages: int = 200) -> tuple[list[str], np.ndarray]:
-    """The languages, and the log frequency of each hash in each of them, from docs (text, lang) without nulls.
+def counted(docs: DataFrame, most_languages: int = 200) -> tuple[list[str], np.ndarray]:
+    """The languages, and how often each hash occurs in each of them, from docs (text, lang) without nulls.
 
     Each task adds up its counts before they are shuffled; a language has at most 2 ** BITS of them.
     """
@@ -75,10 +95,83 @@ def learn(docs: DataFrame, alpha: float = 0.5, most_languages: int = 200) -> tup
     names = sorted(r[0] for r in docs.select("lang").distinct().limit(most_languages + 1).collect())
     if len(names) > most_languages:
         raise ValueError(f"more than {most_languages} languages")
-    table = np.full((1 << BITS, len(names)), alpha)
+    table = np.zeros((1 << BITS, len(names)))
     rows = counts.toPandas()
     table[rows["gram"].to_numpy(np.int64), np.searchsorted(names, rows["lang"].to_numpy(str)) if names else []] += rows["n"].to_numpy(np.float64)
-    return names, np.log(table / table.sum(axis=0)).astype(np.float32)
+    return names, table
+
+
+def learned(table: np.ndarray) -> np.ndarray:
+    """The log frequency of each hash in each language, from counts."""
+    return np.log((table + ALPHA) / (table + ALPHA).sum(axis=0)).astype(np.float32)
+
+
+def least_fits(docs: DataFrame, names: list[str], table: np.ndarray, fence: float) -> np.ndarray:
+    """Median fit of each language's texts, and the least distance from it times the root of the number of trigrams.
+
+    docs: the rows (text, lang) that the counts in table are of.  The fit (see `fits_of`) of each row is taken without the
+    row's own counts, as other texts have none.  The least distance lies twice `fence` times the distance from the lower
+    quartile to the median below that quartile.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((table, table.sum(axis=0)))  # 2 ** BITS values for each language
+
+    def run(batches):
+        seen, total = shared.value
+        for batch in batches:
+            langs = batch.column(1).to_pylist()
+            for begin, texts in chunks(batch.column(0)):
+                w = Words(texts, lower=True)
+                use = np.flatnonzero(_worded(w))
+                if not len(use):
+                    continue
+                lang = np.searchsorted(names, np.array(langs[begin : begin + len(texts)], object).astype(str))
+                gram, of = word_trigrams(w, use)
+                key, own = np.unique(w.doc[use][of] << BITS | gram, return_counts=True)
+                all_own = np.bincount(key >> BITS, own, w.n_texts)
+                use = use[np.sort(np.unique(w.hashes()[use] ^ mixed(w.doc[use].astype(np.uint64)), return_index=True)[1])]
+                packed, of = _packed(w, use)
+                kept = _lettered(packed)
+                gram, of = _hashed(packed[kept]), of[kept]
+                doc = w.doc[use][of]
+                own = own[np.searchsorted(key, doc << BITS | gram)]
+                best = np.full(len(use), -np.inf)
+                for x in range(len(names)):
+                    mine = lang[doc] == x
+                    logs = np.log(seen[gram, x] - own * mine + ALPHA) - np.log(total[x] - all_own[doc] * mine + ALPHA * (1 << BITS))
+                    best = np.maximum(best, np.bincount(of, logs, len(use)))
+                size = np.bincount(doc, minlength=w.n_texts)
+                some = np.flatnonzero(size)
+                fit = np.bincount(w.doc[use], best, w.n_texts)[some] / size[some]
+                yield pa.RecordBatch.from_arrays([pa.array(lang[some].astype(np.int32)), pa.array(fit), pa.array(size[some].astype(np.float64))], ["language", "fit", "size"])
+
+    fits = saved(docs.select("text", "lang").mapInArrow(run, "language int, fit double, size double"), "fits")
+    middle = fits.groupBy("language").agg(F.percentile(F.round("fit", 3), 0.5).alias("middle"))  # of few distinct values
+    distance = F.round((F.col("fit") - F.col("middle")) * F.sqrt(F.least("size", F.lit(float(ENOUGH)))), 1)
+    rows = fits.join(F.broadcast(middle), "language").groupBy("language", "middle").agg(F.percentile(distance, F.array(F.lit(0.25), F.lit(0.5))).alias("q")).collect()
+    out = np.full((2, len(names)), -np.inf)
+    for r in rows:  # one for each language
+        low, half = r["q"]
+        out[:, r["language"]] = r["middle"], low - 2 * fence * (half - low)
+    return out
+
+
+def fits_of(w: Words, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The mean log likelihood of a trigram of letters in the different words of each text; and their number.
+
+    Each word counts in the language it is likeliest in, so a text of several languages fits as well as one of one.
+    """
+    use = np.flatnonzero(_worded(w))
+    if not len(use):
+        return np.zeros(w.n_texts), np.zeros(w.n_texts)
+    _, first, of = np.unique(w.hashes()[use], return_index=True, return_inverse=True)
+    packed, word = _packed(w, use[first])
+    kept = _lettered(packed)
+    gram, word = _hashed(packed[kept]), word[kept]
+    best = np.max([np.bincount(word, table[gram, x], len(first)) for x in range(table.shape[1])], axis=0)
+    entry = np.unique(w.doc[use] * np.int64(len(first)) + of)
+    doc, of = entry // len(first), entry % len(first)
+    size = np.bincount(doc, np.bincount(word, minlength=len(first))[of], w.n_texts)
+    return np.bincount(doc, best[of], w.n_texts) / np.maximum(size, 1), size
 
 
 def _mixture(like: np.ndarray, n: np.ndarray, doc: np.ndarray, start: np.ndarray, docs: int, allowed: np.ndarray, turns: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,41 +223,54 @@ def infer(w: Words, table: np.ndarray, penalty: float = 2.0, turns: int = 8, mos
     return shares, size, has
 
 
-def _rows(batches: Iterator[pa.RecordBatch], text_at: int, names: list[str], table: np.ndarray):
+def _rows(batches: Iterator[pa.RecordBatch], text_at: int, names: list[str], table: np.ndarray, least: np.ndarray | None):
     for batch in batches:
         for begin, texts in chunks(batch.column(text_at)):
+            w = Words(texts, lower=True)
             if names:
-                shares, size, has = infer(Words(texts, lower=True), table)
+                shares, size, has = infer(w, table)
             else:
                 shares, size, has = np.zeros((len(texts), 1)), np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
             at, score = shares.argmax(axis=1), shares.max(axis=1)
             letters = [bool(h) and any(map(str.isalpha, t)) for h, t in zip(has.tolist(), texts, strict=True)]
             lang = [names[a] if x else NONE for a, x in zip(at.tolist(), letters, strict=True)]
             sets = [[names[i] for i in np.flatnonzero(s > 0)] if x else [] for s, x in zip(shares, letters, strict=True)] if names else [[] for _ in texts]
-            yield batch.slice(begin, len(texts)), lang, np.where(letters, np.minimum(score, 1.0), 0.0), sets
+            known = np.array(letters, bool)
+            if least is not None and names:
+                fit, n = fits_of(Words([t if t is None else t.lower() for t in texts], lower=True), table)
+                known &= (n > 0) & ((fit - least[0, at]) * np.sqrt(np.minimum(n, ENOUGH)) >= least[1, at])
+            yield batch.slice(begin, len(texts)), lang, np.where(letters, np.minimum(score, 1.0), 0.0), sets, known
 
 
-def identify_languages(df: DataFrame, training: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def identify_languages(df: DataFrame, training: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), fence: float | None = None) -> DataFrame:
     """The `keep` columns of each row of df with lang_pred, score (its share of the text's words) and lang_set.
 
     training: rows with columns text and lang to learn from; rows with a null in either are left out.  lang_pred is a
     learned language, or ``und`` with score 0 and an empty set for a null text, one without a letter, and all texts if
     nothing could be learned.  Equal shares go to the language first by name.  Repeated rows are rows like others.
     Columns of df that are not kept are not read.  An empty df gives no rows.
+
+    The score compares languages with each other only.  With `fence` there is a column known too: whether the text has a
+    language and its trigrams are as likely in the learned languages as those of the training rows of lang_pred (see
+    `least_fits`).
     """
     usable = training.where("text is not null and lang is not null")
-    names, table = learn(usable)
+    names, table = counted(usable)
+    least = None if fence is None else least_fits(usable, names, table, fence)
+    table = learned(table)
     shared = df.sparkSession.sparkContext.broadcast(table)  # 2 ** BITS values for each of at most 200 languages
     docs = df.select(*keep, *([] if text_col in keep else [text_col]))
     text_at = docs.columns.index(text_col)
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep)
+    found = ["lang_pred", "score", "lang_set"] + ([] if fence is None else ["known"])
 
     def run(batches):
-        for rows, lang, score, sets in _rows(batches, text_at, names, shared.value):
+        for rows, lang, score, sets, known in _rows(batches, text_at, names, shared.value, least):
             kept = [rows.column(i) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score), pa.array(sets, pa.list_(pa.string()))], [*keep, "lang_pred", "score", "lang_set"])
+            made = [pa.array(lang, pa.string()), pa.array(score), pa.array(sets, pa.list_(pa.string())), pa.array(known)]
+            yield pa.RecordBatch.from_arrays([*kept, *made[: len(found)]], [*keep, *found])
 
-    return docs.mapInArrow(run, f"{types}, lang_pred string, score double, lang_set array<string>")
+    return docs.mapInArrow(run, f"{types}, lang_pred string, score double, lang_set array<string>" + ("" if fence is None else ", known boolean"))
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

@@ -245,6 +245,23 @@ def test_language_id(spark):
     assert language_id.identify_languages(df.limit(0), train).count() == 0
 
 
+def test_language_stage_rejects_what_is_like_no_language(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    vocabulary = {x: ["".join(rng.choice(list(letters), rng.integers(2, 9))) for _ in range(80)] for x, letters in (("en", "etaoinshr"), ("fr", "aeiuolnsd"))}
+    text = lambda x, n: " ".join(rng.choice(vocabulary[x], n))
+    rows = [(i, text(x, int(n)), x) for i, (x, n) in enumerate(zip(rng.choice(["en", "fr"], 300), rng.integers(15, 200, 300), strict=True))]
+    rows += [(1000 + i, text("en", 60) + " " + text("fr", 50), "en") for i in range(20)]
+    junk = ["".join(chr(c) for c in rng.integers(0x4E00, 0x9000, 80)) for _ in range(5)] + ["".join(chr(c) if c % 7 else " " for c in rng.integers(0x430, 0x450, 400)) for _ in range(5)]
+    junk += [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), 7)) for _ in range(50)) for _ in range(10)]
+    rows += [(2000 + i, t, "en") for i, t in enumerate(junk)]
+    docs = spark.createDataFrame([(i, t, x, "s", len(t)) for i, t, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r[0] for r in corpus_pipeline.language_stage(spark, docs, "").select("doc_id").collect()}
+    assert not {i for i in kept if i >= 2000}
+    assert len({i for i in kept if i < 1000}) >= 297 and len({i for i in kept if 1000 <= i < 2000}) >= 20
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
