@@ -17,6 +17,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_SHARE = 0.4
 #: And one whose trigrams are less likely than this fence of its language's training rows (Tukey's far-out values).
 FENCE = 3.0
+#: Pieces that are packed together; sequences stray from the mixture by no more than a few such ranges.
+RANGE_PIECES = 2_000
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +48,12 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The places of all documents' tokens in sequences."""
-    return pack_documents(docs)
+    """The places of all documents' tokens in sequences, which follow the mixture.
+
+    Slots are taken anew from ids and sources, as the order of rows in files is not kept on reading.
+    """
+    slots = mix_sources(docs.select("doc_id", "text", "source"), SHARES)
+    return pack_documents(slots, place_col="mix_slot", partition_pieces=RANGE_PIECES)
 
 
 STAGES = [

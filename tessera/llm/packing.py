@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .scratch import saved
@@ -23,21 +23,25 @@ _PACKED = _PIECES + ", bin long, offset long, gap boolean, room long"
 
 
 def pieces(docs: DataFrame, capacity: int, vocabulary: str) -> DataFrame:
-    """Rows of docs (id, text) as pieces of at most `capacity` ids; only longer ones are cut."""
+    """Rows of docs (id, text, and place if they have one) as pieces of at most `capacity` ids; only longer ones are cut."""
+    placed = "place" in docs.columns
 
     def run(batches):
         encode = tokenizer(vocabulary).encode
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            rows = []
+            rows, of = [], []
             for begin, texts in chunks(batch.column(1)):
-                for key, text in zip(keys[begin : begin + len(texts)], texts, strict=True):
+                for row, (key, text) in enumerate(zip(keys[begin : begin + len(texts)], texts, strict=True), begin):
                     ids = np.append(encode(text), np.uint32(END_ID))
                     rows += [(key, n, at, min(capacity, len(ids) - at), ids_crc32(ids[at : at + capacity])) for n, at in enumerate(range(0, len(ids), capacity))]
+                    of += [row] * (len(rows) - len(of))
             columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), *[pa.int64()] * 3), strict=True)], ["id", "piece", "start", "length", "ids_crc32"])
+            arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), *[pa.int64()] * 3), strict=True)]
+            arrays += [batch.column(2).take(pa.array(of, pa.int64()))] if placed else []
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "piece", "start", "length", "ids_crc32"] + ["place"] * placed)
 
-    return docs.mapInArrow(run, _PIECES)
+    return docs.mapInArrow(run, _PIECES + ", place long" * placed)
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,7 +95,7 @@ def lower_bound(counts: np.ndarray, capacity: int, most: int = 200) -> int:
     return best
 
 
-def _pack(capacity: int, turn: int):
+def _pack(capacity: int, turn: int, placed: bool = False):
     """applyInArrow function: packs a partition's pieces, but leaves bins as they were if that takes no fewer."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -105,29 +109,64 @@ def _pack(capacity: int, turn: int):
             old = table["bin"].to_numpy()
             if used >= len(np.unique(old)):
                 ids, offset, room = old, table["offset"].to_numpy(), table["room"].to_numpy()
-        columns = {c: table[c] for c in ("id", "piece", "start", "length", "ids_crc32")}
+        columns = {c: table[c] for c in ("id", "piece", "start", "length", "ids_crc32") + ("place",) * placed}
         return pa.table(columns | {"bin": pa.array(ids), "offset": pa.array(offset), "gap": pa.array(np.full(len(ids), gap)), "room": pa.array(room)})
 
     return run
 
 
-def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str | None = None, partition_pieces: int = 20_000, turns: int = 4, slack: int = 16) -> DataFrame:
+def _ranges(df: DataFrame, place: str, parts: int) -> DataFrame:
+    """df with g: `parts` ranges of place (from 0) with about as many rows each, and with first: rows before each range.
+
+    Rows are counted in 16 times as many ranges of equal width, so only that many counts go to the driver.
+    """
+    most = df.agg(F.max(place)).first()[0] or 0
+    fine = F.floor(F.col(place) * (16 * parts) / F.lit(float(most + 1))).cast("int")
+    counts = sorted((r[0], r[1]) for r in df.groupBy(fine).count().collect())
+    total, before, first, rows = sum(n for _, n in counts), 0, {}, []
+    for f, n in counts:
+        g = before * parts // total
+        rows.append((f, g, first.setdefault(g, before)))
+        before += n
+    table = df.sparkSession.createDataFrame(rows, "fine int, g long, first long")
+    return df.withColumn("fine", fine).join(F.broadcast(table), "fine").drop("fine")
+
+
+def _in_order(packed: DataFrame, parts: int) -> DataFrame:
+    """packed with bins numbered from 0 by the mean place of their ids."""
+    mean = F.round(F.sum(F.col("place") * F.col("length")) / F.sum("length"), 3)
+    numbered = _ranges(packed.groupBy("bin").agg(mean.alias("middle")), "middle", parts)
+    number = F.col("first") + F.row_number().over(Window.partitionBy("g").orderBy("middle", "bin")) - 1
+    return packed.join(numbered.select("bin", number.cast("long").alias("number")), "bin").drop("bin").withColumnRenamed("number", "bin")
+
+
+def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str | None = None, partition_pieces: int = 20_000, turns: int = 4, slack: int = 16, place_col: str | None = None) -> DataFrame:
     """One row for each piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document's ids are the tokenizer's and one end id; a null or empty text has the end id only.  Rows with the same id,
     and rows without one, are documents of their own.  Other columns are not read.  An empty df gives no pieces.
 
     turns: how often bins are exchanged at most; slack: bins with less room than this stay closed.
+
+    place_col: a whole number from 0 that sequences follow.  Pieces are then dealt by ranges of places and not by a hash,
+    bins are exchanged between neighbouring ranges only, and sequences are numbered from 0 by the mean place of their ids.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    placed = place_col is not None
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *([F.col(place_col).cast("long").alias("place")] if placed else []))
     cut = saved(pieces(docs, capacity, vocabulary or vocabulary_path()), "pieces")
     histogram = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}  # at most `capacity` rows
     counts = np.zeros(capacity + 1, np.int64)
     counts[list(histogram)] = list(histogram.values())
     least, n = lower_bound(counts, capacity), int(counts.sum())
     parts = lambda n: max(1, -(-n // partition_pieces))
-    dealt = cut.withColumn("g", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(parts(n))))
-    packed = saved(dealt.groupBy("g").applyInArrow(_pack(capacity, 0), _PACKED), "packed")
+    packed_type = _PACKED + ", place long" * placed
+    if placed:
+        dealt = _ranges(cut, "place", parts(n)).drop("first")
+    else:
+        dealt = cut.withColumn("g", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(parts(n))))
+    ordered = ["id", "piece", "start", "length", "ids_crc32", "bin", "offset", "gap", "room"] + ["place"] * placed
+    pack = lambda turn: lambda key, table: _pack(capacity, turn, placed)(key, table).select(ordered)
+    packed = saved(dealt.groupBy("g").applyInArrow(pack(0), packed_type), "packed")
     for turn in range(1, turns + 1):
         # A certified partition gives only its emptier bins, one with a gap all that have room.
         give = F.expr(f"room >= IF(gap, {slack}, {capacity // 8})")
@@ -135,11 +174,19 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if used <= least or opened < 2:
             break
         stay = packed.where(~give)
-        moved = packed.where(give).withColumn("g", F.pmod(F.xxhash64("bin", F.lit(turn)), F.lit(parts(moving))))
-        again = moved.groupBy("g").applyInArrow(_pack(capacity, turn), _PACKED)
+        if placed:  # ranges 2i and 2i + 1, then 2i - 1 and 2i, and so on; pairs keep the number of their first range
+            if parts(n) == 1:
+                break
+            range_of = F.expr(f"(bin >> 28) & {(1 << 28) - 1}")
+            group = F.greatest(range_of - (range_of + turn + 1) % 2, F.lit(0))
+        else:
+            group = F.pmod(F.xxhash64("bin", F.lit(turn)), F.lit(parts(moving)))
+        again = packed.where(give).withColumn("g", group).groupBy("g").applyInArrow(pack(turn), packed_type)
         packed = saved(stay.unionByName(again), "packed")
-        if parts(moving) == 1:
+        if not placed and parts(moving) == 1:
             break
+    if placed:
+        packed = _in_order(packed, parts(n))
     return packed.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")
 
 

@@ -245,6 +245,29 @@ def test_language_id(spark):
     assert language_id.identify_languages(df.limit(0), train).count() == 0
 
 
+def test_packing_stage_follows_the_mixture(spark, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(corpus_pipeline, "RANGE_PIECES", 150, raising=False)
+    rng = np.random.default_rng(4)
+    sources = ["src0"] * 1200 + ["src5"] * 1200 + ["src10"] * 600  # shares 8, 4, 2: src0 ends first
+    docs = spark.createDataFrame([(i, "a b c " * int(rng.integers(20, 500)), "en", s, 9) for i, s in enumerate(sources)], "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = corpus_pipeline.mix_sources(docs.select("doc_id", "source"), corpus_pipeline.SHARES).orderBy("mix_slot", "mix_place").collect()
+    rows = corpus_pipeline.packing_stage(spark, docs, "").collect()
+    assert sorted((r["doc_id"], r["piece"]) for r in rows) == sorted({(r["doc_id"], r["piece"]) for r in rows}) and {r["doc_id"] for r in rows} == set(range(3000))
+    assert {r["sequence_id"] for r in rows} == set(range(max(r["sequence_id"] for r in rows) + 1))
+    fill = {}
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert fill.get(r["sequence_id"], 0) == r["offset"]
+        fill[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(fill.values()) <= packing.CAPACITY and len(fill) <= 1.02 * sum(fill.values()) / packing.CAPACITY + 1
+    order = {r["doc_id"]: (r["sequence_id"], r["offset"]) for r in rows}
+    found = [sources[i] for i in sorted(order, key=order.get)]
+    for n in range(300, 3001, 50):
+        for s in ("src0", "src5", "src10"):
+            assert abs(found[:n].count(s) - [r["source"] for r in mixed[:n]].count(s)) < 0.05 * n
+
+
 def test_language_stage_rejects_what_is_like_no_language(spark):
     import corpus_pipeline
 
