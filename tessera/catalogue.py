@@ -423,11 +423,30 @@ _BOOT_SHORT = (("sp", "spearman_class3"), ("auc_bad", "auc_bad_vs_rest"), ("auc_
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = order_samples(spark, sf_dir)
     oof = order_scores(samples).where("cfg_ordinal = 0").withColumnRenamed("score", "similarity_score")
-    out = rounded(bootstrap.bootstrap(oof, samples, N_BOOT, BOOT_SEED), *_FULL, *_BOOT_COLUMNS)
+    return _bootstrapped(oof, samples, N_BOOT)
+
+
+def _bootstrapped(oof: DataFrame, samples: DataFrame, n_boot: int) -> DataFrame:
+    out = rounded(bootstrap.bootstrap(oof, samples, n_boot, BOOT_SEED), *_FULL, *_BOOT_COLUMNS)
     ends = {f"bs_{n}_{e}": F.col(f"bs_{n}_ci.{e}") + 0.0 for n, _ in _BOOT_SHORT for e in ("lo", "hi")}
     return out.withColumns(ends).drop(*(f"bs_{n}_ci" for n, _ in _BOOT_SHORT))
 
 
+#: The job's number of replicates; N_BOOT is that of the queries with SQL.
+WHOLE_BOOT = 1000
+
+
+@query("bootstrap_oof_draws")
+def bootstrap_oof_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bootstrap.group_draws(order_samples(spark, sf_dir), WHOLE_BOOT, BOOT_SEED)
+
+
+@query("bootstrap_oof")
+def bootstrap_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples, oof = _order_oof(spark, sf_dir)
+    return _bootstrapped(oof, samples, WHOLE_BOOT)
+
+
 # Whole runs.
 def _vector_cv(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     pairs = vector_pairs(spark, sf_dir)

@@ -1,7 +1,9 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import catalogue
 from tessera.functions import kernels, ranks, scalars
 from tessera.operators import bootstrap, folds, nested_cv, registry
 from tessera.plans import nested
@@ -119,6 +121,24 @@ def test_draws_have_as_many_groups_as_there_are(spark):
     assert {r[0] for r in bootstrap.group_draws(samples, 7).groupBy("boot").agg(F.sum("times").alias("t")).select("t").collect()} == {n}
 
 
+def test_whole_bootstrap_against_repeated_rows(spark):
+    queries = catalogue.queries()
+    found = {r["metric"]: r for r in queries["bootstrap_oof"](spark, SF).collect()}
+    assert {r["n_boot"] for r in found.values()} == {1000}
+    draws = queries["bootstrap_oof_draws"](spark, SF).toPandas()
+    assert set(draws["boot"]) == set(range(1000))
+    rows = queries["oof_predictions"](spark, SF).join(order_samples(spark, SF), "sample_idx").select("metric", "pname", "class3", "similarity_score").toPandas()
+    rows = rows[rows["metric"] == "price"]
+    of = {p: g for p, g in rows.groupby("pname")}
+    values = []
+    for _, d in draws.groupby("boot"):
+        drawn = pd.concat([of[p] for p, n in zip(d["pname"], d["times"], strict=True) for _ in range(n)])
+        values.append(np.corrcoef(drawn["similarity_score"].rank(), -drawn["class3"].rank())[0, 1])
+    r = found["price"]
+    assert np.allclose([r["bs_sp_mean"], r["bs_sp_std"]], [np.mean(values), np.std(values, ddof=1)], atol=2e-6)
+    assert np.allclose([r["bs_sp_lo"], r["bs_sp_hi"]], np.percentile(values, [2.5, 97.5]), atol=6e-4)
+
+
 def test_run_and_artifact(spark, tmp_path):
     pairs = vector_pairs(spark, SF)
     samples = pairs.drop("src", "trg")
