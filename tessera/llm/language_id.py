@@ -22,6 +22,8 @@ NONE = "und"
 BITS = 17
 #: With more trigrams than this, texts differ by more than chance, so more do not sharpen a limit.
 ENOUGH = 1000
+#: Texts are taken in runs of so many bytes where fits are found, which takes more memory for each byte.
+FIT_BYTES = 100_000
 #: Added to every count.
 ALPHA = 0.5
 _LETTER = np.zeros(256, bool)
@@ -119,7 +121,7 @@ def least_fits(docs: DataFrame, names: list[str], table: np.ndarray, fence: floa
         seen, total = shared.value
         for batch in batches:
             langs = batch.column(1).to_pylist()
-            for begin, texts in chunks(batch.column(0)):
+            for begin, texts in chunks(batch.column(0), FIT_BYTES):
                 w = Words(texts, lower=True)
                 use = np.flatnonzero(_worded(w))
                 if not len(use):
@@ -225,7 +227,7 @@ def infer(w: Words, table: np.ndarray, penalty: float = 2.0, turns: int = 8, mos
 
 def _rows(batches: Iterator[pa.RecordBatch], text_at: int, names: list[str], table: np.ndarray, least: np.ndarray | None):
     for batch in batches:
-        for begin, texts in chunks(batch.column(text_at)):
+        for begin, texts in chunks(batch.column(text_at), *([] if least is None else [FIT_BYTES])):
             w = Words(texts, lower=True)
             if names:
                 shares, size, has = infer(w, table)
