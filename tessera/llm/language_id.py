@@ -18,8 +18,10 @@ from .scratch import saved
 from .textarrays import Words, chunks, mixed
 
 NONE = "und"
-#: Trigrams are counted by a hash of so many bits, so a model has a fixed size for each language.
-BITS = 17
+#: Trigrams are counted by a hash of so many bits, or of fewer if languages are so many that counts would pass MOST_COUNTS.
+BITS, MOST_COUNTS = 17, 1 << 25
+#: EM ends when no share of any text changes by more than this; after MOST_TURNS in any case.
+SETTLED, MOST_TURNS = 1e-3, 500
 #: With more trigrams than this, texts differ by more than chance, so more do not sharpen a limit.
 ENOUGH = 1000
 #: Texts are taken in runs of so many bytes where fits are found, which takes more memory for each byte.
@@ -44,14 +46,15 @@ def _packed(w: Words, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return packed[inside], word[:-2][inside] if len(row) > 2 else word[:0]
 
 
-def _hashed(packed: np.ndarray) -> np.ndarray:
-    return (mixed(packed) >> np.uint64(64 - BITS)).astype(np.int64)
+def _hashed(packed: np.ndarray, size: int) -> np.ndarray:
+    """A hash below size, a power of 2."""
+    return (mixed(packed) >> np.uint64(64 - (size - 1).bit_length())).astype(np.int64)
 
 
-def word_trigrams(w: Words, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_trigrams(w: Words, words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and word of each trigram of bytes of the given words, a space before and after each word included."""
     packed, word = _packed(w, words)
-    return _hashed(packed), word
+    return _hashed(packed, size), word
 
 
 def _lettered(packed: np.ndarray) -> np.ndarray:
@@ -68,11 +71,13 @@ def _worded(w: Words) -> np.ndarray:
     return total[w.end] > total[w.start]
 
 
-def counted(docs: DataFrame, most_languages: int = 200) -> tuple[list[str], np.ndarray]:
+def counted(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """The languages, and how often each hash occurs in each of them, from docs (text, lang) without nulls.
 
-    Each task adds up its counts before they are shuffled; a language has at most 2 ** BITS of them.
+    Each task adds up its counts before they are shuffled; there are at most MOST_COUNTS of them in all.
     """
+    names = sorted(r[0] for r in docs.select("lang").distinct().collect())
+    size = 1 << min(BITS, max(2, (MOST_COUNTS // max(len(names), 1)).bit_length() - 1))
 
     def run(batches):
         total: dict[str, np.ndarray] = {}
@@ -84,20 +89,17 @@ def counted(docs: DataFrame, most_languages: int = 200) -> tuple[list[str], np.n
                 use = np.flatnonzero(_worded(w))
                 key = w.hashes()[use] ^ mixed(lang[w.doc[use]].astype(np.uint64))
                 _, first, n = np.unique(key, return_index=True, return_counts=True)
-                gram, of = word_trigrams(w, use[first])
+                gram, of = word_trigrams(w, use[first], size)
                 own = lang[w.doc[use[first]]][of]
                 for x, name in enumerate(names.tolist()):
-                    counts = total.setdefault(name, np.zeros(1 << BITS, np.int64))
-                    counts += np.bincount(gram[own == x], n[of[own == x]], 1 << BITS).astype(np.int64)
+                    counts = total.setdefault(name, np.zeros(size, np.int64))
+                    counts += np.bincount(gram[own == x], n[of[own == x]], size).astype(np.int64)
         for name, counts in total.items():
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at])], ["lang", "gram", "n"])
 
     counts = docs.select("text", "lang").mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    names = sorted(r[0] for r in docs.select("lang").distinct().limit(most_languages + 1).collect())
-    if len(names) > most_languages:
-        raise ValueError(f"more than {most_languages} languages")
-    table = np.zeros((1 << BITS, len(names)))
+    table = np.zeros((size, len(names)))
     rows = counts.toPandas()
     table[rows["gram"].to_numpy(np.int64), np.searchsorted(names, rows["lang"].to_numpy(str)) if names else []] += rows["n"].to_numpy(np.float64)
     return names, table
@@ -115,7 +117,8 @@ def least_fits(docs: DataFrame, names: list[str], table: np.ndarray, fence: floa
     row's own counts, as other texts have none.  The least distance lies twice `fence` times the distance from the lower
     quartile to the median below that quartile.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((table, table.sum(axis=0)))  # 2 ** BITS values for each language
+    shared = docs.sparkSession.sparkContext.broadcast((table, table.sum(axis=0)))  # at most MOST_COUNTS values
+    n_hashes = len(table)
 
     def run(batches):
         seen, total = shared.value
@@ -127,19 +130,19 @@ def least_fits(docs: DataFrame, names: list[str], table: np.ndarray, fence: floa
                 if not len(use):
                     continue
                 lang = np.searchsorted(names, np.array(langs[begin : begin + len(texts)], object).astype(str))
-                gram, of = word_trigrams(w, use)
-                key, own = np.unique(w.doc[use][of] << BITS | gram, return_counts=True)
-                all_own = np.bincount(key >> BITS, own, w.n_texts)
+                gram, of = word_trigrams(w, use, n_hashes)
+                key, own = np.unique(w.doc[use][of] * n_hashes + gram, return_counts=True)
+                all_own = np.bincount(key // n_hashes, own, w.n_texts)
                 use = use[np.sort(np.unique(w.hashes()[use] ^ mixed(w.doc[use].astype(np.uint64)), return_index=True)[1])]
                 packed, of = _packed(w, use)
                 kept = _lettered(packed)
-                gram, of = _hashed(packed[kept]), of[kept]
+                gram, of = _hashed(packed[kept], n_hashes), of[kept]
                 doc = w.doc[use][of]
-                own = own[np.searchsorted(key, doc << BITS | gram)]
+                own = own[np.searchsorted(key, doc * n_hashes + gram)]
                 best = np.full(len(use), -np.inf)
                 for x in range(len(names)):
                     mine = lang[doc] == x
-                    logs = np.log(seen[gram, x] - own * mine + ALPHA) - np.log(total[x] - all_own[doc] * mine + ALPHA * (1 << BITS))
+                    logs = np.log(seen[gram, x] - own * mine + ALPHA) - np.log(total[x] - all_own[doc] * mine + ALPHA * n_hashes)
                     best = np.maximum(best, np.bincount(of, logs, len(use)))
                 size = np.bincount(doc, minlength=w.n_texts)
                 some = np.flatnonzero(size)
@@ -168,7 +171,7 @@ def fits_of(w: Words, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     _, first, of = np.unique(w.hashes()[use], return_index=True, return_inverse=True)
     packed, word = _packed(w, use[first])
     kept = _lettered(packed)
-    gram, word = _hashed(packed[kept]), word[kept]
+    gram, word = _hashed(packed[kept], len(table)), word[kept]
     best = np.max([np.bincount(word, table[gram, x], len(first)) for x in range(table.shape[1])], axis=0)
     entry = np.unique(w.doc[use] * np.int64(len(first)) + of)
     doc, of = entry // len(first), entry % len(first)
@@ -176,53 +179,71 @@ def fits_of(w: Words, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.bincount(doc, best[of], w.n_texts) / np.maximum(size, 1), size
 
 
-def _mixture(like: np.ndarray, n: np.ndarray, doc: np.ndarray, start: np.ndarray, docs: int, allowed: np.ndarray, turns: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shares of the allowed languages in each document, and its log likelihood.
+def _mixture(like: np.ndarray, n: np.ndarray, start: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of the allowed languages in each document, and its log likelihood, by expectation-maximisation.
 
     like: likelihood of each (document, word) entry in each language, of which the largest is 1; n: how often it occurs;
     start: first entry of each document, each of which has one at least.
     """
     share = allowed / allowed.sum(axis=1, keepdims=True)
     total = np.add.reduceat(n, start)[:, None]
-    for _ in range(turns):
-        part = share[doc] * like
-        part *= (n / np.maximum(part.sum(axis=1), 1e-30))[:, None]
-        share = np.add.reduceat(part, start, axis=0) / total
-    fit = np.add.reduceat(n * np.log(np.maximum((share[doc] * like).sum(axis=1), 1e-30)), start)
+    size = np.diff(np.append(start, len(n)))
+    active, at, doc = np.arange(len(start)), np.arange(len(n)), np.repeat(np.arange(len(start)), size)
+    for _ in range(MOST_TURNS if allowed.sum(axis=1).max(initial=1) > 1 else 0):
+        part = share[active][doc] * like[at]
+        part *= (n[at] / np.maximum(part.sum(axis=1), 1e-30))[:, None]
+        new = np.add.reduceat(part, np.cumsum(size[active]) - size[active], axis=0) / total[active]
+        moves = np.abs(new - share[active]).max(axis=1) > SETTLED
+        share[active] = new
+        if not moves.all():  # what has settled takes no more turns
+            at, active = at[moves[doc]], active[moves]
+            doc = np.repeat(np.arange(len(active)), size[active])
+            if not len(active):
+                break
+    fit = np.add.reduceat(n * np.log(np.maximum((np.repeat(share, size, axis=0) * like).sum(axis=1), 1e-30)), start)
     return share, fit
 
 
-def infer(w: Words, table: np.ndarray, penalty: float = 2.0, turns: int = 8, most_set: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shares (texts x languages) of each text's chosen set, how many languages it has, and which texts have any word."""
-    shares, size = np.zeros((w.n_texts, table.shape[1])), np.zeros(w.n_texts, np.int64)
+def infer(w: Words, table: np.ndarray, penalty: float = 2.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shares (texts x languages) of each text's chosen set, how many languages it has, and which texts have any word.
+
+    For every k the k languages with the largest shares in the mixture of all are a set; that with the best log likelihood
+    less `penalty` times k times the log of the number of words is chosen, the smallest among equals.  Sets that could not
+    be better even with the likelihood of all languages are not tried.
+    """
+    languages = table.shape[1]
+    shares, count = np.zeros((w.n_texts, languages)), np.zeros(w.n_texts, np.int64)
+    has = np.zeros(w.n_texts, bool)
     use = np.flatnonzero(_worded(w))
     if not len(use):
-        return shares, size, np.zeros(w.n_texts, bool)
+        return shares, count, has
     _, first, of = np.unique(w.hashes()[use], return_index=True, return_inverse=True)
-    gram, word = word_trigrams(w, use[first])
-    start = np.searchsorted(word, np.arange(len(first)))
-    logs = np.add.reduceat(table[gram], start, axis=0)  # every word has a trigram
+    gram, word = word_trigrams(w, use[first], len(table))
+    logs = np.add.reduceat(table[gram], np.searchsorted(word, np.arange(len(first))), axis=0)  # every word has a trigram
     like = np.exp(np.maximum(logs - logs.max(axis=1, keepdims=True), -25)).astype(np.float64)
     entry, n = np.unique(w.doc[use] * np.int64(len(first)) + of, return_counts=True)
-    doc, n = entry // len(first), n.astype(np.float64)
-    like = like[entry % len(first)]
-    texts, doc = np.unique(doc, return_inverse=True)
-    start = np.searchsorted(doc, np.arange(len(texts)))
-    share, fit = _mixture(like, n, doc, start, len(texts), np.ones((len(texts), table.shape[1])), turns)
+    n, like = n.astype(np.float64), like[entry % len(first)]
+    texts, doc = np.unique(entry // len(first), return_inverse=True)
+    size = np.bincount(doc)
+    start = np.cumsum(size) - size
+    share, fit = _mixture(like, n, start, np.ones((len(texts), languages)))
     cost = penalty * np.log(np.maximum(np.add.reduceat(n, start), 2))
     order = np.argsort(-share, axis=1, kind="stable")
-    best, chosen, count = np.full(len(texts), -np.inf), share.copy(), np.full(len(texts), table.shape[1])
-    for k in range(1, min(most_set, table.shape[1]) + 1):
-        allowed = np.zeros_like(share)
-        np.put_along_axis(allowed, order[:, :k], 1.0, axis=1)
-        own, value = _mixture(like, n, doc, start, len(texts), allowed, turns if k > 1 else 0)
-        value = value - k * cost
-        better = value > best
-        best[better], chosen[better], count[better] = value[better], own[better], k
-    shares[texts], size[texts] = chosen, count
-    has = np.zeros(w.n_texts, bool)
-    has[texts] = True
-    return shares, size, has
+    best, chosen, number = np.full(len(texts), -np.inf), share.copy(), np.full(len(texts), languages)
+    for k in range(1, languages + 1):
+        rest = np.flatnonzero(fit + 0.01 - k * cost > best)  # 0.01: what EM may be short of the maximum
+        if not len(rest):
+            break
+        own = np.flatnonzero(np.isin(doc, rest))
+        allowed = np.zeros((len(rest), languages))
+        np.put_along_axis(allowed, order[rest, :k], 1.0, axis=1)
+        found, value = _mixture(like[own], n[own], np.cumsum(size[rest]) - size[rest], allowed)
+        value -= k * cost[rest]
+        better = value > best[rest]
+        at = rest[better]
+        best[at], chosen[at], number[at] = value[better], found[better], k
+    shares[texts], count[texts], has[texts] = chosen, number, True
+    return shares, count, has
 
 
 def _rows(batches: Iterator[pa.RecordBatch], text_at: int, names: list[str], table: np.ndarray, least: np.ndarray | None):
@@ -250,7 +271,8 @@ def identify_languages(df: DataFrame, training: DataFrame, text_col: str = "text
     training: rows with columns text and lang to learn from; rows with a null in either are left out.  lang_pred is a
     learned language, or ``und`` with score 0 and an empty set for a null text, one without a letter, and all texts if
     nothing could be learned.  Equal shares go to the language first by name.  Repeated rows are rows like others.
-    Columns of df that are not kept are not read.  An empty df gives no rows.
+    Columns of df that are not kept are not read; kept columns named like the operator's give way to them.  An empty df
+    gives no rows.  Any number of languages may be learned (see MOST_COUNTS).
 
     The score compares languages with each other only.  With `fence` there is a column known too: whether the text has a
     language and its trigrams are as likely in the learned languages as those of the training rows of lang_pred (see
@@ -260,11 +282,12 @@ def identify_languages(df: DataFrame, training: DataFrame, text_col: str = "text
     names, table = counted(usable)
     least = None if fence is None else least_fits(usable, names, table, fence)
     table = learned(table)
-    shared = df.sparkSession.sparkContext.broadcast(table)  # 2 ** BITS values for each of at most 200 languages
+    shared = df.sparkSession.sparkContext.broadcast(table)  # at most MOST_COUNTS values
+    found = ["lang_pred", "score", "lang_set"] + ([] if fence is None else ["known"])
+    keep = tuple(c for c in keep if c not in found)
     docs = df.select(*keep, *([] if text_col in keep else [text_col]))
     text_at = docs.columns.index(text_col)
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep)
-    found = ["lang_pred", "score", "lang_set"] + ([] if fence is None else ["known"])
 
     def run(batches):
         for rows, lang, score, sets, known in _rows(batches, text_at, names, shared.value, least):

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .names import fresh
+from .scratch import saved
+
 LINES = 3
 #: A line counts if it has a character outside space and U+0009..U+000D.
 _WORD = r"[^\x20\x09-\x0D]"
@@ -19,32 +22,35 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     two 64-bit hashes.
 
     Null texts stay null with n_lines 0.  Rows without an id are returned as they are and count as no occurrence.  Rows
-    equal in id and text are one occurrence.  All rows and columns are kept; columns named n_lines or n_removed are
-    replaced.
+    equal in id and text are one occurrence.  All rows and columns are kept; only columns named n_lines or n_removed are
+    replaced.  An empty df gives an empty result.
     """
-    docs = df.drop("n_lines", "n_removed").withColumns({"ld_lines": F.split(text_col, "\n"), "ld_row": F.xxhash64(text_col)})
-    full = F.filter(F.transform("ld_lines", lambda x, i: F.struct(i.alias("at"), x.alias("line"))), lambda x: x["line"].rlike(_WORD))
-    runs = F.when(F.size("ld_full") >= LINES, F.sequence(F.lit(0), F.size("ld_full") - LINES)).when(F.size("ld_full") > 0, F.array(F.lit(0)))
+    df = df.drop("n_lines", "n_removed")
+    lines, row, key, removed = fresh(df, "lines", "row", "key", "removed")
+    docs = df.withColumn(row, F.xxhash64(text_col))
+    full = F.filter(F.transform(F.split(text_col, "\n"), lambda x, i: F.struct(i.alias("at"), x.alias("line"))), lambda x: x["line"].rlike(_WORD))
+    runs = F.when(F.size("full") >= LINES, F.sequence(F.lit(0), F.size("full") - LINES)).when(F.size("full") > 0, F.array(F.lit(0)))
 
     def window(i):
-        own = F.slice("ld_full", i + 1, LINES)
-        lines = F.transform(own, lambda x: x["line"])
-        return F.struct(F.xxhash64(lines).alias("h"), F.xxhash64(F.lit("second"), lines).alias("h2"), F.transform(own, lambda x: x["at"]).alias("at"))
+        own = F.slice("full", i + 1, LINES)
+        text = F.transform(own, lambda x: x["line"])
+        return F.struct(F.xxhash64(text).alias("h"), F.xxhash64(F.lit("second"), text).alias("h2"), F.transform(own, lambda x: x["at"]).alias("at"))
 
-    windows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("ld_id"), "ld_row", full.alias("ld_full")).where(F.size("ld_full") > 0)
-    windows = windows.select("ld_id", "ld_row", F.explode(F.transform(runs, window)).alias("w")).select("ld_id", "ld_row", "w.*").withColumn("place", F.col("at")[0])
-    firsts = windows.groupBy("h", "h2").agg(F.min(F.struct("ld_id", "ld_row", "place")).alias("first"), F.max(F.struct("ld_id", "ld_row", "place")).alias("last")).where("first < last")
-    later = windows.join(firsts.select("h", "h2", "first"), ["h", "h2"]).where(F.struct("ld_id", "ld_row", "place") > F.col("first"))
+    windows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(row).alias("row"), full.alias("full")).where(F.size("full") > 0)
+    windows = windows.select("id", "row", F.explode(F.transform(runs, window)).alias("w")).select("id", "row", "w.*").withColumn("place", F.col("at")[0])
+    occurrence = F.struct("id", "row", "place")
+    # Written, so that a join deals out both sides by hash: Spark then splits a window that very many texts share.
+    firsts = saved(windows.groupBy("h", "h2").agg(F.min(occurrence).alias("first"), F.max(occurrence).alias("last")).where("first < last").select("h", "h2", "first"), "windows")
+    later = windows.join(firsts, ["h", "h2"]).where(occurrence > F.col("first"))
     # A document's windows are as many as its lines, so this group is no larger than a text.
-    covered = later.groupBy("ld_id", "ld_row").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("ld_covered"))
-    joined = docs.join(covered, (F.col(id_col) == F.col("ld_id")) & (docs["ld_row"] == covered["ld_row"]), "left")
-    left = F.array_except(F.sequence(F.lit(0), F.size("ld_lines") - 1), F.col("ld_covered"))
-    text = F.when(F.col("ld_covered").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get("ld_lines", i)), "\n"))
-    kept = [c for c in df.columns if c not in ("n_lines", "n_removed")]
+    covered = later.groupBy(F.col("id").alias(key), F.col("row").alias(row)).agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias(removed))
+    joined = docs.join(covered, (docs[id_col] == covered[key]) & (docs[row] == covered[row]), "left").drop(covered[row]).withColumn(lines, F.split(text_col, "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(removed))
+    text = F.when(F.col(removed).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
     return joined.select(
-        *[text.alias(c) if c == text_col else F.col(c) for c in kept],
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size("ld_lines")).cast("long").alias("n_lines"),
-        F.coalesce(F.size("ld_covered"), F.lit(0)).cast("long").alias("n_removed"),
+        *[text.alias(c) if c == text_col else F.col(c) for c in df.columns],
+        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.coalesce(F.size(removed), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 

@@ -17,6 +17,8 @@ from math import gcd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .names import fresh
+
 OTHER = "(other)"
 #: Shares of the documents' sources in production; all other sources, and rows without one, share one place.
 SHARES = {f"src{i}": (8, 4, 2, 1)[i // 5] for i in range(20)}
@@ -52,39 +54,39 @@ def phases(blocks: dict[str, int], shares: dict[str, int]) -> list[tuple[str, in
     return out
 
 
-def mix_sources(df: DataFrame, shares: dict[str, int], other_share: int = 1, id_col: str = "doc_id", source_col: str = "source", block_rows: int = 16, seed: str = "0", digits: int = 3, most_period: int = 100_000) -> DataFrame:
+def mix_sources(df: DataFrame, shares: dict[str, int], other_share: int = 1, id_col: str = "doc_id", source_col: str = "source", block_rows: int = 16, seed: str = "0", digits: int = 3) -> DataFrame:
     """df with mix_group, mix_block, mix_place, mix_slot: rows in the order of (mix_slot, mix_place) are the mixture.
 
     shares: a positive whole number for each source; sources it does not name, and null, count as one more group,
     ``(other)``.  Rows of a group come in the order of the digest of seed and id; equal ids are in no certain order among
     each other, and null ids come first.  Each block has block_rows rows, but a group's last may have fewer.  Every row is
-    kept.  Columns of df named like the four are replaced.  An empty df gives an empty result.
+    kept, with all columns; only columns of df named like the four are replaced.  An empty df gives an empty result.
 
     Numbering is by counts of 16 ** digits parts of each group, so no group is numbered in one task.  The counts of the at
-    most len(shares) + 1 groups go to the driver, and the schedule of at most most_period slots for each phase comes back.
+    most len(shares) + 1 groups go to the driver, and the schedule of at most sum(shares) slots for each phase comes back;
+    its size follows from the shares alone, whatever the size of df.
     """
-    if sum(shares.values()) + other_share > most_period:
-        raise ValueError(f"shares add up to more than {most_period}")
     spark = df.sparkSession
     names = ["mix_group", "mix_block", "mix_place", "mix_slot"]
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    df = df.drop(*names)
+    digest, part, count, before, number, phases_, phase = fresh(df, "digest", "part", "count", "before", "number", "phases", "phase")
     group = F.when(F.col(source_col).isin(*shares), F.col(source_col)).otherwise(F.lit(OTHER))
-    keyed = df.drop(*names).withColumns({"mix_group": group, "mix_digest": digest}).withColumn("mix_part", F.substring("mix_digest", 1, digits))
-    parts = keyed.groupBy("mix_group", "mix_part").agg(F.count("*").alias("mix_count"))
-    before = F.sum("mix_count").over(Window.partitionBy("mix_group").orderBy("mix_part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = parts.select("mix_group", "mix_part", F.coalesce(before, F.lit(0)).alias("mix_before"))
-    totals = {r[0]: -(-r[1] // block_rows) for r in keyed.groupBy("mix_group").count().collect()}
+    hashed = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    keyed = df.withColumns({"mix_group": group, digest: hashed}).withColumn(part, F.substring(digest, 1, digits))
+    parts = keyed.groupBy("mix_group", part).agg(F.count("*").alias(count))
+    earlier = F.sum(count).over(Window.partitionBy("mix_group").orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = parts.select("mix_group", part, F.coalesce(earlier, F.lit(0)).alias(before))
+    totals = {r[0]: -(-r[1] // block_rows) for r in keyed.groupBy("mix_group").agg(F.count("*")).collect()}
     plan = phases(totals, {OTHER: other_share} | shares)
     schedule = spark.createDataFrame(plan, "mix_group string, low long, high long, start long, share long, period long, slots array<long>")
-    schedule = schedule.groupBy("mix_group").agg(F.collect_list(F.struct("low", "high", "start", "share", "period", "slots")).alias("mix_phases"))
-    number = F.row_number().over(Window.partitionBy("mix_group", "mix_part").orderBy("mix_digest", id_col)) - 1 + F.col("mix_before")
-    rows = keyed.join(offsets, ["mix_group", "mix_part"]).withColumn("mix_number", number.cast("long"))
-    rows = rows.withColumns({"mix_block": F.expr(f"mix_number div {block_rows}"), "mix_place": F.expr(f"mix_number % {block_rows}")})
-    phase = F.filter("mix_phases", lambda p: (p["low"] <= F.col("mix_block")) & (F.col("mix_block") < p["high"]))[0]
-    rows = rows.join(F.broadcast(schedule), "mix_group").withColumn("mix_phase", phase)
-    slot = F.expr("mix_phase.start + ((mix_block - mix_phase.low) div mix_phase.share) * mix_phase.period + mix_phase.slots[cast((mix_block - mix_phase.low) % mix_phase.share AS int)]")
-    kept = [c for c in df.columns if c not in names]
-    return rows.withColumn("mix_slot", slot).select(*kept, *names)
+    schedule = schedule.groupBy("mix_group").agg(F.collect_list(F.struct("low", "high", "start", "share", "period", "slots")).alias(phases_))
+    place = F.row_number().over(Window.partitionBy("mix_group", part).orderBy(digest, id_col)) - 1 + F.col(before)
+    rows = keyed.join(offsets, ["mix_group", part]).withColumn(number, place.cast("long"))
+    rows = rows.withColumns({"mix_block": F.expr(f"{number} div {block_rows}"), "mix_place": F.expr(f"{number} % {block_rows}")})
+    own = F.filter(phases_, lambda p: (p["low"] <= F.col("mix_block")) & (F.col("mix_block") < p["high"]))[0]
+    rows = rows.join(F.broadcast(schedule), "mix_group").withColumn(phase, own)
+    slot = F.expr(f"{phase}.start + ((mix_block - {phase}.low) div {phase}.share) * {phase}.period + {phase}.slots[cast((mix_block - {phase}.low) % {phase}.share AS int)]")
+    return rows.withColumn("mix_slot", slot).select(*df.columns, *names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,8 @@ partitions and packed again, as long as that frees bins and the total is above t
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,6 +20,7 @@ from .textarrays import chunks
 from .tokens import END_ID, ids_crc32, tokenizer, vocabulary_path
 
 CAPACITY = 4096
+log = logging.getLogger(__name__)
 _PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 _PACKED = _PIECES + ", bin long, offset long, gap boolean, room long"
 
@@ -140,13 +143,14 @@ def _in_order(packed: DataFrame, parts: int) -> DataFrame:
     return packed.join(numbered.select("bin", number.cast("long").alias("number")), "bin").drop("bin").withColumnRenamed("number", "bin")
 
 
-def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str | None = None, partition_pieces: int = 20_000, turns: int = 4, slack: int = 16, place_col: str | None = None) -> DataFrame:
+def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str | None = None, partition_pieces: int = 20_000, slack: int = 16, place_col: str | None = None) -> DataFrame:
     """One row for each piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document's ids are the tokenizer's and one end id; a null or empty text has the end id only.  Rows with the same id,
     and rows without one, are documents of their own.  Other columns are not read.  An empty df gives no pieces.
 
-    turns: how often bins are exchanged at most; slack: bins with less room than this stay closed.
+    Bins are exchanged turn by turn until the bound of all pieces is met or two turns in a row free none; the number of
+    bins and the bound are logged.  slack: bins with less room than this are not exchanged.
 
     place_col: a whole number from 0 that sequences follow.  Pieces are then dealt by ranges of places and not by a hash,
     bins are exchanged between neighbouring ranges only, and sequences are numbered from 0 by the mean place of their ids.
@@ -167,11 +171,15 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ordered = ["id", "piece", "start", "length", "ids_crc32", "bin", "offset", "gap", "room"] + ["place"] * placed
     pack = lambda turn: lambda key, table: _pack(capacity, turn, placed)(key, table).select(ordered)
     packed = saved(dealt.groupBy("g").applyInArrow(pack(0), packed_type), "packed")
-    for turn in range(1, turns + 1):
+    turn, idle, before = 0, 0, None
+    while True:
+        turn += 1
         # A certified partition gives only its emptier bins, one with a gap all that have room.
         give = F.expr(f"room >= IF(gap, {slack}, {capacity // 8})")
         used, opened, moving = packed.agg(F.count_if(F.col("offset") == 0), F.count_if((F.col("offset") == 0) & give), F.count_if(give)).first()
-        if used <= least or opened < 2:
+        idle, before = idle + 1 if used == before else 0, used
+        log.info("turn %d: %d bins, at least %d are needed", turn, used, least)
+        if used <= least or opened < 2 or idle == 2:
             break
         stay = packed.where(~give)
         if placed:  # ranges 2i and 2i + 1, then 2i - 1 and 2i, and so on; pairs keep the number of their first range
@@ -182,7 +190,7 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         else:
             group = F.pmod(F.xxhash64("bin", F.lit(turn)), F.lit(parts(moving)))
         again = packed.where(give).withColumn("g", group).groupBy("g").applyInArrow(pack(turn), packed_type)
-        packed = saved(stay.unionByName(again), "packed")
+        packed = saved(stay.unionByName(again), "packed", packed)
         if not placed and parts(moving) == 1:
             break
     if placed:

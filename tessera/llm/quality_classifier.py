@@ -81,10 +81,12 @@ def text_statistics(docs: DataFrame) -> DataFrame:
 def train(stats: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> Trees:
     """Trees from the labelled rows of stats; labels: (id, label), null labels are left out.
 
-    most_rows: the trees are fitted on at most so many rows, those of the smallest hashes of their ids.
+    most_rows: the trees are fitted on at most so many rows, those of the smallest hashes of their ids; of rows with the
+    same id, labels and statistics decide, so the same rows are taken in every run.
     """
-    chosen = labels.where("id is not null and label is not null").orderBy(F.xxhash64("id"), "id", "label").limit(most_rows)
-    rows = stats.join(F.broadcast(chosen), "id").select("x", "label").limit(2 * most_rows).toPandas()
+    order = [F.xxhash64("id"), "id", "label"]
+    chosen = labels.where("id is not null and label is not null").orderBy(*order).limit(most_rows)
+    rows = stats.join(F.broadcast(chosen), "id").orderBy(*order, F.xxhash64("x"), "x").limit(most_rows).select("x", "label").toPandas()
     rows = rows.iloc[np.lexsort((rows["label"], *np.stack(rows["x"]).T))] if len(rows) else rows  # ids may repeat; in one order, for equal sums
     x = np.stack(rows["x"]).astype(np.float32) if len(rows) else np.zeros((0, len(FEATURES)), np.float32)
     return fit(x, rows["label"].to_numpy(np.int64))

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,14 +31,21 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read back with the same schema."""
+def saved(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read back with the same schema.
+
+    done: earlier results of this function that nothing reads any more; their files go once df's are written.
+    """
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    dropped(*done)
+    return out
 
 
-def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
-    """The named columns of a table; the reader prunes the others."""
-    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    return df.select(*columns) if columns else df
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of results of ``saved``."""
+    for df in tables:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(_PATHS.pop(df))
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

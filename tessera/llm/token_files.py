@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -42,26 +43,30 @@ def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(data) if data else None
 
 
-def train_dictionary(docs: DataFrame, vocabulary: str, width: int, sample_docs: int = 1000, size: int = 65_536) -> bytes:
-    """A dictionary from the ids of at most sample_docs texts, chosen by a hash of their ids; b"" if they are too few.
+def train_dictionary(docs: DataFrame, vocabulary: str, width: int, sample_docs: int = 1000, text_samples: int = 10, size: int = 65_536) -> bytes:
+    """A dictionary from samples of 2,000 ids of texts with any; b"" if there are none.
 
-    The sample only sets how well frames compress; what is written comes from all rows.
+    Samples come from sample_docs texts, those of the smallest hashes of id and text, and of a text from its text_samples
+    runs of 2,000 ids with the smallest hashes.  They only set how well frames compress; what is written comes from all
+    rows.  Samples too few to train on are the dictionary themselves.
     """
-    chosen = docs.where("text <> ''").select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample_docs)
+    chosen = docs.where("text <> ''").orderBy(F.xxhash64("id", "text"), "id", F.length("text")).limit(sample_docs)
 
     def run(batches):
         encode = tokenizer(vocabulary).encode
         for batch in batches:
             for _, texts in chunks(batch.column("text")):
-                # Frames of short documents gain from a dictionary; of long ones each run of 2,000 ids is a sample.
-                parts = [ids[at : at + 2000].astype(f"<u{width}").tobytes() for ids in map(encode, texts) for at in range(0, min(len(ids), 20_000), 2000)]
+                parts = []  # frames of short documents gain from a dictionary, so long ones are samples by runs
+                for ids in map(encode, texts):
+                    runs = [ids[at : at + 2000].astype(f"<u{width}").tobytes() for at in range(0, len(ids), 2000)]
+                    parts += sorted(runs, key=zlib.crc32)[:text_samples]
                 yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary())], ["ids"])
 
-    sample = sorted(bytes(r[0]) for r in docs.join(F.broadcast(chosen), "id").mapInArrow(run, "ids binary").limit(10 * sample_docs).collect())
+    sample = sorted(bytes(r[0]) for r in chosen.select("text").mapInArrow(run, "ids binary").collect())
     try:
-        return zstandard.train_dictionary(size, sample).as_bytes() if len(sample) > 50 else b""
+        return zstandard.train_dictionary(size, sample).as_bytes() if sample else b""
     except zstandard.ZstdError:
-        return b""
+        return b"".join(sample)[-size:]
 
 
 class _Shard:
@@ -177,8 +182,12 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     digest = hashlib.sha256(data).hexdigest()
     shared = spark.sparkContext.broadcast(data)
     manifest = spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
-    before = F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-    starts = manifest.select("shard", F.coalesce(before, F.lit(0)).alias("before"))
+    # A shard is named by its task and its number in it: counts of tasks are added up first, then those of a task's shards.
+    task, earlier = F.substring_index("shard", "-", 1), lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tasks = manifest.groupBy(task.alias("task")).agg(F.sum("n_tokens").alias("n_tokens"))
+    tasks = tasks.select("task", earlier(Window.orderBy("task")).alias("task_before"))
+    starts = manifest.select("shard", task.alias("task"), earlier(Window.partitionBy(task).orderBy("shard")).alias("own_before")).join(tasks, "task")
+    starts = starts.select("shard", (F.col("task_before") + F.col("own_before")).alias("before"))
     if manifest.isEmpty():
         return spark.createDataFrame([], "id long, start long, n_tokens long, ids_crc32 long, shard string, place int")
 

@@ -1,11 +1,13 @@
 """Token ids of texts by a public tokenizer, with the ids of each distinct word kept in the Python worker.
 
-The tokenizer drops white space and never joins what white space separates, so a text's ids are those of its chunks
-between white space, one after the other.  Most chunks of a corpus have been seen before; only new ones are encoded.
+A tokenizer that drops white space and never joins what white space separates gives a text the ids of its chunks between
+white space, one after the other.  Most chunks of a corpus have been seen before; only new ones are encoded.  This is
+done where the vocabulary file says that the tokenizer works so; texts are encoded whole by any other one.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -53,8 +55,49 @@ class _Chunks(dict):
         return flat[np.arange(end[-1] if len(end) else 0) + np.repeat(begin - (end - size), size)]
 
 
+def opened(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+#: What a vocabulary file says of a tokenizer whose chunks WordTokenizer may keep.
+_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "model": {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False},
+}
+
+
+def cuts_at_space(path: str) -> bool:
+    """Whether the file's normaliser, pre-tokeniser and model are those that WordTokenizer is written for."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    model = {k: file["model"].get(k) for k in _WORDS["model"]}
+    plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in file["added_tokens"])
+    return file["normalizer"] == _WORDS["normalizer"] and file["pre_tokenizer"] == _WORDS["pre_tokenizer"] and model == _WORDS["model"] and plain and not file["truncation"] and not file["padding"]
+
+
+class WholeTokenizer:
+    """encode(text) gives the ids of the whole text by the library."""
+
+    def __init__(self, path: str):
+        self.tokenizer = opened(path)
+
+    def encode(self, text: str | None) -> np.ndarray:
+        """The ids of one text; a null text has none."""
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids if text else [], np.uint32)
+
+
 class WordTokenizer:
-    """encode(text) gives the ids that the tokenizer gives."""
+    """encode(text) gives the ids that the tokenizer gives, for files of which cuts_at_space is true."""
 
     #: Texts of these characters are their own normal form, and lower-casing them needs no context.
     _plain = re.compile("[\t-\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
@@ -64,10 +107,7 @@ class WordTokenizer:
     _other_space = re.compile("[\x1c-\x1f]")
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = opened(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -105,13 +145,13 @@ class WordTokenizer:
         return self.other.ids(text.split())
 
 
-_READY: dict[str, WordTokenizer] = {}
+_READY: dict[str, WordTokenizer | WholeTokenizer] = {}
 
 
-def tokenizer(path: str) -> WordTokenizer:
+def tokenizer(path: str) -> WordTokenizer | WholeTokenizer:
     """One tokenizer, with its words, for each Python worker."""
     if path not in _READY:
-        _READY[path] = WordTokenizer(path)
+        _READY[path] = WordTokenizer(path) if cuts_at_space(path) else WholeTokenizer(path)
     return _READY[path]
 
 
