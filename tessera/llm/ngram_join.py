@@ -9,10 +9,15 @@ whole fragments, so they share a fragment's hash.  Sets of other sizes than d wa
 classes; a set emits hashes for its own class and for those of the smallest sets that it may link with.  A common line
 or passage makes no candidates: the other shingles of each text fall among its shingles in the order.
 
-Counting.  In each group of equal fragment hashes all members are candidates of the smallest one.  The overlap of such a
-pair is counted in each fragment of the order by itself and summed per pair.  Pairs in a group that this leaves open
-(neither is the smallest, and the links found do not join them) are compared in blocks of bounded size, of which only
-links leave the task; each group of equal fragment hashes is compared by itself.
+Most hashes occur once.  To find the others, tasks send sorted runs of 32 bits of each hash, cut by its upper bits into
+buckets of bounded size; what occurs twice in a bucket is a superset of the shared hashes, the same small share too
+large at every size of the corpus.  Only shared hashes are then sent with their set.
+
+Counting.  In each group of equal fragment hashes all members are candidates of the smallest one.  Pairs that differ too
+much by size or by the bits of their bitmaps are passed over, which loses no link.  The overlap of each other pair is
+counted in each fragment of the order by itself and summed per pair.  Pairs in a group that this leaves open (neither is
+the smallest, and the links found do not join them) are compared in blocks of bounded size, again as the sum of the
+fragments' overlaps, of which only links leave the task.
 """
 
 from __future__ import annotations
@@ -28,9 +33,12 @@ from .components import connected_components
 from .scratch import saved
 from .textarrays import Words, chunks, mixed, run_hash
 
-BITMAP_BITS = 26
-#: Bits of the bitmap of a set's part in each fragment.
-BITS = 512
+#: Bits of a bitmap by which tasks tell what they need not send: 16 for each value, 2 ** 28 (32 MB) at most.
+LEAST_BITS, MOST_BITS = 20, 28
+#: Hashes that a task sorts at once, and that a bucket has on average.
+RUN, BUCKET = 1 << 19, 1 << 20
+#: Bits of the bitmap of a set, as 64-bit words.
+BITS = 4096
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -80,24 +88,40 @@ class Sets:
         if len(full):
             self.hash[full] = mixed(np.add.reduceat(mixed(self.elements ^ _ODD), self.bounds[full]) + self.size[full].astype(np.uint64) * _ODD)
 
-    def fragment_hashes(self, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and text of each fragment of each set, for all classes that it takes part in."""
-        if not len(self.elements):
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        classes = size_classes(num, den, int(self.size.max()))
+    def _taken(self, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each class that sets take part in, from their own down: which sets, and their rows of size_classes."""
+        classes = size_classes(num, den, int(self.size.max()) if len(self.size) else 0)
         own = np.searchsorted(classes[:, 0], self.size, side="right") - 1
-        hashes, docs = [], []
         for below in range(len(classes)):
             c = own - below
             takes = (self.size > 0) & (c >= 0)
             takes[takes] = den * (classes[c[takes], 1] - 1) >= num * self.size[takes]
             who = np.flatnonzero(takes)
             if not len(who):
-                break
-            one = self._of_class(who, c[who], classes[c[who], 2], classes[c[who], 3])
-            hashes.append(one[0])
-            docs.append(one[1])
-        return np.concatenate(hashes), np.concatenate(docs)
+                return
+            yield who, np.column_stack([c[who], classes[c[who]]])
+
+    def hash_counts(self, num: int, den: int) -> np.ndarray:
+        """How many hashes fragment_hashes gives for each set."""
+        out = np.zeros(len(self.size), np.int64)
+        for who, rows in self._taken(num, den):
+            out[who] += rows[:, 4] - rows[:, 3]
+        return out
+
+    def fragment_hashes(self, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and text of each fragment of each set, for all classes that it takes part in."""
+        found = [self._of_class(who, rows[:, 0], rows[:, 3], rows[:, 4]) for who, rows in self._taken(num, den)]
+        if not found:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.concatenate([h for h, _ in found]), np.concatenate([d for _, d in found])
+
+    def bitmaps(self, who: np.ndarray) -> np.ndarray:
+        """(sets, BITS // 64) words: a bit for each element of each of the given sets."""
+        size = self.size[who]
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.bounds[who], size)
+        out = np.zeros((len(who), BITS), bool)
+        out[np.repeat(np.arange(len(who)), size), (mixed(self.elements[at]) >> np.uint64(64 - (BITS - 1).bit_length())).astype(np.int64)] = True
+        return np.packbits(out, axis=1, bitorder="little").view(np.uint64)
 
     def _of_class(self, who: np.ndarray, c: np.ndarray, skipped: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = self.size[who]
@@ -131,39 +155,62 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def bitmap(df: DataFrame, column: str) -> np.ndarray:
-    """A bit for each value of a long column, at its low BITMAP_BITS bits, packed in 64-bit words.
+def bitmap(df: DataFrame, column: str) -> tuple[np.ndarray, int]:
+    """A bit for each value of a long column, at its low bits, packed in 64-bit words; and how many bits it has.
 
-    It has a fixed size (8 MB), however many values there are, and only spares work: a set bit is followed by a join.
+    Its size is bounded; where values share bits, tasks send more than needed, and a join follows.
     """
-    word, bit = F.expr(f"({column} & {(1 << BITMAP_BITS) - 1}L) >> 6"), F.expr(f"shiftleft(1L, cast({column} & 63 AS int))")
+    bits = min(max((16 * df.count()).bit_length(), LEAST_BITS), MOST_BITS)
+    word, bit = F.expr(f"({column} & {(1 << bits) - 1}L) >> 6"), F.expr(f"shiftleft(1L, cast({column} & 63 AS int))")
     rows = df.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("b")).toArrow()  # no Python object for each word
-    out = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
+    out = np.zeros(1 << (bits - 6), np.uint64)
     out[rows["w"].to_numpy()] = rows["b"].to_numpy().view(np.uint64)
-    return out
+    return out, bits
+
+
+def _has(found: tuple[np.ndarray, int], x: np.ndarray) -> np.ndarray:
+    x = x & np.uint64((1 << found[1]) - 1)
+    return (found[0][(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63))) & np.uint64(1) != 0
+
 
+def _runs(h: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    """bucket and keys: the lower 32 bits of the hashes of each bucket, which has those of a range of upper bits; each twice at most."""
+    h, n = np.unique(np.concatenate(h), return_counts=True)
+    h = np.repeat(h, np.minimum(n, 2))
+    bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(h) else np.zeros(0, np.int64)
+    keys = (h & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
+    ends = np.append(edge[1:], len(h))
+    return pa.RecordBatch.from_arrays([pa.array(bucket[edge]), pa.array([keys[4 * a : 4 * b] for a, b in zip(edge.tolist(), ends.tolist(), strict=True)], pa.binary())], ["bucket", "keys"])
 
-def _has(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
-    x = x & np.uint64((1 << BITMAP_BITS) - 1)
-    return (bits[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63))) & np.uint64(1) != 0
+
+def _twice(table: pa.Table) -> pa.Table:
+    """applyInArrow function: the keys that a bucket holds more than once."""
+    keys = np.sort(np.frombuffer(b"".join(table["keys"].to_pylist()), "<u4"))
+    return pa.table({"key": pa.array(np.unique(keys[1:][keys[1:] == keys[:-1]]).astype(np.int64))})
 
 
 def _links_in_block(num: int, den: int):
     """applyInArrow function: links between members of two blocks that earlier links do not join, at most one fewer than members."""
 
     def run(table: pa.Table) -> pa.Table:
-        node = table["node"].to_numpy()
-        side = table["block"].to_numpy()
-        comp = table["component"].to_numpy()
+        rows, part = table["node"].to_numpy(), table["f"].to_numpy()
+        node, first_row, own = np.unique(rows, return_index=True, return_inverse=True)
+        side, comp, sizes = (table[c].to_numpy()[first_row] for c in ("block", "component", "n"))
         lists = table["elements"].combine_chunks()
-        flat, edge = lists.values.to_numpy().astype(np.int64), lists.offsets.to_numpy().astype(np.int64)
-        sizes = np.diff(edge)
-        owner = np.repeat(np.arange(len(node)), sizes)
-        flat = flat[edge[0] : edge[-1]]
-        _, code = np.unique(flat, return_inverse=True)
-        order = np.argsort(code, kind="stable")
-        posting, first = owner[order], np.concatenate([[0], np.cumsum(np.bincount(code))])
-        edge = edge - edge[0]
+        flat, edge = lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+        fragments = []  # postings of each fragment's elements
+        for f in np.unique(part):
+            at = np.flatnonzero(part == f)
+            values = np.concatenate([flat[edge[i] : edge[i + 1]] for i in at])
+            length = edge[at + 1] - edge[at]
+            _, code = np.unique(values, return_inverse=True)
+            owner = np.repeat(own[at], length)
+            order = np.argsort(code, kind="stable")
+            begin = np.full(len(node) + 1, 0)
+            np.add.at(begin, own[at] + 1, length)
+            by_owner = np.argsort(owner, kind="stable")
+            fragments.append((owner[order], np.concatenate([[0], np.cumsum(np.bincount(code))]), code[by_owner], np.cumsum(begin)))
         parent = {int(c): int(c) for c in np.unique(comp)}
 
         def top(x: int) -> int:
@@ -176,10 +223,12 @@ def _links_in_block(num: int, den: int):
         least = side.min() if len(side) else 0
         out: list[tuple[int, int]] = []
         for i in np.flatnonzero(side == least):
-            codes = code[edge[i] : edge[i + 1]]
-            lengths = first[codes + 1] - first[codes]
-            at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(first[codes], lengths)
-            both = np.bincount(posting[at], minlength=len(node))
+            both = np.zeros(len(node), np.int64)
+            for posting, first, codes, begin in fragments:  # overlaps counted by fragment, summed per pair
+                mine = codes[begin[i] : begin[i + 1]]
+                lengths = first[mine + 1] - first[mine]
+                at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(first[mine], lengths)
+                both += np.bincount(posting[at], minlength=len(node))
             hits = np.flatnonzero(den * both >= num * (sizes[i] + sizes - both))
             for j in hits[(side[hits] != least) | one_block].tolist():
                 x, y = top(int(comp[i])), top(int(comp[j]))
@@ -199,7 +248,7 @@ def _may_link(num: int, den: int):
 
     def run(table: pa.Table) -> pa.Table:
         comp, size, side = table["component"].to_numpy(), table["n"].to_numpy(), table["block"].to_numpy()
-        bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(len(comp), -1)
+        bits = table["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(comp), -1)
         may = np.zeros(len(comp), bool)
         for i in np.flatnonzero(side == side.min()):
             apart = np.bitwise_count(bits ^ bits[i]).sum(axis=1, dtype=np.int64)
@@ -230,66 +279,83 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def summaries(batches):
         for ids, s in _batches(batches, k):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), from_pandas=True), pa.array(s.size), pa.array(s.hash.view(np.int64), mask=s.size == 0)], ["id", "n", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), from_pandas=True), pa.array(s.size), pa.array(s.hash.view(np.int64), mask=s.size == 0), pa.array(s.hash_counts(num, den))], ["id", "n", "node", "hashes"])
 
-    rows = saved(docs.mapInArrow(summaries, "id long, n long, node long"), "sets")
+    rows = saved(docs.mapInArrow(summaries, "id long, n long, node long, hashes long"), "sets")
     some = docs.where("id is not null")
+    buckets = -(-(rows.agg(F.sum("hashes")).first()[0] or 1) // BUCKET)
 
     def all_hashes(batches):
+        run, n = [], 0
         for _, s in _batches(batches, k):
-            h, doc = s.fragment_hashes(num, den)
-            yield pa.RecordBatch.from_arrays([_signed(h), _signed(s.hash[doc])], ["h", "node"])
+            run.append(s.fragment_hashes(num, den)[0])
+            n += len(run[-1])
+            if n >= RUN:
+                yield _runs(run, buckets)
+                run, n = [], 0
+        if n:
+            yield _runs(run, buckets)
 
-    groups = some.mapInArrow(all_hashes, "h long, node long").groupBy("h").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("h", "hub")
-    groups = saved(groups, "groups")
-    bits = spark.sparkContext.broadcast(bitmap(groups, "h"))
+    twice = saved(some.mapInArrow(all_hashes, "bucket long, keys binary").groupBy("bucket").applyInArrow(_twice, "key long"), "twice")
+    bits = spark.sparkContext.broadcast(bitmap(twice, "key"))
 
     def shared_hashes(batches):
         for _, s in _batches(batches, k):
             h, doc = s.fragment_hashes(num, den)
             keep = _has(bits.value, h)
-            yield pa.RecordBatch.from_arrays([_signed(h[keep]), _signed(s.hash[doc[keep]])], ["h", "node"])
+            order = np.argsort(doc[keep], kind="stable")
+            h, doc = h[keep][order], doc[keep][order]
+            who, first = np.unique(doc, return_index=True)
+            for at in range(0, len(who), 2000):
+                own, edge = who[at : at + 2000], np.append(first, len(doc))[at : at + 2001]
+                words = s.bitmaps(own)
+                lists = pa.ListArray.from_arrays(pa.array(edge - edge[0], pa.int32()), _signed(h[edge[0] : edge[-1]]))
+                maps = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * words.shape[1], pa.int32()), _signed(words.ravel()))
+                yield pa.RecordBatch.from_arrays([_signed(s.hash[own]), pa.array(s.size[own]), maps, lists], ["node", "n", "bits", "hashes"])
+
+    # One row for each set with a hash that may be shared.
+    shared = saved(some.mapInArrow(shared_hashes, "node long, n long, bits array<long>, hashes array<long>").dropDuplicates(["node"]), "shared", twice)
+    hashes = shared.select("node", F.explode(F.array_distinct("hashes")).alias("h"))
+    groups = saved(hashes.groupBy("h").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("h", "hub"), "groups")
+    shares = saved(hashes.join(groups, "h").where("node <> hub"), "shares", groups)
+
+    apart = F.aggregate(F.zip_with("bits", "hub_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda total, x: total + x)
+    maps = shared.select("node", "n", "bits")
+    pairs = shares.select("hub", "node").distinct().join(maps, "node").join(maps.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("bits").alias("hub_bits")), "hub")
+    pairs = pairs.where(f"{den} * least(n, hub_n) >= {num} * greatest(n, hub_n)").where(apart * (den + num) <= (F.col("n") + F.col("hub_n")) * (den - num))
+    pairs = saved(pairs.select("hub", "node", "n", "hub_n"), "pairs")
 
-    shares = saved(some.mapInArrow(shared_hashes, "h long, node long").join(groups, "h").where("node <> hub").distinct(), "shares")
-    pairs = saved(shares.select("hub", "node").distinct(), "pairs")
-
-    # One text of each set that has a candidate.
     classes = rows.where("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("class_id"))
     classes = saved(classes, "classes")
-    nodes = pairs.select("node").union(pairs.select("hub")).distinct()
-    wanted = spark.sparkContext.broadcast(bitmap(classes.join(nodes, "node"), "class_id"))
     step = np.uint64(64 - (fragments - 1).bit_length()) if fragments > 1 else None
 
-    def segments(batches):
-        for ids, s in _batches(batches, k):
-            keep = _has(wanted.value, ids.astype(np.int64).view(np.uint64)) & (s.size > 0)
-            who = np.flatnonzero(keep)
-            element_doc = s.doc[keep[s.doc]]
-            e = s.elements[keep[s.doc]]
-            f = (e >> step).astype(np.int64) if step is not None else np.zeros(len(e), np.int64)
-            key = element_doc * 1024 + f
-            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([at, [len(e)]]), pa.int32()), pa.array(e.view(np.int64)))
-            if len(who):
-                d = element_doc[at]
-                row = np.repeat(np.arange(len(at)), np.diff(np.concatenate([at, [len(e)]])))
-                bits = np.zeros((len(at), BITS), bool)
-                bits[row, (mixed(e) >> np.uint64(64 - (BITS - 1).bit_length())).astype(np.int64)] = True
-                packed = np.packbits(bits, axis=1)
-                yield pa.RecordBatch.from_arrays([_signed(s.hash[d]), pa.array(s.size[d]), pa.array(f[at], pa.int32()), lists, pa.array([b.tobytes() for b in packed], pa.binary())], ["node", "n", "f", "elements", "bits"])
-
-    parts = saved(some.mapInArrow(segments, "node long, n long, f int, elements array<long>, bits binary"), "segments")
-
-    # Of texts with the same set one is taken.  Both sides read the one exchange by (node, f).
-    one = parts.drop("bits").dropDuplicates(["node", "f"])
+    def segments(nodes: DataFrame) -> DataFrame:
+        """node, n, f and elements: the parts of the given sets in each fragment of the order, of one text of each set."""
+        nodes = saved(nodes.distinct(), "nodes")
+        wanted = spark.sparkContext.broadcast(bitmap(classes.join(nodes, "node"), "class_id"))
+
+        def run(batches):
+            for ids, s in _batches(batches, k):
+                keep = _has(wanted.value, ids.astype(np.int64).view(np.uint64)) & (s.size > 0)
+                d, e = s.doc[keep[s.doc]], s.elements[keep[s.doc]]
+                if len(d):
+                    f = (e >> step).astype(np.int64) if step is not None else np.zeros(len(e), np.int64)
+                    at = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (f[1:] != f[:-1])]))
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(e)), pa.int32()), _signed(e))
+                    yield pa.RecordBatch.from_arrays([_signed(s.hash[d[at]]), pa.array(s.size[d[at]]), pa.array(f[at], pa.int32()), lists], ["node", "n", "f", "elements"])
+
+        parts = some.mapInArrow(run, "node long, n long, f int, elements array<long>")
+        return saved(parts.join(nodes, "node", "left_semi").dropDuplicates(["node", "f"]), "segments", nodes)
+
+    parts = segments(pairs.select("node").union(pairs.select("hub")))
     in_parts = F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))).alias("f")
     # The second join has another key than its sides lie by, so both are dealt out, and Spark can split a hub with many candidates.
     place = F.xxhash64("hub", "f").alias("place")
-    left = pairs.select("hub", "node", in_parts).join(one, ["node", "f"]).select("*", place)
-    right = one.select(F.col("node").alias("hub"), "f", F.col("n").alias("hub_n"), F.col("elements").alias("hub_elements")).join(pairs.select("hub").distinct().select("hub", in_parts), ["hub", "f"], "left_semi").select("*", place)
+    left = pairs.select("hub", "node", "n", "hub_n", in_parts).join(parts.drop("n"), ["node", "f"]).select("*", place)
+    right = parts.select(F.col("node").alias("hub"), "f", F.col("elements").alias("hub_elements")).join(pairs.select("hub").distinct(), "hub", "left_semi").select("*", place)
     partial = left.join(right, ["place", "hub", "f"]).select("hub", "node", "n", "hub_n", F.size(F.array_intersect("elements", "hub_elements")).cast("long").alias("both"))
     links = partial.groupBy("hub", "node", "n", "hub_n").agg(F.sum("both").alias("both")).where(f"{den} * both >= {num} * (n + hub_n - both)")
-    links = saved(links.select(F.col("hub").alias("a"), F.col("node").alias("b")), "links")
+    links = saved(links.select(F.col("hub").alias("a"), F.col("node").alias("b")), "links", parts, pairs)
 
     # What the pairs with the smallest leave open: groups whose other members lie in several components.  Of groups of the
     # same members, as a pair that shares several fragments makes them, one is compared.
@@ -306,23 +372,18 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         own = members.withColumn("blocks", F.ceil(F.col("members") / rows).cast("int")).withColumn("block", F.expr("pmod(xxhash64(node), blocks)").cast("int"))
         return own.withColumn("against", F.explode(F.expr("sequence(0, blocks - 1)"))).select("h", "node", "component", "block", F.least("block", "against").alias("i"), F.greatest("block", "against").alias("j"))
 
-    members = saved(state.join(different(state), "h"), "members")
-    open_parts = parts.join(members.select("node").distinct(), "node", "left_semi")
-    no_bits = F.unhex(F.lit("00" * (BITS // 8)))
-    by_part = F.map_from_entries(F.collect_list(F.struct("f", "bits")))
-    every_part = F.concat(*(F.coalesce(F.try_element_at(by_part, F.lit(f)), no_bits) for f in range(fragments)))
-    bitmaps = open_parts.drop("elements").dropDuplicates(["node", "f"]).groupBy("node", "n").agg(every_part.alias("bits"))
-    may = in_blocks(members, 4 * block).join(bitmaps, "node").groupBy("h", "i", "j").applyInArrow(_may_link(num, den), "h long, node long").distinct()
-    left_over = saved(state.join(may, ["h", "node"]), "left-over")
-    # What is left is in many groups together; groups that share members are compared as one, so each set is sent once.
-    least_of = left_over.groupBy("h").agg(F.min("node").alias("least"))
-    together = connected_components(left_over.join(least_of, "h").select("least", "node"), "least", "node").select("node", F.col("component").alias("h"))
-    counted = left_over.select("node", "component").distinct().join(together, "node")
-    counted = saved(counted.join(counted.groupBy("h").agg(F.count("*").alias("members")), "h"), "counted")
-    whole = open_parts.drop("bits").join(counted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node", "f"])
-    whole = whole.groupBy("node").agg(F.flatten(F.collect_list("elements")).alias("elements"))
-    more = in_blocks(counted, block).join(whole, "node").groupBy("h", "i", "j").applyInArrow(_links_in_block(num, den), "a long, b long")
-    reached = connected_components(links.union(more))
+    members = saved(state.join(different(state), "h"), "members", shares)
+    may = in_blocks(members, 4 * block).join(maps, "node").groupBy("h", "i", "j").applyInArrow(_may_link(num, den), "h long, node long").distinct()
+    left_over = saved(state.join(may, ["h", "node"]), "left-over", members, state, shared)
+    reached = joined
+    if not left_over.isEmpty():
+        # What is left is in many groups together; groups that share members are compared as one, so each set is sent once.
+        least_of = left_over.groupBy("h").agg(F.min("node").alias("least"))
+        together = connected_components(left_over.join(least_of, "h").select("least", "node"), "least", "node").select("node", F.col("component").alias("h"))
+        counted = left_over.select("node", "component").distinct().join(together, "node")
+        counted = saved(counted.join(counted.groupBy("h").agg(F.count("*").alias("members")), "h"), "counted")
+        more = in_blocks(counted, block).join(segments(counted.select("node")), "node").groupBy("h", "i", "j").applyInArrow(_links_in_block(num, den), "a long, b long")
+        reached = connected_components(links.union(more))
 
     least = reached.join(classes, "node").groupBy("component").agg(F.min("class_id").alias("component_id"))
     label = reached.join(least, "component").select("node", "component_id")
