@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import saved
+from .scratch import saved, small_batches
 from .textarrays import Words, chunks, mixed
 
 NONE = "und"
@@ -278,6 +278,7 @@ def identify_languages(df: DataFrame, training: DataFrame, text_col: str = "text
     language and its trigrams are as likely in the learned languages as those of the training rows of lang_pred (see
     `least_fits`).
     """
+    small_batches(df.sparkSession)
     usable = training.where("text is not null and lang is not null")
     names, table = counted(usable)
     least = None if fence is None else least_fits(usable, names, table, fence)

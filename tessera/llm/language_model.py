@@ -1,128 +1,246 @@
-"""Modified Kneser-Ney models of the characters of words, one for each language, in sorted hash arrays.
+"""Modified Kneser-Ney models of characters, one for each language, counted by Spark and stored in sorted hash arrays.
 
-Characters are taken as 32 symbols: the border of a word, a to z, digits, marks of punctuation, other ASCII, and two
-classes of all other characters.  A model of n-grams of four symbols then has at most 32 ** 4 n-grams, so it can be built
-and broadcast whole however large the corpus is, while its counts come from every word of every text.
-
-A word's probability does not depend on the words around it, so each distinct word of a batch is scored once.
+A text is taken as its code points, with one space for each run of white space; n-grams of five of them may cross words.
+The models of all languages are one table of 64-bit hashes and numbers, cut into ranges of hashes: files of bounded size
+with a sorted array each, in the folder that driver and executors share.  It grows with the corpus, so it is neither
+broadcast nor collected.  A task looks up the different n-grams of a run of texts, in order, file by file.
 """
 
 from __future__ import annotations
 
-import numpy as np
+import re
+from collections import OrderedDict
+from collections.abc import Iterator
 
-from .textarrays import Words, mixed
-
-SYMBOLS, ORDER = 32, 4
-_BITS = 5
-_SYMBOL = np.zeros(256, np.int64)
-_SYMBOL[:] = 29
-_SYMBOL[list(b"0123456789")] = 27
-_SYMBOL[list(b".,;:!?'\"()-")] = 28
-_SYMBOL[65:91] = _SYMBOL[97:123] = np.arange(1, 27)
-_SYMBOL[0xC0:] = 30
-_CONTINUES = np.zeros(256, bool)
-_CONTINUES[0x80:0xC0] = True
-
-
-def word_grams(w: Words, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The packed four symbols that end in each character, or the end, of each of the given words; and the word's place."""
-    data, of = w.bytes_of(words)
-    symbol = _SYMBOL[data]
-    wide = np.flatnonzero(data >= 0xC0)
-    if len(wide):  # of two classes by the parity of the second byte
-        symbol[wide] += data[np.minimum(wide + 1, len(data) - 1)] & 1
-    head = ~_CONTINUES[data]
-    symbol, of = symbol[head], of[head]
-    n = np.bincount(of, minlength=len(words))
-    size = n + ORDER  # three borders before, one after
-    begin = np.cumsum(size) - size
-    row = np.zeros(size.sum(), np.int64)
-    row[np.repeat(begin + ORDER - 1, n) + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)] = symbol
-    packed = row.copy()
-    for j in range(1, ORDER):
-        packed[j:] |= row[:-j] << (_BITS * j)
-    places = np.arange(len(row)) - np.repeat(begin, size) >= ORDER - 1
-    return packed[places] & (SYMBOLS**ORDER - 1), np.repeat(np.arange(len(words)), size)[places]
-
-
-def _discounts(counts: np.ndarray) -> np.ndarray:
-    """The discount of n-grams by their count: of 0, 1, 2, and 3 or more."""
-    n = [0, *(int((counts == k).sum()) for k in range(1, 5))]
-    y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
-    raw = [k - (k + 1) * y * n[k + 1] / n[k] if n[k] else 0.5 * k for k in (1, 2, 3)]
-    return np.array([0.0, *(min(max(d, 0.05), k) for k, d in zip((1, 2, 3), raw, strict=True))])
-
-
-def smoothed(counts: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Probability of each n-gram and weight of each context, for orders 1 to 4; arrays over all packed n-grams.
-
-    counts: of n-grams of four symbols.  Lower orders count the different symbols before an n-gram.
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .scratch import dropped, new_folder, saved
+from .textarrays import chunks, mixed
+
+ORDER = 5
+#: Entries of a file of the model; bytes of files that a Python worker keeps; n-grams that a task counts at once.
+FILE_ENTRIES, CACHE_BYTES, RUN = 1 << 20, 96_000_000, 1 << 20
+#: Places of texts that are handled at once.
+STEP = 1 << 20
+#: Texts are taken in runs of so many bytes; the longer, the fewer n-grams are different.
+TEXT_BYTES = 1_500_000
+_SPACES = re.compile(r"[\x20\x09-\x0D]+")
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Kinds of entries: what is left of an n-gram's count after the discount; a context's sums of counts and of discounts; the
+#: share of a character that a language does not have.
+LEFT, CONTEXT, UNSEEN = range(3)
+
+
+def language_keys(names: list[str]) -> np.ndarray:
+    """A 64-bit number for each language's name."""
+    out = np.zeros(len(names), np.uint64)
+    for i, name in enumerate(names):
+        for c in name.encode("utf-8", "surrogatepass") + b"\xff":
+            out[i : i + 1] = mixed(out[i : i + 1] * _ODD + np.uint64(c + 1))
+    return out
+
+
+def places(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, ORDER) code points that end in each place of the texts, and the text of each, in runs of at most STEP.
+
+    A text has a place for each character and one for its end, a space; before it come spaces.  Runs of white space are one
+    character, so no two spaces in a row occur elsewhere.  A text without a word has no places.
+    """
+    plain = [_SPACES.sub(" ", t).strip(" ").replace("\0", "�") if t else "" for t in texts]
+    before = " " * (ORDER - 1)
+    points = np.frombuffer("".join(before + t + " " for t in plain if t).encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = np.array([len(t) + ORDER if t else 0 for t in plain], np.int64)
+    doc = np.repeat(np.arange(len(plain)), size)
+    place = np.arange(len(points)) - np.repeat(np.cumsum(size) - size, size)
+    ends = np.flatnonzero(place >= ORDER - 1)
+    for at in range(0, len(ends), STEP):
+        own = ends[at : at + STEP]
+        yield np.stack([points[own - j] for j in range(ORDER - 1, -1, -1)], axis=1), doc[own]
+
+
+def _distinct(points: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each different n-gram, and which of them each is; they are told apart with their key by a 64-bit hash."""
+    h = key.copy()
+    for j in range(points.shape[1]):
+        h *= _ODD
+        h += points[:, j]
+    order = np.argsort(h)
+    h = h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    of = np.empty(len(h), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return order[new], of
+
+
+def count_grams(docs: DataFrame) -> DataFrame:
+    """lang, gram, n: how often each run of ORDER characters occurs in all texts of docs (lang, text)."""
+
+    def run(batches):
+        grams, langs, counts, n = [], [], [], 0
+
+        def merged():
+            points, lang, count = np.concatenate(grams), np.concatenate(langs), np.concatenate(counts)
+            names, of = np.unique(lang, return_inverse=True)
+            first, inverse = _distinct(points, language_keys(names.tolist())[of])
+            return points[first], lang[first], np.bincount(inverse, count).astype(np.int64)
+
+        def rows(points, lang, count):
+            text = np.ascontiguousarray(points).view(f"<U{ORDER}")[:, 0]
+            return pa.RecordBatch.from_arrays([pa.array(lang.tolist(), pa.string()), pa.array(text.tolist(), pa.string()), pa.array(count)], ["lang", "gram", "n"])
+
+        for batch in batches:
+            names = np.array(batch.column(0).to_pylist(), object)
+            for begin, texts in chunks(batch.column(1), TEXT_BYTES):
+                own = names[begin : begin + len(texts)].astype(str)
+                for points, doc in places(texts):
+                    known, of = np.unique(own, return_inverse=True)
+                    first, inverse = _distinct(points, language_keys(known.tolist())[of[doc]])
+                    grams.append(points[first])
+                    langs.append(own[doc[first]].astype(object))
+                    counts.append(np.bincount(inverse))
+                    n += len(first)
+                    if n > 2 * RUN:
+                        points, lang, count = merged()
+                        if len(points) > RUN:
+                            yield rows(points, lang, count)
+                            grams, langs, counts, n = [], [], [], 0
+                        else:
+                            grams, langs, counts, n = [points], [lang], [count], len(points)
+        if n:
+            yield rows(*merged())
+
+    return docs.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def _discounts(level: DataFrame) -> DataFrame:
+    """lang and the discounts d1, d2, d3 of counts of 1, 2, and 3 or more, from how many n-grams have each count."""
+    n = level.groupBy("lang").agg(*[F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4)])
+    y = F.when(F.col("n1") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.5)
+    raw = lambda k: F.when(F.col(f"n{k}") > 0, k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")).otherwise(0.5 * k)
+    return n.select("lang", *[F.least(F.greatest(raw(k), F.lit(0.05)), F.lit(float(k))).alias(f"d{k}") for k in (1, 2, 3)])
+
+
+def entries(docs: DataFrame) -> tuple[DataFrame, int, list[DataFrame]]:
+    """kind, size, lang, gram, value and more of all entries of the models, an upper bound of their number, and saved tables.
+
+    Of ORDER characters the occurrences are counted, of fewer the different characters before them.
+    """
+    level, out, most, levels = saved(count_grams(docs), "grams"), [], 0, []
+    entry = lambda kind, size, df, value, more: df.select(F.lit(kind).alias("kind"), F.lit(size).alias("size"), "lang", "gram", value.cast("double").alias("value"), more.cast("double").alias("more"))
+    for order in range(ORDER, 0, -1):
+        levels.append(level)
+        most += 2 * level.count()
+        took = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        discounted = level.join(F.broadcast(_discounts(level)), "lang").withColumn("took", took)  # a row for each language
+        sums = discounted.groupBy("lang", F.substring("gram", 1, order - 1).alias("gram")).agg(F.sum("n").alias("total"), F.sum("took").alias("weight"))
+        out += [entry(LEFT, order, discounted, F.col("n") - F.col("took"), F.lit(0)), entry(CONTEXT, order - 1, sums, F.col("total"), F.col("weight"))]
+        if order > 1:
+            level = saved(level.groupBy("lang", F.substring("gram", 2, order - 1).alias("gram")).agg(F.count("*").alias("n")), "grams")
+    out.append(entry(UNSEEN, 0, level.groupBy("lang").agg((1 / (F.count("*") + 1)).alias("value")).withColumn("gram", F.lit("")), F.col("value"), F.lit(0)))
+    whole = out[0]
+    for part in out[1:]:
+        whole = whole.unionByName(part)
+    return whole, most, levels
+
+
+def _keys(kind: int, languages: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Hashes of entries, as signed numbers: of rows of code points, with each row's key of a language."""
+    h = mixed(languages + np.uint64(8 * points.shape[1] + kind + 1))
+    for j in range(points.shape[1]):
+        h = mixed(h * _ODD + points[:, j])
+    return h.view(np.int64)
+
+
+def _code_points(grams: list[str], size: int) -> np.ndarray:
+    return np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(grams), size)
+
+
+def train(docs: DataFrame) -> list[tuple[str, int, int]]:
+    """Writes the models of all languages of docs (lang, text); files with the smallest and largest hash of each, in order."""
+    spark = docs.sparkSession
+    rows, most, levels = entries(docs)
+
+    def run(batches):
+        for batch in batches:
+            kind, size = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            names, of = np.unique(np.array(batch.column(2).to_pylist(), object).astype(str), return_inverse=True)
+            keys, grams = language_keys(names.tolist())[of], np.array(batch.column(3).to_pylist(), object)
+            out = np.zeros(len(kind), np.int64)
+            for k, n in {(int(k), int(n)) for k, n in zip(kind, size, strict=True)}:
+                own = np.flatnonzero((kind == k) & (size == n))
+                out[own] = _keys(k, keys[own], _code_points(grams[own].tolist(), n) if n else np.zeros((len(own), 0), np.uint32))
+            yield pa.RecordBatch.from_arrays([pa.array(out), batch.column(4), batch.column(5)], ["h", "value", "more"])
+
+    path = new_folder(spark, "model")
+    table = rows.mapInArrow(run, "h long, value double, more double").repartitionByRange(max(1, -(-most // FILE_ENTRIES)), "h").sortWithinPartitions("h")
+    table.write.parquet(path)
+    dropped(*levels)
+    files = spark.read.schema("h long").parquet(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min("h").alias("low"), F.max("h").alias("high"))
+    return sorted(((r["file"], r["low"], r["high"]) for r in files.collect()), key=lambda x: x[1])  # one for each million entries
+
+
+_CACHE: OrderedDict[str, tuple[np.ndarray, np.ndarray]] = OrderedDict()
+
+
+def _arrays(file: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and pairs of numbers of a file; a Python worker keeps those read last, up to CACHE_BYTES."""
+    if file in _CACHE:
+        _CACHE.move_to_end(file)
+        return _CACHE[file]
+    system, path = fs.FileSystem.from_uri(file)
+    table = pq.read_table(path, columns=["h", "value", "more"], filesystem=system)
+    _CACHE[file] = table["h"].to_numpy(), np.stack([table["value"].to_numpy(), table["more"].to_numpy()], axis=1).astype(np.float32)
+    while len(_CACHE) > 1 and sum(16 * len(h) for h, _ in _CACHE.values()) > CACHE_BYTES:
+        _CACHE.popitem(last=False)
+    return _CACHE[file]
+
+
+def look_up(files: list[tuple[str, int, int]], keys: np.ndarray) -> np.ndarray:
+    """The two numbers of each key, 0 for those that the model does not have."""
+    keys, of = np.unique(keys, return_inverse=True)
+    out = np.zeros((len(keys), 2), np.float32)
+    for file, low, high in files:
+        a, b = np.searchsorted(keys, low), np.searchsorted(keys, high, side="right")
+        if a < b:
+            h, values = _arrays(file)
+            at = np.minimum(np.searchsorted(h, keys[a:b]), len(h) - 1)
+            out[a:b] = np.where((h[at] == keys[a:b])[:, None], values[at], 0)
+    return out[of].astype(np.float64)
+
+
+def log_probabilities(files: list[tuple[str, int, int]], languages: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Natural logarithm of the probability of the last of each row's code points after the others, in the language of each key.
+
+    A language that the model does not have gives every character the same small share.
     """
-    by_order = [counts.reshape([SYMBOLS] * ORDER)]
-    for _ in range(ORDER - 1):
-        by_order.insert(0, (by_order[0] > 0).sum(axis=0))
-    lower, probabilities, weights = np.full(SYMBOLS, 1 / SYMBOLS), [], []
-    for c in by_order:
-        d = _discounts(c)
-        took = d[np.minimum(c, 3)]
-        total = c.sum(axis=-1, keepdims=True)
-        weight = np.where(total > 0, took.sum(axis=-1, keepdims=True) / np.maximum(total, 1), 1.0)
-        lower = np.where(total > 0, (c - took) / np.maximum(total, 1), 0.0) + weight * lower
-        probabilities.append(lower)
-        weights.append(weight[..., 0])
-    return probabilities, weights
-
-
-class HashModel:
-    """Models of several languages: sorted hashes with a log probability, or a log weight, each."""
-
-    def __init__(self, counts: dict[int, np.ndarray]):
-        """counts: of packed n-grams of four symbols, as an array of 32 ** 4, by the language's number."""
-        grams, contexts = [], []
-        for language, c in counts.items():
-            p, g = smoothed(c)
-            seen = c.reshape([SYMBOLS] * ORDER) > 0
-            for order in range(ORDER, 0, -1):
-                at = np.flatnonzero(seen.ravel())
-                grams.append((self.key(language, order, at), np.log(p[order - 1].ravel()[at])))
-                seen = seen.any(axis=-1)  # of contexts
-                at = np.flatnonzero(seen.ravel())
-                contexts.append((self.key(language, order, at), np.log(g[order - 1].ravel()[at])))
-                seen = (c.reshape([SYMBOLS] * ORDER) > 0).any(axis=tuple(range(ORDER - order + 1)))
-        self.grams, self.contexts = self._sorted(grams), self._sorted(contexts)
-
-    @staticmethod
-    def key(language: int | np.ndarray, order: int, packed: np.ndarray) -> np.ndarray:
-        head = np.asarray(language, np.uint64) << np.uint64(40)
-        return mixed(head + np.uint64(order << 32) + packed.astype(np.uint64) + np.uint64(1))
-
-    @staticmethod
-    def _sorted(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        keys = np.concatenate([k for k, _ in parts]) if parts else np.zeros(0, np.uint64)
-        values = np.concatenate([v for _, v in parts]).astype(np.float32) if parts else np.zeros(0, np.float32)
-        order = np.argsort(keys)
-        return keys[order], values[order]
-
-    @staticmethod
-    def _find(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(table[0]):
-            return np.zeros(len(keys), bool), np.zeros(len(keys), np.float32)
-        at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
-        return table[0][at] == keys, table[1][at]
-
-    def log_probabilities(self, language: np.ndarray, packed: np.ndarray) -> np.ndarray:
-        """Natural logarithm of the probability of the last symbol of each packed n-gram after the three before it."""
-        out = np.zeros(len(packed))
-        rest = np.arange(len(packed))
-        for order in range(ORDER, 0, -1):
-            own = packed[rest] & (SYMBOLS**order - 1)
-            found, value = self._find(self.grams, self.key(language[rest], order, own))
-            out[rest[found]] += value[found]
-            rest, own = rest[~found], own[~found]
-            if not len(rest):
-                return out
-            found, value = self._find(self.contexts, self.key(language[rest], order, own >> _BITS))
-            out[rest[found]] += value[found]
-        out[rest] -= np.log(SYMBOLS)
-        return out
+    wanted, orders = [], []  # of each order the different n-grams and contexts, the longest first
+    for _ in range(ORDER):
+        first, context = _distinct(points[:, :-1], languages)
+        wanted += [_keys(LEFT, languages, points), _keys(CONTEXT, languages[first], points[first, :-1])]
+        shorter, of = _distinct(points[:, 1:], languages)
+        orders.append((context, of))
+        languages, points = languages[shorter], points[shorter, 1:]
+    wanted.append(_keys(UNSEEN, languages, points))
+    found = np.split(look_up(files, np.concatenate(wanted)), np.cumsum([len(x) for x in wanted])[:-1])
+    p = np.where(found[-1][:, 0] > 0, found[-1][:, 0], 1 / 0x110000)
+    for k in range(ORDER - 1, -1, -1):
+        context, of = orders[k]
+        total, weight = found[2 * k + 1][context].T
+        p = np.where(total > 0, (found[2 * k][:, 0] + weight * p[of]) / np.maximum(total, 1), p[of])
+    return np.log(p)
+
+
+def score(files: list[tuple[str, int, int]], texts: list[str | None], languages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of the log probabilities of all places of each text in the language of its key, and the number of places."""
+    total, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+    for points, doc in places(texts):
+        first, of = _distinct(points, languages[doc])
+        total += np.bincount(doc, log_probabilities(files, languages[doc[first]], points[first])[of], len(texts))
+        n += np.bincount(doc, minlength=len(texts))
+    return total, n

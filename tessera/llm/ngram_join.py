@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import saved
+from .scratch import saved, small_batches
 from .textarrays import Words, chunks, mixed, run_hash
 
 #: Bits of a bitmap by which tasks tell what they need not send: 16 for each value, 2 ** 28 (32 MB) at most.
@@ -275,6 +275,7 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Sets are told apart by 64-bit hashes; N different sets give N * N / 2**65 mistaken ones to expect.
     """
     spark = df.sparkSession
+    small_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def summaries(batches):

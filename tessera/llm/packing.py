@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import saved
+from .scratch import saved, small_batches
 from .textarrays import chunks
 from .tokens import END_ID, ids_crc32, tokenizer, vocabulary_path
 
@@ -155,6 +155,7 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     place_col: a whole number from 0 that sequences follow.  Pieces are then dealt by ranges of places and not by a hash,
     bins are exchanged between neighbouring ranges only, and sequences are numbered from 0 by the mean place of their ids.
     """
+    small_batches(df.sparkSession)
     placed = place_col is not None
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *([F.col(place_col).cast("long").alias("place")] if placed else []))
     cut = saved(pieces(docs, capacity, vocabulary or vocabulary_path()), "pieces")

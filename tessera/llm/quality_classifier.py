@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .boosting import Trees, fit
 from .quality_rules import base_counts
-from .scratch import saved
+from .scratch import saved, small_batches
 from .textarrays import Words, chunks, mixed
 
 FEATURES = (
@@ -99,6 +99,7 @@ def classify_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     others, by statistics that are all 0.  Without both labels every score is the share of label 1 (0.5 without labels).
     Repeated rows and rows without an id are rows like others.  Other columns are not read.  An empty df gives no rows.
     """
+    small_batches(df.sparkSession)
     stats = saved(text_statistics(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))), "statistics")
     model = df.sparkSession.sparkContext.broadcast(train(stats, labels, most_rows))
 

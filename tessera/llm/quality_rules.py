@@ -2,23 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .language_model import ORDER, SYMBOLS, HashModel, word_grams
-from .scratch import saved
+from .language_model import TEXT_BYTES, language_keys, score, train
+from .scratch import saved, small_batches
 from .textarrays import Words, chunks, mixed, repeated
 
-#: Languages with a model of their own; all other rows, and rows without a language, share one.
-LANGUAGES = ("de", "en", "es", "fr")
 WINDOW, LEAST_WORDS, MOST_REPEATED_PERCENT = 5, 10, 20
 #: Tukey's fence, in distances between the quartiles: of normally spread texts it leaves out 0.7 %.
 FENCE = 1.5
-_ODD = np.uint64(0x9E3779B97F4A7C15)
 _MARKS = np.zeros(256, bool)
 _MARKS[list(b"#*$%&|<>")] = True
 
@@ -42,54 +37,6 @@ def base_counts(w: Words) -> dict[str, np.ndarray]:
     }
 
 
-def _batches(batches: Iterator[pa.RecordBatch], numbers: dict[str, int]) -> Iterator[tuple[list, np.ndarray, Words]]:
-    """Ids, numbers of the languages and words of runs of rows (id, lang, text)."""
-    for batch in batches:
-        ids, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for begin, texts in chunks(batch.column(2)):
-            part = slice(begin, begin + len(texts))
-            yield ids[part], np.array([numbers.get(x, len(numbers)) for x in langs[part]], np.int64), Words(texts)
-
-
-def _distinct(w: Words, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A word of each distinct (language, word) of a batch; which of them each word is; their numbers."""
-    key = w.hashes() ^ mixed(lang[w.doc].astype(np.uint64) + _ODD)
-    _, first, of, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-    return first, of, n
-
-
-def count_grams(docs: DataFrame, numbers: dict[str, int]) -> DataFrame:
-    """language, gram, n: how often each n-gram of four symbols occurs in the words of all texts.
-
-    Each task adds up its counts before they are shuffled, so it sends at most 32 ** 4 rows for each language.
-    """
-
-    def run(batches):
-        total: dict[int, np.ndarray] = {}
-        for _, lang, w in _batches(batches, numbers):
-            first, _, n = _distinct(w, lang)
-            gram, of = word_grams(w, first)
-            for x in np.unique(lang).tolist():
-                own = lang[w.doc[first[of]]] == x
-                counts = total.setdefault(x, np.zeros(SYMBOLS**ORDER, np.int64))
-                counts += np.bincount(gram[own], n[of[own]], SYMBOLS**ORDER).astype(np.int64)
-        for x, counts in total.items():
-            at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), x), pa.int32()), pa.array(at, pa.int32()), pa.array(counts[at])], ["language", "gram", "n"])
-
-    return docs.mapInArrow(run, "language int, gram int, n long").groupBy("language", "gram").agg(F.sum("n").alias("n"))
-
-
-def train(docs: DataFrame, numbers: dict[str, int]) -> HashModel:
-    """The languages' models, from the words of all rows of docs (id, lang, text)."""
-    rows = count_grams(docs, numbers).toPandas()  # at most 32 ** 4 for each language
-    counts = {}
-    for language, own in rows.groupby("language"):
-        counts[int(language)] = np.zeros(SYMBOLS**ORDER, np.int64)
-        counts[int(language)][own["gram"].to_numpy()] = own["n"].to_numpy()
-    return HashModel(counts)
-
-
 def with_limits(scored: DataFrame, fence: float = FENCE) -> DataFrame:
     """scored (language, n_words, log_perplexity) with low and high, and inside: whether the log perplexity is between them.
 
@@ -104,41 +51,42 @@ def with_limits(scored: DataFrame, fence: float = FENCE) -> DataFrame:
     q = [F.col("q")[i] for i in range(3)]
     limits = texts.join(F.broadcast(middle), "language").groupBy("language", "middle").agg(F.percentile(distance, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
     limits = limits.select("language", "middle", (q[0] - (q[1] - q[0]) * 2 * fence).alias("below"), (q[2] + (q[2] - q[1]) * 2 * fence).alias("above"))
-    # One row for each of the named languages and the rest.
+    # One row for each language.
     out = scored.join(F.broadcast(limits), "language", "left")
     inside = F.coalesce(distance.between(F.col("below"), F.col("above")), F.lit(False))
     return out.withColumns({"low": F.col("middle") + F.col("below") / root, "high": F.col("middle") + F.col("above") / root, "inside": inside})
 
 
-def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", languages: tuple[str, ...] = LANGUAGES, fence: float = FENCE) -> DataFrame:
+def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fence: float = FENCE) -> DataFrame:
     """One row for each row of df: id, the base counts, log_perplexity (for each character), low, high, base_failed, kept.
 
     Words are runs of characters outside space and U+0009..U+000D.  base_failed: fewer than 10 words, or more than 20 %
     of the words in five-word windows that the text repeats.  A document is kept if it passes and its log perplexity
     lies between low and high, the limits for its language and number of words (see `with_limits`).
 
-    Null and empty texts have counts of 0 and a null log perplexity, and fail.  A null or unlisted language is one language
-    of its own.  Repeated rows and null ids are rows like others.  Other columns are not read.  An empty df gives no rows.
+    Every value of the language column has a model and limits of its own, null too.  Null and empty texts have counts of 0
+    and a null log perplexity, and fail.  Repeated rows and null ids are rows like others.  Other columns are not read.
+    An empty df gives no rows.
     """
     spark = df.sparkSession
-    numbers = {x: n for n, x in enumerate(languages)}
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    model = spark.sparkContext.broadcast(train(docs, numbers))
+    small_batches(spark)
+    language = F.coalesce(F.col(lang_col).cast("string"), F.lit(""))
+    docs = df.select(F.col(id_col).cast("long").alias("id"), language.alias("lang"), F.col(text_col).alias("text"))
+    files = spark.sparkContext.broadcast(train(docs.select("lang", "text")))  # names of files, one for each million entries
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
     def run(batches):
-        for ids, lang, w in _batches(batches, numbers):
-            counts = base_counts(w)
-            first, of, _ = _distinct(w, lang)
-            gram, word = word_grams(w, first)
-            logs = model.value.log_probabilities(lang[w.doc[first]][word], gram)
-            total = np.bincount(w.doc, np.bincount(word, logs, len(first))[of], w.n_texts)
-            chars = np.bincount(w.doc, np.bincount(word, minlength=len(first))[of], w.n_texts)
-            score = -total / np.maximum(chars, 1)
-            arrays = [pa.array(ids, pa.int64()), pa.array(lang, pa.int32()), *(pa.array(counts[c].astype(np.int64)) for c in base), pa.array(score, mask=chars == 0)]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "language", *base, "log_perplexity"])
-
-    scored = saved(docs.mapInArrow(run, f"id long, language int, {', '.join(f'{c} long' for c in base)}, log_perplexity double"), "perplexity")
+        for batch in batches:
+            for begin, texts in chunks(batch.column(2), TEXT_BYTES):
+                parts = [base_counts(Words(own)) for _, own in chunks(batch.column(2).slice(begin, len(texts)))]
+                counts = {c: np.concatenate([x[c] for x in parts]) for c in base}
+                part = batch.slice(begin, len(texts))
+                names, of = np.unique(np.array(part.column(1).to_pylist(), object).astype(str), return_inverse=True)
+                total, n = score(files.value, texts, language_keys(names.tolist())[of])
+                arrays = [part.column(0), part.column(1), *(pa.array(counts[c].astype(np.int64)) for c in base), pa.array(-total / np.maximum(n, 1), mask=n == 0)]
+                yield pa.RecordBatch.from_arrays(arrays, ["id", "language", *base, "log_perplexity"])
+
+    scored = saved(docs.mapInArrow(run, f"id long, language string, {', '.join(f'{c} long' for c in base)}, log_perplexity double"), "perplexity")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     out = with_limits(scored, fence).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & F.col("inside"))
     return out.select(F.col("id").alias(id_col), *base, "log_perplexity", "low", "high", "base_failed", "kept")

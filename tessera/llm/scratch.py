@@ -26,6 +26,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder if "://" in folder or folder.startswith("file:") else "file://" + folder
 
 
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Lets Spark hand rows to Python in Arrow batches of this size, unless the session's user has set another one.
+
+    A batch is held by the JVM and by Python at once; operators on whole texts gain nothing from large ones.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":  # Spark's default
+        spark.conf.set(name, size)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path of its own for each call, so two runs never share files."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import new_folder
+from .scratch import new_folder, small_batches
 from .textarrays import chunks
 from .tokens import END_ID, ids_crc32, tokenizer, vocabulary_path
 
@@ -106,6 +106,7 @@ def write_token_files(df: DataFrame, folder: str, id_col: str = "doc_id", text_c
     order.  Other columns are not read.  An empty df gives no shards.
     """
     spark = df.sparkSession
+    small_batches(df.sparkSession)
     vocabulary = vocabulary or vocabulary_path()
     width = 2 if tokenizer(vocabulary).tokenizer.get_vocab_size() <= 1 << 16 else 4
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

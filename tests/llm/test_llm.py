@@ -144,17 +144,71 @@ def test_perplexity_alone_rejects_junk(spark):
     assert not any(out[i]["kept"] for i in range(len(clean), len(clean) + len(junk)))
     assert sum(out[i]["kept"] for i in range(len(clean))) >= 0.96 * len(clean)
 
-
-def test_model_adds_up_and_finds_what_is_stored():
-    from tessera.llm.language_model import ORDER, SYMBOLS, HashModel, smoothed
+def kneser_ney_by_hand(texts, order=5):
+    """Probability of a character after the others: the formula on dictionaries, interpolated from the shortest order up."""
+    counts = [{} for _ in range(order + 1)]
+    for t in texts:
+        t = re.sub(r"[\x20\x09-\x0D]+", " ", t or "").strip(" ")
+        padded = " " * (order - 1) + t + " "
+        for i in range(order - 1, len(padded) if t else 0):
+            g = padded[i - order + 1 : i + 1]
+            counts[order][g] = counts[order].get(g, 0) + 1
+    for o in range(order - 1, 0, -1):
+        for g in counts[o + 1]:
+            counts[o][g[1:]] = counts[o].get(g[1:], 0) + 1
+    discounts = {}
+    for o in range(1, order + 1):
+        n = [sum(c == k for c in counts[o].values()) for k in range(5)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+        raw = [k - (k + 1) * y * n[k + 1] / n[k] if n[k] else 0.5 * k for k in (1, 2, 3)]
+        discounts[o] = [0.0] + [min(max(d, 0.05), k) for k, d in zip((1, 2, 3), raw, strict=True)]
+
+    def p(gram):
+        if not gram:
+            return 1 / (len(counts[1]) + 1)
+        o = len(gram)
+        after = {g: c for g, c in counts[o].items() if g[:-1] == gram[:-1]}
+        total = sum(after.values())
+        if not total:
+            return p(gram[1:])
+        took = lambda c: discounts[o][min(c, 3)]
+        c = after.get(gram, 0)
+        return (c - took(c) + sum(map(took, after.values())) * p(gram[1:])) / total
+
+    return p
+
+
+def test_model_is_kneser_ney(spark):
+    from tessera.llm import language_model as lm
 
     rng = np.random.default_rng(1)
-    counts = np.zeros(SYMBOLS**ORDER, np.int64)
-    counts[rng.integers(0, SYMBOLS**ORDER, 5000)] = rng.integers(1, 9, 5000)
-    p, _ = smoothed(counts)
-    assert np.allclose(p[-1].sum(axis=-1), 1) and p[-1].min() > 0
-    grams = rng.integers(0, SYMBOLS**ORDER, 3000)
-    assert np.allclose(HashModel({2: counts}).log_probabilities(np.full(3000, 2), grams), np.log(p[-1].ravel()[grams]), atol=1e-4)
+    texts = {x: ["".join(rng.choice(list(letters), rng.integers(1, 60))) for _ in range(40)] for x, letters in (("a", "abc é漢 \n"), ("b", "ab\U0001f600  "))}
+    texts["a"] += [None, "", " \t", "a" * 50]
+    rows = [(x, t) for x, own in texts.items() for t in own]
+    files = lm.train(spark.createDataFrame(rows, "lang string, text string").repartition(3))
+    keys = lm.language_keys(["a", "b", "new"])
+    for n, x in enumerate(("a", "b")):
+        p = kneser_ney_by_hand(texts[x])
+        assert abs(sum(p("abc " + c) for c in {c for t in texts[x] for c in (t or "").replace("\n", " ").replace("\t", " ")}) + p("abc ?") - 1) < 1e-9
+        for t in [*texts[x][:8], "zab c", "é漢 \U0001f600 ab"]:
+            padded = "    " + re.sub(r"\s+", " ", t).strip(" ") + " "
+            wanted = [np.log(p(padded[i - 4 : i + 1])) for i in range(4, len(padded))] if t.strip() else []
+            total, places = lm.score(files, [t], keys[n : n + 1])
+            assert places[0] == len(wanted) and np.isclose(total[0], sum(wanted), rtol=1e-5)
+    assert lm.score(files, ["ab"], keys[2:])[0][0] == pytest.approx(-3 * np.log(0x110000))
+    assert lm.train(spark.createDataFrame([], "lang string, text string")) == [] and lm.score([], ["ab", None], keys[:2])[1].tolist() == [3, 0]
+
+
+def test_languages_have_models_and_limits_of_their_own(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = {x: ["".join(rng.choice(list(letters), rng.integers(2, 7))) for _ in range(50)] for x, letters in (("xx", "абвгдежз"), ("yy", "etaoin"), (None, "一二三四五"))}
+    text = lambda x, n: " ".join(rng.choice(vocabulary[x], n))
+    rows = [(i, text(x, int(n)), x) for i, (x, n) in enumerate((x, n) for x in vocabulary for n in rng.integers(20, 200, 200))]
+    rows += [(1000 + i, text(other, 60), x) for i, (x, other) in enumerate((("xx", "yy"), ("yy", None), (None, "xx")))]  # of another language than they say
+    out = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert sum(out[i]["kept"] for i in range(600)) >= 580
+    for i in range(3):
+        assert not out[1000 + i]["kept"] and out[1000 + i]["log_perplexity"] > out[1000 + i]["high"]
 
 
 def jaccard_by_hand(texts, k, num, den):
