@@ -82,28 +82,28 @@ def count_grams(docs: DataFrame) -> DataFrame:
     """lang, gram, n: how often each run of ORDER characters occurs in all texts of docs (lang, text)."""
 
     def run(batches):
+        names: dict[str, int] = {}
         grams, langs, counts, n = [], [], [], 0
 
         def merged():
             points, lang, count = np.concatenate(grams), np.concatenate(langs), np.concatenate(counts)
-            names, of = np.unique(lang, return_inverse=True)
-            first, inverse = _distinct(points, language_keys(names.tolist())[of])
-            return points[first], lang[first], np.bincount(inverse, count).astype(np.int64)
+            first, of = _distinct(points, language_keys(list(names))[lang])
+            return points[first], lang[first], np.bincount(of, count).astype(np.int64)
 
         def rows(points, lang, count):
             text = np.ascontiguousarray(points).view(f"<U{ORDER}")[:, 0]
-            return pa.RecordBatch.from_arrays([pa.array(lang.tolist(), pa.string()), pa.array(text.tolist(), pa.string()), pa.array(count)], ["lang", "gram", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(list(names), pa.string()).take(pa.array(lang)), pa.array(text.tolist(), pa.string()), pa.array(count)], ["lang", "gram", "n"])
 
         for batch in batches:
-            names = np.array(batch.column(0).to_pylist(), object)
+            own = np.array([names.setdefault(x, len(names)) for x in batch.column(0).to_pylist()], np.int64)
+            keys = language_keys(list(names))
             for begin, texts in chunks(batch.column(1), TEXT_BYTES):
-                own = names[begin : begin + len(texts)].astype(str)
                 for points, doc in places(texts):
-                    known, of = np.unique(own, return_inverse=True)
-                    first, inverse = _distinct(points, language_keys(known.tolist())[of[doc]])
+                    lang = own[begin + doc]
+                    first, of = _distinct(points, keys[lang])
                     grams.append(points[first])
-                    langs.append(own[doc[first]].astype(object))
-                    counts.append(np.bincount(inverse))
+                    langs.append(lang[first])
+                    counts.append(np.bincount(of))
                     n += len(first)
                     if n > 2 * RUN:
                         points, lang, count = merged()

@@ -64,6 +64,9 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of the words in five-word windows that the text repeats.  A document is kept if it passes and its log perplexity
     lies between low and high, the limits for its language and number of words (see `with_limits`).
 
+    Texts are dealt into two halves by a hash of the text, and each is scored by the model of its language's texts in the
+    other half: what only one text has, or its exact copies, does not make it likelier.
+
     Every value of the language column has a model and limits of its own, null too.  Null and empty texts have counts of 0
     and a null log perplexity, and fail.  Repeated rows and null ids are rows like others.  Other columns are not read.
     An empty df gives no rows.
@@ -71,17 +74,18 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = df.sparkSession
     small_batches(spark)
     language = F.coalesce(F.col(lang_col).cast("string"), F.lit(""))
-    docs = df.select(F.col(id_col).cast("long").alias("id"), language.alias("lang"), F.col(text_col).alias("text"))
-    files = spark.sparkContext.broadcast(train(docs.select("lang", "text")))  # names of files, one for each million entries
+    half = lambda turned: F.pmod(F.xxhash64(text_col) + turned, F.lit(2)).cast("string")
+    docs = df.select(F.col(id_col).cast("long").alias("id"), language.alias("language"), F.concat(language, half(1)).alias("model"), F.col(text_col).alias("text"))
+    files = spark.sparkContext.broadcast(train(df.select(F.concat(language, half(0)).alias("lang"), F.col(text_col).alias("text"))))  # names of files, one for each million entries
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
     def run(batches):
         for batch in batches:
-            for begin, texts in chunks(batch.column(2), TEXT_BYTES):
-                parts = [base_counts(Words(own)) for _, own in chunks(batch.column(2).slice(begin, len(texts)))]
+            for begin, texts in chunks(batch.column(3), TEXT_BYTES):
+                parts = [base_counts(Words(own)) for _, own in chunks(batch.column(3).slice(begin, len(texts)))]
                 counts = {c: np.concatenate([x[c] for x in parts]) for c in base}
                 part = batch.slice(begin, len(texts))
-                names, of = np.unique(np.array(part.column(1).to_pylist(), object).astype(str), return_inverse=True)
+                names, of = np.unique(np.array(part.column(2).to_pylist(), object).astype(str), return_inverse=True)
                 total, n = score(files.value, texts, language_keys(names.tolist())[of])
                 arrays = [part.column(0), part.column(1), *(pa.array(counts[c].astype(np.int64)) for c in base), pa.array(-total / np.maximum(n, 1), mask=n == 0)]
                 yield pa.RecordBatch.from_arrays(arrays, ["id", "language", *base, "log_perplexity"])
