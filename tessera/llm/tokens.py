@@ -16,7 +16,7 @@ from array import array
 import numpy as np
 
 END_ID = 1
-_MOST_WORDS = 700_000
+_MOST_WORDS = 250_000
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
