@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,7 +14,7 @@ from .jobs.run import config_value_counts
 from .operators import bootstrap, folds, nested_cv, registry, scores
 from .plans import nested, oracle
 from .plans.fixtures import LABELLED_DOCUMENTS, ORDER_SAMPLES, VECTOR_PIXELS, colour_pairs, labelled_documents, order_samples, order_scores, table, vector_pairs
-from .sources.annotations import with_ordinal
+from .sources.annotations import read_annotations, with_ordinal
 from .sources.artifact import load_artifact, save_artifact
 
 QUERIES: dict = {}
@@ -39,6 +40,14 @@ def sql_rounded(*columns: str) -> str:
     return ", ".join(f"round({c}, 6) + 0.0::DOUBLE AS {c}" for c in columns)
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a temporary folder only in local mode without that setting."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return shared.rstrip("/") if shared else "file://" + tempfile.mkdtemp(prefix="tessera-")
+
+
 # Sources.
 _SCAN = f"WITH {LABELLED_DOCUMENTS} SELECT row_number() OVER (ORDER BY sample_idx) - 1 AS sample_idx, sample_idx AS key, pname, class3, expert_score FROM a"
 
@@ -48,6 +57,23 @@ def annotation_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_ordinal(labelled_documents(spark, sf_dir).withColumnRenamed("sample_idx", "key"), "key").select("sample_idx", "key", "pname", "class3", "expert_score")
 
 
+_CSV = """WITH r AS (SELECT doc_id, source, quality FROM documents JOIN labels USING (doc_id))
+SELECT row_number() OVER (ORDER BY source NULLS FIRST, doc_id::VARCHAR) - 1 AS sample_idx, source AS pname, doc_id::VARCHAR AS patch_id, quality::INT AS class3, CASE WHEN quality = 1 THEN 4.5 END::DOUBLE AS score,
+  '/data/f/' || doc_id AS fixed_path, '/w/' || doc_id AS warped_path FROM r"""
+
+
+@query("annotation_csv", _CSV)
+def annotation_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    rows = rows.select(
+        F.lit("x").alias("unread"), F.col("quality").alias("class3"), F.col("source").alias("pname"), F.col("doc_id").alias("patch_id"), F.when(F.col("quality") == 1, 4.5).otherwise(float("nan")).alias("Similarity_Score"),
+        F.concat(F.lit("/w/"), "doc_id").alias("warped_path"), F.concat(F.lit("f/"), "doc_id").alias("fixed_path"),
+    )
+    path = f"{_shared_folder(spark)}/annotations-{uuid.uuid4().hex}"
+    rows.write.option("header", True).csv(path)
+    return read_annotations(spark, path, "/data").withColumnRenamed("Similarity_Score", "score")
+
+
 @query("annotation_counts", f"WITH {LABELLED_DOCUMENTS} SELECT count(*) AS n_rows, count(DISTINCT pname) AS n_groups FROM a")
 def annotation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled_documents(spark, sf_dir).agg(F.count("*").alias("n_rows"), F.countDistinct("pname").alias("n_groups"))
@@ -325,18 +351,9 @@ oof AS (SELECT sample_idx, metric, fold, cfg_ordinal, score AS similarity_score
 _INNER_COLUMNS = ("inner_sp_mean", "inner_sp_std", "inner_auc_bad_mean", "inner_auc_bad_std")
 
 
-def _hashed_nested(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
-    outer = folds.hashed_folds(samples, 5, SEED)
-    inner = [folds.hashed_folds(samples, 4, SEED + k).join(outer.where(f"fold <> {k}").select("pname"), "pname").withColumn("outer_fold", F.lit(k)) for k in range(5)]
-    out = inner[0]
-    for more in inner[1:]:
-        out = out.unionByName(more)
-    return outer, out
-
-
 def _order_cv(spark: SparkSession, sf_dir: str):
     samples = order_samples(spark, sf_dir)
-    outer, inner = _hashed_nested(samples)
+    outer, inner = folds.nested_hashed_folds(samples, SEED)
     return samples, order_scores(samples), outer, nested_cv.inner_results(order_scores(samples), samples, inner)
 
 
@@ -480,8 +497,7 @@ def config_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("artifact_roundtrip")
 def artifact_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     oof, meta, samples = _vector_cv(spark, sf_dir)
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    path = f"{shared.rstrip('/')}/artifact-{spark.sparkContext.applicationId}" if shared else "file://" + tempfile.mkdtemp(prefix="tessera-artifact-")
+    path = f"{_shared_folder(spark)}/artifact-{uuid.uuid4().hex}"
     save_artifact(path, oof, meta, samples, SEED)
     return load_artifact(spark, path)[0]
 

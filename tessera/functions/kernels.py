@@ -5,6 +5,9 @@ These have no compact form as column expressions; Spark hands them Arrow batches
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import wraps
+
 import numpy as np
 
 from .pixels import EPSILON, GRAY, IDENTICAL_PSNR
@@ -149,9 +152,7 @@ def preprocess(src: np.ndarray, trg: np.ndarray, config: dict) -> tuple[np.ndarr
     if mode == "gray":
         src, trg = gray(src), gray(trg)
     elif mode == "hed":
-        if src.shape[-1] != 3:
-            raise ValueError("stains need three channels")
-        src, trg = hematoxylin(src), hematoxylin(trg)
+        src, trg = (hematoxylin(x) if x.shape[-1] == 3 else x for x in (src, trg))  # stains need three channels
     if config.get("flip_intensity"):
         src, trg = 1 - src, 1 - trg
     if config.get("match_histogram"):
@@ -163,10 +164,42 @@ def preprocess(src: np.ndarray, trg: np.ndarray, config: dict) -> tuple[np.ndarr
     return src, trg
 
 
+@dataclass(frozen=True)
+class Inputs:
+    """What a measure that wants all of it gets: preprocessed stacks, masks (images, height, width) or None, and background."""
+
+    src: np.ndarray
+    trg: np.ndarray
+    mask: np.ndarray | None
+    background: float
+
+
+def background(config: dict) -> float:
+    """The value of what is no tissue: white, or black if intensities are flipped."""
+    return 0.0 if config.get("flip_intensity") else 1.0
+
+
+def filled(x: np.ndarray, mask: np.ndarray | None, fill: float) -> np.ndarray:
+    return x if mask is None else x * mask[..., None] + fill * (1 - mask[..., None])
+
+
+def where_masked(kernel):
+    """The kernel on the pixels where the mask is 1, image by image; on all of them without a mask."""
+
+    @wraps(kernel)
+    def run(x: np.ndarray, y: np.ndarray, mask: np.ndarray | None = None, **params) -> np.ndarray:
+        if mask is None:
+            return kernel(x, y, **params)
+        return np.array([kernel(a[m == 1][None], b[m == 1][None], **params)[0] if (m == 1).any() else np.nan for a, b, m in zip(x, y, mask, strict=True)])
+
+    return run
+
+
 def _flat(x: np.ndarray) -> np.ndarray:
     return x.reshape(len(x), -1)
 
 
+@where_masked
 def ncc(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     x, y = _flat(x), _flat(y)
     if x.shape[1] <= 1:
@@ -175,11 +208,13 @@ def ncc(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (z[0] * z[1]).sum(axis=1) / (x.shape[1] - 1)
 
 
+@where_masked
 def psnr(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     mse = ((_flat(x) - _flat(y)) ** 2).mean(axis=1)
     return np.where(mse == 0, IDENTICAL_PSNR, -10 * np.log10(np.where(mse == 0, 1, mse)))
 
 
+@where_masked
 def mutual_information(x: np.ndarray, y: np.ndarray, bins: int = 32) -> np.ndarray:
     def binned(v: np.ndarray) -> np.ndarray:
         low, high = v.min(axis=1, keepdims=True), v.max(axis=1, keepdims=True)
@@ -194,8 +229,8 @@ def mutual_information(x: np.ndarray, y: np.ndarray, bins: int = 32) -> np.ndarr
     return (p * np.log(np.divide(p, base, out=np.ones_like(p), where=p > 0))).sum(axis=(1, 2))
 
 
-def ssim(x: np.ndarray, y: np.ndarray, win_size: int = 7) -> np.ndarray:
-    """Mean of the whole structural-similarity map, borders mirrored."""
+def ssim(x: np.ndarray, y: np.ndarray, win_size: int = 7, mask: np.ndarray | None = None) -> np.ndarray:
+    """Mean of the structural-similarity map, where the mask is 1 if there is one; borders mirrored."""
     if win_size > min(x.shape[1:3]):
         raise ValueError("the window exceeds the image")
 
@@ -211,11 +246,13 @@ def ssim(x: np.ndarray, y: np.ndarray, win_size: int = 7) -> np.ndarray:
     ux, uy = mean(x), mean(y)
     vx, vy, vxy = (unbiased * (mean(a * b) - ua * ub) for a, b, ua, ub in ((x, x, ux, ux), (y, y, uy, uy), (x, y, ux, uy)))
     c1, c2 = 0.01**2, 0.03**2
-    return _flat(((2 * ux * uy + c1) * (2 * vxy + c2)) / ((ux**2 + uy**2 + c1) * (vx + vy + c2))).mean(axis=1)
+    similar = ((2 * ux * uy + c1) * (2 * vxy + c2)) / ((ux**2 + uy**2 + c1) * (vx + vy + c2))
+    return where_masked(lambda s, _: _flat(s).mean(axis=1))(similar, similar, mask)
 
 
-def ms_ssim(x: np.ndarray, y: np.ndarray, size: int = 11, sigma: float = 1.5) -> np.ndarray:
-    """Over five scales; both sides need (size - 1) * 16 + 1 pixels."""
+def ms_ssim(x: np.ndarray, y: np.ndarray, size: int = 11, sigma: float = 1.5, mask: np.ndarray | None = None, fill: float = 0.0) -> np.ndarray:
+    """Over five scales; both sides need (size - 1) * 16 + 1 pixels.  Pixels where the mask is 0 have the value `fill`."""
+    x, y = filled(x, mask, fill), filled(y, mask, fill)
     if min(x.shape[1:3]) < (size - 1) * 2 ** (len(SCALES) - 1) + 1:
         raise ValueError("the images are too small for five scales")
     k = np.exp(-0.5 * ((np.arange(size) - size // 2) / sigma) ** 2)

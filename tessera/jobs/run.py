@@ -27,6 +27,7 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--images", required=True)
     p.add_argument("--output", required=True)
     p.add_argument("--outer-seed", type=int, default=155)
+    p.add_argument("--n-jobs", type=int, default=1, help="not needed: all folds are evaluated in one Spark job")
     a = p.parse_args(args)
     names = a.identities.split(",")
     spark = SparkSession.builder.appName("tessera").getOrCreate()

@@ -31,8 +31,8 @@ def inner_results(scores: DataFrame, samples: DataFrame, inner: DataFrame) -> Da
 
 
 def select_best(results: DataFrame) -> DataFrame:
-    """The configuration of each outer fold and measure with the largest correlation, then AUC, then the first."""
-    order = Window.partitionBy("outer_fold", "metric").orderBy(F.col("inner_sp_mean").desc_nulls_last(), F.col("inner_auc_bad_mean").desc_nulls_last(), "cfg_ordinal")
+    """The configuration of each outer fold and measure with the largest correlation, then AUC (both to 9 places), then the first."""
+    order = Window.partitionBy("outer_fold", "metric").orderBy(*(F.round(c, 9).desc_nulls_last() for c in ("inner_sp_mean", "inner_auc_bad_mean")), "cfg_ordinal")
     return results.withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
 
 

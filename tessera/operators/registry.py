@@ -1,7 +1,9 @@
 """Measures and their search spaces.
 
 A measure is a function of two stacks of preprocessed images (and parameters) that gives one number for each pair.
-Users register their own in the same way; a distance is registered with higher_is_better=False and is negated.
+Users register their own in the same way; a distance is registered with higher_is_better=False and is negated.  A measure
+that takes masks gets one as `mask` where the pairs have them; one of whole inputs gets kernels.Inputs in place of two
+stacks; one of colours gets stacks of one channel repeated to three.
 """
 
 from __future__ import annotations
@@ -31,9 +33,19 @@ class Measure:
     params: dict[str, tuple] = field(default_factory=dict)
     higher_is_better: bool = True
     learned: bool = False
-
-    def __call__(self, src: np.ndarray, trg: np.ndarray, **params) -> np.ndarray:
-        value = self.kernel(src, trg, **params)
+    takes_mask: bool = False
+    takes_inputs: bool = False
+    three_channels: bool = False
+
+    def __call__(self, src: np.ndarray, trg: np.ndarray, mask: np.ndarray | None = None, background: float = 1.0, **params) -> np.ndarray:
+        if self.three_channels and src.shape[-1] == 1:
+            src, trg = np.repeat(src, 3, axis=-1), np.repeat(trg, 3, axis=-1)
+        if self.takes_inputs:
+            value = self.kernel(kernels.Inputs(src, trg, mask, background), **params)
+        elif mask is not None and self.takes_mask:
+            value = self.kernel(src, trg, mask=mask, **params)
+        else:
+            value = self.kernel(src, trg, **params)
         return value if self.higher_is_better else -value
 
 
@@ -48,17 +60,17 @@ _BOTH, _ALL = ("gray", "hed"), ("gray", "hed", "rgb")
 _AGGREGATION = {"lpips_aggregation": ("lin", "avg")}
 #: The measures, their channel modes and parameters.
 BUILT_IN = (
-    Measure("ncc", kernels.ncc, _BOTH),
-    Measure("psnr", kernels.psnr, _BOTH),
-    Measure("mi", kernels.mutual_information, _BOTH),
-    Measure("ssim", kernels.ssim, _BOTH, {"win_size": (7, 31)}),
-    Measure("ms-ssim", kernels.ms_ssim, _BOTH),
+    Measure("ncc", kernels.ncc, _BOTH, takes_mask=True),
+    Measure("psnr", kernels.psnr, _BOTH, takes_mask=True),
+    Measure("mi", kernels.mutual_information, _BOTH, takes_mask=True),
+    Measure("ssim", kernels.ssim, _BOTH, {"win_size": (7, 31)}, takes_mask=True),
+    Measure("ms-ssim", kernels.ms_ssim, _BOTH, takes_mask=True),
     Measure("fsim", kernels.fsim, _BOTH),
     Measure("fsimc", lambda x, y: kernels.fsim(x, y, chromatic=True), ("rgb",)),
-    Measure("lpips_alex", _needs_model("lpips_alex"), _ALL, _AGGREGATION, False, True),
-    Measure("lpips_vgg", _needs_model("lpips_vgg"), _ALL, _AGGREGATION, False, True),
-    Measure("lpips_squeeze", _needs_model("lpips_squeeze"), _ALL, _AGGREGATION, False, True),
-    Measure("dists", _needs_model("dists"), _ALL, {}, False, True),
+    Measure("lpips_alex", _needs_model("lpips_alex"), _ALL, _AGGREGATION, False, True, three_channels=True),
+    Measure("lpips_vgg", _needs_model("lpips_vgg"), _ALL, _AGGREGATION, False, True, three_channels=True),
+    Measure("lpips_squeeze", _needs_model("lpips_squeeze"), _ALL, _AGGREGATION, False, True, three_channels=True),
+    Measure("dists", _needs_model("dists"), _ALL, {}, False, True, three_channels=True),
 )
 #: The values of each flag, in the order of the search; channel modes come from the measure.
 SEARCH = {flag: (False, True) for flag in FLAGS if flag != "channel_mode"}
@@ -70,8 +82,9 @@ class Registry(dict):
     def __init__(self, measures=BUILT_IN):
         super().__init__((m.name, m) for m in measures)
 
-    def register(self, name: str, kernel: Kernel, channel_modes=("rgb",), params: dict | None = None, higher_is_better: bool = True) -> Measure:
-        self[name] = Measure(name, kernel, tuple(channel_modes), {k: tuple(v) for k, v in (params or {}).items()}, higher_is_better)
+    def register(self, name: str, kernel: Kernel, channel_modes=("rgb",), params: dict | None = None, higher_is_better: bool = True, **takes: bool) -> Measure:
+        """takes: takes_mask, takes_inputs or three_channels, as in Measure."""
+        self[name] = Measure(name, kernel, tuple(channel_modes), {k: tuple(v) for k, v in (params or {}).items()}, higher_is_better, **takes)
         return self[name]
 
     def chosen(self, names: list[str] | None = None) -> list[Measure]:

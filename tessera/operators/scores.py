@@ -12,6 +12,8 @@ from ..functions import kernels
 from .registry import Measure, config_rows
 
 PAIR_COLUMNS = ("sample_idx", "height", "width", "channels", "src", "trg")
+#: Values of a stack of images that are preprocessed at once.
+STACK = 1 << 21
 SCORES = "sample_idx long, metric string, cfg_ordinal int, score double"
 
 
@@ -26,7 +28,9 @@ def score_pairs(pairs: DataFrame, measures: list[Measure], search: dict[str, tup
     """sample_idx, metric, cfg_ordinal and score (null where it is not a number) of all pairs.
 
     pairs: sample_idx, height, width, channels, and src and trg as arrays of height * width * channels values.  A batch
-    of pairs is preprocessed once for each set of flags, and all measures that use the set read the result.
+    of pairs is preprocessed once for each set of flags, and all measures that use the set read the result.  A column
+    mask, an array of height * width values 0 and 1 or null, is given to the measures that take one.  Pairs are dealt out
+    anew, as scoring one takes far longer than moving it.
     """
     by_flags: dict[tuple, list] = defaultdict(list)
     for metric, ordinal, _, *flags, params in config_rows(measures, search):
@@ -34,20 +38,33 @@ def score_pairs(pairs: DataFrame, measures: list[Measure], search: dict[str, tup
     kernels_by_name = {m.name: m for m in measures}
     names = ("normalization", "channel_mode", "flip_intensity", "match_histogram", "clahe", "smoothing")
 
+    masked = "mask" in pairs.columns
+
     def run(batches):
         for batch in batches:
             shapes = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3)], axis=1)
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for shape in np.unique(shapes, axis=0):  # images of one shape make one stack
-                own = np.flatnonzero((shapes == shape).all(axis=1))
-                src, trg = (batch.column(i).take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, *shape) for i in (4, 5))
-                for flags, wanted in by_flags.items():
-                    a, b = kernels.preprocess(src, trg, dict(zip(names, flags, strict=True)))
-                    for metric, ordinal, params in wanted:
-                        value = np.asarray(kernels_by_name[metric](a, b, **params), np.float64)
-                        n = len(own)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(ids[own]), pa.array([metric] * n), pa.array(np.full(n, ordinal, np.int32)), pa.array(value, mask=np.isnan(value))], ["sample_idx", "metric", "cfg_ordinal", "score"]
-                        )
-
-    return pairs.select(*PAIR_COLUMNS).mapInArrow(run, SCORES)
+                all_own = np.flatnonzero((shapes == shape).all(axis=1))
+                groups = [all_own]
+                if masked:  # with and without a mask
+                    null = batch.column(6).is_null().to_numpy(zero_copy_only=False)[all_own]
+                    groups = [all_own[null], all_own[~null]]
+                each = max(1, STACK // max(int(np.prod(shape)), 1))
+                for own in (g[at : at + each] for g in groups for at in range(0, len(g), each)):
+                    yield from scored(batch, ids, shape, own)
+
+    def scored(batch, ids, shape, own):
+        stack = lambda i, *shape: batch.column(i).take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, *shape)
+        src, trg = stack(4, *shape), stack(5, *shape)
+        mask = stack(6, *shape[:2]) if masked and batch.column(6)[int(own[0])].is_valid else None
+        for flags, wanted in by_flags.items():
+            config = dict(zip(names, flags, strict=True))
+            a, b = kernels.preprocess(src, trg, config)
+            for metric, ordinal, params in wanted:
+                value = np.asarray(kernels_by_name[metric](a, b, mask, kernels.background(config), **params), np.float64)
+                n = len(own)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array([metric] * n), pa.array(np.full(n, ordinal, np.int32)), pa.array(value, mask=np.isnan(value))], ["sample_idx", "metric", "cfg_ordinal", "score"])
+
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.select(*PAIR_COLUMNS, *["mask"] * masked).repartition(tasks).mapInArrow(run, SCORES)

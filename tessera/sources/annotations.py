@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import resolved_path
 
-SCHEMA = "fixed_path string, warped_path string, Similarity_Score double, class3 int, pname string, patch_id string"
+REQUIRED = {"fixed_path": "string", "warped_path": "string", "Similarity_Score": "double", "class3": "int"}
+#: Columns that may be missing, and then are null.
+META = {"pname": "string", "patch_id": "string"}
+IMAGES = "path string, height int, width int, channels int, data array<float>"
 
 
-def read_annotations(spark: SparkSession, path: str, base_dir: str = "", schema: str = SCHEMA, order: tuple[str, ...] = ("pname", "patch_id", "fixed_path", "warped_path")) -> DataFrame:
-    """Rows of a CSV (with a header) or Parquet file, with sample_idx from 0 in the given order, and resolved paths."""
-    df = spark.read.parquet(path) if path.endswith(".parquet") else spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+def read_annotations(spark: SparkSession, path: str, base_dir: str = "", order: tuple[str, ...] = ("pname", "patch_id", "fixed_path", "warped_path")) -> DataFrame:
+    """Rows of a CSV (with a header) or Parquet file, with sample_idx from 0 in the given order, and resolved paths.
+
+    Columns are found by their names, in any order; others are not read.  A file without one of REQUIRED is refused.
+    """
+    df = spark.read.parquet(path) if path.endswith(".parquet") else spark.read.option("header", True).csv(path)
+    if missing := [c for c in REQUIRED if c not in df.columns]:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    df = df.select(*((F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in (REQUIRED | META).items()))
     paths = {c: resolved_path(base_dir, F.col(c)) for c in ("fixed_path", "warped_path")} if base_dir else {}
     return with_ordinal(df.withColumns({"Similarity_Score": F.nullif("Similarity_Score", F.lit(float("nan")))} | paths), *order)
 
@@ -30,17 +41,37 @@ def with_ordinal(df: DataFrame, *order: str) -> DataFrame:
     return part.join(F.broadcast(offsets), "_part").withColumn("sample_idx", (F.col("_before") + within - 1).cast("long")).drop("_part", "_at", "_n", "_before")
 
 
+def plain_path(path: Column) -> Column:
+    """A local path without its scheme, so that names from tables and from file listings are equal; others as they are."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """path, height, width, channels and data (red, green, blue from 0 to 255) of all images below a path."""
-    image = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
-    n = F.col("nChannels")
-    # The reader gives blue, green, red.
-    pixel = F.transform(F.sequence(F.lit(0), F.length("data") - 1), lambda i: F.conv(F.hex(F.substring("data", (i - i % n + n - i % n).cast("int"), F.lit(1))), 16, 10).cast("double"))
-    return image.select(F.col("origin").alias("path"), "height", "width", n.alias("channels"), pixel.alias("data"))
+    """path, height, width, channels and data of all images in a folder and the folders in it.
+
+    Every image has three channels, red, green and blue from 0 to 1: gray ones repeat theirs, and alpha is left out.
+    """
+    image = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(path).select("image.*")
+
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):  # an image is an array of bytes: blue, green, red, alpha
+                height, width, channels = (batch.column(i)[row].as_py() for i in (1, 2, 3))
+                x = np.frombuffer(batch.column(4)[row].as_buffer(), np.uint8).reshape(height, width, channels)
+                rgb = np.repeat(x, 3, axis=2) if channels == 1 else x[..., 2::-1]
+                data = pa.ListArray.from_arrays(pa.array([0, rgb.size], pa.int32()), pa.array((rgb / np.float32(255)).ravel().astype(np.float32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), *(pa.array([v], pa.int32()) for v in (height, width, 3)), data], ["path", "height", "width", "channels", "data"])
+
+    # The reader writes names as in a URI, but for plus signs.
+    name = F.url_decode(F.replace(F.col("origin"), F.lit("+"), F.lit("%2B")))
+    return image.select(plain_path(name), "height", "width", "nChannels", "data").mapInArrow(run, IMAGES)
 
 
 def image_pairs(annotations: DataFrame, images: DataFrame) -> DataFrame:
-    """sample_idx, shape, src (of warped_path) and trg (of fixed_path) for every annotation whose images were read."""
-    src = images.select(F.col("path").alias("warped_path"), "height", "width", "channels", F.col("data").alias("src"))
-    trg = images.select(F.col("path").alias("fixed_path"), F.col("data").alias("trg"))
-    return annotations.join(src, "warped_path").join(trg, "fixed_path").select("sample_idx", "height", "width", "channels", "src", "trg")
+    """sample_idx, shape, src (of warped_path) and trg (of fixed_path) for every annotation; fails if one lacks an image."""
+    src = images.select(F.col("path").alias("warped"), "height", "width", "channels", F.col("data").alias("src"))
+    trg = images.select(F.col("path").alias("fixed"), F.col("data").alias("trg"))
+    named = annotations.withColumns({"warped": plain_path(F.col("warped_path")), "fixed": plain_path(F.col("fixed_path"))})
+    pairs = named.join(src, "warped", "left").join(trg, "fixed", "left")
+    none = F.concat(F.lit("an image is missing: "), F.coalesce("warped", F.lit("null")), F.lit(", "), F.coalesce("fixed", F.lit("null")))
+    return pairs.where(F.assert_true(F.col("src").isNotNull() & F.col("trg").isNotNull(), none).isNull()).select("sample_idx", "height", "width", "channels", "src", "trg")

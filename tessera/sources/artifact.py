@@ -6,7 +6,7 @@ import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.registry import Registry
+from ..operators.registry import SEARCH, Registry
 
 PARTS = ("oof_predictions", "fold_meta", "meta", "run_info")
 
@@ -15,7 +15,8 @@ def save_artifact(path: str, oof: DataFrame, fold_meta: DataFrame, meta: DataFra
     spark = oof.sparkSession
     measures = Registry().chosen() if identities is None else [Registry().get(n) for n in identities]
     names = [m.name for m in measures if m] if identities is None else identities
-    space = " | ".join(f"{m.name}:{'/'.join(m.channel_modes)}" for m in measures if m)
+    space = " | ".join(f"{flag}:{list(values)}" for flag, values in SEARCH.items())
+    space += "".join(f" | {m.name}:channel_mode={list(m.channel_modes)}" + "".join(f",{k}={list(v)}" for k, v in m.params.items()) for m in measures if m)
     info = [(datetime.datetime.now(), outer_seed, names, space, outer, inner)]
     run_info = spark.createDataFrame(info, "timestamp timestamp, outer_seed long, identities array<string>, configs string, n_outer_splits int, n_inner_splits int")
     for name, df in zip(PARTS, (oof, fold_meta, meta, run_info), strict=True):

@@ -1,3 +1,6 @@
+import struct
+import zlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -8,6 +11,8 @@ from tessera.functions import kernels, ranks, scalars
 from tessera.operators import bootstrap, folds, nested_cv, registry
 from tessera.plans import nested
 from tessera.plans.fixtures import order_samples, order_scores, vector_pairs
+from tessera.operators.scores import score_pairs
+from tessera.sources import annotations
 from tessera.sources.annotations import read_annotations, with_ordinal
 from tessera.sources.artifact import load_artifact, save_artifact
 
@@ -155,3 +160,90 @@ def test_annotations(spark, tmp_path):
     rows = read_annotations(spark, str(tmp_path / "a.csv"), "/base").orderBy("sample_idx").collect()
     assert [(r["sample_idx"], r["pname"], r["fixed_path"], r["warped_path"], r["Similarity_Score"]) for r in rows] == [(0, "p1", "/base/a.png", "/base/c.png", None), (1, "p2", "/base/b.png", "/w.png", 4.5)]
     assert [r["sample_idx"] for r in with_ordinal(spark.range(100).repartition(7), "id").orderBy("id").collect()] == list(range(100))
+
+
+def png(x):
+    """A PNG file of an array (height, width, 1, 3 or 4) of bytes."""
+    h, w, c = x.shape
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    lines = b"".join(b"\0" + row.tobytes() for row in x)
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, {1: 0, 3: 2, 4: 6}[c], 0, 0, 0)) + part(b"IDAT", zlib.compress(lines)) + part(b"IEND", b"")
+
+
+@pytest.fixture
+def image_folder(tmp_path):
+    rng = np.random.default_rng(2)
+    rows, images = ["class3,patch_id,more,fixed_path,warped_path,pname,Similarity_Score"], {}
+    for i in range(24):
+        names = f"a b/{i}/fixed.png", f"w/{i}.png"
+        base = rng.integers(0, 256, (9, 8, (3, 1, 4)[i % 3]), np.uint8)
+        for name, x in zip(names, (base, np.clip(base + rng.integers(0, 40 * (i % 3) + 2, base.shape), 0, 255).astype(np.uint8)), strict=True):
+            (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / "in" / name).write_bytes(png(x))
+            images[name] = x
+        rows.append(f"{i % 3},p{i},x,{names[0]},{names[1]},g{i % 12},{5 - i % 3}")
+    (tmp_path / "table.csv").write_text("\n".join(rows) + "\n")
+    return tmp_path, images
+
+
+def test_images_of_subfolders(spark, image_folder):
+    folder, images = image_folder
+    out = {r["path"]: r for r in annotations.read_images(spark, str(folder / "in")).collect()}
+    assert set(out) == {f"{folder}/in/{name}" for name in images}
+    for name, x in images.items():
+        r = out[f"{folder}/in/{name}"]
+        rgb = np.repeat(x, 3, axis=2) if x.shape[2] == 1 else x[..., :3]
+        assert (r["height"], r["width"], r["channels"]) == (9, 8, 3) and np.allclose(r["data"], rgb.ravel() / 255)
+
+
+def test_command_line_scores_every_pair(spark, image_folder):
+    from tessera.jobs import run
+
+    folder, _ = image_folder
+    command = ["--csv", f"{folder}/table.csv", "--images", f"{folder}/in", "--output", f"file://{folder}/out", "--identities", "ncc,psnr", "--n-jobs", "2"]
+    run.main(command)
+    oof, meta, samples, info = load_artifact(spark, f"file://{folder}/out")
+    assert samples.count() == 24 and sorted((r["metric"], r["sample_idx"]) for r in oof.collect()) == [(m, i) for m in ("ncc", "psnr") for i in range(24)]
+    assert oof.where("similarity_score is null").count() == 0 and meta.count() == 10
+    assert "smoothing:[False, True]" in info.first()["configs"]
+    table = annotations.read_annotations(spark, f"{folder}/table.csv", f"{folder}/in")
+    pairs = annotations.image_pairs(table, annotations.read_images(spark, str(folder / "in")))
+    grid = registry.Registry().chosen(["ncc"])
+    assert score_pairs(pairs, grid).count() == 24 * len(registry.config_rows(grid))
+    (folder / "in" / "w" / "3.png").unlink()
+    with pytest.raises(Exception, match=r"an image is missing: .*w/3.png"):
+        annotations.image_pairs(table, annotations.read_images(spark, str(folder / "in"))).collect()
+
+
+def test_annotations_without_a_column_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("fixed_path,warped_path,class3\na,b,1\n")
+    with pytest.raises(ValueError, match="Similarity_Score"):
+        annotations.read_annotations(spark, str(tmp_path / "a.csv"))
+    (tmp_path / "b.csv").write_text("fixed_path,warped_path,Similarity_Score,class3\na,b,nan,1\n")
+    assert annotations.read_annotations(spark, str(tmp_path / "b.csv")).collect()[0].asDict() == {"fixed_path": "a", "warped_path": "b", "Similarity_Score": None, "class3": 1, "pname": None, "patch_id": None, "sample_idx": 0}
+
+
+def test_masks_background_and_channels(spark):
+    rng = np.random.default_rng(7)
+    x, y = rng.random((2, 6, 6, 1)), rng.random((2, 6, 6, 1))
+    mask = (rng.random((2, 6, 6)) > 0.4).astype(float)
+    own = registry.Registry(())
+    for name, kernel in (("ncc", kernels.ncc), ("psnr", kernels.psnr), ("mi", kernels.mutual_information), ("ssim", lambda a, b, mask=None: kernels.ssim(a, b, 3, mask))):
+        own.register(name, kernel, ("gray",), takes_mask=True)
+    own.register("all", lambda i: i.background + 10 * (i.mask is not None) + 100 * np.ones(len(i.src)) * i.src.shape[-1], ("gray",), takes_inputs=True, three_channels=True)
+    search = {f: (False, True) if f == "flip_intensity" else (False,) for f in registry.SEARCH}
+    rows = [(i, 6, 6, 1, x[k].ravel().tolist(), y[k].ravel().tolist(), m) for i, (k, m) in enumerate(((0, mask[0].ravel().tolist()), (1, mask[1].ravel().tolist()), (0, None)))]
+    df = spark.createDataFrame(rows, "sample_idx long, height int, width int, channels int, src array<double>, trg array<double>, mask array<double>")
+    out = {(r["metric"], r["sample_idx"], r["cfg_ordinal"]): r["score"] for r in score_pairs(df, own.chosen(), search).collect()}
+    assert len(out) == 5 * 3 * 2
+    for k in range(2):
+        a, b = x[k][mask[k] == 1][:, 0], y[k][mask[k] == 1][:, 0]
+        assert out["psnr", k, 0] == pytest.approx(-10 * np.log10(((a - b) ** 2).mean())) and out["ncc", k, 0] == pytest.approx(np.corrcoef(a, b)[0, 1])
+        assert out["all", k, 0] == 311 and out["all", k, 1] == 310
+    assert out["psnr", 2, 0] == pytest.approx(-10 * np.log10(((x[0] - y[0]) ** 2).mean())) and out["all", 2, 0] == 301
+    assert np.allclose(kernels.filled(x, mask, 0.5)[mask == 0], 0.5)
+
+
+def test_stains_leave_one_channel_as_it_is():
+    x = np.random.default_rng(1).random((2, 5, 5, 1))
+    assert (kernels.preprocess(x, x, {"channel_mode": "hed"})[0] == x).all()
