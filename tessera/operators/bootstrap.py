@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranks import STATISTICS, evaluate
+from ..functions.ranks import STATISTICS, evaluate, with_parts
 
 
 def group_draws(samples: DataFrame, n_boot: int = 1000, seed: int = 143) -> DataFrame:
@@ -32,11 +32,13 @@ def bootstrap(oof: DataFrame, samples: DataFrame, n_boot: int = 1000, seed: int
     comes first.
     """
     rows = oof.join(samples.select("sample_idx", F.col("pname").cast("string").alias("pname"), "class3", "expert_score"), "sample_idx")
-    full = evaluate(rows, ["metric"], "similarity_score").select("metric", *(F.col(s).alias(f"full_{s}") for s in STATISTICS))
-    # Equal rows of a group are added up once, before each replicate takes them with its weight.
+    # Equal rows of a group are added up once, before each replicate takes them with its weight.  Parts of the order of
+    # scores are the same in all replicates.
     cells = rows.groupBy("metric", "pname", "similarity_score", "class3", "expert_score").agg(F.count("*").alias("rows"))
+    cells = with_parts(cells.persist(), ["metric"], "similarity_score")
+    full = evaluate(cells, ["metric"], "similarity_score", weight="rows", part="part").select("metric", *(F.col(s).alias(f"full_{s}") for s in STATISTICS))
     drawn = cells.join(group_draws(samples, n_boot, seed), "pname").withColumn("w", F.col("rows") * F.col("times"))
-    stats = evaluate(drawn, ["metric", "boot"], "similarity_score", weight="w")
+    stats = evaluate(drawn, ["metric", "boot"], "similarity_score", weight="w", part="part")
     short = {"sp": "spearman_class3", "auc_bad": "auc_bad_vs_rest", "auc_good": "auc_good_vs_rest", "auc_ovo": "auc_3class_ovo"}
     aggs = []
     for name, column in short.items():

@@ -46,6 +46,20 @@ def test_weights_equal_repeated_rows(spark):
     assert np.allclose([weighted[s] for s in ranks.STATISTICS], [repeated[s] for s in ranks.STATISTICS], rtol=1e-12)
 
 
+def test_statistics_in_parts_are_those_of_whole_groups(spark):
+    rng = np.random.default_rng(2)
+    rows = [(g, float(rng.integers(50)) / 7, int(rng.integers(3)), float(rng.integers(1, 6)), int(rng.integers(0, 4))) for g in ("a", "b", None) for _ in range(200)]
+    rows += [("constant", 1.0, i % 3, float(i), 1) for i in range(6)] + [("nulls", None, i % 3, 1.0, 1) for i in range(3)] + [("null", None if i == 0 else float(i), i % 3, 1.0, 1) for i in range(6)]
+    df = ranks.with_parts(spark.createDataFrame(rows, "g string, score double, class3 int, expert_score double, w long"), ["g"], "score", 3)
+    bounds = df.where("g = 'a'").groupBy("part").agg(F.min("score").alias("low"), F.max("score").alias("high")).orderBy("part").collect()
+    assert len(bounds) == 8 and all(x["high"] < y["low"] for x, y in zip(bounds, bounds[1:]))
+    parts = {r["g"]: r for r in ranks.evaluate(df, ["g"], weight="w", part="part").collect()}
+    whole = evaluated(spark, rows, weight="w")
+    assert parts.keys() == whole.keys()
+    for g, row in whole.items():
+        assert [x is None or round(x, 9) for x in row[1:]] == [x is None or round(x, 9) for x in parts[g][1:]]
+
+
 def test_numbers_in_texts(spark):
     texts = ["0.5", "1e-05", "tensor(0.25)", "nan", "", "a -3 b", None]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(scalars.extract_number(F.col("t")).alias("n"))
