@@ -340,9 +340,13 @@ def score_cross_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Folds and nested cross-validation.
 _OUTER = f"o AS (SELECT DISTINCT pname, {oracle.hashed_fold(str(SEED), 5)} AS fold FROM c)"
-_INNER = f"k AS (SELECT pname, outer_fold, {oracle.hashed_fold(f'({SEED} + outer_fold)', 4)} AS inner_fold FROM o, (VALUES (0), (1), (2), (3), (4)) v(outer_fold) WHERE fold <> outer_fold)"
-_INNER_STATS = f"""WITH {ORDER_SAMPLES}, {_OUTER}, {_INNER},
-x AS (SELECT outer_fold, metric, cfg_ordinal, inner_fold, class3, expert_score, score FROM c JOIN k USING (pname) JOIN s USING (sample_idx)), {oracle.statistics('x', 'outer_fold, metric, cfg_ordinal, inner_fold')},
+_STRATIFIED = f"WITH RECURSIVE {ORDER_SAMPLES}, w AS (SELECT 0 AS one, pname, class3 FROM c), {oracle.stratified_folds('w', 'one', str(SEED), 5, 'o')}"
+_STRATIFIED_INNER = (
+    f"{_STRATIFIED}, tr AS (SELECT v.outer_fold, c.pname, c.class3 FROM c JOIN o USING (pname), (VALUES (0), (1), (2), (3), (4)) v(outer_fold) WHERE fold <> v.outer_fold), "
+    + oracle.stratified_folds("tr", "outer_fold", f"({SEED} + outer_fold)", 4, "k")
+)
+_INNER_STATS = f"""{_STRATIFIED_INNER},
+x AS (SELECT outer_fold, metric, cfg_ordinal, fold AS inner_fold, class3, expert_score, score FROM c JOIN k USING (pname) JOIN s USING (sample_idx)), {oracle.statistics('x', 'outer_fold, metric, cfg_ordinal, inner_fold')},
 r AS (SELECT outer_fold, metric, cfg_ordinal, avg(spearman_class3) AS inner_sp_mean, stddev_samp(spearman_class3) AS inner_sp_std, avg(auc_bad_vs_rest) AS inner_auc_bad_mean, stddev_samp(auc_bad_vs_rest) AS inner_auc_bad_std
   FROM st GROUP BY ALL),
 b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY outer_fold, metric ORDER BY round(inner_sp_mean, 9) DESC NULLS LAST, round(inner_auc_bad_mean, 9) DESC NULLS LAST, cfg_ordinal) = 1),
@@ -353,7 +357,7 @@ _INNER_COLUMNS = ("inner_sp_mean", "inner_sp_std", "inner_auc_bad_mean", "inner_
 
 def _order_cv(spark: SparkSession, sf_dir: str):
     samples = order_samples(spark, sf_dir)
-    outer, inner = folds.nested_hashed_folds(samples, SEED)
+    outer, inner = folds.nested_folds(samples, SEED)
     return samples, order_scores(samples), outer, nested_cv.inner_results(order_scores(samples), samples, inner)
 
 
@@ -367,20 +371,20 @@ def hashed_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.hashed_folds(order_samples(spark, sf_dir), 5, SEED)
 
 
-@query("outer_folds")
+@query("outer_folds", f"{_STRATIFIED} SELECT pname, fold FROM o")
 def outer_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.nested_folds(order_samples(spark, sf_dir), SEED)[0]
 
 
-@query("inner_folds")
+@query("inner_folds", f"{_STRATIFIED_INNER} SELECT outer_fold, pname, fold FROM k")
 def inner_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.nested_folds(order_samples(spark, sf_dir), SEED)[1]
 
 
-@query("fold_report", f"WITH {ORDER_SAMPLES}, {_OUTER} SELECT fold, count(*) AS n_rows, count(DISTINCT pname) AS n_groups FROM c JOIN o USING (pname) GROUP BY fold")
+@query("fold_report", f"{_STRATIFIED} SELECT fold, count(*) AS n_rows, count(DISTINCT pname) AS n_groups FROM c JOIN o USING (pname) GROUP BY fold")
 def fold_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = order_samples(spark, sf_dir)
-    return folds.fold_report(samples, folds.hashed_folds(samples, 5, SEED))
+    return folds.fold_report(samples, folds.nested_folds(samples, SEED)[0])
 
 
 @query("inner_cv_summary", _INNER_STATS + f"SELECT outer_fold, metric, cfg_ordinal, {sql_rounded(*_INNER_COLUMNS)} FROM r")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -50,20 +50,9 @@ def stratified_folds(samples: DataFrame, n_folds: int, seed: int, group: str = "
     return out if by else out.drop("one")
 
 
-def _hashed(seed: Column, n_folds: int) -> Column:
-    return (F.conv(F.substring(F.md5(F.concat(seed.cast("string"), F.lit(":"), "pname")), 1, 8), 16, 10).cast("long") % n_folds).cast("int")
-
-
 def hashed_folds(samples: DataFrame, n_folds: int, seed: int, group: str = "pname") -> DataFrame:
     """pname and fold of every group, by md5(seed:group) only: needs no counts, but does not even out the classes."""
-    return samples.select(F.col(group).cast("string").alias("pname")).distinct().withColumn("fold", _hashed(F.lit(seed), n_folds))
-
-
-def nested_hashed_folds(samples: DataFrame, seed: int, outer: int = 5, inner: int = 4) -> tuple[DataFrame, DataFrame]:
-    """Like nested_folds, by hashed_folds; the seed of an inner fold is seed + outer_fold."""
-    outside = hashed_folds(samples, outer, seed)
-    training = outside.withColumn("outer_fold", F.explode(F.array_remove(F.sequence(F.lit(0), F.lit(outer - 1)), F.col("fold"))))
-    return outside, training.withColumn("fold", _hashed(F.lit(seed) + F.col("outer_fold"), inner)).select("outer_fold", "pname", "fold")
+    return samples.select(F.col(group).cast("string").alias("pname")).distinct().withColumn("fold", (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), "pname")), 1, 8), 16, 10).cast("long") % n_folds).cast("int"))
 
 
 def nested_folds(samples: DataFrame, seed: int = 155, outer: int = 5, inner: int = 4) -> tuple[DataFrame, DataFrame]:
