@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import saved, small_batches
-from .textarrays import Words, chunks, mixed
+from .textarrays import PIECE, Words, chunks, mixed
 
 NONE = "und"
 #: Trigrams are counted by a hash of so many bits, or of fewer if languages are so many that counts would pass MOST_COUNTS.
@@ -51,14 +51,34 @@ def _hashed(packed: np.ndarray, size: int) -> np.ndarray:
     return (mixed(packed) >> np.uint64(64 - (size - 1).bit_length())).astype(np.int64)
 
 
-def word_trigrams(w: Words, words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and word of each trigram of bytes of the given words, a space before and after each word included."""
-    packed, word = _packed(w, words)
-    return _hashed(packed, size), word
+def _in_runs(w: Words, words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The given words in runs of at most PIECE // 8 bytes (one word at least), with the place of the first."""
+    total = np.cumsum(w.end[words] - w.start[words])
+    at = 0
+    while at < len(words):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PIECE // 8, side="right")))
+        yield at, words[at:end]
+        at = end
+
+
+def word_trigrams(w: Words, words: np.ndarray, size: int, lettered: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and word of each trigram of bytes of the given words, a space before and after each word included.
+
+    lettered: only trigrams without a digit or ASCII mark, which show a language and not the form of a text.
+    """
+    grams, of = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for at, some in _in_runs(w, words):
+        packed, word = _packed(w, some)
+        if lettered:
+            kept = _lettered(packed)
+            packed, word = packed[kept], word[kept]
+        grams.append(_hashed(packed, size).astype(np.int32))
+        of.append(word + at)
+    return np.concatenate(grams), np.concatenate(of)
 
 
 def _lettered(packed: np.ndarray) -> np.ndarray:
-    """Whether each trigram has no digit and no ASCII mark, so that it shows a language and not the form of a text."""
+    """Whether each trigram has no digit and no ASCII mark."""
     usual = _LETTER.copy()
     usual[0x80:] = usual[0x20] = True
     return usual[packed & np.uint64(255)] & usual[packed >> np.uint64(8) & np.uint64(255)] & usual[packed >> np.uint64(16)]
@@ -66,9 +86,7 @@ def _lettered(packed: np.ndarray) -> np.ndarray:
 
 def _worded(w: Words) -> np.ndarray:
     """Whether each word has a letter: one of a to z, or a character beyond ASCII."""
-    total = np.zeros(len(w.data) + 1, np.int64)
-    np.cumsum(_LETTER[w.data] | (w.data >= 0x80), out=total[1:])
-    return total[w.end] > total[w.start]
+    return w.some_byte(_LETTER[w.data] | (w.data >= 0x80))
 
 
 def counted(docs: DataFrame) -> tuple[list[str], np.ndarray]:
@@ -134,9 +152,7 @@ def least_fits(docs: DataFrame, names: list[str], table: np.ndarray, fence: floa
                 key, own = np.unique(w.doc[use][of] * n_hashes + gram, return_counts=True)
                 all_own = np.bincount(key // n_hashes, own, w.n_texts)
                 use = use[np.sort(np.unique(w.hashes()[use] ^ mixed(w.doc[use].astype(np.uint64)), return_index=True)[1])]
-                packed, of = _packed(w, use)
-                kept = _lettered(packed)
-                gram, of = _hashed(packed[kept], n_hashes), of[kept]
+                gram, of = word_trigrams(w, use, n_hashes, lettered=True)
                 doc = w.doc[use][of]
                 own = own[np.searchsorted(key, doc * n_hashes + gram)]
                 best = np.full(len(use), -np.inf)
@@ -169,9 +185,7 @@ def fits_of(w: Words, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(use):
         return np.zeros(w.n_texts), np.zeros(w.n_texts)
     _, first, of = np.unique(w.hashes()[use], return_index=True, return_inverse=True)
-    packed, word = _packed(w, use[first])
-    kept = _lettered(packed)
-    gram, word = _hashed(packed[kept], len(table)), word[kept]
+    gram, word = word_trigrams(w, use[first], len(table), lettered=True)
     best = np.max([np.bincount(word, table[gram, x], len(first)) for x in range(table.shape[1])], axis=0)
     entry = np.unique(w.doc[use] * np.int64(len(first)) + of)
     doc, of = entry // len(first), entry % len(first)

@@ -55,12 +55,14 @@ def places(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     before = " " * (ORDER - 1)
     points = np.frombuffer("".join(before + t + " " for t in plain if t).encode("utf-32-le", "surrogatepass"), np.uint32)
     size = np.array([len(t) + ORDER if t else 0 for t in plain], np.int64)
-    doc = np.repeat(np.arange(len(plain)), size)
-    place = np.arange(len(points)) - np.repeat(np.cumsum(size) - size, size)
-    ends = np.flatnonzero(place >= ORDER - 1)
-    for at in range(0, len(ends), STEP):
-        own = ends[at : at + STEP]
-        yield np.stack([points[own - j] for j in range(ORDER - 1, -1, -1)], axis=1), doc[own]
+    total = np.cumsum(size)
+    for at in range(0, len(points), STEP):
+        own = np.arange(at, min(at + STEP, len(points)))
+        doc = np.searchsorted(total, own, side="right")
+        has_place = own - (total - size)[doc] >= ORDER - 1
+        own, doc = own[has_place], doc[has_place]
+        if len(own):
+            yield np.stack([points[own - j] for j in range(ORDER - 1, -1, -1)], axis=1), doc
 
 
 def _distinct(points: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

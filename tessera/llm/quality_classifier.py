@@ -38,8 +38,6 @@ def statistics(w: Words) -> np.ndarray:
     per_word = lambda x: np.bincount(w.doc, x, w.n_texts) * of_words
     long = (w.end - w.start).astype(float)
     mean = per_word(long)
-    letters = np.zeros(len(w.data) + 1, np.int64)
-    np.cumsum(_LETTER[w.data], out=letters[1:])
     start, end, line_doc = w.lines()
     lines = np.bincount(line_doc, minlength=w.n_texts)
     of_lines = 1 / np.maximum(lines, 1)
@@ -59,7 +57,7 @@ def statistics(w: Words) -> np.ndarray:
         *(w.per_text(k[w.data]) * of_bytes for k in (_SYMBOL, _DIGIT, _UPPER, _STOP, _COMMA, _EXCLAIM, _BAR, _BRACKET)), w.per_text(w.data >= 0xC0) * of_bytes,
         words * of_lines, base["n_dup_lines"] * of_lines, np.bincount(line_doc, _STOP[last], w.n_texts) * of_lines, base["n_repeat_words"] * of_words, per_word(same),
         distinct * of_words, early / np.maximum(np.minimum(words, 100), 1), common * of_words,
-        per_word(_UPPER[w.data[w.start]]), per_word(letters[w.end] == letters[w.start]),
+        per_word(_UPPER[w.data[w.start]]), per_word(~w.some_byte(_LETTER[w.data])),
     ]
     return np.stack(columns, axis=1)
 

@@ -8,6 +8,7 @@ for each word.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
+#: Bytes of which several 8-byte numbers each are held at once.
+PIECE = 1 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -32,21 +35,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class _Powers:
-    """Powers of an odd base modulo 2**64, and of its inverse, as far as any batch has needed."""
-
-    up = np.ones(1, np.uint64)
-    down = np.ones(1, np.uint64)
-
-    @classmethod
-    def to(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = max(n, 1 << 20)
-            for name, base in (("up", _ODD), ("down", _INVERSE)):
-                x = np.full(size, base, np.uint64)
-                x[0] = 1
-                setattr(cls, name, np.cumprod(x, dtype=np.uint64))
-        return cls.up[:n], cls.down[:n]
+@cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base modulo 2**64, and of its inverse, for each place of a piece."""
+    out = []
+    for base in (_ODD, _INVERSE):
+        x = np.full(PIECE + 1, base, np.uint64)
+        x[0] = 1
+        out.append(np.cumprod(x, dtype=np.uint64))
+    return out[0], out[1]
 
 
 class Words:
@@ -80,26 +77,38 @@ class Words:
         return self.span_hashes(self.start, self.end)
 
     def span_hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of the bytes from each start to its end."""
-        up, down = _Powers.to(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-        h = (total[end] - total[start]) * down[start]
+        """A 64-bit hash of the bytes from each start to its end; spans are in order, not empty, and apart.
+
+        The bytes are taken piece by piece, and a span that lies in several pieces is summed up from them.
+        """
+        up, down = _powers()
+        h, total = np.zeros(len(start), np.uint64), np.zeros(PIECE + 1, np.uint64)
+        for at in range(0, len(self.data), PIECE):
+            piece = self.data[at : at + PIECE]
+            np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * up[: len(piece)], out=total[1 : len(piece) + 1])
+            i, j = np.searchsorted(end, at, side="right"), np.searchsorted(start, at + len(piece))
+            begin = np.maximum(start[i:j] - at, 0)
+            found = (total[np.minimum(end[i:j] - at, len(piece))] - total[begin]) * down[begin]
+            if i < j and start[i] < at:
+                found[:1] *= np.uint64(pow(int(_ODD), int(at - start[i]), 1 << 64))
+            h[i:j] += found
         return mixed(h ^ ((end - start).astype(np.uint64) * _ODD))
 
     def per_text(self, of_bytes: np.ndarray) -> np.ndarray:
         """The number of bytes of each text for which of_bytes is true."""
-        total = np.zeros(len(self.data) + 1, np.int64)
-        np.cumsum(of_bytes, out=total[1:])
-        return total[self.text_end] - total[self.text_start]
+        if not self.n_texts:
+            return np.zeros(0, np.int64)
+        return np.add.reduceat(of_bytes, self.text_start, dtype=np.int64) - of_bytes[self.text_end]
+
+    def some_byte(self, of_bytes: np.ndarray) -> np.ndarray:
+        """Whether each word has a byte for which of_bytes is true."""
+        return np.logical_or.reduceat(of_bytes, np.column_stack([self.start, self.end]).ravel())[::2] if len(self.start) else np.zeros(0, bool)
 
     def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and text of each line (cut at line feeds) that has a word."""
         end = np.flatnonzero(self.data == 10)
         start = np.concatenate([[0], end[:-1] + 1])
-        total = np.zeros(len(self.data) + 1, np.int64)
-        np.cumsum(self.word, out=total[1:])
-        some = total[end] > total[start]
+        some = np.searchsorted(self.start, end) > np.searchsorted(self.start, start)
         start, end = start[some], end[some]
         return start, end, np.searchsorted(self.text_end, start)
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import catalogue, language_id, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, token_files
+from tessera.llm import catalogue, language_id, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, textarrays, token_files
 from tessera.llm.quality_classifier import FEATURES, statistics
 from tessera.llm.scratch import new_folder
 from tessera.llm.textarrays import Words
@@ -330,3 +330,41 @@ def test_stages_with_nulls_repeats_and_nothing(spark, stage):
     assert out.count() == found[name]
     assert name == "best_fit_packing" or out.columns == corpus_pipeline.COLUMNS
     assert run(spark, docs.where(F.lit(False)), SF).count() == 0
+
+
+def test_hashes_of_spans_in_several_pieces(monkeypatch):
+    texts = ["one two  three", None, "", "x" * 500, "a line\nanother\n\nlast " + "y" * 70]
+    whole = textarrays.Words(texts, lower=True)
+    expected = whole.hashes(), whole.span_hashes(*whole.lines()[:2])
+    monkeypatch.setattr(textarrays, "PIECE", 64)
+    textarrays._powers.cache_clear()
+    parts = whole.hashes(), whole.span_hashes(*whole.lines()[:2])
+    textarrays._powers.cache_clear()
+    assert all((a == b).all() for a, b in zip(expected, parts, strict=True)) and len(expected[0]) == 9
+    assert whole.per_text(whole.word).tolist() == [11, 0, 0, 500, 86]
+
+
+#: With 330,000 lines the texts have 20 MB, and the test below takes over three minutes.
+LONG_LINES = 60_000
+
+
+def test_very_long_texts(spark):
+    """One text of words, one of a single word, and a copy of the first; each operator takes them whole."""
+    words = [f"w{i}" for i in range(3000)]
+    rng = np.random.default_rng(3)
+    long = "\n".join(" ".join(words[i] for i in row) for row in rng.integers(len(words), size=(LONG_LINES, 12)))
+    single = "ab" * (len(long) // 2)
+    docs = spark.createDataFrame([(1, long, "en"), (2, single, "en"), (3, long, "en"), (4, "a short text of some words", "en")], "doc_id long, text string, lang string").repartition(4)
+    joined = {r["doc_id"]: r for r in ngram_join.ngram_jaccard_join(docs).collect()}
+    tokens = [line.split(" ") for line in long.split("\n")]
+    flat = [w for line in tokens for w in line]
+    shingles = len({tuple(flat[i : i + 5]) for i in range(len(flat) - 4)})
+    assert [(joined[i]["n_shingles"], joined[i]["component_id"]) for i in (1, 2, 3, 4)] == [(shingles, 1), (1, 2), (shingles, 1), (2, 4)]
+    rules = {r["doc_id"]: r for r in quality_rules.quality_rules(docs).collect()}
+    assert [(rules[i]["n_words"], rules[i]["word_chars"]) for i in (1, 2)] == [(len(flat), len("".join(flat))), (1, len(single))]
+    found = {r["doc_id"]: r["lang_pred"] for r in language_id.identify_languages(docs, docs.where("doc_id = 4")).collect()}
+    assert set(found.values()) == {"en"}
+    out = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed").collect()}
+    assert (out[1]["n_lines"], out[1]["n_removed"], out[3]["n_removed"]) == (LONG_LINES, 0, LONG_LINES)
+    ids = {r["id"]: r["n"] for r in packing.pieces(docs.where("doc_id <> 2").select(F.col("doc_id").alias("id"), "text"), 4096, vocabulary_path()).groupBy("id").agg(F.sum("length").alias("n")).collect()}
+    assert ids[1] == ids[3] == len(tokenizer(vocabulary_path()).tokenizer.encode(long, add_special_tokens=False).ids) + 1
