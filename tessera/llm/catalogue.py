@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, language_id, line_dedup, mixing, nearest, ngram_join, packing, quality_classifier, quality_rules, token_files
+from . import chat_format, language_id, line_dedup, merkle, mixing, nearest, ngram_join, packing, quality_classifier, quality_rules, token_automaton, token_files, turn_repair
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_chat_format": chat_format.query,
         "op9_nearest_neighbours": nearest.query,
         "op10_language_id": language_id.query,
+        "op11_turn_repair": turn_repair.query,
+        "op12_merkle_manifest": merkle.query,
+        "op13_token_automaton": token_automaton.query,
     }
 
 
@@ -25,4 +28,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_mix_sources": mixing.ORACLE_SQL,
         "op5_line_dedup": line_dedup.ORACLE_SQL,
         "op8_chat_format": chat_format.ORACLE_SQL,
+        "op11_turn_repair": turn_repair.ORACLE_SQL,
+        "op12_merkle_manifest": merkle.ORACLE_SQL,
     }
