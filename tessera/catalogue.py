@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import kernels, pixels, ranks, scalars
+from .functions.rank_forms import rank_forms
 from .jobs.run import config_value_counts
 from .operators import bootstrap, folds, nested_cv, registry, scores
 from .plans import nested, oracle
 from .plans.fixtures import LABELLED_DOCUMENTS, ORDER_SAMPLES, VECTOR_PIXELS, colour_pairs, labelled_documents, order_samples, order_scores, table, vector_pairs
 from .sources.annotations import read_annotations, with_ordinal
 from .sources.artifact import load_artifact, save_artifact
+from .sources.tables import new_folder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -40,14 +39,6 @@ def sql_rounded(*columns: str) -> str:
     return ", ".join(f"round({c}, 6) + 0.0::DOUBLE AS {c}" for c in columns)
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only in local mode without that setting."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return shared.rstrip("/") if shared else "file://" + tempfile.mkdtemp(prefix="tessera-")
-
-
 # Sources.
 _SCAN = f"WITH {LABELLED_DOCUMENTS} SELECT row_number() OVER (ORDER BY sample_idx) - 1 AS sample_idx, sample_idx AS key, pname, class3, expert_score FROM a"
 
@@ -69,7 +60,7 @@ def annotation_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("x").alias("unread"), F.col("quality").alias("class3"), F.col("source").alias("pname"), F.col("doc_id").alias("patch_id"), F.when(F.col("quality") == 1, 4.5).otherwise(float("nan")).alias("Similarity_Score"),
         F.concat(F.lit("/w/"), "doc_id").alias("warped_path"), F.concat(F.lit("f/"), "doc_id").alias("fixed_path"),
     )
-    path = f"{_shared_folder(spark)}/annotations-{uuid.uuid4().hex}"
+    path = new_folder(spark, "annotations")
     rows.write.option("header", True).csv(path)
     return read_annotations(spark, path, "/data").withColumnRenamed("Similarity_Score", "score")
 
@@ -453,6 +444,31 @@ def _bootstrapped(oof: DataFrame, samples: DataFrame, n_boot: int) -> DataFrame:
     return out.withColumns(ends).drop(*(f"bs_{n}_ci" for n, _ in _BOOT_SHORT))
 
 
+_PAIRS_BELOW = """q AS (SELECT DISTINCT pname AS h, class3 AS b FROM c), y AS (SELECT metric, pname, class3, expert_score, score FROM c JOIN s USING (sample_idx) WHERE cfg_ordinal = 0),
+l AS (SELECT metric, y.pname AS g, y.class3, y.expert_score, h, b, sum((y.pname = h AND y.class3 = b)::INT) OVER (PARTITION BY metric, h, b ORDER BY score) - sum((y.pname = h AND y.class3 = b)::INT) OVER (PARTITION BY metric, h, b, score) / 2.0 AS below FROM y, q),
+w AS (SELECT metric, score, pname, count(*)::DOUBLE AS w FROM y GROUP BY ALL)
+"""
+_FORMS_SQL = f"""WITH {ORDER_SAMPLES}, {_PAIRS_BELOW}
+SELECT metric, 'U' AS kind, g, class3::DOUBLE AS x, h, b::DOUBLE AS y, NULL AS k, sum(below)::DOUBLE AS u FROM l GROUP BY ALL HAVING sum(below) > 0
+UNION ALL SELECT metric, 'V', g, expert_score, h, -1.0, NULL, sum(below)::DOUBLE FROM l GROUP BY ALL HAVING sum(below) > 0
+UNION ALL SELECT metric, 'C', pname, class3, NULL, expert_score, NULL, count(*)::DOUBLE FROM y GROUP BY ALL
+UNION ALL SELECT metric, 'T', a.pname, -1.0, b.pname, -1.0, d.pname, sum(a.w * b.w * d.w * CASE WHEN a.pname = d.pname THEN 1 WHEN a.pname = b.pname OR b.pname = d.pname THEN 3 ELSE 6 END)
+  FROM w a JOIN w b USING (metric, score) JOIN w d USING (metric, score) WHERE a.pname <= b.pname AND b.pname <= d.pname GROUP BY ALL"""
+
+
+@query("bootstrap_forms", _FORMS_SQL)
+def bootstrap_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forms of which each replicate is a product, by the names of groups."""
+    samples = order_samples(spark, sf_dir)
+    oof = order_scores(samples).where("cfg_ordinal = 0").withColumnRenamed("score", "similarity_score")
+    placed = bootstrap.numbered_groups(samples)
+    out = rank_forms(oof.join(samples, "sample_idx"), placed)
+    for column in ("g", "h", "k"):
+        named = placed.select(F.col("place").cast("int").alias(column), F.col("pname").alias(f"{column}_name"))
+        out = out.join(named, column, "left")
+    return out.select("metric", "kind", F.col("g_name").alias("g"), "x", F.col("h_name").alias("h"), "y", F.col("k_name").alias("k"), "u")
+
+
 #: The job's number of replicates; N_BOOT is that of the queries with SQL.
 WHOLE_BOOT = 1000
 
@@ -501,7 +517,7 @@ def config_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("artifact_roundtrip")
 def artifact_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     oof, meta, samples = _vector_cv(spark, sf_dir)
-    path = f"{_shared_folder(spark)}/artifact-{uuid.uuid4().hex}"
+    path = new_folder(spark, "artifact")
     save_artifact(path, oof, meta, samples, SEED)
     return load_artifact(spark, path)[0]
 

@@ -85,13 +85,29 @@ def evaluate(df: DataFrame, by: list[str], score: str = "score", cls: str = "cla
         F.max(F.col("s").isNull() | F.col("c").isNull()).alias("lacks"),
         *(F.sum(w * F.col(h)).alias(f"w{h}") for h in ("h", *(f"h{k}" for k in CLASSES))),
     )
+    return statistics_of(reduced, by, F.sum("wss") - _level(F.sum("w")))
+
+
+def _level(n: Column) -> Column:
+    """The sum of squares of ranks that are all the mean rank."""
+    return n * (n + 1) * (n + 1) / 4.0
+
+
+def statistics_of(reduced: DataFrame, by: list[str], squares: Column) -> DataFrame:
+    """by, n and the five statistics from one row for each class c and expert score e of a group.
+
+    reduced has w, the weight; ws, its product with ranks by the score; wh, wh0, wh1 and wh2, its product with the weight
+    below each row (of all classes and of each), half of what is equal included; lacks, whether a score or class is
+    missing.  squares: an aggregate, the sum of squares of the ranks' distances from their mean.
+    """
+    w = F.col("w")
     ranked = reduced.withColumns({"rank_c": _weighted_rank(w, "c", by), "rank_e": _weighted_rank(w, "e", by)})
     n = F.sum("w")
-    level = n * (n + 1) * (n + 1) / 4.0
+    level = _level(n)
     among = lambda k, value: F.sum(F.when(F.col("c") == k, value).otherwise(0.0))
 
     def spearman(other: str) -> Column:
-        spread = (F.sum("wss") - level) * (F.sum(w * F.col(other) * F.col(other)) - level)
+        spread = squares * (F.sum(w * F.col(other) * F.col(other)) - level)
         return F.when(spread > 0, (F.sum(F.col("ws") * F.col(other)) - level) / F.sqrt(spread))
 
     def auc(above: Column, positive: Column, negative: Column) -> Column:

@@ -12,6 +12,7 @@ from ..operators.registry import Registry
 from ..plans.nested import nested_cv
 from ..sources.annotations import image_pairs, read_annotations, read_images
 from ..sources.artifact import save_artifact
+from ..sources.tables import saved
 
 
 def config_value_counts(fold_meta: DataFrame) -> DataFrame:
@@ -31,7 +32,7 @@ def main(args: list[str] | None = None) -> None:
     a = p.parse_args(args)
     names = a.identities.split(",")
     spark = SparkSession.builder.appName("tessera").getOrCreate()
-    annotations = read_annotations(spark, a.csv, a.images).persist()
+    annotations = saved(read_annotations(spark, a.csv, a.images), "annotations")
     samples = annotations.withColumnRenamed("Similarity_Score", "expert_score")
     measures = Registry().chosen(names)
     oof, fold_meta = nested_cv(image_pairs(annotations, read_images(spark, a.images)), samples, measures, a.outer_seed)

@@ -5,7 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranks import STATISTICS, evaluate, with_parts
+from ..functions.rank_forms import evaluate_draws, rank_forms
+from ..functions.ranks import STATISTICS
+from ..sources.tables import saved
+
+
+def numbered_groups(samples: DataFrame) -> DataFrame:
+    """pname and place, from 0 in the order of names: one row for each group, far fewer than samples."""
+    names = samples.select(F.col("pname").cast("string").alias("pname")).distinct()
+    return names.withColumn("place", (F.row_number().over(Window.orderBy("pname")) - 1).cast("long"))
+
+
+def _drawn(spark: SparkSession, n: int, n_boot: int, seed: int) -> DataFrame:
+    """boot, place and times of the n groups that each replicate draws."""
+    draws = spark.range(n_boot * n).select((F.expr(f"id div {max(n, 1)}")).cast("int").alias("boot"), (F.col("id") % max(n, 1)).alias("j"))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("boot").cast("string"), F.col("j").cast("string")))
+    return draws.withColumn("place", F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % max(n, 1)).groupBy("boot", "place").agg(F.count("*").alias("times"))
 
 
 def group_draws(samples: DataFrame, n_boot: int = 1000, seed: int = 143) -> DataFrame:
@@ -14,31 +29,25 @@ def group_draws(samples: DataFrame, n_boot: int = 1000, seed: int = 143) -> Data
     A replicate draws as many groups as there are, with replacement; draw j of replicate b is the group of the place
     md5(seed:b:j) in the order of names.  The draws are the same for all measures.
     """
-    names = samples.select(F.col("pname").cast("string").alias("pname")).distinct()
-    # One row for each group, far fewer than samples.
-    placed = names.withColumn("place", (F.row_number().over(Window.orderBy("pname")) - 1).cast("long"))
-    n = names.count()
-    spark: SparkSession = samples.sparkSession
-    draws = spark.range(n_boot * n).select((F.expr(f"id div {max(n, 1)}")).cast("int").alias("boot"), (F.col("id") % max(n, 1)).alias("j"))
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("boot").cast("string"), F.col("j").cast("string")))
-    draws = draws.withColumn("place", F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % max(n, 1)).groupBy("boot", "place").agg(F.count("*").alias("times"))
-    return draws.join(placed, "place").select("boot", "pname", "times")
+    placed = numbered_groups(samples)
+    return _drawn(samples.sparkSession, placed.count(), n_boot, seed).join(placed, "place").select("boot", "pname", "times")
 
 
 def bootstrap(oof: DataFrame, samples: DataFrame, n_boot: int = 1000, seed: int = 143) -> DataFrame:
     """The statistics on all samples, and means, deviations and 95 % intervals over the replicates, for each measure.
 
-    A group drawn k times counts with weight k; no row is repeated.  The measure with the largest correlation on all samples
-    comes first.
+    Rows are read once, for forms in the counts of groups (see functions.rank_forms); a replicate is a product of these with
+    its draws, and that in which each group counts once gives the statistics on all samples.  The measure with the largest
+    correlation on all samples comes first.
     """
     rows = oof.join(samples.select("sample_idx", F.col("pname").cast("string").alias("pname"), "class3", "expert_score"), "sample_idx")
-    # Equal rows of a group are added up once, before each replicate takes them with its weight.  Parts of the order of
-    # scores are the same in all replicates.
-    cells = rows.groupBy("metric", "pname", "similarity_score", "class3", "expert_score").agg(F.count("*").alias("rows"))
-    cells = with_parts(cells.persist(), ["metric"], "similarity_score")
-    full = evaluate(cells, ["metric"], "similarity_score", weight="rows", part="part").select("metric", *(F.col(s).alias(f"full_{s}") for s in STATISTICS))
-    drawn = cells.join(group_draws(samples, n_boot, seed), "pname").withColumn("w", F.col("rows") * F.col("times"))
-    stats = evaluate(drawn, ["metric", "boot"], "similarity_score", weight="w", part="part")
+    placed = saved(numbered_groups(samples), "groups")
+    n = placed.count()
+    forms = saved(rank_forms(rows, placed), "forms")
+    once = samples.sparkSession.range(n).select(F.lit(-1).alias("boot"), F.col("id").alias("place"), F.lit(1).cast("long").alias("times"))
+    stats = saved(evaluate_draws(forms, _drawn(samples.sparkSession, n, n_boot, seed).union(once)), "replicates")
+    full = stats.where("boot < 0").select("metric", *(F.col(s).alias(f"full_{s}") for s in STATISTICS))
+    stats = stats.where("boot >= 0")
     short = {"sp": "spearman_class3", "auc_bad": "auc_bad_vs_rest", "auc_good": "auc_good_vs_rest", "auc_ovo": "auc_3class_ovo"}
     aggs = []
     for name, column in short.items():

@@ -8,9 +8,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rank_sets import evaluate_sets
 from ..functions.ranks import evaluate, with_parts
+from ..sources.tables import saved
 
 KEYS = ["outer_fold", "metric", "cfg_ordinal"]
+#: An inner fold's number is below this.
+MOST_FOLDS = 1 << 12
 
 
 def inner_results(scores: DataFrame, samples: DataFrame, inner: DataFrame) -> DataFrame:
@@ -19,9 +23,11 @@ def inner_results(scores: DataFrame, samples: DataFrame, inner: DataFrame) -> Da
     scores: sample_idx, metric, cfg_ordinal, score; samples: sample_idx, pname, class3, expert_score; inner: outer_fold,
     pname, fold.  A statistic that a fold lacks is left out; the deviation of one fold is null.
     """
-    rows = samples.withColumn("pname", F.col("pname").cast("string")).join(inner, "pname").withColumnRenamed("fold", "inner_fold")
-    rows = rows.select("sample_idx", "outer_fold", "inner_fold", "class3", "expert_score").join(scores, "sample_idx")
-    stats = evaluate(rows, [*KEYS, "inner_fold"])
+    # A sample lies in one inner fold of each outer fold but its own: sets of one sort of each configuration's scores.
+    groups = inner.groupBy("pname").agg(F.collect_list((F.col("outer_fold") * MOST_FOLDS + F.col("fold")).cast("int")).alias("sets"))
+    rows = samples.withColumn("pname", F.col("pname").cast("string")).join(groups, "pname")
+    rows = rows.select("sample_idx", "class3", "expert_score", "sets").join(scores, "sample_idx")
+    stats = evaluate_sets(rows, ["metric", "cfg_ordinal"], "sets").withColumn("outer_fold", F.expr(f"`set` div {MOST_FOLDS}").cast("int"))
     return stats.groupBy(*KEYS).agg(
         F.avg("spearman_class3").alias("inner_sp_mean"),
         F.stddev_samp("spearman_class3").alias("inner_sp_std"),
@@ -51,7 +57,7 @@ def evaluate_oof(oof: DataFrame, samples: DataFrame) -> DataFrame:
 
     A measure's samples are ranked in parts, as they are too many for one task.
     """
-    n, oof = samples.count(), oof.persist()  # read three times
+    n, oof = samples.count(), saved(oof, "oof")  # read three times
     rows = with_parts(oof.join(samples.select("sample_idx", "class3", "expert_score"), "sample_idx"), ["metric"], "similarity_score")
     found = evaluate(rows, ["metric"], "similarity_score", part="part")
     counts = oof.groupBy("metric").agg(F.count("*").alias("rows"), F.countDistinct("sample_idx").alias("different"))
