@@ -6,12 +6,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import kernels, pixels, ranks, scalars
+from .functions import filters, kernels, pixels, ranks, scalars
 from .functions.rank_forms import rank_forms
 from .jobs.run import config_value_counts
 from .operators import bootstrap, folds, nested_cv, registry, scores
 from .plans import nested, oracle
-from .plans.fixtures import LABELLED_DOCUMENTS, ORDER_SAMPLES, VECTOR_PIXELS, colour_pairs, labelled_documents, order_samples, order_scores, table, vector_pairs
+from .plans.fixtures import LABELLED_DOCUMENTS, ORDER_SAMPLES, VECTOR_PIXELS, colour_pairs, labelled_documents, mosaic_pixels, mosaics, order_samples, order_scores, table, vector_pairs
 from .sources.annotations import read_annotations, with_ordinal
 from .sources.artifact import load_artifact, save_artifact
 from .sources.tables import new_folder
@@ -236,7 +236,34 @@ FROM m GROUP BY sample_idx"""
 
 @query("measure_ssim", _SSIM)
 def measure_ssim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _kernel_scores(spark, sf_dir, "ssim3", kernels.ssim, win_size=3)
+    return rounded(filters.ssim(filters.pixel_rows(vector_pairs(spark, sf_dir)), ["sample_idx"], 3), "score")
+
+
+_SIDE = 40
+_MOSAIC = f"WITH {VECTOR_PIXELS}, {mosaic_pixels(_SIDE // 8)}"
+_MIRROR = "CASE WHEN {a} < 0 THEN -1 - ({a}) WHEN {a} >= %d THEN %d - ({a}) ELSE {a} END" % (_SIDE, 2 * _SIDE - 1)
+
+
+def _sql_ssim(win: int) -> str:
+    """By sums of rows and then of columns, whose mirrored places are joined to."""
+    r, unbiased = win // 2, win * win / (win * win - 1)
+    mean = lambda of: ", ".join(f"sum({c}) / {win} AS {c}" for c in ("a", "b", "aa", "bb", "ab"))
+    near = lambda axis: _MIRROR.format(a=f"{axis} + d")
+    return f"""o{win}(d) AS (SELECT unnest(range({-r}, {r + 1}))),
+r{win} AS (SELECT p.sample_idx, p.y, p.x, {mean("q")} FROM (SELECT sample_idx, y, x, {near("y")} AS at FROM mo, o{win}) p JOIN m q ON q.sample_idx = p.sample_idx AND q.x = p.x AND q.y = p.at GROUP BY ALL),
+c{win} AS (SELECT p.sample_idx, p.y, p.x, {mean("q")} FROM (SELECT sample_idx, y, x, {near("x")} AS at FROM mo, o{win}) p JOIN r{win} q ON q.sample_idx = p.sample_idx AND q.y = p.y AND q.x = p.at GROUP BY ALL),
+s{win} AS (SELECT sample_idx, {win}::INT AS win, round(avg((2 * a * b + 0.0001) * (2 * {unbiased} * (ab - a * b) + 0.0009) / ((a * a + b * b + 0.0001) * ({unbiased} * (aa - a * a + bb - b * b) + 0.0009))), 6) + 0.0::DOUBLE AS score FROM c{win} GROUP BY sample_idx)"""
+
+
+_WINDOWS = (7, 31)
+
+
+@query("measure_ssim_windows", f"{_MOSAIC}, m AS (SELECT sample_idx, y, x, src AS a, trg AS b, src * src AS aa, trg * trg AS bb, src * trg AS ab FROM mo), {', '.join(map(_sql_ssim, _WINDOWS))} " + " UNION ALL ".join(f"SELECT * FROM s{w}" for w in _WINDOWS))
+def measure_ssim_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search's windows, on images of 25 vectors each."""
+    px = mosaics(spark, sf_dir, _SIDE // 8)
+    found = [filters.ssim(px, ["sample_idx"], w).select("sample_idx", F.lit(w).alias("win"), "score") for w in _WINDOWS]
+    return rounded(found[0].union(found[1]), "score")
 
 
 _MASKED = f"WITH {VECTOR_PIXELS}, {_MOMENTS.format(where='WHERE (i + sample_idx) % 3 > 0')} SELECT sample_idx, round({_NCC}, 6) + 0.0::DOUBLE AS score FROM px JOIN g USING (sample_idx) WHERE (i + sample_idx) % 3 > 0 GROUP BY sample_idx"
@@ -273,34 +300,61 @@ def measure_fsimc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kernel_scores(spark, sf_dir, "fsimc", kernels.fsim, chromatic=True)
 
 
-@query("measure_ms_ssim")
+_LARGE = 21
+_KERNEL = filters.gaussian_weights(11, 1.5)
+
+
+def _sql_ms_ssim() -> str:
+    """Levels of means of 2 x 2 pixels; sums by weights over the places whose whole window is inside."""
+    weights = ", ".join(f"({d}, {w!r}::DOUBLE)" for d, w in zip(range(-5, 6), _KERNEL, strict=True))
+    sums = ", ".join(f"sum({c} * w) AS {c}" for c in ("a", "b", "aa", "bb", "ab"))
+    ctes, side = [f"k(d, w) AS (VALUES {weights})", "l0 AS (SELECT sample_idx, y, x, src AS a, trg AS b FROM mo)"], 8 * _LARGE
+    for n, weight in enumerate(kernels.SCALES):
+        if n:
+            ctes.append(f"l{n} AS (SELECT sample_idx, y // 2 AS y, x // 2 AS x, avg(a) AS a, avg(b) AS b FROM l{n - 1} GROUP BY ALL)")
+            side = -(-side // 2)
+        ctes.append(f"m{n} AS (SELECT *, a * a AS aa, b * b AS bb, a * b AS ab FROM l{n})")
+        ctes.append(f"r{n} AS (SELECT sample_idx, q.y - d AS y, x, {sums} FROM m{n} q, k WHERE q.y - d BETWEEN 5 AND {side - 6} GROUP BY ALL)")
+        ctes.append(f"c{n} AS (SELECT sample_idx, y, q.x - d AS x, {sums} FROM r{n} q, k WHERE q.x - d BETWEEN 5 AND {side - 6} GROUP BY ALL)")
+        near = "(2 * a * b + 0.0001) / (a * a + b * b + 0.0001) * " if n == len(kernels.SCALES) - 1 else ""
+        ctes.append(f"p{n} AS (SELECT sample_idx, greatest(avg({near}(2 * (ab - a * b) + 0.0009) / (aa - a * a + bb - b * b + 0.0009)), 0) ** {weight} AS p{n} FROM c{n} GROUP BY sample_idx)")
+    product = " * ".join(f"p{n}" for n in range(len(kernels.SCALES)))
+    joins = " ".join(f"JOIN p{n} USING (sample_idx)" for n in range(1, len(kernels.SCALES)))
+    return f"WITH {VECTOR_PIXELS}, {mosaic_pixels(_LARGE)}, {', '.join(ctes)} SELECT sample_idx, round({product}, 6) + 0.0::DOUBLE AS score FROM p0 {joins}"
+
+
+@query("measure_ms_ssim", _sql_ms_ssim())
 def measure_ms_ssim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the pairs' pixels repeated to 168 x 168."""
-    large = lambda v: np.repeat(np.repeat(v, 21, axis=1), 21, axis=2)
-    return _kernel_scores(spark, sf_dir, "ms-ssim", lambda x, y: np.concatenate([kernels.ms_ssim(large(x[i : i + 16]), large(y[i : i + 16])) for i in range(0, len(x), 16)]))
+    """On images of 441 vectors each, 168 x 168 pixels."""
+    return rounded(filters.ms_ssim(mosaics(spark, sf_dir, _LARGE), ["sample_idx"]), "score")
+
+
+def _placed_sum(px: DataFrame, value: str) -> DataFrame:
+    """A sum in which every place of an image counts differently."""
+    place = F.col("y") * F.col("width") + F.col("x") + 1
+    return rounded(px.groupBy("sample_idx").agg(F.sum(F.col(value) * place).cast("double").alias("score")), "score")
+
 
+_PLANE = ["sample_idx", "c"]
 
-def _kernel_pixels(spark: SparkSession, sf_dir: str, kernel) -> DataFrame:
-    def total(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        out = kernel(x, y)
-        return (out * np.arange(1, 65).reshape(1, 8, 8, 1)).sum(axis=(1, 2, 3))  # a sum in which every place counts differently
 
-    return _kernel_scores(spark, sf_dir, "total", total)
+def _vector_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.pixel_rows(vector_pairs(spark, sf_dir))
 
 
 _MEDIAN = f"""WITH {VECTOR_PIXELS}, o(d) AS (VALUES (-2), (-1), (0), (1), (2)),
 m AS (SELECT p.sample_idx, p.i, median(q.x) AS v FROM px p, o r, o c, px q WHERE q.sample_idx = p.sample_idx AND q.i = least(greatest(p.i // 8 + r.d, 0), 7) * 8 + least(greatest(p.i % 8 + c.d, 0), 7) GROUP BY ALL)
 SELECT sample_idx, round(sum(v * (i + 1)), 6) + 0.0::DOUBLE AS score FROM m GROUP BY sample_idx"""
-QUERIES["median5"], SQL["median5"] = lambda s, d: _kernel_pixels(s, d, lambda x, y: kernels.median_smooth(x)), _MEDIAN
+QUERIES["median5"], SQL["median5"] = lambda s, d: _placed_sum(filters.median_smoothed(_vector_pixels(s, d), _PLANE, ["src"]), "src"), _MEDIAN
 
 _GAUSS = f"""WITH {VECTOR_PIXELS}, o(d) AS (VALUES (-2), (-1), (0), (1), (2)), k AS (SELECT d, exp(-0.5 * (d / 1.1) ** 2) / (SELECT sum(exp(-0.5 * (d / 1.1) ** 2)) FROM o) AS w FROM o),
 m AS (SELECT p.sample_idx, p.i, sum(q.x * r.w * c.w) AS v FROM px p, k r, k c, px q WHERE q.sample_idx = p.sample_idx AND q.i = least(greatest(p.i // 8 + r.d, 0), 7) * 8 + least(greatest(p.i % 8 + c.d, 0), 7) GROUP BY ALL)
 SELECT sample_idx, round(sum(v * (i + 1)), 6) + 0.0::DOUBLE AS score FROM m GROUP BY sample_idx"""
-QUERIES["gaussian5"], SQL["gaussian5"] = lambda s, d: _kernel_pixels(s, d, lambda x, y: kernels.gaussian_smooth(x)), _GAUSS
+QUERIES["gaussian5"], SQL["gaussian5"] = lambda s, d: _placed_sum(filters.gaussian_smoothed(_vector_pixels(s, d), _PLANE, ["src"]), "src"), _GAUSS
 
 _WHITE = f"""WITH {VECTOR_PIXELS}, t AS (SELECT sample_idx, quantile_cont(x * 255, 0.8) - 5 AS t FROM px GROUP BY sample_idx)
 SELECT sample_idx, sum(CASE WHEN x * 255 < t THEN i + 1 ELSE 0 END)::DOUBLE AS score FROM px JOIN t USING (sample_idx) GROUP BY sample_idx"""
-QUERIES["nonwhite_mask"], SQL["nonwhite_mask"] = lambda s, d: _kernel_pixels(s, d, lambda x, y: kernels.non_white(x * 255)[..., None]), _WHITE
+QUERIES["nonwhite_mask"], SQL["nonwhite_mask"] = lambda s, d: _placed_sum(filters.below_threshold(_vector_pixels(s, d).withColumn("src", F.col("src") * 255), ["sample_idx"], "src"), "mask"), _WHITE
 
 _MATCH = f"""WITH {VECTOR_PIXELS}, s AS (SELECT sample_idx, x, any_value(cum) AS q FROM (SELECT sample_idx, x, count(*) OVER (PARTITION BY sample_idx ORDER BY x) / 64.0 AS cum FROM px) GROUP BY sample_idx, x),
 t AS (SELECT sample_idx, y, any_value(cum) AS q FROM (SELECT sample_idx, y, count(*) OVER (PARTITION BY sample_idx ORDER BY y) / 64.0 AS cum FROM px) GROUP BY sample_idx, y),
@@ -308,9 +362,31 @@ f AS (SELECT s.sample_idx, s.x, any_value(s.q) AS q, max(t.q) FILTER (WHERE t.q
   FROM s JOIN t USING (sample_idx) GROUP BY s.sample_idx, s.x),
 h AS (SELECT sample_idx, x, CASE WHEN y0 IS NULL THEN y1 WHEN q1 = q0 THEN y1 ELSE y0 + (q - q0) / (q1 - q0) * (y1 - y0) END AS v FROM f)
 SELECT sample_idx, round(sum(v * (i + 1)), 6) + 0.0::DOUBLE AS score FROM px JOIN h USING (sample_idx, x) GROUP BY sample_idx"""
-QUERIES["hist_match"], SQL["hist_match"] = lambda s, d: _kernel_pixels(s, d, kernels.match_histogram), _MATCH
-QUERIES["clahe"] = lambda s, d: _kernel_pixels(s, d, lambda x, y: kernels.clahe(x))
-QUERIES["hed_channel"] = lambda s, d: _kernel_pixels(s, d, lambda x, y: kernels.hematoxylin(np.concatenate([x, y, 1 - x], axis=-1)))
+QUERIES["hist_match"], SQL["hist_match"] = lambda s, d: _placed_sum(filters.matched(_vector_pixels(s, d), _PLANE), "src"), _MATCH
+
+
+# CLAHE of images of 25 vectors: tiles of 5 x 5 pixels.
+_TILE = _SIDE // 8
+_CLAHE = f"""{_MOSAIC}, e AS (SELECT sample_idx, y, x, floor(least(greatest(src, 0), 1) * 255)::INT AS bin FROM mo),
+h AS (SELECT sample_idx, y // {_TILE} AS ty, x // {_TILE} AS tx, bin, count(*) AS n FROM e GROUP BY ALL),
+t AS (SELECT DISTINCT sample_idx, ty, tx FROM h),
+a AS (SELECT t.*, b.bin, coalesce(n, 0) AS n, greatest(2 * {_TILE * _TILE} // 256, 1) AS most FROM t CROSS JOIN range(256) b(bin) LEFT JOIN h USING (sample_idx, ty, tx, bin)),
+x AS (SELECT *, sum(greatest(n - most, 0)) OVER (PARTITION BY sample_idx, ty, tx) AS cut FROM a),
+d AS (SELECT *, least(n, most) + cut // 256 + (cut % 256 > 0 AND bin % greatest(256 // greatest(cut % 256, 1), 1) = 0 AND bin // greatest(256 // greatest(cut % 256, 1), 1) < cut % 256)::INT AS m FROM x),
+l AS (SELECT sample_idx, ty, tx, bin, least(greatest(round_even(sum(m) OVER (PARTITION BY sample_idx, ty, tx ORDER BY bin) * 255 / {_TILE * _TILE}, 0), 0), 255) AS v FROM d),
+g AS (SELECT *, y / {_TILE} - 0.5 AS fy, x / {_TILE} - 0.5 AS fx FROM e),
+q AS (SELECT sample_idx, y, x, bin, fy - floor(fy) AS fy, fx - floor(fx) AS fx, least(greatest(floor(fy), 0), 7)::BIGINT AS y0, least(greatest(floor(fy) + 1, 0), 7)::BIGINT AS y1,
+  least(greatest(floor(fx), 0), 7)::BIGINT AS x0, least(greatest(floor(fx) + 1, 0), 7)::BIGINT AS x1 FROM g),
+o AS (SELECT q.sample_idx, y, x, round_even((a.v * (1 - fx) + b.v * fx) * (1 - fy) + (c.v * (1 - fx) + d.v * fx) * fy, 0) / 255 AS v
+  FROM q {' '.join(f'JOIN l {n} ON {n}.sample_idx = q.sample_idx AND {n}.bin = q.bin AND {n}.ty = y{i} AND {n}.tx = x{j}' for n, i, j in zip('abcd', (0, 0, 1, 1), (0, 1, 0, 1), strict=True))})
+SELECT sample_idx, round(sum(v * (y * {_SIDE} + x + 1)), 6) + 0.0::DOUBLE AS score FROM o GROUP BY sample_idx"""
+QUERIES["clahe"], SQL["clahe"] = lambda s, d: _placed_sum(filters.clahe(mosaics(s, d, _SIDE // 8), _PLANE, "src"), "src"), _CLAHE
+
+_DENSITY = "ln(greatest({v}, 1e-6)) / ln(1e-6)"
+_HED = f"""WITH {VECTOR_PIXELS}, p AS (SELECT sample_idx, i, greatest({' + '.join(f'{_DENSITY.format(v=v)} * {k!r}' for v, k in zip(('x', 'y', '(1 - x)'), np.linalg.inv(kernels.STAINS)[:, 0].tolist(), strict=True))}, 0) AS part FROM px),
+t AS (SELECT sample_idx, quantile_cont(part, 0.99) AS top FROM p GROUP BY sample_idx)
+SELECT sample_idx, round(sum((1 - CASE WHEN top > 0 THEN least(part / top, 1) ELSE 0 END) * (i + 1)), 6) + 0.0::DOUBLE AS score FROM p JOIN t USING (sample_idx) GROUP BY sample_idx"""
+QUERIES["hed_channel"], SQL["hed_channel"] = lambda s, d: _placed_sum(filters.hematoxylin(_vector_pixels(s, d), ["sample_idx"], F.col("src"), F.col("trg"), 1 - F.col("src")), "stain"), _HED
 
 
 _CROSS = f"""WITH {VECTOR_PIXELS}, f(flip) AS (VALUES (0), (1)), n(norm) AS (VALUES (0), (1)),

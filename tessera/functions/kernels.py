@@ -137,7 +137,7 @@ def clahe(x: np.ndarray) -> np.ndarray:
         elif image.shape[-1] == 3:
             lab = _lab(image / 255)
             light = equalise_tiles(np.round(lab[..., 0] * 255 / 100).astype(np.uint8))
-            out[i] = _from_lab(np.concatenate([light[..., None] * 100 / 255, lab[..., 1:]], axis=-1))
+            out[i] = _from_lab(np.concatenate([light[..., None] * (100 / 255), lab[..., 1:]], axis=-1))
         else:
             raise ValueError("images have one or three channels")
     return out

@@ -78,3 +78,22 @@ def colour_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 VECTOR_PIXELS = """v AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS raw FROM embeddings),
 z AS (SELECT vec_id, i, (raw - min(raw) OVER w) / (max(raw) OVER w - min(raw) OVER w) AS v FROM v WINDOW w AS (PARTITION BY vec_id)),
 px AS (SELECT a.vec_id AS sample_idx, a.i, a.v AS x, b.v AS y FROM z a JOIN z b ON b.i = a.i AND b.vec_id = (a.vec_id + 1) % (SELECT count(*) FROM embeddings))"""
+
+
+def mosaics(spark: SparkSession, sf_dir: str, tiles: int) -> DataFrame:
+    """Pixel rows of square images of tiles x tiles vector pairs, by their order; the last image goes on with the first pairs."""
+    p = vector_pairs(spark, sf_dir).select("sample_idx", F.posexplode(F.arrays_zip("src", "trg")).alias("i", "p"))
+    n, each = table(spark, sf_dir, "embeddings").count(), tiles * tiles
+    places = -(-n // each) * each
+    again = F.transform(F.sequence(F.lit(0), F.lit((places - 1) // n)), lambda k: F.col("sample_idx") + k * n)
+    rows = p.select(F.explode(F.filter(again, lambda k: k < places)).alias("k"), "i", "p")
+    tile, side = F.col("k") % each, 8 * tiles
+    y, x = F.expr(f"(k % {each}) div {tiles} * 8 + i div 8"), tile % tiles * 8 + F.col("i") % 8
+    return rows.select(F.expr(f"k div {each}").alias("sample_idx"), F.lit(side).alias("height"), F.lit(side).alias("width"), F.lit(0).alias("c"), y.cast("int").alias("y"), x.cast("int").alias("x"), F.col("p.src").alias("src"), F.col("p.trg").alias("trg")).repartition("sample_idx")
+
+
+def mosaic_pixels(tiles: int) -> str:
+    """A CTE mo (sample_idx, y, x, src, trg) of the same rows."""
+    each = tiles * tiles
+    return f"""mo AS (SELECT (k // {each})::BIGINT AS sample_idx, ((k % {each}) // {tiles} * 8 + i // 8)::INT AS y, (k % {tiles} * 8 + i % 8)::INT AS x, px.x AS src, px.y AS trg
+  FROM (SELECT k, k % (SELECT count(*) FROM embeddings) AS sample_idx FROM range((SELECT ((count(*) + {each} - 1) // {each} * {each})::BIGINT FROM embeddings)) r(k)) t JOIN px USING (sample_idx))"""
