@@ -212,11 +212,7 @@ SELECT sample_idx, round(sum(p * ln(p / (p1 * p2))), 6) + 0.0::DOUBLE AS score F
 
 @query("measure_mi", _MI)
 def measure_mi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    zipped = F.arrays_zip(pixels.bins(F.col("src")).alias("bx"), pixels.bins(F.col("trg")).alias("by"))
-    cells = vector_pairs(spark, sf_dir).select("sample_idx", F.inline(zipped)).groupBy("sample_idx", "bx", "by").agg((F.count("*") / 64.0).alias("p"))
-    side = lambda c: F.sum("p").over(Window.partitionBy("sample_idx", c))
-    joint = cells.withColumns({"px": side("bx"), "py": side("by")}).where("p > 0")
-    return rounded(joint.groupBy("sample_idx").agg(F.sum(F.col("p") * F.log(F.col("p") / (F.col("px") * F.col("py")))).alias("score")), "score")
+    return rounded(vector_pairs(spark, sf_dir).select("sample_idx", pixels.mutual_information(F.col("src"), F.col("trg")).alias("score")), "score")
 
 
 def _kernel_scores(spark: SparkSession, sf_dir: str, name: str, kernel, **params) -> DataFrame:
@@ -286,7 +282,8 @@ def mask_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("measure_custom_distance", f"WITH {VECTOR_PIXELS} SELECT sample_idx, round(-avg(abs(x - y)), 6) + 0.0::DOUBLE AS score FROM px GROUP BY sample_idx")
 def measure_custom_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = registry.Registry(())
-    own.register("mean_difference", lambda x, y: np.abs(x - y).mean(axis=(1, 2, 3)), ("gray",), higher_is_better=False)
+    difference = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: F.abs(a - b)), F.lit(0.0), lambda t, v: t + v) / F.size(x)
+    own.register("mean_difference", channel_modes=("gray",), column=difference, higher_is_better=False)
     return rounded(scores.score_pairs(vector_pairs(spark, sf_dir), own.chosen(), {f: (False,) for f in registry.SEARCH}).select("sample_idx", "score"), "score")
 
 
@@ -399,8 +396,8 @@ UNION ALL SELECT sample_idx, 'psnr', (norm * 2 + flip)::INT, round(-10 * log10(a
 @query("score_cross_join", _CROSS)
 def score_cross_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = registry.Registry(())
-    own.register("ncc", kernels.ncc, ("gray",))
-    own.register("psnr", kernels.psnr, ("gray",))
+    own.register("ncc", channel_modes=("gray",), column=pixels.ncc)
+    own.register("psnr", channel_modes=("gray",), column=pixels.psnr)
     search = {f: (False, True) if f in ("normalization", "flip_intensity") else (False,) for f in registry.SEARCH}
     return scores.score_pairs(vector_pairs(spark, sf_dir), own.chosen(), search).withColumn("score", F.round("score", 5) + 0.0)
 

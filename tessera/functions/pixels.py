@@ -42,6 +42,31 @@ def gray(r: Column, g: Column, b: Column) -> Column:
     return F.zip_with(F.zip_with(r, g, lambda x, y: GRAY[0] * x + GRAY[1] * y), b, lambda x, y: x + GRAY[2] * y)
 
 
+def of_channels(x: Column, channels: Column, body) -> Column:
+    """An array of body(values of a channel), one for each channel of interleaved values."""
+    return F.transform(F.sequence(F.lit(0), channels - 1), lambda c: body(F.filter(x, lambda _, i: i % channels == c)))
+
+
+def preprocessed(x: Column, channels: Column, config: dict) -> Column:
+    """Interleaved values under a configuration without neighbourhoods: scaling, min-max by channel, gray of three channels, flip."""
+    x = scaled(x)
+    if config.get("normalization"):
+        ends = F.struct(x.alias("x"), of_channels(x, channels, F.array_min).alias("low"), of_channels(x, channels, F.array_max).alias("high"))
+        low = lambda e, i: F.get(e["low"], (i % channels).cast("int"))
+        high = lambda e, i: F.get(e["high"], (i % channels).cast("int"))
+        x = _with(ends, lambda e: F.transform(e["x"], lambda v, i: (v - low(e, i)) / (high(e, i) - low(e, i) + EPSILON)))
+    if config.get("channel_mode") == "gray":
+        at = lambda v, p, k: F.get(v, (3 * p + k).cast("int")) * GRAY[k]
+        of_three = lambda v: F.transform(F.sequence(F.lit(0), (F.size(v) / 3).cast("int") - 1), lambda p: at(v, p, 0) + at(v, p, 1) + at(v, p, 2))
+        x = _with(x, lambda v: F.when(channels == 3, of_three(v)).otherwise(v))
+    return flipped(x) if config.get("flip_intensity") else x
+
+
+#: Flags that look at more than one place of an image, and the channel mode of stains.
+def without_neighbourhood(config: dict) -> bool:
+    return not any(config.get(f) for f in ("match_histogram", "clahe", "smoothing")) and config.get("channel_mode") != "hed"
+
+
 def masked(x: Column, mask: Column) -> Column:
     """The values where the mask is 1; all without a mask."""
     return F.when(mask.isNull(), x).otherwise(F.transform(F.filter(F.arrays_zip(x.alias("x"), mask.alias("m")), lambda z: z["m"] == 1), lambda z: z["x"]))
@@ -74,3 +99,19 @@ def bins(x: Column, n: int = 32) -> Column:
     start = F.when(high > low, low).otherwise(low - 0.5)
     scale = F.struct(x.alias("x"), start.alias("start"), F.when(high > low, high - low).otherwise(1.0).alias("width"))
     return _with(scale, lambda e: F.transform(e["x"], lambda v: F.least(F.floor((v - e["start"]) / e["width"] * n), F.lit(n - 1)).cast("int")))
+
+
+def _sum_of_logs(codes: Column) -> Column:
+    """The sum of n ln n over the numbers n of equal codes, in one pass over the codes in order."""
+    log = lambda n: F.when(n > 0, n * F.log(n)).otherwise(0.0)
+    start = F.struct(F.lit(-1).alias("code"), F.lit(0.0).alias("n"), F.lit(0.0).alias("total"))
+    step = lambda a, c: F.when(a["code"] == c, F.struct(c.alias("code"), (a["n"] + 1.0).alias("n"), a["total"].alias("total"))).otherwise(F.struct(c.alias("code"), F.lit(1.0).alias("n"), (a["total"] + log(a["n"])).alias("total")))
+    return F.aggregate(F.array_sort(codes), start, step, lambda a: a["total"] + log(a["n"]))
+
+
+def mutual_information(x: Column, y: Column, n: int = 32) -> Column:
+    """Of both sides' bins: from the numbers of equal bins and of equal pairs of bins."""
+    both = F.struct(bins(x, n).alias("x"), bins(y, n).alias("y"))
+    size = F.size(x).cast("double")
+    value = lambda e: (_sum_of_logs(F.zip_with(e["x"], e["y"], lambda a, b: a * n + b)) - _sum_of_logs(e["x"]) - _sum_of_logs(e["y"])) / size + F.log(size)
+    return F.when(size > 0, _with(both, value))

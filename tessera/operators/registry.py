@@ -3,7 +3,8 @@
 A measure is a function of two stacks of preprocessed images (and parameters) that gives one number for each pair.
 Users register their own in the same way; a distance is registered with higher_is_better=False and is negated.  A measure
 that takes masks gets one as `mask` where the pairs have them; one of whole inputs gets kernels.Inputs in place of two
-stacks; one of colours gets stacks of one channel repeated to three.
+stacks; one of colours gets stacks of one channel repeated to three.  A measure may also, or only, be a column expression
+of two arrays of values, those outside the mask left out; it is planned without Python where its configuration allows.
 """
 
 from __future__ import annotations
@@ -13,10 +14,10 @@ from dataclasses import dataclass, field
 from itertools import product
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import kernels
+from ..functions import kernels, pixels
 from ..functions.scalars import FLAGS, parameter_key
 
 Kernel = Callable[..., np.ndarray]
@@ -28,7 +29,7 @@ CONFIG_SCHEMA = (
 @dataclass(frozen=True)
 class Measure:
     name: str
-    kernel: Kernel
+    kernel: Kernel | None
     channel_modes: tuple[str, ...] = ("gray", "hed")
     params: dict[str, tuple] = field(default_factory=dict)
     higher_is_better: bool = True
@@ -36,6 +37,11 @@ class Measure:
     takes_mask: bool = False
     takes_inputs: bool = False
     three_channels: bool = False
+    column: Callable[..., Column] | None = None
+
+    def expression(self, src: Column, trg: Column, **params) -> Column:
+        value = self.column(src, trg, **params)
+        return value if self.higher_is_better else -value
 
     def __call__(self, src: np.ndarray, trg: np.ndarray, mask: np.ndarray | None = None, background: float = 1.0, **params) -> np.ndarray:
         if self.three_channels and src.shape[-1] == 1:
@@ -60,9 +66,9 @@ _BOTH, _ALL = ("gray", "hed"), ("gray", "hed", "rgb")
 _AGGREGATION = {"lpips_aggregation": ("lin", "avg")}
 #: The measures, their channel modes and parameters.
 BUILT_IN = (
-    Measure("ncc", kernels.ncc, _BOTH, takes_mask=True),
-    Measure("psnr", kernels.psnr, _BOTH, takes_mask=True),
-    Measure("mi", kernels.mutual_information, _BOTH, takes_mask=True),
+    Measure("ncc", kernels.ncc, _BOTH, takes_mask=True, column=pixels.ncc),
+    Measure("psnr", kernels.psnr, _BOTH, takes_mask=True, column=pixels.psnr),
+    Measure("mi", kernels.mutual_information, _BOTH, takes_mask=True, column=pixels.mutual_information),
     Measure("ssim", kernels.ssim, _BOTH, {"win_size": (7, 31)}, takes_mask=True),
     Measure("ms-ssim", kernels.ms_ssim, _BOTH, takes_mask=True),
     Measure("fsim", kernels.fsim, _BOTH),
@@ -82,9 +88,11 @@ class Registry(dict):
     def __init__(self, measures=BUILT_IN):
         super().__init__((m.name, m) for m in measures)
 
-    def register(self, name: str, kernel: Kernel, channel_modes=("rgb",), params: dict | None = None, higher_is_better: bool = True, **takes: bool) -> Measure:
-        """takes: takes_mask, takes_inputs or three_channels, as in Measure."""
-        self[name] = Measure(name, kernel, tuple(channel_modes), {k: tuple(v) for k, v in (params or {}).items()}, higher_is_better, **takes)
+    def register(self, name: str, kernel: Kernel | None = None, channel_modes=("rgb",), params: dict | None = None, higher_is_better: bool = True, column: Callable[..., Column] | None = None, **takes: bool) -> Measure:
+        """takes: takes_mask, takes_inputs or three_channels, as in Measure.  A kernel, a column or both must be given."""
+        if kernel is None and column is None:
+            raise ValueError(f"{name} has neither a kernel nor a column")
+        self[name] = Measure(name, kernel, tuple(channel_modes), {k: tuple(v) for k, v in (params or {}).items()}, higher_is_better, column=column, **takes)
         return self[name]
 
     def chosen(self, names: list[str] | None = None) -> list[Measure]:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from ..functions import kernels
+from ..functions import kernels, pixels
+from ..functions.ranks import not_nan
 from .registry import Measure, config_rows
 
 PAIR_COLUMNS = ("sample_idx", "height", "width", "channels", "src", "trg")
@@ -24,47 +27,119 @@ def _value(text: str):
         return text
 
 
+_NAMES = ("normalization", "channel_mode", "flip_intensity", "match_histogram", "clahe", "smoothing")
+
+
 def score_pairs(pairs: DataFrame, measures: list[Measure], search: dict[str, tuple] | None = None) -> DataFrame:
     """sample_idx, metric, cfg_ordinal and score (null where it is not a number) of all pairs.
 
-    pairs: sample_idx, height, width, channels, and src and trg as arrays of height * width * channels values.  A batch
-    of pairs is preprocessed once for each set of flags, and all measures that use the set read the result.  A column
-    mask, an array of height * width values 0 and 1 or null, is given to the measures that take one.  Pairs are dealt out
-    anew, as scoring one takes far longer than moving it.
+    pairs: sample_idx, height, width, channels, and src and trg as arrays of height * width * channels values.  A column
+    mask, an array of height * width values 0 and 1 or null, is given to the measures that take one, and to those that are
+    columns.  Configurations without neighbourhoods of measures that have a column are scored by expressions.  For the rest, a
+    batch of pairs is preprocessed once for each set of flags, and all measures that use the set read the result; of a measure
+    that is only a column, the preprocessed arrays come back and are scored by its expression.
     """
-    by_flags: dict[tuple, list] = defaultdict(list)
+    by_name, masked = {m.name: m for m in measures}, "mask" in pairs.columns
+    here, kernels_of, arrays_of = defaultdict(list), defaultdict(list), defaultdict(list)
     for metric, ordinal, _, *flags, params in config_rows(measures, search):
-        by_flags[tuple(flags)].append((metric, ordinal, {k: _value(v) for k, v in params.items()}))
-    kernels_by_name = {m.name: m for m in measures}
-    names = ("normalization", "channel_mode", "flip_intensity", "match_histogram", "clahe", "smoothing")
+        m, config = by_name[metric], dict(zip(_NAMES, flags, strict=True))
+        plain = m.column is not None and pixels.without_neighbourhood(config)
+        to = here if plain else kernels_of if m.kernel is not None else arrays_of
+        to[tuple(flags)].append((metric, ordinal, {k: _value(v) for k, v in params.items()}))
+    parts = []
+    if here:
+        parts.append(_by_columns(pairs, by_name, here, masked))
+    if kernels_of:
+        parts.append(_by_kernels(pairs, by_name, kernels_of, masked))
+    if arrays_of:
+        parts.append(_by_arrays(pairs, by_name, arrays_of, masked))
+    if not parts:
+        return pairs.sparkSession.createDataFrame([], SCORES)
+    return reduce(DataFrame.union, parts)
+
+
+def _scored(measure: Measure, src: Column, trg: Column, mask: Column | None, channels: Column, params: dict) -> Column:
+    if mask is not None:  # a mask has a value for each pixel, an array one for each of its channels
+        wide = lambda x: F.when(mask.isNull(), x).otherwise(F.filter(x, lambda _, i: F.get(mask, F.floor(i * F.size(mask) / F.size(x)).cast("int")) == 1))
+        return pixels._with(F.struct(wide(src).alias("src"), wide(trg).alias("trg")), lambda e: F.when(F.size(e["src"]) > 0, measure.expression(e["src"], e["trg"], **params)))
+    return measure.expression(src, trg, **params)
+
+
+def _cells(by_name: dict, wanted: list, src: Column, trg: Column, mask: Column | None, channels: Column) -> Column:
+    cell = lambda metric, ordinal, params: F.struct(F.lit(metric).alias("metric"), F.lit(ordinal).alias("cfg_ordinal"), not_nan(_scored(by_name[metric], src, trg, mask, channels, params).cast("double")).alias("score"))
+    return F.array(*(cell(*w) for w in wanted))
+
+
+def _by_columns(pairs: DataFrame, by_name: dict, by_flags: dict, masked: bool) -> DataFrame:
+    mask, channels, found = F.col("mask") if masked else None, F.col("channels"), []
+    values = {c: F.col(c).cast("array<double>") for c in ("src", "trg")}
+    cells_of = lambda wanted: lambda e: _cells(by_name, wanted, e["src"], e["trg"], mask, channels)
+    for flags, wanted in by_flags.items():
+        config = dict(zip(_NAMES, flags, strict=True))
+        both = F.struct(*(pixels.preprocessed(v, channels, config).alias(c) for c, v in values.items()))
+        found.append(pixels._with(both, cells_of(wanted)))
+    return pairs.select("sample_idx", F.inline(F.flatten(F.array(*found))))
+
+
+def _by_arrays(pairs: DataFrame, by_name: dict, by_flags: dict, masked: bool) -> DataFrame:
+    mask, channels = F.col("mask") if masked else None, F.col("channels")
+    rows, out = preprocessed_pairs(pairs, list(by_flags)), None
+    for n, wanted in enumerate(by_flags.values()):
+        cells = _cells(by_name, wanted, F.col("src"), F.col("trg"), mask, channels)
+        out = F.when(F.col("flags") == n, cells) if out is None else out.when(F.col("flags") == n, cells)
+    return rows.select("sample_idx", F.inline(out))
+
 
+def _stacks(batch: pa.RecordBatch, masked: bool):
+    """The rows of a batch by shape of image (and with and without a mask), as stacks of a bounded size."""
+    shapes = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3)], axis=1)
+    for shape in np.unique(shapes, axis=0):  # images of one shape make one stack
+        all_own = np.flatnonzero((shapes == shape).all(axis=1))
+        groups = [all_own]
+        if masked:
+            null = batch.column(6).is_null().to_numpy(zero_copy_only=False)[all_own]
+            groups = [all_own[null], all_own[~null]]
+        each = max(1, STACK // max(int(np.prod(shape)), 1))
+        for own in (g[at : at + each] for g in groups for at in range(0, len(g), each)):
+            stack = lambda i, *shape: batch.column(i).take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, *shape)  # noqa: E731, B023
+            mask = stack(6, *shape[:2]) if masked and batch.column(6)[int(own[0])].is_valid else None
+            yield own, stack(4, *shape), stack(5, *shape), mask
+
+
+def preprocessed_pairs(pairs: DataFrame, flags: list[tuple]) -> DataFrame:
+    """pairs with src and trg under each set of flags, whose place in the list is the column flags; channels as they then are."""
     masked = "mask" in pairs.columns
+    columns = [*PAIR_COLUMNS, *["mask"] * masked]
+
+    def run(batches):
+        for batch in batches:
+            for own, src, trg, _ in _stacks(batch, masked):
+                for n, values in enumerate(flags):
+                    done = kernels.preprocess(src, trg, dict(zip(_NAMES, values, strict=True)))
+                    arrays = [pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * x[0].size), pa.array(x.ravel())) for x in done]
+                    kept = [batch.column(i).take(pa.array(own)) for i in (0, 1, 2)]
+                    rest = [batch.column(6).take(pa.array(own))] if masked else []
+                    yield pa.RecordBatch.from_arrays([*kept, pa.array(np.full(len(own), done[0].shape[-1], np.int32)), *arrays, *rest, pa.array(np.full(len(own), n, np.int32))], [*columns, "flags"])
 
+    schema = "sample_idx long, height int, width int, channels int, src array<double>, trg array<double>" + ", mask array<int>" * masked + ", flags int"
+    return _dealt(pairs.select(*PAIR_COLUMNS, *[F.col("mask").cast("array<int>")] * masked)).mapInArrow(run, schema)
+
+
+def _dealt(pairs: DataFrame) -> DataFrame:
+    """Pairs dealt out anew, as scoring one takes far longer than moving it."""
+    return pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _by_kernels(pairs: DataFrame, by_name: dict, by_flags: dict, masked: bool) -> DataFrame:
     def run(batches):
         for batch in batches:
-            shapes = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3)], axis=1)
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for shape in np.unique(shapes, axis=0):  # images of one shape make one stack
-                all_own = np.flatnonzero((shapes == shape).all(axis=1))
-                groups = [all_own]
-                if masked:  # with and without a mask
-                    null = batch.column(6).is_null().to_numpy(zero_copy_only=False)[all_own]
-                    groups = [all_own[null], all_own[~null]]
-                each = max(1, STACK // max(int(np.prod(shape)), 1))
-                for own in (g[at : at + each] for g in groups for at in range(0, len(g), each)):
-                    yield from scored(batch, ids, shape, own)
-
-    def scored(batch, ids, shape, own):
-        stack = lambda i, *shape: batch.column(i).take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, *shape)
-        src, trg = stack(4, *shape), stack(5, *shape)
-        mask = stack(6, *shape[:2]) if masked and batch.column(6)[int(own[0])].is_valid else None
-        for flags, wanted in by_flags.items():
-            config = dict(zip(names, flags, strict=True))
-            a, b = kernels.preprocess(src, trg, config)
-            for metric, ordinal, params in wanted:
-                value = np.asarray(kernels_by_name[metric](a, b, mask, kernels.background(config), **params), np.float64)
-                n = len(own)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array([metric] * n), pa.array(np.full(n, ordinal, np.int32)), pa.array(value, mask=np.isnan(value))], ["sample_idx", "metric", "cfg_ordinal", "score"])
-
-    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pairs.select(*PAIR_COLUMNS, *["mask"] * masked).repartition(tasks).mapInArrow(run, SCORES)
+            for own, src, trg, mask in _stacks(batch, masked):
+                for flags, wanted in by_flags.items():
+                    config = dict(zip(_NAMES, flags, strict=True))
+                    a, b = kernels.preprocess(src, trg, config)
+                    for metric, ordinal, params in wanted:
+                        value, n = np.asarray(by_name[metric](a, b, mask, kernels.background(config), **params), np.float64), len(own)
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array([metric] * n), pa.array(np.full(n, ordinal, np.int32)), pa.array(value, mask=np.isnan(value))], ["sample_idx", "metric", "cfg_ordinal", "score"])
+
+    return _dealt(pairs.select(*PAIR_COLUMNS, *["mask"] * masked)).mapInArrow(run, SCORES)
