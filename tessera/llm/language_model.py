@@ -15,10 +15,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .files import opened, resolved
 from .scratch import dropped, new_folder, saved
 from .textarrays import chunks, mixed
 
@@ -184,7 +184,9 @@ def train(docs: DataFrame) -> list[tuple[str, int, int]]:
     table.write.parquet(path)
     dropped(*levels)
     files = spark.read.schema("h long").parquet(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min("h").alias("low"), F.max("h").alias("high"))
-    return sorted(((r["file"], r["low"], r["high"]) for r in files.collect()), key=lambda x: x[1])  # one for each million entries
+    found = files.collect()  # one for each million entries
+    real = resolved(spark, path)
+    return sorted(((f"{real}/{r['file'].rsplit('/', 1)[1]}" if real != path else r["file"], r["low"], r["high"]) for r in found), key=lambda x: x[1])
 
 
 _CACHE: OrderedDict[str, tuple[np.ndarray, np.ndarray]] = OrderedDict()
@@ -195,7 +197,7 @@ def _arrays(file: str) -> tuple[np.ndarray, np.ndarray]:
     if file in _CACHE:
         _CACHE.move_to_end(file)
         return _CACHE[file]
-    system, path = fs.FileSystem.from_uri(file)
+    system, path = opened(file)
     table = pq.read_table(path, columns=["h", "value", "more"], filesystem=system)
     _CACHE[file] = table["h"].to_numpy(), np.stack([table["value"].to_numpy(), table["more"].to_numpy()], axis=1).astype(np.float32)
     while len(_CACHE) > 1 and sum(16 * len(h) for h, _ in _CACHE.values()) > CACHE_BYTES:

@@ -48,7 +48,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(removed))
     text = F.when(F.col(removed).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
     return joined.select(
-        *[text.alias(c) if c == text_col else F.col(c) for c in df.columns],
+        *[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns],
         F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
         F.coalesce(F.size(removed), F.lit(0)).cast("long").alias("n_removed"),
     )

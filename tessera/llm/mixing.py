@@ -58,8 +58,8 @@ def mix_sources(df: DataFrame, shares: dict[str, int], other_share: int = 1, id_
     """df with mix_group, mix_block, mix_place, mix_slot: rows in the order of (mix_slot, mix_place) are the mixture.
 
     shares: a positive whole number for each source; sources it does not name, and null, count as one more group,
-    ``(other)``.  Rows of a group come in the order of the digest of seed and id; equal ids are in no certain order among
-    each other, and null ids come first.  Each block has block_rows rows, but a group's last may have fewer.  Every row is
+    ``(other)``.  Rows of a group come in the order of the digest of seed and id, and equal ids in that of a hash of their
+    rows; null ids come first.  Each block has block_rows rows, but a group's last may have fewer.  Every row is
     kept, with all columns; only columns of df named like the four are replaced.  An empty df gives an empty result.
 
     Numbering is by counts of 16 ** digits parts of each group, so no group is numbered in one task.  The counts of the at
@@ -80,13 +80,15 @@ def mix_sources(df: DataFrame, shares: dict[str, int], other_share: int = 1, id_
     plan = phases(totals, {OTHER: other_share} | shares)
     schedule = spark.createDataFrame(plan, "mix_group string, low long, high long, start long, share long, period long, slots array<long>")
     schedule = schedule.groupBy("mix_group").agg(F.collect_list(F.struct("low", "high", "start", "share", "period", "slots")).alias(phases_))
-    place = F.row_number().over(Window.partitionBy("mix_group", part).orderBy(digest, id_col)) - 1 + F.col(before)
+    # So that a task that runs again numbers rows of one id as before; maps have no hash.
+    own_hash = F.xxhash64(*(F.col(f"`{f.name}`") for f in df.schema if "map" not in f.dataType.simpleString()))
+    place = F.row_number().over(Window.partitionBy("mix_group", part).orderBy(digest, id_col, own_hash)) - 1 + F.col(before)
     rows = keyed.join(offsets, ["mix_group", part]).withColumn(number, place.cast("long"))
     rows = rows.withColumns({"mix_block": F.expr(f"{number} div {block_rows}"), "mix_place": F.expr(f"{number} % {block_rows}")})
     own = F.filter(phases_, lambda p: (p["low"] <= F.col("mix_block")) & (F.col("mix_block") < p["high"]))[0]
     rows = rows.join(F.broadcast(schedule), "mix_group").withColumn(phase, own)
     slot = F.expr(f"{phase}.start + ((mix_block - {phase}.low) div {phase}.share) * {phase}.period + {phase}.slots[cast((mix_block - {phase}.low) % {phase}.share AS int)]")
-    return rows.withColumn("mix_slot", slot).select(*df.columns, *names)
+    return rows.withColumn("mix_slot", slot).select(*(F.col(f"`{c}`") for c in df.columns), *names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,15 @@
 
 Pieces are dealt to partitions of bounded size by a hash, and each is packed by best-fit decreasing.  Dual-feasible
 functions give a lower bound of each partition's number of bins; a partition that meets it is certified, another has a
-gap.  Bins with room left, from all partitions with a gap and the last ones of the others, are then exchanged between
-partitions and packed again, as long as that frees bins and the total is above the bound of all pieces.
+gap.  Bins with room left, from all partitions with a gap and the emptier ones of the others, are then exchanged between
+partitions and packed again, as long as that frees bins and the total is above the bound of all pieces.  When it frees
+none, fuller bins take part as well.  A turn writes only the bins that moved; others stay in the tables of earlier turns.
 """
 
 from __future__ import annotations
 
 import logging
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,10 @@ from .textarrays import chunks
 from .tokens import END_ID, ids_crc32, tokenizer, vocabulary_path
 
 CAPACITY = 4096
+#: A bin's number is that of its turn, its group and its place there, of so many bits.
+TURN_BITS, GROUP_BITS, PLACE_BITS = 15, 24, 24
+#: Turns in a row without a freed bin after which fuller bins are exchanged too, or the packing ends.
+IDLE = 3
 log = logging.getLogger(__name__)
 _PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 _PACKED = _PIECES + ", bin long, offset long, gap boolean, room long"
@@ -99,18 +105,20 @@ def lower_bound(counts: np.ndarray, capacity: int, most: int = 200) -> int:
 
 
 def _pack(capacity: int, turn: int, placed: bool = False):
-    """applyInArrow function: packs a partition's pieces, but leaves bins as they were if that takes no fewer."""
+    """applyInArrow function: packs a partition's pieces; leaves bins as they were if that takes no fewer and does not gather their room in fewer."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         lengths = table["length"].to_numpy()
         bins, offset, room = best_fit_decreasing(lengths, capacity)
         used = len(room)
         gap = used > lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
-        ids = (turn << 56) + (key[0].as_py() << 28) + bins
+        ids = (turn << (GROUP_BITS + PLACE_BITS)) + (key[0].as_py() << PLACE_BITS) + bins
+        gathered = (room**2).sum()
         room = room[bins] if len(room) else bins
         if turn:
-            old = table["bin"].to_numpy()
-            if used >= len(np.unique(old)):
+            old, first = np.unique(table["bin"].to_numpy(), return_index=True)
+            if (used, -gathered) >= (len(old), -(table["room"].to_numpy()[first] ** 2).sum()):
+                old = table["bin"].to_numpy()
                 ids, offset, room = old, table["offset"].to_numpy(), table["room"].to_numpy()
         columns = {c: table[c] for c in ("id", "piece", "start", "length", "ids_crc32") + ("place",) * placed}
         return pa.table(columns | {"bin": pa.array(ids), "offset": pa.array(offset), "gap": pa.array(np.full(len(ids), gap)), "room": pa.array(room)})
@@ -149,8 +157,8 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A document's ids are the tokenizer's and one end id; a null or empty text has the end id only.  Rows with the same id,
     and rows without one, are documents of their own.  Other columns are not read.  An empty df gives no pieces.
 
-    Bins are exchanged turn by turn until the bound of all pieces is met or two turns in a row free none; the number of
-    bins and the bound are logged.  slack: bins with less room than this are not exchanged.
+    Bins are exchanged turn by turn until the bound of all pieces is met, or IDLE turns free none even with all bins that have
+    room; the number of bins and the bound are logged.  slack: bins with less room than this take part last.
 
     place_col: a whole number from 0 that sequences follow.  Pieces are then dealt by ranges of places and not by a hash,
     bins are exchanged between neighbouring ranges only, and sequences are numbered from 0 by the mean place of their ids.
@@ -172,28 +180,37 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ordered = ["id", "piece", "start", "length", "ids_crc32", "bin", "offset", "gap", "room"] + ["place"] * placed
     pack = lambda turn: lambda key, table: _pack(capacity, turn, placed)(key, table).select(ordered)
     packed = saved(dealt.groupBy("g").applyInArrow(pack(0), packed_type), "packed")
+    # Each table with the bins that have left it: all that gave at that time.
+    tables, left = [packed], [F.lit(False)]
+    # Bins of partitions with a gap, and of certified ones, that have so much room take part; ever fuller ones.
+    least_room = [(slack, capacity // 8), (slack, slack), (1, 1)]
     turn, idle, before = 0, 0, None
     while True:
         turn += 1
-        # A certified partition gives only its emptier bins, one with a gap all that have room.
-        give = F.expr(f"room >= IF(gap, {slack}, {capacity // 8})")
-        used, opened, moving = packed.agg(F.count_if(F.col("offset") == 0), F.count_if((F.col("offset") == 0) & give), F.count_if(give)).first()
+        give = F.when(F.col("gap"), F.col("room") >= least_room[0][0]).otherwise(F.col("room") >= least_room[0][1])
+        here = [df.where(~gone) for df, gone in zip(tables, left, strict=True)]
+        every = reduce(DataFrame.unionByName, here)
+        used, opened, moving = every.agg(F.count_if(F.col("offset") == 0), F.count_if((F.col("offset") == 0) & give), F.count_if(give)).first()
         idle, before = idle + 1 if used == before else 0, used
         log.info("turn %d: %d bins, at least %d are needed", turn, used, least)
-        if used <= least or opened < 2 or idle == 2:
+        alone = parts(n if placed else moving) == 1  # all that moves was packed together
+        if used <= least or turn >= 1 << TURN_BITS or (placed and alone):
             break
-        stay = packed.where(~give)
-        if placed:  # ranges 2i and 2i + 1, then 2i - 1 and 2i, and so on; pairs keep the number of their first range
-            if parts(n) == 1:
+        if opened < 2 or idle == (1 if alone else IDLE):
+            if len(least_room) == 1:
                 break
-            range_of = F.expr(f"(bin >> 28) & {(1 << 28) - 1}")
+            least_room, idle, before = least_room[1:], 0, None
+            continue
+        if placed:  # ranges 2i and 2i + 1, then 2i - 1 and 2i, and so on; pairs keep the number of their first range
+            range_of = F.expr(f"(bin >> {PLACE_BITS}) & {(1 << GROUP_BITS) - 1}")
             group = F.greatest(range_of - (range_of + turn + 1) % 2, F.lit(0))
         else:
             group = F.pmod(F.xxhash64("bin", F.lit(turn)), F.lit(parts(moving)))
-        again = packed.where(give).withColumn("g", group).groupBy("g").applyInArrow(pack(turn), packed_type)
-        packed = saved(stay.unionByName(again), "packed", packed)
-        if not placed and parts(moving) == 1:
-            break
+        again = every.where(give).withColumn("g", group).groupBy("g").applyInArrow(pack(turn), packed_type)
+        tables.append(saved(again, "packed"))
+        left = [gone | give for gone in left] + [F.lit(False)]
+    packed = every
+    log.info("packed into %d bins, at least %d are needed", used, least)
     if placed:
         packed = _in_order(packed, parts(n))
     return packed.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")

@@ -20,7 +20,7 @@ def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; a temporary folder only where that is unset, as in local tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = _LOCAL.setdefault("folder", "file://" + tempfile.mkdtemp(prefix="tessera-"))
     return folder if "://" in folder or folder.startswith("file:") else "file://" + folder

@@ -22,11 +22,11 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .files import opened, resolved
 from .scratch import new_folder, small_batches
 from .textarrays import chunks
 from .tokens import END_ID, ids_crc32, tokenizer, vocabulary_path
@@ -35,10 +35,6 @@ MAGIC = b"TESSTOK1"
 _MANIFEST = "shard string, n_docs long, n_tokens long"
 
 
-def _open(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path)
-
-
 def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(data) if data else None
 
@@ -89,7 +85,7 @@ class _Shard:
         keys = np.array([k or 0 for k in self.ids], "<i8")
         index = [keys, np.array([k is None for k in self.ids], "<i8"), np.cumsum(counts) - counts, counts, np.array([*self.places, self.bytes], "<i8")]
         footer = json.dumps({"docs": len(counts), "tokens": int(counts.sum()), "width": self.width, "dictionary": self.digest, "index": self.bytes}).encode()
-        system, path = _open(f"{self.folder}/shards")
+        system, path = opened(f"{self.folder}/shards")
         system.create_dir(path, recursive=True)
         # Under a name of its own first: a task that runs twice never leaves half a shard under the final one.
         draft = f"{path}/_{self.name}-{uuid.uuid4().hex}"
@@ -102,8 +98,8 @@ class _Shard:
 def write_token_files(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, level: int = 3, shard_bytes: int = 8_000_000) -> DataFrame:
     """Writes the ids of all texts, each with an end id, in ascending order of id, and returns the manifest.
 
-    Null ids come first.  Null and empty texts have the end id only.  Rows with equal ids are written each, in no certain
-    order.  Other columns are not read.  An empty df gives no shards.
+    Null ids come first.  Null and empty texts have the end id only.  Rows with equal ids are written each, in the
+    order of a hash of their texts.  Other columns are not read.  An empty df gives no shards.
     """
     spark = df.sparkSession
     small_batches(df.sparkSession)
@@ -112,7 +108,8 @@ def write_token_files(df: DataFrame, folder: str, id_col: str = "doc_id", text_c
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     data = train_dictionary(docs, vocabulary, width)
     digest = hashlib.sha256(data).hexdigest()
-    system, path = _open(folder)
+    own = resolved(spark, folder)
+    system, path = opened(own)
     system.create_dir(path, recursive=True)
     with system.open_output_stream(f"{path}/dictionary") as out:
         out.write(data)
@@ -127,7 +124,7 @@ def write_token_files(df: DataFrame, folder: str, id_col: str = "doc_id", text_c
             keys, rows = batch.column(0).to_pylist(), []
             for begin, texts in chunks(batch.column(1)):
                 for key, text in zip(keys[begin : begin + len(texts)], texts, strict=True):
-                    shard = shard or _Shard(folder, name(done), width, digest)
+                    shard = shard or _Shard(own, name(done), width, digest)
                     ids = np.append(encode(text), np.uint32(END_ID))
                     shard.add(key, ids, codec.compress(ids.astype(f"<u{width}").tobytes()))
                     if shard.bytes >= shard_bytes:
@@ -138,7 +135,9 @@ def write_token_files(df: DataFrame, folder: str, id_col: str = "doc_id", text_c
         if shard:
             yield pa.RecordBatch.from_pylist([shard.write()])
 
-    ordered = docs.repartitionByRange("id").sortWithinPartitions("id")
+    # Rows of one id by a hash of the text, so that a task that runs again cuts the same shards.
+    order = ["id", "h"]
+    ordered = docs.withColumn("h", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order, "text").drop("h")
     ordered.mapInArrow(run, _MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
 
@@ -156,7 +155,7 @@ def _parsed(tail: bytes, offset: int, size: int) -> tuple[dict, list[np.ndarray]
 
 def read_document(folder: str, shard: str, n: int) -> np.ndarray:
     """The ids of the n-th document of a shard; reads the end of the shard, one frame and the dictionary."""
-    system, path = _open(folder)
+    system, path = opened(folder)
     with system.open_input_file(f"{path}/dictionary") as f:
         data = f.read()
     with system.open_input_file(f"{path}/shards/{shard}") as f:
@@ -177,7 +176,7 @@ def read_document(folder: str, shard: str, n: int) -> np.ndarray:
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """id, start (ids of all documents before it), n_tokens, ids_crc32 of every document in the files."""
-    system, path = _open(folder)
+    system, path = opened(resolved(spark, folder))
     with system.open_input_file(f"{path}/dictionary") as f:
         data = f.read()
     digest = hashlib.sha256(data).hexdigest()

@@ -7,10 +7,11 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import catalogue, language_id, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, textarrays, token_files
+from tessera.llm import catalogue, files, language_id, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, scratch, textarrays, token_files
 from tessera.llm.quality_classifier import FEATURES, statistics
 from tessera.llm.scratch import new_folder
 from tessera.llm.textarrays import Words
@@ -101,6 +102,52 @@ def test_exchange_between_partitions_frees_bins(spark):
     assert max(by_bin.values()) <= 100 and len(by_bin) <= 1.03 * one
 
 
+def test_bins_of_any_turn_have_numbers_of_their_own():
+    table = pa.table({"id": [1, 2], "piece": [0, 0], "start": [0, 0], "length": [60, 70], "ids_crc32": [0, 0], "bin": [8, 8], "offset": [0, 60], "room": [40, 40]})
+    for turn in (1, 127, 128, 300, (1 << packing.TURN_BITS) - 1):
+        found = packing._pack(100, turn)((pa.scalar((1 << packing.GROUP_BITS) - 1),), table.slice(0, 1).set_column(5, "bin", pa.array([8])))
+        assert found["bin"].to_pylist()[0] == 8  # no fewer bins, and as much room: as they were
+        two = table.set_column(5, "bin", pa.array([8, 9])).set_column(3, "length", pa.array([60, 30]))
+        number = packing._pack(100, turn)((pa.scalar(5),), two)["bin"].to_pylist()
+        assert number[0] == number[1] == (turn << 48) + (5 << 24)
+
+
+def test_exchange_of_many_partitions_comes_near_the_bound(spark, caplog):
+    rng = np.random.default_rng(4)
+    lengths = np.concatenate([rng.integers(5, 60, 6000), rng.integers(300, 400, 200)])
+    df = spark.createDataFrame([(i, "a " * int(n)) for i, n in enumerate(lengths)], "doc_id long, text string")
+    with caplog.at_level("INFO", logger=packing.__name__):
+        out = packing.pack_documents(df, capacity=400, partition_pieces=62).collect()
+    assert len(out) == len(lengths)
+    bins = {}
+    for r in sorted(out, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert bins.get(r["sequence_id"], 0) == r["offset"]
+        bins[r["sequence_id"]] = r["offset"] + r["length"]
+    least = packing.lower_bound(np.bincount([r["length"] for r in out], minlength=401), 400)
+    assert max(bins.values()) <= 400 and len(bins) <= least + 2
+    assert caplog.records[-1].getMessage() == f"packed into {len(bins)} bins, at least {least} are needed"
+
+
+@pytest.fixture()
+def mounted(spark, monkeypatch, tmp_path):
+    """A shared folder whose scheme only Hadoop's configuration explains."""
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.tests.link./shared", f"file://{tmp_path}")
+    monkeypatch.setitem(scratch._LOCAL, "folder", "viewfs://tests/shared")
+    return tmp_path
+
+
+def test_files_in_a_mounted_store(spark, mounted, documents):
+    assert {r["doc_id"] for r in token_files.query(spark, SF).collect()} == set(documents)
+    assert any(mounted.glob("token-files-*/shards/*"))
+    found = {r["doc_id"]: tuple(r) for r in quality_rules.query(spark, SF).collect()}
+    assert set(found) == set(documents) and any(mounted.glob("model-*"))
+
+
+def test_schemes_of_stores():
+    system, path = files.opened("file:///tmp/x")
+    assert path == "/tmp/x" and files.SCHEMES["s3a"] == "s3"
+
+
 def test_op3(spark, documents):
     out = sorted(token_files.query(spark, SF).collect(), key=lambda r: r["doc_id"])
     encode, at = tokenizer(vocabulary_path()).tokenizer.encode, 0
@@ -297,6 +344,12 @@ def test_sets_of_many_languages(spark):
 CLASH = ("digest", "part", "count", "before", "number", "phases", "phase", "lines", "row", "key", "removed", "id", "h", "h2", "place", "mix_slot", "n_lines", "full", "w")
 
 
+def test_names_with_dots(spark):
+    df = spark.createDataFrame([(i % 2, "a\nb\nc", "src0", i) for i in range(4)], "doc_id long, text string, source string, `a.b` int")
+    for out in (mixing.mix_sources(df, {"src0": 1}), line_dedup.dedup_lines(df)):
+        assert sorted(r["a.b"] for r in out.collect()) == [0, 1, 2, 3]
+
+
 def test_columns_that_clash_are_kept(spark):
     text = "a\nb\nc\nd"
     df = spark.createDataFrame([(i, text, "src0", *(f"{c}{i}" for c in CLASH)) for i in range(4)], "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in CLASH))
