@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.rank_forms import evaluate_draws, rank_forms
 from ..functions.ranks import STATISTICS
-from ..sources.tables import saved
+from ..sources.tables import new_folder, saved
 
 
 def numbered_groups(samples: DataFrame) -> DataFrame:
@@ -23,6 +25,26 @@ def _drawn(spark: SparkSession, n: int, n_boot: int, seed: int) -> DataFrame:
     return draws.withColumn("place", F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % max(n, 1)).groupBy("boot", "place").agg(F.count("*").alias("times"))
 
 
+#: Draws that the driver holds at once.
+_DRAWS_AT_ONCE = 1 << 21
+
+
+def parity_draws(spark: SparkSession, n: int, n_boot: int = 1000, seed: int = 143) -> DataFrame:
+    """boot, place and times as numpy's default generator draws them: integers(0, n, size=(n_boot, n)) by its PCG64 stream.
+
+    The stream is one sequence, so the driver makes it, some replicates at once, and writes their counts.
+    """
+    rng, path, step = np.random.default_rng(seed), new_folder(spark, "draws"), max(1, _DRAWS_AT_ONCE // max(n, 1))
+    schema = "boot int, place long, times long"
+    spark.createDataFrame([], schema).write.parquet(path)
+    for first in range(0, n_boot, step):
+        size = min(step, n_boot - first)
+        keys, times = np.unique(np.arange(size)[:, None] * n + rng.integers(0, n, size=(size, n)), return_counts=True) if n else (np.zeros(0, np.int64),) * 2
+        table = pd.DataFrame({"boot": (keys // max(n, 1) + first).astype(np.int32), "place": keys % max(n, 1), "times": times})
+        spark.createDataFrame(table, schema).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def group_draws(samples: DataFrame, n_boot: int = 1000, seed: int = 143) -> DataFrame:
     """boot, pname and times: how often each replicate draws each group.
 
@@ -33,19 +55,20 @@ def group_draws(samples: DataFrame, n_boot: int = 1000, seed: int = 143) -> Data
     return _drawn(samples.sparkSession, placed.count(), n_boot, seed).join(placed, "place").select("boot", "pname", "times")
 
 
-def bootstrap(oof: DataFrame, samples: DataFrame, n_boot: int = 1000, seed: int = 143) -> DataFrame:
+def bootstrap(oof: DataFrame, samples: DataFrame, n_boot: int = 1000, seed: int = 143, parity: bool = False) -> DataFrame:
     """The statistics on all samples, and means, deviations and 95 % intervals over the replicates, for each measure.
 
     Rows are read once, for forms in the counts of groups (see functions.rank_forms); a replicate is a product of these with
     its draws, and that in which each group counts once gives the statistics on all samples.  The measure with the largest
-    correlation on all samples comes first.
+    correlation on all samples comes first.  parity: draws as numpy makes them, in place of those by md5.
     """
     rows = oof.join(samples.select("sample_idx", F.col("pname").cast("string").alias("pname"), "class3", "expert_score"), "sample_idx")
     placed = saved(numbered_groups(samples), "groups")
     n = placed.count()
     forms = saved(rank_forms(rows, placed), "forms")
     once = samples.sparkSession.range(n).select(F.lit(-1).alias("boot"), F.col("id").alias("place"), F.lit(1).cast("long").alias("times"))
-    stats = saved(evaluate_draws(forms, _drawn(samples.sparkSession, n, n_boot, seed).union(once)), "replicates")
+    draws = (parity_draws if parity else _drawn)(samples.sparkSession, n, n_boot, seed)
+    stats = saved(evaluate_draws(forms, draws.union(once)), "replicates")
     full = stats.where("boot < 0").select("metric", *(F.col(s).alias(f"full_{s}") for s in STATISTICS))
     stats = stats.where("boot >= 0")
     short = {"sp": "spearman_class3", "auc_bad": "auc_bad_vs_rest", "auc_good": "auc_good_vs_rest", "auc_ovo": "auc_3class_ovo"}

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels, pixels
 from ..functions.ranks import not_nan
-from .registry import Measure, config_rows
+from ..functions.scalars import parameter_key
+from .registry import Measure, config_grid, config_rows
 
 PAIR_COLUMNS = ("sample_idx", "height", "width", "channels", "src", "trg")
 #: Values of a stack of images that are preprocessed at once.
@@ -33,17 +34,18 @@ _NAMES = ("normalization", "channel_mode", "flip_intensity", "match_histogram",
 def score_pairs(pairs: DataFrame, measures: list[Measure], search: dict[str, tuple] | None = None) -> DataFrame:
     """sample_idx, metric, cfg_ordinal and score (null where it is not a number) of all pairs.
 
-    pairs: sample_idx, height, width, channels, and src and trg as arrays of height * width * channels values.  A column
+    pairs: sample_idx, height, width, channels, and src and trg as arrays of height * width * channels values, or as bytes
+    that stand for values from 0 to 1.  A column
     mask, an array of height * width values 0 and 1 or null, is given to the measures that take one, and to those that are
     columns.  Configurations without neighbourhoods of measures that have a column are scored by expressions.  For the rest, a
     batch of pairs is preprocessed once for each set of flags, and all measures that use the set read the result; of a measure
     that is only a column, the preprocessed arrays come back and are scored by its expression.
     """
-    by_name, masked = {m.name: m for m in measures}, "mask" in pairs.columns
+    by_name, masked, packed = {m.name: m for m in measures}, "mask" in pairs.columns, dict(pairs.dtypes)["src"] == "binary"
     here, kernels_of, arrays_of = defaultdict(list), defaultdict(list), defaultdict(list)
     for metric, ordinal, _, *flags, params in config_rows(measures, search):
         m, config = by_name[metric], dict(zip(_NAMES, flags, strict=True))
-        plain = m.column is not None and pixels.without_neighbourhood(config)
+        plain = m.column is not None and not packed and pixels.without_neighbourhood(config)
         to = here if plain else kernels_of if m.kernel is not None else arrays_of
         to[tuple(flags)].append((metric, ordinal, {k: _value(v) for k, v in params.items()}))
     parts = []
@@ -90,6 +92,13 @@ def _by_arrays(pairs: DataFrame, by_name: dict, by_flags: dict, masked: bool) ->
     return rows.select("sample_idx", F.inline(out))
 
 
+def _values(column: pa.Array) -> np.ndarray:
+    """All values of a column of arrays; bytes are from 0 to 1."""
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        return (np.frombuffer(b"".join(column.to_pylist()), np.uint8) / np.float32(255)).astype(np.float64)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+
+
 def _stacks(batch: pa.RecordBatch, masked: bool):
     """The rows of a batch by shape of image (and with and without a mask), as stacks of a bounded size."""
     shapes = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3)], axis=1)
@@ -101,7 +110,7 @@ def _stacks(batch: pa.RecordBatch, masked: bool):
             groups = [all_own[null], all_own[~null]]
         each = max(1, STACK // max(int(np.prod(shape)), 1))
         for own in (g[at : at + each] for g in groups for at in range(0, len(g), each)):
-            stack = lambda i, *shape: batch.column(i).take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, *shape)  # noqa: E731, B023
+            stack = lambda i, *shape: _values(batch.column(i).take(pa.array(own))).reshape(-1, *shape)  # noqa: E731, B023
             mask = stack(6, *shape[:2]) if masked and batch.column(6)[int(own[0])].is_valid else None
             yield own, stack(4, *shape), stack(5, *shape), mask
 
@@ -143,3 +152,30 @@ def _by_kernels(pairs: DataFrame, by_name: dict, by_flags: dict, masked: bool) -
                         yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array([metric] * n), pa.array(np.full(n, ordinal, np.int32)), pa.array(value, mask=np.isnan(value))], ["sample_idx", "metric", "cfg_ordinal", "score"])
 
     return _dealt(pairs.select(*PAIR_COLUMNS, *["mask"] * masked)).mapInArrow(run, SCORES)
+
+
+def kept_scores(path: str, pairs: DataFrame, measures: list[Measure], search: dict[str, tuple] | None = None, key: str = "sample_idx") -> DataFrame:
+    """The score table of pairs, of which what the folder at path has is read and only the rest is scored and added to it.
+
+    key: a column of pairs that names a pair in every run.  A configuration is known by its measure, flags and parameters, so
+    searches of other measures and values find what they share.  Result as of score_pairs.
+    """
+    spark, grid = pairs.sparkSession, config_grid(pairs.sparkSession, measures, search)
+    config = F.concat_ws(" | ", *(F.col(f).cast("string") for f in _NAMES), parameter_key(F.col("params")))
+    grid = grid.select("metric", "cfg_ordinal", config.alias("config"))  # one row for each configuration
+    schema = f"pair {dict(pairs.dtypes)[key]}, metric string, config string, score double"
+    spark.createDataFrame([], schema).write.mode("append").parquet(path)
+    stored = lambda: spark.read.schema(schema).parquet(path)
+    wanted = stored().join(F.broadcast(grid), ["metric", "config"]).dropDuplicates(["pair", "metric", "config"])
+    each = {m.name: n for m, n in ((m, len(config_rows([m], search))) for m in measures)}
+    for some in [measures] if stored().isEmpty() else [[m] for m in measures]:
+        need = sum(each[m.name] for m in some)
+        whole = wanted.where(F.col("metric").isin([m.name for m in some])).groupBy("pair").agg(F.count("*").alias("n")).where(F.col("n") == need)
+        lacking = pairs.join(whole, pairs[key] == whole["pair"], "left_anti")
+        if not lacking.isEmpty():
+            made = score_pairs(lacking, some, search).join(F.broadcast(grid), ["metric", "cfg_ordinal"])
+            made = made if key == "sample_idx" else made.join(pairs.select("sample_idx", key), "sample_idx")
+            made = made.select(F.col(key).alias("pair"), "metric", "config", "score")
+            made.join(wanted.select("pair", "metric", "config"), ["pair", "metric", "config"], "left_anti").select("pair", "metric", "config", "score").write.mode("append").parquet(path)
+    found = stored().join(F.broadcast(grid), ["metric", "config"]).dropDuplicates(["pair", "metric", "config"])
+    return found.join(pairs.select("sample_idx", F.col(key).alias("pair")), "pair").select("sample_idx", "metric", "cfg_ordinal", "score")

@@ -13,6 +13,9 @@ REQUIRED = {"fixed_path": "string", "warped_path": "string", "Similarity_Score":
 #: Columns that may be missing, and then are null.
 META = {"pname": "string", "patch_id": "string"}
 IMAGES = "path string, height int, width int, channels int, data array<float>"
+IMAGE_BYTES = "path string, height int, width int, channels int, data binary"
+#: Pairs that one copy of an image is joined to; an image that more pairs use is copied.
+PAIRS_OF_COPY = 1000
 
 
 def read_annotations(spark: SparkSession, path: str, base_dir: str = "", order: tuple[str, ...] = ("pname", "patch_id", "fixed_path", "warped_path")) -> DataFrame:
@@ -46,10 +49,11 @@ def plain_path(path: Column) -> Column:
     return F.regexp_replace(path, "^file:/+", "/")
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
+def read_images(spark: SparkSession, path: str, as_bytes: bool = False) -> DataFrame:
     """path, height, width, channels and data of all images in a folder and the folders in it.
 
-    Every image has three channels, red, green and blue from 0 to 1: gray ones repeat theirs, and alpha is left out.
+    Every image has three channels, red, green and blue from 0 to 1 (as_bytes: bytes from 0 to 255): gray ones repeat theirs,
+    and alpha is left out.
     """
     image = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(path).select("image.*")
 
@@ -59,19 +63,38 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
                 height, width, channels = (batch.column(i)[row].as_py() for i in (1, 2, 3))
                 x = np.frombuffer(batch.column(4)[row].as_buffer(), np.uint8).reshape(height, width, channels)
                 rgb = np.repeat(x, 3, axis=2) if channels == 1 else x[..., 2::-1]
-                data = pa.ListArray.from_arrays(pa.array([0, rgb.size], pa.int32()), pa.array((rgb / np.float32(255)).ravel().astype(np.float32)))
+                if as_bytes:
+                    data = pa.array([np.ascontiguousarray(rgb).tobytes()], pa.binary())
+                else:
+                    data = pa.ListArray.from_arrays(pa.array([0, rgb.size], pa.int32()), pa.array((rgb / np.float32(255)).ravel().astype(np.float32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), *(pa.array([v], pa.int32()) for v in (height, width, 3)), data], ["path", "height", "width", "channels", "data"])
 
     # The reader writes names as in a URI, but for plus signs.
     name = F.url_decode(F.replace(F.col("origin"), F.lit("+"), F.lit("%2B")))
-    return image.select(plain_path(name), "height", "width", "nChannels", "data").mapInArrow(run, IMAGES)
+    return image.select(plain_path(name), "height", "width", "nChannels", "data").mapInArrow(run, IMAGE_BYTES if as_bytes else IMAGES)
 
 
 def image_pairs(annotations: DataFrame, images: DataFrame) -> DataFrame:
-    """sample_idx, shape, src (of warped_path) and trg (of fixed_path) for every annotation; fails if one lacks an image."""
-    src = images.select(F.col("path").alias("warped"), "height", "width", "channels", F.col("data").alias("src"))
-    trg = images.select(F.col("path").alias("fixed"), F.col("data").alias("trg"))
-    named = annotations.withColumns({"warped": plain_path(F.col("warped_path")), "fixed": plain_path(F.col("fixed_path"))})
-    pairs = named.join(src, "warped", "left").join(trg, "fixed", "left")
-    none = F.concat(F.lit("an image is missing: "), F.coalesce("warped", F.lit("null")), F.lit(", "), F.coalesce("fixed", F.lit("null")))
-    return pairs.where(F.assert_true(F.col("src").isNotNull() & F.col("trg").isNotNull(), none).isNull()).select("sample_idx", "height", "width", "channels", "src", "trg")
+    """sample_idx, shape, src (of warped_path) and trg (of fixed_path) for every annotation; fails if one lacks an image.
+
+    Each side of a pair is a row that is joined to its image by the path; the two rows then meet by the pair.  Where the sides
+    are few enough for Spark to broadcast them, pixels are shuffled once.  An image is decoded once, however many pairs use it,
+    and one that very many use is joined in several copies.
+    """
+    named = annotations.select("sample_idx", plain_path(F.col("warped_path")).alias("warped"), plain_path(F.col("fixed_path")).alias("fixed"))
+    side = lambda path, n: F.struct(F.col(path).alias("path"), F.lit(n).alias("side"))
+    sides = named.select("sample_idx", F.inline(F.array(side("warped", 0), side("fixed", 1))))
+    hot = sides.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > PAIRS_OF_COPY).select("path", F.expr(f"int((n - 1) div {PAIRS_OF_COPY}) + 1").alias("copies"))
+    copies = F.coalesce("copies", F.lit(1))
+    spread = images.join(hot, "path", "left").withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("copies")
+    dealt = sides.join(hot, "path", "left").withColumn("copy", F.pmod(F.xxhash64("sample_idx"), copies).cast("int")).drop("copies")
+    found = spread.join(dealt, ["path", "copy"]).select("sample_idx", "side", "height", "width", "channels", "data", F.lit(None).cast("string").alias("names"))
+    # A row for each pair, so that one without images is noticed.
+    names = F.concat(F.coalesce("warped", F.lit("null")), F.lit(", "), F.coalesce("fixed", F.lit("null")))
+    nothing = [F.lit(None).cast(images.schema[c].dataType).alias(c) for c in ("height", "width", "channels", "data")]
+    rows = found.union(named.select("sample_idx", F.lit(-1).alias("side"), *nothing, names.alias("names")))
+    pair = Window.partitionBy("sample_idx")  # three rows
+    of = lambda n, c: F.first(F.when(F.col("side") == n, F.col(c)), True).over(pair)
+    pairs = rows.select("sample_idx", "side", "names", *(of(0, c).alias(c) for c in ("height", "width", "channels")), of(0, "data").alias("src"), of(1, "data").alias("trg")).where("side = -1")
+    whole = F.assert_true(F.col("src").isNotNull() & F.col("trg").isNotNull(), F.concat(F.lit("an image is missing: "), "names")).isNull()
+    return pairs.where(whole).select("sample_idx", "height", "width", "channels", "src", "trg")
