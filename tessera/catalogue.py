@@ -11,7 +11,7 @@ from .functions.rank_forms import rank_forms
 from .jobs.run import config_value_counts
 from .operators import bootstrap, folds, nested_cv, registry, scores
 from .plans import nested, oracle
-from .plans.fixtures import LABELLED_DOCUMENTS, ORDER_SAMPLES, VECTOR_PIXELS, colour_pairs, labelled_documents, mosaic_pixels, mosaics, order_samples, order_scores, table, vector_pairs
+from .plans.fixtures import LABELLED_DOCUMENTS, ORDER_SAMPLES, VECTOR_PIXELS, colour_pairs, colour_search_pairs, labelled_documents, mosaic_pixels, mosaics, order_samples, order_scores, table, vector_pairs
 from .sources.annotations import read_annotations, with_ordinal
 from .sources.artifact import load_artifact, save_artifact
 from .sources.tables import new_folder
@@ -84,36 +84,37 @@ def extract_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", scalars.extract_number(F.col("props")).alias("number"))
 
 
-# The grid.
-_GRID = """WITH m(metric, modes, pv) AS (VALUES ('ncc', ['gray', 'hed'], ['']), ('psnr', ['gray', 'hed'], ['']), ('mi', ['gray', 'hed'], ['']), ('ssim', ['gray', 'hed'], ['7', '31']),
-  ('ms-ssim', ['gray', 'hed'], ['']), ('fsim', ['gray', 'hed'], ['']), ('fsimc', ['rgb'], ['']), ('lpips_alex', ['gray', 'hed', 'rgb'], ['lin', 'avg']),
-  ('lpips_vgg', ['gray', 'hed', 'rgb'], ['lin', 'avg']), ('lpips_squeeze', ['gray', 'hed', 'rgb'], ['lin', 'avg']), ('dists', ['gray', 'hed', 'rgb'], [''])),
-b(v) AS (VALUES (0), (1)),
-g AS (SELECT metric, n.v AS n, modes[k] AS mode, f.v AS f, h.v AS h, c.v AS c, s.v AS s, pv[p] AS p,
-    ((((((n.v * len(modes) + k - 1) * 2 + f.v) * 2 + h.v) * 2 + c.v) * 2 + s.v) * len(pv) + p - 1)::INT AS cfg_ordinal
-  FROM m, b n, b f, b h, b c, b s, (VALUES (1), (2), (3)) i(k), (VALUES (1), (2)) j(p) WHERE k <= len(modes) AND p <= len(pv))
+# The grid, of identities that a table names: brands as measures, with the channel modes and window sizes of their parts.
+_IDENTITIES = """n AS (SELECT p_brand AS metric, list_sort(list_distinct(list(lower(p_type)))) AS modes, list_sort(list_distinct(list(2 * (p_size // 10) + 3))) AS wins FROM part GROUP BY p_brand),
+m AS (SELECT *, row_number() OVER (ORDER BY metric) - 1 AS ord FROM n)"""
+_GRID = f"""WITH {_IDENTITIES}, b(v) AS (VALUES (0), (1)),
+g AS (SELECT metric, n.v AS n, modes[k + 1] AS mode, f.v AS f, h.v AS h, c.v AS c, s.v AS s, wins[p + 1] AS win, ((((((n.v * len(modes) + k) * 2 + f.v) * 2 + h.v) * 2 + c.v) * 2 + s.v) * len(wins) + p)::INT AS cfg_ordinal
+  FROM m, b n, b f, b h, b c, b s, (SELECT unnest(range(20)) AS k) i, (SELECT unnest(range(20)) AS p) j WHERE k < len(modes) AND p < len(wins))
 """
 
 
-@query("config_grid", _GRID + "SELECT metric, cfg_ordinal, n = 1 AS normalization, mode AS channel_mode, f = 1 AS flip_intensity, h = 1 AS match_histogram, c = 1 AS clahe, s = 1 AS smoothing, p AS param FROM g")
+def _part_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wins = F.transform(F.array_sort(F.collect_set(2 * F.floor(F.col("p_size") / 10) + 3)), lambda w: w.cast("string"))
+    found = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("metric")).agg(F.array_sort(F.collect_set(F.lower("p_type"))).alias("channel_modes"), F.array(F.struct(F.lit("win_size").alias("name"), wins.alias("values"))).alias("params"))
+    return found.withColumn("ord", F.row_number().over(Window.orderBy("metric")) - 1)  # one row for each brand
+
+
+@query("config_grid", _GRID + "SELECT metric, cfg_ordinal, (dense_rank() OVER (ORDER BY n, mode, f, h, c, s) - 1)::INT AS preproc_id, n = 1 AS normalization, mode AS channel_mode, f = 1 AS flip_intensity, h = 1 AS match_histogram, c = 1 AS clahe, s = 1 AS smoothing, win::VARCHAR AS win_size FROM g")
 def config_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = registry.config_grid(spark, registry.Registry().chosen())
-    return grid.select("metric", "cfg_ordinal", *scalars.FLAGS, F.coalesce(F.get(F.map_values("params"), F.lit(0)), F.lit("")).alias("param"))
+    return registry.grid_of(_part_identities(spark, sf_dir)).select("metric", "cfg_ordinal", "preproc_id", *scalars.FLAGS, F.col("params")["win_size"].alias("win_size"))
 
 
-@query("config_key", _GRID + "SELECT metric, cfg_ordinal, concat_ws(' | ', n, mode, f, h, c, s, nullif(p, '')) AS preproc_cfg FROM g")
+@query("config_key", _GRID + "SELECT metric, cfg_ordinal, concat_ws(' | ', n, mode, f, h, c, s, win) AS preproc_cfg FROM g")
 def config_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = registry.config_grid(spark, registry.Registry().chosen())
-    return grid.select("metric", "cfg_ordinal", scalars.config_key(F.col("params")).alias("preproc_cfg"))
+    return registry.grid_of(_part_identities(spark, sf_dir)).select("metric", "cfg_ordinal", scalars.config_key(F.col("params")).alias("preproc_cfg"))
 
 
-@query(
-    "identity_groups",
-    "SELECT * FROM (VALUES (0, 'gray,hed', 'ncc,psnr,mi,ms-ssim,fsim'), (3, 'gray,hed', 'ssim'), (6, 'rgb', 'fsimc'), (7, 'gray,hed,rgb', 'lpips_alex,lpips_vgg,lpips_squeeze'), (10, 'gray,hed,rgb', 'dists')) g(group_id, modes, metrics)",
-)
+@query("identity_groups", f"WITH {_IDENTITIES} SELECT min(ord)::INT AS group_id, array_to_string(modes, ',') AS modes, array_to_string(wins, ',') AS wins, string_agg(metric, ',' ORDER BY ord) AS metrics FROM m GROUP BY modes, m.wins")
 def identity_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = registry.identity_groups(spark, registry.Registry().chosen())
-    return groups.select("group_id", F.array_join("channel_modes", ",").alias("modes"), F.array_join("metrics", ",").alias("metrics"))
+    own = _part_identities(spark, sf_dir)
+    wins = own.select("ord", F.array_join(F.col("params")[0]["values"], ",").alias("wins"))
+    groups = registry.groups_of(own).join(wins, F.col("group_id") == F.col("ord"))
+    return groups.select("group_id", F.array_join("channel_modes", ",").alias("modes"), "wins", F.array_join("metrics", ",").alias("metrics"))
 
 
 @query("metric_kwargs", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'win_size=' || (p_size::INT) ELSE '' END AS kwargs FROM (SELECT p_partkey, p_partkey % 31 AS p_size FROM part)")
@@ -571,6 +572,22 @@ def nested_cv_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(nested_cv.evaluate_oof(oof, samples), *ranks.STATISTICS).orderBy(F.desc_nulls_last("spearman_class3"), "metric")
 
 
+def _colour_cv(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The job's default search: four measures on gray and stains, all flags, on pairs of colour images of three vectors each."""
+    pairs = colour_search_pairs(spark, sf_dir)
+    own = registry.Registry()
+    own.register("ssim", kernels.ssim, ("gray", "hed"), {"win_size": (3, 7)}, takes_mask=True)  # 31 exceeds 8 x 8 pixels
+    samples = pairs.drop("src", "trg")
+    oof, meta = nested.nested_cv(pairs, samples, own.chosen(["ncc", "psnr", "mi", "ssim"]), SEED)
+    return oof, meta, samples
+
+
+@query("nested_cv_search")
+def nested_cv_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    oof, _, samples = _colour_cv(spark, sf_dir)
+    return rounded(nested_cv.evaluate_oof(oof, samples), *ranks.STATISTICS).orderBy(F.desc_nulls_last("spearman_class3"), "metric")
+
+
 @query("fold_meta")
 def fold_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_vector_cv(spark, sf_dir)[1], *_INNER_COLUMNS).withColumn("params", scalars.parameter_key(F.col("params")))

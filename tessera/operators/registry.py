@@ -14,11 +14,11 @@ from dataclasses import dataclass, field
 from itertools import product
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels, pixels
-from ..functions.scalars import FLAGS, parameter_key
+from ..functions.scalars import FLAGS
 
 Kernel = Callable[..., np.ndarray]
 CONFIG_SCHEMA = (
@@ -125,9 +125,42 @@ def config_grid(spark: SparkSession, measures: list[Measure], search: dict[str,
     return spark.createDataFrame(config_rows(measures, search), CONFIG_SCHEMA)
 
 
+def identities(spark: SparkSession, measures: list[Measure]) -> DataFrame:
+    """ord, metric, channel_modes and params (array of name and values) of measures."""
+    rows = [(i, m.name, list(m.channel_modes), [(k, [str(x) for x in v]) for k, v in m.params.items()]) for i, m in enumerate(measures)]
+    return spark.createDataFrame(rows, "ord int, metric string, channel_modes array<string>, params array<struct<name:string,values:array<string>>>")
+
+
+def grid_of(table: DataFrame, search: dict[str, tuple] | None = None) -> DataFrame:
+    """The configurations of a table of identities (metric, channel_modes, params), as rows of CONFIG_SCHEMA.
+
+    Each identity has the product of all flags and parameters; a configuration's ordinal is its number with the last one running
+    fastest, and its values are the number's digits.  preproc_id numbers the different flags in their order.
+    """
+    search = search or SEARCH
+    size = F.aggregate("params", F.lit(1), lambda n, p: n * F.size(p["values"]))
+    sizes = {f: F.size("channel_modes") if f == "channel_mode" else F.lit(len(search[f])) for f in FLAGS}
+    after, strides = F.col("size"), {}
+    for f in reversed(FLAGS):
+        strides[f], after = after, after * sizes[f]
+    rows = table.withColumn("size", size).select("metric", "channel_modes", "params", "size", F.explode(F.sequence(F.lit(0), after - 1)).alias("cfg_ordinal"))
+    digit = lambda stride, n: F.pmod(F.floor(F.col("cfg_ordinal") / stride), n).cast("int")
+    flags = [F.get("channel_modes" if f == "channel_mode" else F.array(*map(F.lit, search[f])), digit(strides[f], sizes[f])).alias(f) for f in FLAGS]
+    later = lambda i: F.aggregate(F.slice("params", i + 2, F.size("params")), F.lit(1), lambda n, p: n * F.size(p["values"]))
+    params = F.map_from_entries(F.transform("params", lambda p, i: F.struct(p["name"], F.get(p["values"], digit(later(i), F.size(p["values"]))))))
+    rows = rows.select("metric", F.col("cfg_ordinal").cast("int").alias("cfg_ordinal"), *flags, params.alias("params"))
+    different = rows.select(*FLAGS).distinct()  # as many rows as there are combinations of flags
+    numbered = different.withColumn("preproc_id", (F.row_number().over(Window.orderBy(*FLAGS)) - 1).cast("int"))
+    return rows.join(numbered, list(FLAGS)).select("metric", "cfg_ordinal", "preproc_id", *FLAGS, "params")
+
+
+def groups_of(table: DataFrame) -> DataFrame:
+    """group_id, channel_modes, key and metrics of identities with equal channel modes and parameters, in the order of ord."""
+    key = F.to_json(F.array_sort("params")).alias("key")
+    df = table.groupBy("channel_modes", key).agg(F.min("ord").alias("group_id"), F.array_sort(F.collect_list(F.struct("ord", "metric"))).alias("m"))
+    return df.select("group_id", "channel_modes", "key", F.col("m.metric").alias("metrics"))
+
+
 def identity_groups(spark: SparkSession, measures: list[Measure]) -> DataFrame:
     """group_id and metrics of measures with equal channel modes and parameters, in the order of their first one."""
-    rows = [(i, m.name, list(m.channel_modes), {k: ",".join(map(str, v)) for k, v in m.params.items()}) for i, m in enumerate(measures)]
-    df = spark.createDataFrame(rows, "ord int, metric string, channel_modes array<string>, params map<string,string>")
-    df = df.groupBy("channel_modes", parameter_key(F.col("params")).alias("key")).agg(F.min("ord").alias("group_id"), F.array_sort(F.collect_list(F.struct("ord", "metric"))).alias("m"))
-    return df.select("group_id", "channel_modes", "key", F.col("m.metric").alias("metrics"))
+    return groups_of(identities(spark, measures))

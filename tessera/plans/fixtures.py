@@ -74,6 +74,18 @@ def colour_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(third, "sample_idx").select("sample_idx", F.col("src").alias("src_r"), F.col("trg").alias("src_g"), "src_b")
 
 
+def colour_search_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns as of vector_pairs, with three channels: three vectors, one after the other, and the three from the next one on."""
+    p = vector_pairs(spark, sf_dir)
+    n = p.count()
+    planes = p.select("sample_idx", F.col("src").alias("v"))
+    for k in (1, 2, 3):
+        planes = planes.join(p.select(F.pmod(F.col("sample_idx") - k, F.lit(n)).alias("sample_idx"), F.col("src").alias(f"v{k}")), "sample_idx")
+    joined = lambda *of: F.flatten(F.transform(F.arrays_zip(*(F.col(c).alias(f"c{i}") for i, c in enumerate(of))), lambda z: F.array(z["c0"], z["c1"], z["c2"])))
+    colours = planes.select("sample_idx", joined("v", "v1", "v2").alias("src"), joined("v1", "v2", "v3").alias("trg"))
+    return p.drop("src", "trg").withColumn("channels", F.lit(3)).join(colours, "sample_idx")
+
+
 #: Pixels (sample_idx, i, x, y) of the pairs, and the vectors scaled.
 VECTOR_PIXELS = """v AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS raw FROM embeddings),
 z AS (SELECT vec_id, i, (raw - min(raw) OVER w) / (max(raw) OVER w - min(raw) OVER w) AS v FROM v WINDOW w AS (PARTITION BY vec_id)),

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import kernels, pixels
-from tessera.operators.registry import BUILT_IN, Measure, Registry
+from tessera.operators.registry import BUILT_IN, Measure, Registry, config_grid, grid_of, identities, identity_groups
 from tessera.operators.scores import score_pairs
 
 PAIRS = "sample_idx long, height int, width int, channels int, src array<float>, trg array<float>, mask array<int>"
@@ -56,3 +56,13 @@ def test_no_pairs_and_no_measure(pairs):
     assert score_pairs(pairs, []).collect() == []
     with pytest.raises(ValueError):
         Registry().register("nothing")
+
+
+def test_the_grid_of_a_table_is_that_of_measures(spark):
+    measures = Registry().chosen()
+    flags = ["metric", "cfg_ordinal", "normalization", "channel_mode", "flip_intensity", "match_histogram", "clahe", "smoothing", "params"]
+    key = lambda r: (*r[:8], sorted(r["params"].items()))
+    found, wanted = (sorted(map(key, df.select(*flags).collect())) for df in (grid_of(identities(spark, measures)), config_grid(spark, measures)))
+    assert found == wanted
+    groups = {tuple(r["metrics"]) for r in identity_groups(spark, measures).collect()}
+    assert groups == {("ncc", "psnr", "mi", "ms-ssim", "fsim"), ("ssim",), ("fsimc",), ("lpips_alex", "lpips_vgg", "lpips_squeeze"), ("dists",)}
