@@ -1,29 +1,53 @@
 """Stratified group folds.
 
 Groups are taken in the order of how unevenly they are spread over the classes, and each goes to the fold that then keeps
-the classes' shares of all folds most even.  This needs only the counts of each class in each group, one row a group.
+the classes' shares of all folds most even.  This needs only the counts of each class in each group.  Each choice depends on
+all before it, so one task makes them; Spark sorts the groups for it, and it holds a batch of them and the folds' counts.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from math import sqrt
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def assigned(counts: np.ndarray, n_folds: int) -> np.ndarray:
-    """The fold of each group; counts: groups x classes, groups in the order in which ties are taken."""
-    order = np.argsort(-np.round(counts.std(axis=1), 9), kind="stable")
-    total = np.maximum(counts.sum(axis=0), 1)
-    folds, out = np.zeros((n_folds, counts.shape[1])), np.zeros(len(counts), np.int64)
-    for g in order:
-        tried = folds[None] + np.eye(n_folds)[:, :, None] * counts[g]
-        uneven = np.round((tried / total).std(axis=1).mean(axis=1), 9)
-        best = np.lexsort((np.arange(n_folds), folds.sum(axis=1), uneven))[0]
-        folds[best] += counts[g]
-        out[g] = best
-    return out
+class Dealer:
+    """Deals groups to folds, one after the other; total: the rows of each class in all groups.
+
+    Shares of a class spread by the root of n * (sum of squares) - (sum) ** 2 of the folds' counts, which are whole numbers.
+    """
+
+    def __init__(self, total: list[int], n_folds: int):
+        self.n, self.parts = n_folds, [3 * n_folds * max(t, 1) for t in total]
+        self.folds = [[0] * n_folds for _ in total]
+        self.squares, self.sums, self.held = [0] * len(total), [0] * len(total), [0] * n_folds
+
+    def fold(self, counts: list[int]) -> int:
+        """The fold of the next group, whose counts are by class."""
+        even, moving = 0.0, []
+        for c, k in enumerate(counts):
+            if k:
+                moving.append((self.folds[c], k, self.n * self.squares[c] - (self.sums[c] + k) ** 2, self.parts[c]))
+            else:
+                even += sqrt(self.n * self.squares[c] - self.sums[c] ** 2) / self.parts[c]
+        best = None
+        for f in range(self.n):
+            uneven = even
+            for own, k, rest, part in moving:
+                uneven += sqrt(self.n * k * (2 * own[f] + k) + rest) / part
+            key = (round(uneven, 9), self.held[f])
+            if best is None or key < best:
+                best, chosen = key, f
+        for c, k in enumerate(counts):
+            if k:
+                self.squares[c] += k * (2 * self.folds[c][chosen] + k)
+                self.sums[c] += k
+                self.folds[c][chosen] += k
+                self.held[chosen] += k
+        return chosen
 
 
 def _histogram(samples: DataFrame, group: str, cls: str, *more: str) -> DataFrame:
@@ -37,16 +61,27 @@ def stratified_folds(samples: DataFrame, n_folds: int, seed: int, group: str = "
     value is added to the seed.
     """
     hist = _histogram(samples, group, cls, *([by] if by else []))
-    key = by or "one"
-    hist = hist if by else hist.withColumn("one", F.lit(0))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.sort_values(["shuffle", "pname"]).assign(fold=lambda x: assigned(x[["c0", "c1", "c2"]].to_numpy(float), n_folds).astype("int32"))[[key, "pname", "fold"]]
-
+    key, classes = by or "one", ("c0", "c1", "c2")
+    hist = hist.withColumn(key, F.col(by).cast("int") if by else F.lit(0))
+    totals = hist.groupBy(F.col(key).alias("of")).agg(*(F.sum(c).alias(f"t{c}") for c in classes))
     own = F.lit(seed) + (F.col(key) if by and seed_by else F.lit(0))
-    shuffled = hist.withColumn("shuffle", F.md5(F.concat_ws(":", own.cast("string"), "pname")))
-    # One row for each group of samples.
-    out = shuffled.groupBy(key).applyInPandas(run, f"{key} int, pname string, fold int")
+    mean = sum((F.col(c) for c in classes), F.lit(0)) / 3
+    spread = F.round(F.sqrt(sum(((F.col(c) - mean) * (F.col(c) - mean) for c in classes), F.lit(0.0)) / 3), 9)
+    rows = hist.join(totals, F.col(key).eqNullSafe(F.col("of"))).withColumns({"spread": spread, "shuffle": F.md5(F.concat_ws(":", own.cast("string"), "pname"))})
+    ordered = rows.repartition(key).sortWithinPartitions(key, F.desc("spread"), "shuffle", "pname").select(key, "pname", *classes, *(f"t{c}" for c in classes))
+
+    def run(batches):
+        dealer = now = None
+        for batch in batches:
+            folds, keys = [], batch.column(0).to_pylist()
+            columns = [batch.column(i).to_pylist() for i in range(2, 8)]
+            for i, (of, *counts) in enumerate(zip(keys, *columns[:3], strict=True)):
+                if dealer is None or of != now:
+                    dealer, now = Dealer([c[i] for c in columns[3:]], n_folds), of
+                folds.append(dealer.fold(counts))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(folds, pa.int32())], [key, "pname", "fold"])
+
+    out = ordered.mapInArrow(run, f"`{key}` int, pname string, fold int")
     return out if by else out.drop("one")
 
 

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rank_sets import evaluate_sets
-from ..functions.ranks import evaluate, with_parts
 from ..sources.tables import saved
 
 KEYS = ["outer_fold", "metric", "cfg_ordinal"]
@@ -55,10 +54,10 @@ def out_of_fold(scores: DataFrame, samples: DataFrame, outer: DataFrame, best: D
 def evaluate_oof(oof: DataFrame, samples: DataFrame) -> DataFrame:
     """metric, n and the five statistics on all samples.  Fails if a measure lacks a sample or has one twice.
 
-    A measure's samples are ranked in parts, as they are too many for one task.
+    A measure's samples are one set of a sort in ranges, as they are too many for one task.
     """
     n, oof = samples.count(), saved(oof, "oof")  # read three times
-    rows = with_parts(oof.join(samples.select("sample_idx", "class3", "expert_score"), "sample_idx"), ["metric"], "similarity_score")
-    found = evaluate(rows, ["metric"], "similarity_score", part="part")
+    rows = oof.join(samples.select("sample_idx", "class3", "expert_score"), "sample_idx").withColumn("sets", F.array(F.lit(0)))
+    found = evaluate_sets(rows, ["metric"], "sets", "similarity_score").drop("set")
     counts = oof.groupBy("metric").agg(F.count("*").alias("rows"), F.countDistinct("sample_idx").alias("different"))
     return found.join(counts, "metric").where(F.assert_true((F.col("rows") == n) & (F.col("different") == n), F.lit("a measure does not cover every sample once")).isNull()).drop("rows", "different")
