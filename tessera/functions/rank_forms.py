@@ -239,11 +239,12 @@ def evaluate_draws(forms: DataFrame, draws: DataFrame) -> DataFrame:
 
     A task holds one measure's forms and REPLICATES replicates.
     """
-    batch = F.expr(f"boot div {REPLICATES}").cast("int").alias("batch")
-    metrics = forms.select(F.col("metric").alias("of")).distinct()  # one row for each measure
-    batches = draws.select(batch).distinct()
-    left = forms.join(batches)  # forms are few: one copy for each batch of replicates
-    right = draws.select("boot", "place", "times", batch.alias("drawn")).join(metrics)
+    batch = F.expr(f"boot div {REPLICATES}").cast("int")
+    last = draws.agg(F.max(batch)).first()[0] or 0
+    metrics = [r[0] for r in forms.select("metric").distinct().collect()]  # one for each measure
+    # Forms are few: one copy for each batch of replicates.
+    left = forms.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(last))))
+    right = draws.select("boot", "place", "times", batch.alias("drawn"), F.explode(F.array(*map(F.lit, metrics)).cast("array<string>")).alias("of"))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
