@@ -1,6 +1,7 @@
 """Neighbourhood operations on stacks of images (images, height, width, channels) with values in [0, 1].
 
-These have no compact form as column expressions; Spark hands them Arrow batches of pairs (see operators.scores).
+These are for score tables of many configurations, where a pair is preprocessed under every set of flags: Spark hands them Arrow
+batches of pairs (see operators.scores).  functions.filters has the same filters on pixel rows, without Python.
 """
 
 from __future__ import annotations
@@ -47,14 +48,17 @@ def match_histogram(src: np.ndarray, trg: np.ndarray) -> np.ndarray:
     return out
 
 
-def _windows(x: np.ndarray, size: int, mode: str) -> np.ndarray:
-    r = size // 2
-    padded = np.pad(x, ((0, 0), (r, r), (r, r), (0, 0)), mode=mode)
-    return np.lib.stride_tricks.sliding_window_view(padded, (size, size), axis=(1, 2))
+def _neighbours(image: np.ndarray, r: int, axes: tuple[int, ...]) -> np.ndarray:
+    """An image (height, width, channels) moved by -r to r places along the axes, borders repeated: one copy for each move."""
+    h, w = image.shape[:2]
+    moves = [range(2 * r + 1) if a in axes else (r,) for a in (0, 1)]
+    padded = np.pad(image, ((r, r), (r, r), (0, 0)), mode="edge")
+    return np.stack([padded[dy : dy + h, dx : dx + w] for dy in moves[0] for dx in moves[1]])
 
 
 def median_smooth(x: np.ndarray, size: int = 5) -> np.ndarray:
-    return np.median(_windows(x, size, "edge"), axis=(-2, -1))
+    middle = size * size // 2
+    return np.stack([np.partition(_neighbours(image, size // 2, (0, 1)), middle, axis=0)[middle] for image in x]) if len(x) else x
 
 
 def gaussian_smooth(x: np.ndarray, size: int = 5) -> np.ndarray:
@@ -62,7 +66,8 @@ def gaussian_smooth(x: np.ndarray, size: int = 5) -> np.ndarray:
     r, sigma = (size - 1) // 2, 0.3 * ((size - 1) * 0.5 - 1) + 0.8
     k = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
     k /= k.sum()
-    return np.einsum("nhwcij,i,j->nhwc", _windows(x, 2 * r + 1, "edge"), k, k)
+    once = lambda image, axis: np.tensordot(k, _neighbours(image, r, (axis,)), axes=1)
+    return np.stack([once(once(image, 0), 1) for image in x]) if len(x) else x
 
 
 def smooth(x: np.ndarray, method: str = "gaussian", size: int = 5) -> np.ndarray:
