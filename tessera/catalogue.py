@@ -11,7 +11,7 @@ from .functions.rank_forms import rank_forms
 from .jobs.run import config_value_counts
 from .operators import bootstrap, folds, nested_cv, registry, scores
 from .plans import nested, oracle
-from .plans.fixtures import LABELLED_DOCUMENTS, ORDER_SAMPLES, VECTOR_PIXELS, colour_pairs, colour_search_pairs, labelled_documents, mosaic_pixels, mosaics, order_samples, order_scores, table, vector_pairs
+from .plans.fixtures import LABELLED_DOCUMENTS, ORDER_SAMPLES, VECTOR_LABELS, VECTOR_PIXELS, colour_pairs, colour_search_pairs, labelled_documents, mosaic_pixels, mosaics, order_samples, order_scores, table, vector_pairs
 from .sources.annotations import read_annotations, with_ordinal
 from .sources.artifact import load_artifact, save_artifact
 from .sources.tables import new_folder
@@ -572,6 +572,49 @@ def nested_cv_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(nested_cv.evaluate_oof(oof, samples), *ranks.STATISTICS).orderBy(F.desc_nulls_last("spearman_class3"), "metric")
 
 
+_PLAIN_SCORES = f"""{VECTOR_PIXELS}, {VECTOR_LABELS}, f(flip) AS (VALUES (0), (1)), n(norm) AS (VALUES (0), (1)),
+pw AS (SELECT sample_idx, norm, flip, CASE flip WHEN 1 THEN 1 - x / (1 + 1e-8 * norm) ELSE x / (1 + 1e-8 * norm) END AS x, CASE flip WHEN 1 THEN 1 - y / (1 + 1e-8 * norm) ELSE y / (1 + 1e-8 * norm) END AS y FROM px, f, n),
+pg AS (SELECT sample_idx, norm, flip, avg(x) AS mx, avg(y) AS my, (stddev_samp(x) + 1e-8) * (stddev_samp(y) + 1e-8) * 63 AS d FROM pw GROUP BY ALL),
+s AS (SELECT sample_idx, 'ncc' AS metric, (norm * 2 + flip)::INT AS cfg_ordinal, round(sum((x - mx) * (y - my)) / any_value(d), 7) AS score FROM pw JOIN pg USING (sample_idx, norm, flip) GROUP BY sample_idx, norm, flip
+  UNION ALL SELECT sample_idx, 'psnr', (norm * 2 + flip)::INT, round(CASE avg((x - y) ** 2) WHEN 0 THEN 33.0 ELSE -10 * log10(avg((x - y) ** 2)) END, 5) FROM pw GROUP BY sample_idx, norm, flip)"""
+_PLAIN_CV = _OOF_STATS.replace(ORDER_SAMPLES, _PLAIN_SCORES)
+
+
+def _plain_cv(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A search without neighbourhoods, from pixels to out-of-fold statistics: two measures, four configurations each.
+
+    Scores are rounded, so that ties are the same in any engine.
+    """
+    pairs = vector_pairs(spark, sf_dir)
+    own = registry.Registry(())
+    own.register("ncc", channel_modes=("gray",), column=lambda x, y: F.round(pixels.ncc(x, y), 7))
+    own.register("psnr", channel_modes=("gray",), column=lambda x, y: F.round(pixels.psnr(x, y), 5))
+    search = {f: (False, True) if f in ("normalization", "flip_intensity") else (False,) for f in registry.SEARCH}
+    samples = pairs.drop("src", "trg")
+    oof, meta = nested.nested_cv(pairs, samples, own.chosen(), SEED, search)
+    return oof, meta, samples
+
+
+@query("nested_cv_plain", _PLAIN_CV + f" SELECT metric, n, {sql_rounded(*ranks.STATISTICS)} FROM ev")
+def nested_cv_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    oof, _, samples = _plain_cv(spark, sf_dir)
+    return rounded(nested_cv.evaluate_oof(oof, samples), *ranks.STATISTICS)
+
+
+@query("fold_meta_plain", _PLAIN_CV + f" SELECT outer_fold AS fold, metric, cfg_ordinal, cfg_ordinal >= 2 AS normalization, 'gray' AS channel_mode, cfg_ordinal % 2 = 1 AS flip_intensity, {sql_rounded(*_INNER_COLUMNS)} FROM b")
+def fold_meta_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_plain_cv(spark, sf_dir)[1], *_INNER_COLUMNS).select("fold", "metric", "cfg_ordinal", "normalization", "channel_mode", "flip_intensity", *_INNER_COLUMNS)
+
+
+@query("artifact_plain", _PLAIN_CV + " SELECT sample_idx, metric, fold, cfg_ordinal, round(similarity_score, 5) + 0.0::DOUBLE AS similarity_score FROM oof")
+def artifact_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold predictions as a committed artifact gives them back."""
+    oof, meta, samples = _plain_cv(spark, sf_dir)
+    path = new_folder(spark, "artifact")
+    save_artifact(path, oof, meta, samples, SEED)
+    return load_artifact(spark, path)[0].withColumn("similarity_score", F.round("similarity_score", 5) + 0.0)
+
+
 def _colour_cv(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The job's default search: four measures on gray and stains, all flags, on pairs of colour images of three vectors each."""
     pairs = colour_search_pairs(spark, sf_dir)

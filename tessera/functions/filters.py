@@ -83,7 +83,7 @@ def median_smoothed(px: DataFrame, keys: list[str], columns: list[str], size: in
     for axis, other, length in _AXES:
         frame = Window.partitionBy(*keys, other).orderBy(axis).rowsBetween(-r, r)
         px = _padded(px, axis, length, r, False).withColumns({c: F.collect_list(c).over(frame) for c in columns}).where(_inside(axis, length))
-    return px.withColumns({c: F.sort_array(F.flatten(c))[size * size // 2] for c in columns})
+    return px.withColumns({c: F.sort_array(F.flatten(c))[(2 * r + 1) ** 2 // 2] for c in columns})
 
 
 def _moments(px: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ def _neighbours(image: np.ndarray, r: int, axes: tuple[int, ...]) -> np.ndarray:
 
 
 def median_smooth(x: np.ndarray, size: int = 5) -> np.ndarray:
-    middle = size * size // 2
+    middle = (2 * (size // 2) + 1) ** 2 // 2
     return np.stack([np.partition(_neighbours(image, size // 2, (0, 1)), middle, axis=0)[middle] for image in x]) if len(x) else x
 
 

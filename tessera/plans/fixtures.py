@@ -109,3 +109,8 @@ def mosaic_pixels(tiles: int) -> str:
     each = tiles * tiles
     return f"""mo AS (SELECT (k // {each})::BIGINT AS sample_idx, ((k % {each}) // {tiles} * 8 + i // 8)::INT AS y, (k % {tiles} * 8 + i % 8)::INT AS x, px.x AS src, px.y AS trg
   FROM (SELECT k, k % (SELECT count(*) FROM embeddings) AS sample_idx FROM range((SELECT ((count(*) + {each} - 1) // {each} * {each})::BIGINT FROM embeddings)) r(k)) t JOIN px USING (sample_idx))"""
+
+
+#: sample_idx, pname, class3 and expert_score of the same pairs.
+VECTOR_LABELS = """c AS (SELECT sample_idx, pname, CASE WHEN far = 0 THEN 0 WHEN far <= 2 THEN 1 ELSE 2 END AS class3, (5 - least(4, far))::DOUBLE AS expert_score
+  FROM (SELECT a.vec_id AS sample_idx, 'w' || (a.vec_id % 25) AS pname, abs(a.label - b.label) AS far FROM embeddings a JOIN embeddings b ON b.vec_id = (a.vec_id + 1) % (SELECT count(*) FROM embeddings)))"""
