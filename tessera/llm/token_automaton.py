@@ -113,17 +113,6 @@ def compiled(path: str) -> Automaton:
     return out
 
 
-class _Words(_Chunks):
-    """Words with their ids; those that were in use when the last such table was full are taken over from it."""
-
-    def __init__(self, ids_of, full: _Words | None = None):
-        super().__init__(lambda word: ids_of(word) if full is None or word not in full else full.own(word))
-
-    def own(self, word: str) -> array:
-        n = self[word]
-        return self.flat[self.edge[n] : self.edge[n + 1]]
-
-
 class Encoder:
     """ids(text) gives the ids of a text."""
 
@@ -137,7 +126,7 @@ class Encoder:
         self.length = [len(label) for label in automaton.labels]
         self._places()
         self.arcs: dict[int, int] = {}
-        self.words, self.split = _Words(self.word), regex.compile(SPLIT)
+        self.words, self.split = _Chunks(self.word), regex.compile(SPLIT)
         names = sorted(automaton.specials, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
 
@@ -231,11 +220,6 @@ class Encoder:
         while run := list(islice(cut, RUN)):
             yield run
 
-    def _plain_table(self) -> _Words:
-        """The words so far, without what they were taken over from."""
-        self.words.ids_of = self.word
-        return self.words
-
     def ids(self, text: str | None) -> np.ndarray:
         """A null text has none."""
         parts = [np.zeros(0, np.uint32)]
@@ -245,7 +229,7 @@ class Encoder:
                 continue
             for run in self._runs(piece):
                 if len(self.words) > MOST_WORDS or len(self.words.flat) > MOST_IDS:
-                    self.words = _Words(self.word, self._plain_table())
+                    self.words = self.words.followed(self.word)
                 parts.append(self.words.ids(run))
         return np.concatenate(parts)
 

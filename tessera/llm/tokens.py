@@ -16,7 +16,7 @@ from array import array
 import numpy as np
 
 END_ID = 1
-_MOST_WORDS = 250_000
+_MOST_WORDS = 600_000
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -33,13 +33,22 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Chunks(dict):
-    """Number of each chunk seen; a new one is encoded on the way."""
+    """Number of each chunk seen; a new one is encoded on the way, or taken over from the last such table, which is full."""
 
-    def __init__(self, ids_of):
+    def __init__(self, ids_of, full: _Chunks | None = None):
         super().__init__()
-        self.ids_of = ids_of
+        self.ids_of = ids_of if full is None else lambda chunk: full.own(chunk) if chunk in full else ids_of(chunk)
         self.flat, self.edge = array("I"), array("q", [0])
 
+    def own(self, chunk: str) -> array:
+        n = self[chunk]
+        return self.flat[self.edge[n] : self.edge[n + 1]]
+
+    def followed(self, ids_of) -> _Chunks:
+        """An empty table that takes words over from this one, which lets go of the one before it."""
+        self.ids_of = ids_of
+        return _Chunks(ids_of, self)
+
     def __missing__(self, chunk: str) -> int:
         self.flat.extend(self.ids_of(chunk))
         self.edge.append(len(self.flat))
@@ -114,20 +123,26 @@ class WordTokenizer:
         self._clear()
 
     def _clear(self) -> None:
-        self.units: dict[str, list[int]] = {}
+        self.marks: dict[str, list[int]] = {}
         self.plain, self.other = _Chunks(self._plain_ids), _Chunks(self._other_ids)
 
-    def _plain_ids(self, chunk: str) -> list[int]:
+    def _plain_ids(self, chunk: str) -> list[int] | array:
         if chunk.isalpha():
-            return self._unit(chunk)
-        return [i for unit in self._cut.findall(chunk) for i in self._unit(unit)]
-
-    def _unit(self, unit: str) -> list[int]:
-        ids = self.units.get(unit)
-        if ids is None:
-            letters = unit if unit.isascii() else unit.encode().decode("latin-1").translate(self.letters)
-            ids = self.units[unit] = [t.id for t in self.model.tokenize(letters)]
-        return ids
+            return self._model_ids(chunk)
+        out = array("I")
+        for unit in self._cut.findall(chunk):
+            if unit.isalpha():  # a chunk by itself elsewhere
+                out.extend(self.plain.own(unit))
+                continue
+            ids = self.marks.get(unit)
+            if ids is None:
+                ids = self.marks[unit] = self._model_ids(unit)
+            out.extend(ids)
+        return out
+
+    def _model_ids(self, unit: str) -> list[int]:
+        letters = unit if unit.isascii() else unit.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(letters)]
 
     def _other_ids(self, chunk: str) -> list[int]:
         return self.tokenizer.encode(chunk, add_special_tokens=False).ids
