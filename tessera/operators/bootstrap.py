@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,8 +40,8 @@ def parity_draws(spark: SparkSession, n: int, n_boot: int = 1000, seed: int = 14
     for first in range(0, n_boot, step):
         size = min(step, n_boot - first)
         keys, times = np.unique(np.arange(size)[:, None] * n + rng.integers(0, n, size=(size, n)), return_counts=True) if n else (np.zeros(0, np.int64),) * 2
-        table = pd.DataFrame({"boot": (keys // max(n, 1) + first).astype(np.int32), "place": keys % max(n, 1), "times": times})
-        spark.createDataFrame(table, schema).write.mode("append").parquet(path)
+        table = pa.table({"boot": (keys // max(n, 1) + first).astype(np.int32), "place": keys % max(n, 1), "times": times.astype(np.int64)})
+        spark.createDataFrame(table).write.mode("append").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
