@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import catalogue, files, language_id, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, scratch, textarrays, token_files
+from tessera.llm import catalogue, files, language_id, language_model, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, textarrays, token_files
 from tessera.llm.quality_classifier import FEATURES, statistics
 from tessera.llm.scratch import new_folder
 from tessera.llm.textarrays import Words
@@ -132,15 +132,16 @@ def test_exchange_of_many_partitions_comes_near_the_bound(spark, caplog):
 def mounted(spark, monkeypatch, tmp_path):
     """A shared folder whose scheme only Hadoop's configuration explains."""
     spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.tests.link./shared", f"file://{tmp_path}")
-    monkeypatch.setitem(scratch._LOCAL, "folder", "viewfs://tests/shared")
+    for module in (token_files, language_model):
+        monkeypatch.setattr(module, "new_folder", lambda spark, name: f"viewfs://tests/shared/{name}")
     return tmp_path
 
 
 def test_files_in_a_mounted_store(spark, mounted, documents):
     assert {r["doc_id"] for r in token_files.query(spark, SF).collect()} == set(documents)
-    assert any(mounted.glob("token-files-*/shards/*"))
+    assert any(mounted.glob("token-files/shards/*"))
     found = {r["doc_id"]: tuple(r) for r in quality_rules.query(spark, SF).collect()}
-    assert set(found) == set(documents) and any(mounted.glob("model-*"))
+    assert set(found) == set(documents) and any(mounted.glob("model/*.parquet"))
 
 
 def test_schemes_of_stores():
