@@ -66,3 +66,24 @@ def test_the_grid_of_a_table_is_that_of_measures(spark):
     assert found == wanted
     groups = {tuple(r["metrics"]) for r in identity_groups(spark, measures).collect()}
     assert groups == {("ncc", "psnr", "mi", "ms-ssim", "fsim"), ("ssim",), ("fsimc",), ("lpips_alex", "lpips_vgg", "lpips_squeeze"), ("dists",)}
+
+
+def test_the_default_search_gives_the_scores_of_what_it_chose(spark):
+    from tessera import catalogue
+    from tessera.operators.scores import _NAMES
+    from tessera.plans.fixtures import colour_search_pairs
+
+    oof, meta, samples = catalogue._colour_cv(spark, "/root/testdata/sf0.001")
+    chosen = {(r["fold"], r["metric"]): r for r in meta.collect()}
+    found = {(r["metric"], r["sample_idx"]): r for r in oof.collect()}
+    n = samples.count()
+    assert len(found) == 4 * n and set(chosen) == {(f, m) for f in range(5) for m in ("ncc", "psnr", "mi", "ssim")}
+    own = Registry()
+    for p in colour_search_pairs(spark, "/root/testdata/sf0.001").where("sample_idx % 97 = 3").collect():
+        src, trg = (np.array(p[c]).reshape(1, 8, 8, 3) for c in ("src", "trg"))
+        for metric in ("ncc", "psnr", "mi", "ssim"):
+            r = found[metric, p["sample_idx"]]
+            c = chosen[r["fold"], metric]
+            a, b = kernels.preprocess(src, trg, {f: c[f] for f in _NAMES})
+            value = own[metric](a, b, **{k: int(v) for k, v in c["params"].items()})[0]
+            assert r["cfg_ordinal"] == c["cfg_ordinal"] and abs(r["similarity_score"] - value) < 1e-6
