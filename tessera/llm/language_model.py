@@ -8,7 +8,6 @@ broadcast nor collected.  A task looks up the different n-grams of a run of text
 
 from __future__ import annotations
 
-import re
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -25,12 +24,17 @@ from .textarrays import chunks, mixed
 ORDER = 5
 #: Entries of a file of the model; bytes of files that a Python worker keeps; n-grams that a task counts at once.
 FILE_ENTRIES, CACHE_BYTES, RUN = 1 << 20, 96_000_000, 1 << 20
+#: Rows that a task hands to Spark at once.
+SENT = 1 << 16
+#: N-grams whose log probability a task keeps.
+MOST_KNOWN = 1 << 20
 #: Places of texts that are handled at once.
 STEP = 1 << 20
-#: Texts are taken in runs of so many bytes; the longer, the fewer n-grams are different.
-TEXT_BYTES = 1_500_000
-_SPACES = re.compile(r"[\x20\x09-\x0D]+")
+#: Texts are counted and scored in runs of so many bytes; the longer, the fewer n-grams are different.
+TEXT_BYTES, SCORED_BYTES = 1_500_000, 750_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
+_SPACE = 0x20
 #: Kinds of entries: what is left of an n-gram's count after the discount; a context's sums of counts and of discounts; the
 #: share of a character that a language does not have.
 LEFT, CONTEXT, UNSEEN = range(3)
@@ -45,77 +49,138 @@ def language_keys(names: list[str]) -> np.ndarray:
     return out
 
 
-def places(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places, ORDER) code points that end in each place of the texts, and the text of each, in runs of at most STEP.
+def places(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Code points of the texts, where in them places are (ORDER code points end in each), and the text of each, in runs of at most STEP.
 
     A text has a place for each character and one for its end, a space; before it come spaces.  Runs of white space are one
     character, so no two spaces in a row occur elsewhere.  A text without a word has no places.
     """
-    plain = [_SPACES.sub(" ", t).strip(" ").replace("\0", "�") if t else "" for t in texts]
     before = " " * (ORDER - 1)
-    points = np.frombuffer("".join(before + t + " " for t in plain if t).encode("utf-32-le", "surrogatepass"), np.uint32)
-    size = np.array([len(t) + ORDER if t else 0 for t in plain], np.int64)
-    total = np.cumsum(size)
-    for at in range(0, len(points), STEP):
-        own = np.arange(at, min(at + STEP, len(points)))
-        doc = np.searchsorted(total, own, side="right")
-        has_place = own - (total - size)[doc] >= ORDER - 1
-        own, doc = own[has_place], doc[has_place]
-        if len(own):
-            yield np.stack([points[own - j] for j in range(ORDER - 1, -1, -1)], axis=1), doc
-
-
-def _distinct(points: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A place of each different n-gram, and which of them each is; they are told apart with their key by a 64-bit hash."""
-    h = key.copy()
-    for j in range(points.shape[1]):
+    raw = np.frombuffer(before.join(["", *[(t or "") + " " for t in texts], ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    word = (raw != _SPACE) & (raw - np.uint32(9) >= 5)
+    place = word.copy()
+    place[1:] |= word[:-1]  # the first space after a word
+    size = np.fromiter((len(t) + ORDER if t else ORDER for t in texts), np.int64, len(texts))
+    end = np.cumsum(size) + ORDER - 1
+    taken = place.copy()
+    taken[: ORDER - 1] = True
+    for j in range(1, ORDER):
+        taken[end - j] = True
+    points, place_of = raw[taken], place[taken]
+    points[points - np.uint32(9) < 5] = _SPACE
+    points[points == 0] = 0xFFFD
+    total = np.cumsum(np.add.reduceat(place, end - size, dtype=np.int64)) if len(texts) else np.zeros(0, np.int64)
+    del raw, word, place, taken
+    done = 0  # places in earlier runs
+    for begin in range(0, len(points), STEP):
+        at = np.flatnonzero(place_of[begin : begin + STEP])
+        if len(at):
+            low = max(0, begin - ORDER + 1)
+            i, j = np.searchsorted(total, [done, done + len(at) - 1], side="right")
+            doc = np.repeat(np.arange(i, j + 1), np.diff(np.minimum(total[i : j + 1], done + len(at)), prepend=done))
+            yield points[low : begin + STEP], at + (begin - low), doc
+            done += len(at)
+
+
+def _columns(points: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """The ORDER code points that end in each of the given places, first ones first."""
+    return [points[at - j] for j in range(ORDER - 1, -1, -1)]
+
+
+def _hashes(languages: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit hash of each n-gram with its language's key: a polynomial, so that those of its parts follow from it."""
+    h = languages.copy()
+    for column in columns:
+        h += column
         h *= _ODD
-        h += points[:, j]
-    order = np.argsort(h)
+    return h
+
+
+def _place_hashes(points: np.ndarray, at: np.ndarray, languages: np.ndarray) -> np.ndarray:
+    """The hash of the ORDER code points that end in each place."""
+    h = np.zeros(len(points) - ORDER + 1, np.uint64)
+    for j in range(ORDER):
+        h += points[j : j + len(h)]
+        h *= _ODD
+    h = h[at - (ORDER - 1)]
+    h += languages * np.uint64(pow(int(_ODD), ORDER, 1 << 64))
+    return h
+
+
+def _order(h: np.ndarray) -> np.ndarray:
+    """Places of the hashes by size of their upper bits, as many as leave room for the place: sorting numbers is faster than places."""
+    low = np.uint64((1 << len(h).bit_length()) - 1)
+    packed = h & ~low
+    packed |= np.arange(len(h), dtype=np.uint64)
+    packed.sort()
+    packed &= low
+    return packed.view(np.int64)
+
+
+def _groups(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places that bring equal hashes together, and where in them each group begins.
+
+    Hashes that differ in lower bits only may cut each other's groups into several, which are then handled apart.
+    """
+    order = _order(h)
     h = h[order]
     new = np.ones(len(h), bool)
-    new[1:] = h[1:] != h[:-1]
+    np.not_equal(h[1:], h[:-1], out=new[1:])
+    return order, np.flatnonzero(new)
+
+
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each different hash, and which of them each is."""
+    order, begin = _groups(h)
     of = np.empty(len(h), np.int64)
-    of[order] = np.cumsum(new) - 1
-    return order[new], of
+    of[order] = np.repeat(np.arange(len(begin)), np.diff(begin, append=len(h)))
+    return order[begin], of
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
     """lang, gram, n: how often each run of ORDER characters occurs in all texts of docs (lang, text)."""
 
     def run(batches):
+        forget()
         names: dict[str, int] = {}
-        grams, langs, counts, n = [], [], [], 0
-
-        def merged():
-            points, lang, count = np.concatenate(grams), np.concatenate(langs), np.concatenate(counts)
-            first, of = _distinct(points, language_keys(list(names))[lang])
-            return points[first], lang[first], np.bincount(of, count).astype(np.int64)
-
-        def rows(points, lang, count):
-            text = np.ascontiguousarray(points).view(f"<U{ORDER}")[:, 0]
-            return pa.RecordBatch.from_arrays([pa.array(list(names), pa.string()).take(pa.array(lang)), pa.array(text.tolist(), pa.string()), pa.array(count)], ["lang", "gram", "n"])
+        found, n = [], 0  # hashes, code points, languages and counts of n-grams
+
+        def merged():  # a column at a time, which then is no longer held in its parts
+            columns = [list(x) for x in zip(*found, strict=True)]
+            found.clear()
+            whole = lambda: np.concatenate(columns.pop(0))
+            h = whole()
+            order, begin = _groups(h)
+            first = order[begin]
+            return h[first], np.add.reduceat(whole()[order], begin), whole()[first], whole()[first]
+
+        def rows(_, count, lang, points):
+            text = points.view(f"<U{ORDER}")[:, 0]
+            for i in range(0, len(text), SENT):
+                j = slice(i, i + SENT)
+                yield pa.RecordBatch.from_arrays([pa.array(list(names), pa.string()).take(pa.array(lang[j])), pa.array(text[j].tolist(), pa.string()), pa.array(count[j])], ["lang", "gram", "n"])
 
         for batch in batches:
             own = np.array([names.setdefault(x, len(names)) for x in batch.column(0).to_pylist()], np.int64)
             keys = language_keys(list(names))
             for begin, texts in chunks(batch.column(1), TEXT_BYTES):
-                for points, doc in places(texts):
+                for points, at, doc in places(texts):
                     lang = own[begin + doc]
-                    first, of = _distinct(points, keys[lang])
-                    grams.append(points[first])
-                    langs.append(lang[first])
-                    counts.append(np.bincount(of))
+                    h = _place_hashes(points, at, keys[lang])
+                    order, first = _groups(h)
+                    count = np.diff(first, append=len(h))
+                    first = order[first]
+                    found.append((h[first], count, lang[first].astype(np.int32), np.stack(_columns(points, at[first]), axis=1)))
+                    del h, order, lang
                     n += len(first)
                     if n > 2 * RUN:
-                        points, lang, count = merged()
-                        if len(points) > RUN:
-                            yield rows(points, lang, count)
-                            grams, langs, counts, n = [], [], [], 0
-                        else:
-                            grams, langs, counts, n = [points], [lang], [count], len(points)
+                        found.append(merged())
+                        n = len(found[0][0])
+                        if n > RUN:
+                            yield from rows(*found.pop())
+                            n = 0
         if n:
-            yield rows(*merged())
+            yield from rows(*merged())
 
     return docs.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -151,12 +216,9 @@ def entries(docs: DataFrame) -> tuple[DataFrame, int, list[DataFrame]]:
     return whole, most, levels
 
 
-def _keys(kind: int, languages: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """Hashes of entries, as signed numbers: of rows of code points, with each row's key of a language."""
-    h = mixed(languages + np.uint64(8 * points.shape[1] + kind + 1))
-    for j in range(points.shape[1]):
-        h = mixed(h * _ODD + points[:, j])
-    return h.view(np.int64)
+def _keys(kind: int, size: int, h: np.ndarray) -> np.ndarray:
+    """Hashes of entries, as signed numbers, from those of n-grams of a size (of contexts: without the last character)."""
+    return mixed(h + np.uint64(pow(int(_ODD), 8 * size + kind + 8, 1 << 64))).view(np.int64)
 
 
 def _code_points(grams: list[str], size: int) -> np.ndarray:
@@ -176,7 +238,7 @@ def train(docs: DataFrame) -> list[tuple[str, int, int]]:
             out = np.zeros(len(kind), np.int64)
             for k, n in {(int(k), int(n)) for k, n in zip(kind, size, strict=True)}:
                 own = np.flatnonzero((kind == k) & (size == n))
-                out[own] = _keys(k, keys[own], _code_points(grams[own].tolist(), n) if n else np.zeros((len(own), 0), np.uint32))
+                out[own] = _keys(k, n, _hashes(keys[own], list(_code_points(grams[own].tolist(), n).T) if n else []))
             yield pa.RecordBatch.from_arrays([pa.array(out), batch.column(4), batch.column(5)], ["h", "value", "more"])
 
     path = new_folder(spark, "model")
@@ -205,32 +267,47 @@ def _arrays(file: str) -> tuple[np.ndarray, np.ndarray]:
     return _CACHE[file]
 
 
+def forget() -> None:
+    """Lets a Python worker give up files of an earlier model."""
+    _CACHE.clear()
+
+
 def look_up(files: list[tuple[str, int, int]], keys: np.ndarray) -> np.ndarray:
     """The two numbers of each key, 0 for those that the model does not have."""
-    keys, of = np.unique(keys, return_inverse=True)
-    out = np.zeros((len(keys), 2), np.float32)
+    order = _order(keys.view(np.uint64) ^ np.uint64(1 << 63))
+    sorted_keys = keys[order]
+    if (sorted_keys[1:] < sorted_keys[:-1]).any():  # keys that differ in lower bits only
+        order = np.argsort(keys)
+        sorted_keys = keys[order]
+    found = np.zeros((len(keys), 2), np.float32)
     for file, low, high in files:
-        a, b = np.searchsorted(keys, low), np.searchsorted(keys, high, side="right")
+        a, b = np.searchsorted(sorted_keys, low), np.searchsorted(sorted_keys, high, side="right")
         if a < b:
             h, values = _arrays(file)
-            at = np.minimum(np.searchsorted(h, keys[a:b]), len(h) - 1)
-            out[a:b] = np.where((h[at] == keys[a:b])[:, None], values[at], 0)
-    return out[of].astype(np.float64)
+            at = np.minimum(np.searchsorted(h, sorted_keys[a:b]), len(h) - 1)
+            found[a:b] = np.where((h[at] == sorted_keys[a:b])[:, None], values[at], 0)
+    out = np.empty((len(keys), 2), np.float32)
+    out[order] = found
+    return out.astype(np.float64)
 
 
-def log_probabilities(files: list[tuple[str, int, int]], languages: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """Natural logarithm of the probability of the last of each row's code points after the others, in the language of each key.
+def log_probabilities(files: list[tuple[str, int, int]], languages: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
+    """Natural logarithm of the probability of the last column's code points after the others, in the language of each key.
 
     A language that the model does not have gives every character the same small share.
     """
     wanted, orders = [], []  # of each order the different n-grams and contexts, the longest first
-    for _ in range(ORDER):
-        first, context = _distinct(points[:, :-1], languages)
-        wanted += [_keys(LEFT, languages, points), _keys(CONTEXT, languages[first], points[first, :-1])]
-        shorter, of = _distinct(points[:, 1:], languages)
+    h = _hashes(languages, columns)
+    for size in range(ORDER, 0, -1):
+        before = h * _INVERSE - columns[-1]
+        first, context = _distinct(before)
+        wanted += [_keys(LEFT, size, h), _keys(CONTEXT, size - 1, before[first])]
+        power = np.uint64(pow(int(_ODD), size - 1, 1 << 64))
+        after = h - ((languages + columns[0]) * _ODD - languages) * power
+        shorter, of = _distinct(after)
         orders.append((context, of))
-        languages, points = languages[shorter], points[shorter, 1:]
-    wanted.append(_keys(UNSEEN, languages, points))
+        h, languages, columns = after[shorter], languages[shorter], [x[shorter] for x in columns[1:]]
+    wanted.append(_keys(UNSEEN, 0, h))
     found = np.split(look_up(files, np.concatenate(wanted)), np.cumsum([len(x) for x in wanted])[:-1])
     p = np.where(found[-1][:, 0] > 0, found[-1][:, 0], 1 / 0x110000)
     for k in range(ORDER - 1, -1, -1):
@@ -240,11 +317,41 @@ def log_probabilities(files: list[tuple[str, int, int]], languages: np.ndarray,
     return np.log(p)
 
 
-def score(files: list[tuple[str, int, int]], texts: list[str | None], languages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sum of the log probabilities of all places of each text in the language of its key, and the number of places."""
+class Known:
+    """Log probabilities of n-grams that a task has looked up, by their hashes in order: up to MOST_KNOWN, then it starts anew with those just looked up."""
+
+    def __init__(self):
+        self.h, self.logs = np.zeros(0, np.uint64), np.zeros(0)
+
+    def of(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The log probability of each n-gram, and which are not known."""
+        if not len(self.h):
+            return np.zeros(len(h)), np.arange(len(h))
+        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        return self.logs[at], np.flatnonzero(self.h[at] != h)
+
+    def add(self, h: np.ndarray, logs: np.ndarray) -> None:
+        if len(self.h) + len(h) <= MOST_KNOWN:
+            h, logs = np.concatenate([self.h, h]), np.concatenate([self.logs, logs])
+        order = np.argsort(h, kind="stable")  # merges what is in order already
+        self.h, self.logs = h[order], logs[order]
+
+
+def score(files: list[tuple[str, int, int]], texts: list[str | None], languages: np.ndarray, known: Known | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of the log probabilities of all places of each text in the language of its key, and the number of places.
+
+    known: what earlier calls with the same files looked up; this one adds to it.
+    """
+    known = known or Known()
     total, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-    for points, doc in places(texts):
-        first, of = _distinct(points, languages[doc])
-        total += np.bincount(doc, log_probabilities(files, languages[doc[first]], points[first])[of], len(texts))
+    for points, at, doc in places(texts):
+        h = _place_hashes(points, at, languages[doc])
+        first, of = _distinct(h)
+        logs, new = known.of(h[first])
+        if len(new):
+            own = first[new]
+            logs[new] = log_probabilities(files, languages[doc[own]], _columns(points, at[own]))
+            known.add(h[own], logs[new])
+        total += np.bincount(doc, logs[of], len(texts))
         n += np.bincount(doc, minlength=len(texts))
     return total, n

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .language_model import TEXT_BYTES, language_keys, score, train
+from .language_model import SCORED_BYTES, Known, language_keys, score, train
 from .scratch import saved, small_batches
 from .textarrays import Words, chunks, mixed, repeated
 
@@ -80,13 +80,14 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
     def run(batches):
+        known = Known()
         for batch in batches:
-            for begin, texts in chunks(batch.column(3), TEXT_BYTES):
+            for begin, texts in chunks(batch.column(3), SCORED_BYTES):
                 parts = [base_counts(Words(own)) for _, own in chunks(batch.column(3).slice(begin, len(texts)))]
                 counts = {c: np.concatenate([x[c] for x in parts]) for c in base}
                 part = batch.slice(begin, len(texts))
                 names, of = np.unique(np.array(part.column(2).to_pylist(), object).astype(str), return_inverse=True)
-                total, n = score(files.value, texts, language_keys(names.tolist())[of])
+                total, n = score(files.value, texts, language_keys(names.tolist())[of], known)
                 arrays = [part.column(0), part.column(1), *(pa.array(counts[c].astype(np.int64)) for c in base), pa.array(-total / np.maximum(n, 1), mask=n == 0)]
                 yield pa.RecordBatch.from_arrays(arrays, ["id", "language", *base, "log_perplexity"])
 
