@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import resolved_path
+from .tables import saved
 
 REQUIRED = {"fixed_path": "string", "warped_path": "string", "Similarity_Score": "double", "class3": "int"}
 #: Columns that may be missing, and then are null.
@@ -16,6 +17,8 @@ IMAGES = "path string, height int, width int, channels int, data array<float>"
 IMAGE_BYTES = "path string, height int, width int, channels int, data binary"
 #: Pairs that one copy of an image is joined to; an image that more pairs use is copied.
 PAIRS_OF_COPY = 1000
+#: The number of a partition is above these bits of monotonically_increasing_id, and a row's place in it below.
+PART_BITS = 33
 
 
 def read_annotations(spark: SparkSession, path: str, base_dir: str = "", order: tuple[str, ...] = ("pname", "patch_id", "fixed_path", "warped_path")) -> DataFrame:
@@ -34,14 +37,16 @@ def read_annotations(spark: SparkSession, path: str, base_dir: str = "", order:
 def with_ordinal(df: DataFrame, *order: str) -> DataFrame:
     """df with sample_idx: the place of a row in the given order, from 0.
 
-    Counts of range partitions give each its first place, so no task sorts all rows.
+    Counts of range partitions give each its first place, so no task sorts all rows.  The sorted ranges are written first:
+    Spark draws the limits of ranges from a sample and joins small ranges, so two runs of one plan may cut them differently.
     """
-    part = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    within = F.row_number().over(Window.partitionBy("_part").orderBy("_at"))
+    part = saved(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ordinal")
+    part = part.withColumn("_part", F.shiftright("_at", PART_BITS))
     counts = part.groupBy("_part").agg(F.count("*").alias("_n"))  # one row for each partition
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("_part", before.alias("_before"))
-    return part.join(F.broadcast(offsets), "_part").withColumn("sample_idx", (F.col("_before") + within - 1).cast("long")).drop("_part", "_at", "_n", "_before")
+    within = F.col("_at") - F.shiftleft("_part", PART_BITS)
+    return part.join(F.broadcast(offsets), "_part").withColumn("sample_idx", (F.col("_before") + within).cast("long")).drop("_part", "_at", "_before")
 
 
 def plain_path(path: Column) -> Column:

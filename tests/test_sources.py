@@ -68,6 +68,13 @@ def test_kept_scores(spark, tmp_path, monkeypatch):
     assert len(table(scores.kept_scores(path, pairs, own.chosen(), search, "name"))) == n * 6 and len(asked) == 3
 
 
+def test_ordinals_of_a_csv_in_ranges(spark, tmp_path):
+    rows = spark.range(200000).select(F.col("id").alias("patch_id"), (F.col("id") % 7).alias("pname"), F.rand(1).alias("Similarity_Score"), (F.col("id") % 3).alias("class3"), *(F.concat(F.lit(f"{c}/"), "id").alias(c) for c in ("fixed_path", "warped_path")))
+    rows.repartition(6).write.option("header", True).csv(f"file://{tmp_path}/a")
+    found = sorted((r["sample_idx"], r["pname"], r["patch_id"], r["class3"]) for r in annotations.read_annotations(spark, f"file://{tmp_path}/a").collect())
+    assert found == [(n, p, i, int(i) % 3) for n, (p, i) in enumerate(sorted((str(i % 7), str(i)) for i in range(200000)))]
+
+
 def test_images_as_bytes(spark, image_folder):  # noqa: F811
     folder, _ = image_folder
     table = annotations.read_annotations(spark, f"{folder}/table.csv", f"{folder}/in")
