@@ -75,6 +75,13 @@ def test_ordinals_of_a_csv_in_ranges(spark, tmp_path):
     assert found == [(n, p, i, int(i) % 3) for n, (p, i) in enumerate(sorted((str(i % 7), str(i)) for i in range(200000)))]
 
 
+def test_ordinals_of_wide_rows(spark):
+    """Ranges of whole rows and of their keys alone are not the same size."""
+    rows = spark.range(30000).select((F.col("id") * 7919 % 30000).alias("key"), F.sha2(F.col("id").cast("string"), 256).alias("wide"))
+    found = annotations.with_ordinal(rows.repartition(6), "key").collect()
+    assert len(found) == 30000 and all(r["sample_idx"] == r["key"] for r in found)
+
+
 def test_images_as_bytes(spark, image_folder):  # noqa: F811
     folder, _ = image_folder
     table = annotations.read_annotations(spark, f"{folder}/table.csv", f"{folder}/in")
