@@ -17,7 +17,7 @@ from .registry import Measure, config_grid, config_rows
 
 PAIR_COLUMNS = ("sample_idx", "height", "width", "channels", "src", "trg")
 #: Values of a stack of images that are preprocessed at once.
-STACK = 1 << 21
+STACK = 1 << 18
 SCORES = "sample_idx long, metric string, cfg_ordinal int, score double"
 
 
@@ -37,16 +37,19 @@ def score_pairs(pairs: DataFrame, measures: list[Measure], search: dict[str, tup
     pairs: sample_idx, height, width, channels, and src and trg as arrays of height * width * channels values, or as bytes
     that stand for values from 0 to 1.  A column
     mask, an array of height * width values 0 and 1 or null, is given to the measures that take one, and to those that are
-    columns.  Configurations without neighbourhoods of measures that have a column are scored by expressions.  For the rest, a
+    columns.  Configurations without neighbourhoods of measures that have a column are scored by expressions, unless the measure has
+    a kernel too and kernels are needed anyway: arrays in expressions take far longer than one more kernel.  For the rest, a
     batch of pairs is preprocessed once for each set of flags, and all measures that use the set read the result; of a measure
     that is only a column, the preprocessed arrays come back and are scored by its expression.
     """
     by_name, masked, packed = {m.name: m for m in measures}, "mask" in pairs.columns, dict(pairs.dtypes)["src"] == "binary"
     here, kernels_of, arrays_of = defaultdict(list), defaultdict(list), defaultdict(list)
-    for metric, ordinal, _, *flags, params in config_rows(measures, search):
-        m, config = by_name[metric], dict(zip(_NAMES, flags, strict=True))
-        plain = m.column is not None and not packed and pixels.without_neighbourhood(config)
-        to = here if plain else kernels_of if m.kernel is not None else arrays_of
+    rows = config_rows(measures, search)
+    plain = lambda metric, flags: by_name[metric].column is not None and not packed and pixels.without_neighbourhood(dict(zip(_NAMES, flags, strict=True)))
+    anyway = any(by_name[metric].kernel is not None and not plain(metric, flags) for metric, _, _, *flags, _ in rows)
+    for metric, ordinal, _, *flags, params in rows:
+        m = by_name[metric]
+        to = here if plain(metric, flags) and not (anyway and m.kernel is not None) else kernels_of if m.kernel is not None else arrays_of
         to[tuple(flags)].append((metric, ordinal, {k: _value(v) for k, v in params.items()}))
     parts = []
     if here:
@@ -118,13 +121,12 @@ def _stacks(batch: pa.RecordBatch, masked: bool):
 def preprocessed_pairs(pairs: DataFrame, flags: list[tuple]) -> DataFrame:
     """pairs with src and trg under each set of flags, whose place in the list is the column flags; channels as they then are."""
     masked = "mask" in pairs.columns
-    columns = [*PAIR_COLUMNS, *["mask"] * masked]
+    columns, configs = [*PAIR_COLUMNS, *["mask"] * masked], [dict(zip(_NAMES, values, strict=True)) for values in flags]
 
     def run(batches):
         for batch in batches:
             for own, src, trg, _ in _stacks(batch, masked):
-                for n, values in enumerate(flags):
-                    done = kernels.preprocess(src, trg, dict(zip(_NAMES, values, strict=True)))
+                for n, done in enumerate(kernels.preprocessed(src, trg, configs)):
                     arrays = [pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * x[0].size), pa.array(x.ravel())) for x in done]
                     kept = [batch.column(i).take(pa.array(own)) for i in (0, 1, 2)]
                     rest = [batch.column(6).take(pa.array(own))] if masked else []
@@ -140,13 +142,14 @@ def _dealt(pairs: DataFrame) -> DataFrame:
 
 
 def _by_kernels(pairs: DataFrame, by_name: dict, by_flags: dict, masked: bool) -> DataFrame:
+    by_flags = dict(sorted(by_flags.items()))  # sets of flags that begin with the same steps follow each other
+    configs = [dict(zip(_NAMES, flags, strict=True)) for flags in by_flags]
+
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for own, src, trg, mask in _stacks(batch, masked):
-                for flags, wanted in by_flags.items():
-                    config = dict(zip(_NAMES, flags, strict=True))
-                    a, b = kernels.preprocess(src, trg, config)
+                for config, wanted, (a, b) in zip(configs, by_flags.values(), kernels.preprocessed(src, trg, configs), strict=True):
                     for metric, ordinal, params in wanted:
                         value, n = np.asarray(by_name[metric](a, b, mask, kernels.background(config), **params), np.float64), len(own)
                         yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array([metric] * n), pa.array(np.full(n, ordinal, np.int32)), pa.array(value, mask=np.isnan(value))], ["sample_idx", "metric", "cfg_ordinal", "score"])
