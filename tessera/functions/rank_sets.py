@@ -62,6 +62,12 @@ def _changes(table: pa.Table, columns) -> list[int]:
     return (np.flatnonzero(found) + 1).tolist()
 
 
+def _coded(values: pa.Array) -> tuple[list, np.ndarray]:
+    """The different values, and the place of each value among them."""
+    coded = values.dictionary_encode(null_encoding="encode")
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+
+
 class _Group:
     """Sums of one group's rows in one range."""
 
@@ -75,52 +81,54 @@ class _Group:
         s, c, e, w, sets = (table.column(first + i).combine_chunks() for i in range(5))
         size = pc.fill_null(pc.list_value_length(sets), 0).to_numpy(zero_copy_only=False)
         row = np.repeat(np.arange(len(table)), size)
-        of = sets.flatten().to_numpy(zero_copy_only=False)
-        w, expert = w.to_numpy(zero_copy_only=False), np.array(e.to_pylist(), object)
+        names, of = _coded(sets.flatten())
+        classes, cls = _coded(c)
+        experts, expert = _coded(e)
+        w = w.to_numpy(zero_copy_only=False)
         none = pc.or_(s.is_null(), c.is_null()).to_numpy(zero_copy_only=False)
-        cls = pc.fill_null(c, -1).to_numpy(zero_copy_only=False)
-        for i in np.flatnonzero(none[row]):
-            self.lacking[of[i].item(), int(cls[row[i]]), expert[row[i]]] += w[row[i]]
-        some = ~none[row]
-        row, of = row[some], of[some]
+        if none.any():
+            for i in np.flatnonzero(none[row]):
+                self.lacking[names[of[i]], classes[cls[row[i]]], experts[expert[row[i]]]] += w[row[i]]
+            some = ~none[row]
+            row, of = row[some], of[some]
         if not len(row):
             return
-        order = np.argsort(of, kind="stable")
+        order = np.argsort(of.astype(np.uint16) if len(names) < 1 << 16 else of, kind="stable")  # short numbers are sorted by their digits
         row, of = row[order], of[order]
-        score = s.to_numpy(zero_copy_only=False)[row]
+        score, cls, expert, w = (v[row] for v in (s.to_numpy(zero_copy_only=False), cls, expert, w))
         weight = np.zeros((len(row), 4))
-        weight[:, 3] = w[row]
-        own = (cls[row] >= 0) & (cls[row] < 3)
-        weight[np.flatnonzero(own), cls[row][own]] = w[row][own]
+        weight[:, 3] = w
+        for k in CLASSES:
+            if k in classes:
+                weight[:, k] = np.where(cls == classes.index(k), w, 0)
         new_set = np.append(True, of[1:] != of[:-1])
         new = new_set | np.append(True, score[1:] != score[:-1])
         start = np.flatnonzero(new)
         tied = np.add.reduceat(weight, start, axis=0)
         total = np.cumsum(tied, axis=0)
         first_tie = np.flatnonzero(new_set[start])
-        names = of[start[first_tie]].tolist()
-        base = np.array([self.below[x] for x in names]) - np.where(first_tie[:, None] > 0, total[first_tie - 1], 0)
+        of_tie = [names[x] for x in of[start[first_tie]].tolist()]
+        base = np.array([self.below[x] for x in of_tie]) - np.where(first_tie[:, None] > 0, total[first_tie - 1], 0)
         level = total - tied / 2 + np.repeat(base, np.diff(np.append(first_tie, len(start))), axis=0)
         ends = np.append(first_tie[1:], len(start)) - 1
-        for x, end, cube in zip(names, total[ends] + base, np.add.reduceat(tied[:, 3] ** 3, first_tie), strict=True):
+        for x, end, cube in zip(of_tie, total[ends] + base, np.add.reduceat(tied[:, 3] ** 3, first_tie), strict=True):
             self.below[x] = end
             self.cubes[x] += cube
-        values = np.column_stack([w[row], level[np.cumsum(new) - 1] * w[row][:, None]])
-        experts, code = np.unique(np.array([str(x) for x in expert]), return_inverse=True)
-        name_of = {str(x): x for x in expert.tolist()}
-        key = np.column_stack([of, cls[row], code[row]])
-        found, where = np.unique(key, axis=0, return_inverse=True)
-        sums = np.zeros((len(found), 5))
-        np.add.at(sums, where.ravel(), values)
-        for (x, k, j), add in zip(found.tolist(), sums, strict=True):
-            self.sums[x, k, name_of[str(experts[j])]] += add
+        key = (of.astype(np.int64) * len(classes) + cls) * len(experts) + expert
+        found, where = np.unique(key, return_inverse=True) if len(names) * len(classes) * len(experts) > len(key) else (np.arange(len(names) * len(classes) * len(experts)), key)
+        level = level[np.cumsum(new) - 1] * w[:, None]
+        sums = np.column_stack([np.bincount(where, v, len(found)) for v in (w, *level.T)])
+        for at in np.flatnonzero(sums[:, 0]):
+            rest, j = divmod(int(found[at]), len(experts))
+            x, k = divmod(rest, len(classes))
+            self.sums[names[x], classes[k], experts[j]] += sums[at]
 
     def rows(self) -> Iterator[tuple]:
         cubes = dict(self.cubes)
         for (x, k, e), v in self.sums.items():
             yield (x, k, e, *v.tolist(), cubes.pop(x, 0.0), False)
         for (x, k, e), v in self.lacking.items():
-            yield (x, k if k >= 0 else None, e, v, 0.0, 0.0, 0.0, 0.0, 0.0, True)
+            yield (x, k, e, v, 0.0, 0.0, 0.0, 0.0, 0.0, True)
 
 
 _SUMS = ("n", "h0", "h1", "h2", "h", "cubes")
@@ -133,7 +141,7 @@ def evaluate_sets(df: DataFrame, by: list[str], sets: str, score: str = "score",
     statistics.  Rows equal in everything are added up before they are sorted, so one score may be that of most rows.
     """
     given = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    rows = df.select(*by, (not_nan(F.col(score).cast("double")) + 0.0).alias("s"), F.col(cls).cast("int").alias("c"), F.col(raw).cast("double").alias("e"), given.alias("w"), F.array_sort(sets).alias("sets"))
+    rows = df.select(*by, (not_nan(F.col(score).cast("double")) + 0.0).alias("s"), F.col(cls).cast("int").alias("c"), F.col(raw).cast("double").alias("e"), given.alias("w"), F.sort_array(sets).alias("sets"))
     cells = rows.groupBy(*by, "s", "c", "e", "sets").agg(F.sum("w").alias("w")).where("w > 0").select(*by, "s", "c", "e", "w", "sets")
     keys, n_keys = cells.select(*by).schema.fields, len(by)
     fields = [*keys, StructField("part", IntegerType()), StructField(name, IntegerType()), StructField("c", IntegerType()), StructField("e", DoubleType())]
