@@ -14,7 +14,7 @@ from .plans import nested, oracle
 from .plans.fixtures import LABELLED_DOCUMENTS, ORDER_SAMPLES, VECTOR_LABELS, VECTOR_PIXELS, colour_pairs, colour_search_pairs, labelled_documents, mosaic_pixels, mosaics, order_samples, order_scores, table, vector_pairs
 from .sources.annotations import read_annotations, with_ordinal
 from .sources.artifact import load_artifact, save_artifact
-from .sources.tables import new_folder
+from .sources.tables import new_folder, saved
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -620,7 +620,7 @@ def _colour_cv(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     pairs = colour_search_pairs(spark, sf_dir)
     own = registry.Registry()
     own.register("ssim", kernels.ssim, ("gray", "hed"), {"win_size": (3, 7)}, takes_mask=True)  # 31 exceeds 8 x 8 pixels
-    samples = pairs.drop("src", "trg")
+    samples = saved(pairs.drop("src", "trg"), "samples")  # else the joins of pairs are made anew for each use
     oof, meta = nested.nested_cv(pairs, samples, own.chosen(["ncc", "psnr", "mi", "ssim"]), SEED)
     return oof, meta, samples
 
